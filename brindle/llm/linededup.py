@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("_text")).where("_text is not null")
     cut = _chunked(plain, long_line)
     rows = cut.select("d", "th", F.expr(f"transform(_ends, (e, k) -> named_struct('k', k, 'n', e - {_start()} + 1, 'long', _facts[e].long, 'txt', array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))").alias("c"))
-    rows = rows.select("d", "th", F.explode("c").alias("c")).select("d", "th", "c.k", F.col("c.txt").alias("txt"), (F.col("c.n") > 1).alias("multi"), F.col("c.long").alias("long"))
+    rows = rows.select("d", "th", F.explode_outer("c").alias("c")).select("d", "th", "c.k", F.col("c.txt").alias("txt"), (F.col("c.n") > 1).alias("multi"), F.col("c.long").alias("long"))
     rows = rows.where("(multi or long) and trim(both ' \t\n\r' from txt) <> ''").select("d", "th", "k", "txt", F.sha2("txt", 256).alias("h"))
     first = _repeated(rows)
     hits = rows.select("d", "th", "k", "h").join(first, "h").where("not (d <=> fd and th = fth and k = fk)")
@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = _chunked(joined.select(*keep, F.col(f"`{text_col}`").alias("_text"), "__dl_cut"), long_line)
     parts = f"transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), cast(null as string), array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))"
     text = F.when(F.col("__dl_cut").isNull(), F.col("_text")).otherwise(F.expr(f"array_join({parts}, '\\n')"))
-    out: list[Column] = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    # generators hold filters back: pushed down they would be copied into every lambda below
+    out: list[Column] = [F.explode_outer(F.array(text)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if stats:
         lost = f"coalesce(aggregate(transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), e - {_start()} + 1, 0)), 0, (a, x) -> a + x), 0)"
         out += [F.coalesce(F.size("__dl_cut"), F.lit(0)).alias("removed_chunks"), F.when(F.col("__dl_cut").isNull(), 0).otherwise(F.expr(lost)).alias("removed_lines")]
