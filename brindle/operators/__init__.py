@@ -1 +1 @@
-
+"""Extraction, ignore rules, incremental maintenance, aggregates and result shaping."""
