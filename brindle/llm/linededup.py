@@ -61,10 +61,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("d", "th", F.explode_outer("c").alias("c")).select("d", "th", "c.k", F.col("c.txt").alias("txt"), (F.col("c.n") > 1).alias("multi"), F.col("c.long").alias("long"))
     rows = rows.where("(multi or long) and trim(both ' \t\n\r' from txt) <> ''").select("d", "th", "k", "txt", F.sha2("txt", 256).alias("h"))
     first = _repeated(rows)
-    hits = rows.select("d", "th", "k", "h").join(first, "h").where("not (d <=> fd and th = fth and k = fk)")
+    hits = rows.select("d", "th", "k", "h").join(first.hint("merge"), "h").where("not (d <=> fd and th = fth and k = fk)")
     drop = saved(hits.groupBy(F.col("d").alias("__dl_d"), F.col("th").alias("__dl_th")).agg(F.collect_set("k").alias("__dl_cut")))
     own = docs.withColumn("__dl_own", F.xxhash64(F.col(text_col)))
-    joined = own.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("__dl_d")) & (F.col("__dl_own") == F.col("__dl_th")), "left")
+    # always a sort-merge join: the plan, and with it the disk, is the same at every size
+    joined = own.join(drop.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__dl_d")) & (F.col("__dl_own") == F.col("__dl_th")), "left")
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     wide = _chunked(joined.select(*keep, F.col(f"`{text_col}`").alias("_text"), "__dl_cut"), long_line)
     parts = f"transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), cast(null as string), array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))"
