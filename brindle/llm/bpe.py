@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,11 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import slices, tokenizer_path
 
-#: Units (text between blanks) that a Python worker remembers before it starts anew. Results do not depend on it.
-REMEMBER = 250_000
+#: Units (text between blanks) in each of the two generations that a Python worker remembers. Results do not depend on it.
+REMEMBER = 300_000
+#: Letters and numbers below U+0250, as Unicode has them; there NFC changes nothing.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_PLAIN = re.compile("[\n!-~¡-ɏ]*")
 
 
 class WordBpe:
@@ -64,15 +70,40 @@ class WordBpe:
         keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
         order = np.argsort(keys)
         self.pair, self.pair_rank = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.longest = max(map(len, self.vocab))
+        #: Longest token that begins with the same two characters.
+        self.longest: dict[str, int] = {}
+        for t in self.vocab:
+            n = len(t.removesuffix(self.suffix)) if self.suffix else len(t)
+            self.longest[t[:2]] = max(n, self.longest.get(t[:2], 1))
+        pattern = self.words.pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
+        #: The same splitting for plain units, if the pattern only tells letters, numbers and white space apart.
+        self.plain_words = None if r"\p" in pattern else re.compile(pattern)
         self.sound: dict[str, bool] = {}
         self.word_ids: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[bytes, str]] = {}
+        #: Ids of a unit, and its tokens with a blank after each; what is new, and what was new before.
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+        self.before: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
         self.speculated = self.failed = 0
 
     def exact(self, symbols: list[str]) -> list[int]:
         """Lowest merge first, leftmost among equals."""
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        if len(ids) <= 24:
+            get, none = self.merge.get, (1 << 60, 0)
+            found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+            while found:
+                best = min(found)
+                if best is none or best[0] == none[0]:
+                    break
+                i = found.index(best)
+                ids[i : i + 2] = [best[1]]
+                del found[i]
+                if i < len(found):
+                    found[i] = get((ids[i], ids[i + 1]), none)
+                if i:
+                    found[i - 1] = get((ids[i - 1], ids[i]), none)
+            return ids
         nxt, prv, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(len(ids) - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -105,7 +136,7 @@ class WordBpe:
         """Longest sound token first; None where no token fits."""
         out, i, n, vocab = [], 0, len(word), self.vocab
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + self.longest.get(word[i : i + 2], 1)), i, -1):
                 t = word[i:j] + self.suffix if j == n else word[i:j]
                 if t in vocab and self.is_sound(t):
                     out.append(vocab[t])
@@ -159,32 +190,42 @@ class WordBpe:
         """Words of a unit in the byte alphabet, and ids of special strings."""
         if unit.isascii() and unit.isalpha():
             return [unit.lower()]
+        special = self.cut and "<" in unit and any(s in unit for s in self.special)
+        if self.plain_words and not special and _PLAIN.fullmatch(unit):
+            found = self.plain_words.findall(unit.lower())
+            return found if unit.isascii() and "\n" not in unit else [self.spelled(w) for w in found]
         out: list[str | int] = []
-        for part in self.cut.split(unit) if self.cut and any(s in unit for s in self.special) else [unit]:
+        for part in self.cut.split(unit) if special else [unit]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = part.lower() if part.isascii() else self.lib.normalizer.normalize_str(part)
-            for m in self.words.finditer(part):
-                w = m[0]
-                out.append(w if w.isascii() and w.isprintable() else "".join(self.byte[x] for x in w.encode()))
+            out += [self.spelled(m[0]) for m in self.words.finditer(self.lib.normalizer.normalize_str(part))]
         return out
 
-    def encode(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
-        """For each text its units' ids (little-endian unsigned 32-bit) and tokens joined by blanks; units without tokens are left out."""
+    def spelled(self, word: str) -> str:
+        """A word in the byte alphabet, in which printable ASCII stands for itself."""
+        return word if word.isascii() and word.isprintable() else "".join([self.byte[x] for x in word.encode()])
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids (little-endian unsigned 32-bit) and its decoding: the tokens, joined by blanks."""
         parts = [t.split(" ") for t in texts]
-        if len(self.units) > REMEMBER:
-            self.units.clear()
+        if len(self.ids) > REMEMBER:
+            self.before = (self.ids, self.text)
+            self.ids, self.text = {}, {}
             self.word_ids.clear()
-        new = {u: self.split(u) for p in parts for u in p if u not in self.units}
-        fresh = {w for s in new.values() for w in s if isinstance(w, str) and w not in self.word_ids}
+        new = set().union(*parts) - self.ids.keys()
+        for u in new & self.before[0].keys():
+            self.ids[u], self.text[u] = self.before[0][u], self.before[1][u]
+        split = {u: self.split(u) for u in new - self.before[0].keys()}
+        fresh = {w for s in split.values() for w in s if isinstance(w, str)} - self.word_ids.keys()
         if fresh:
             self.learn(list(fresh))
-        for u, s in new.items():
+        for u, s in split.items():
             ids = [i for w in s for i in (self.word_ids[w] if isinstance(w, str) else (w,))]
-            self.units[u] = (np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids]))
-        get = self.units.__getitem__
-        return [[x for x in map(get, p) if x[0]] for p in parts]
+            self.ids[u] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+            self.text[u] = "".join([self.token[i] + " " for i in ids])
+        ids, text = self.ids.__getitem__, self.text.__getitem__
+        return [(b"".join(map(ids, p)), "".join(map(text, p))[:-1]) for p in parts]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", keep: list[Column] | None = None, ids: bool = True) -> DataFrame:
@@ -203,8 +244,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_co
         bpe = WordBpe.shared(tokenizer)
         for b in slices(batches, "__text"):
             done = bpe.encode([t or "" for t in b.column("__text").to_pylist()])
-            raw = [b"".join([x for x, _ in d]) for d in done]
-            cols = [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(" ".join([t for _, t in d]).encode()).hexdigest() for d in done])]
+            raw = [d[0] for d in done]
+            cols = [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(d[1].encode()).hexdigest() for d in done])]
             if ids:
                 cols.insert(0, pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in raw], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [f.name for f in out.fields])
