@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import buffers, per_slice, saved
@@ -48,6 +48,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns that can be hashed; maps and variants are left out."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp, row_hash)`` for every row. Null, empty or blank text: fp 0. Column names do not matter."""
 
@@ -55,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fp = np.array([fingerprint(t, width) for t in buffers(b, "t")], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.int64()), b.column("h")], ["doc_id", "fp", "row_hash"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), row_hash(docs).alias("h"))
     return plain.mapInArrow(per_slice(body, "t"), "doc_id long, fp long, row_hash long")
 
 
@@ -68,7 +73,6 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     such a word). A word has 65 neighbours, so those groups are bounded; links between their smallest member and the
     rest suffice for components.
     """
-    spark = fps.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks()]
     entries = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     sized = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -86,7 +90,6 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     near = crowd.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("mid"))
     around = near.groupBy("mid").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("g")).where(F.size("g") > 1)
     stars = around.select(F.explode("g").alias("a"), "b").where("a <> b")
-    del spark
     return pairs.unionByName(stars).distinct()
 
 
@@ -116,6 +119,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = simhash_components(docs, id_col, text_col)
     win = rows.groupBy(F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"), "component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("w"))
     win = win.select(F.col("w.doc_id").alias("__id"), F.col("w.row_hash").alias("__h")).distinct()
-    d = docs.withColumn("__h0", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    hit = d.join(win, F.col("__h0") == F.col("__h"), "left_semi")
+    d = docs.withColumn("__h0", row_hash(docs))
+    hit = d.join(win.hint("merge"), F.col("__h0") == F.col("__h"), "left_semi")
     return hit.dropDuplicates(["__h0"]).drop("__h0")
