@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,9 @@ from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
 from brindle.plans import batch_search, search
 from brindle.plans.search import compiled_columns
-from brindle.streaming import protocol
+from brindle.sources import snapshot, tree
+from brindle.sources.shared import shared_folder
+from brindle.streaming import protocol, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -144,11 +145,9 @@ def _file_tokens(spark, d):
     return t.where(is_file_token("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("equals_ignore_case", f"SELECT count(*) AS n FROM part a JOIN nation b ON {_low('a.p_type')} = {_low('b.n_name')} OR (a.p_partkey = b.n_nationkey AND {_low('a.p_type')} = {_low('upper(a.p_type)')})")
+@query("equals_ignore_case", f"SELECT p_partkey, {_low('p_type')} = {_low('lower(p_type)')} AS same, {_low('p_type')} = {_low('p_name')} AS other FROM part")
 def _equals(spark, d):
-    p, n = tb.table(spark, d, "part"), tb.table(spark, d, "nation")
-    same = p.join(F.broadcast(n.limit(25)), F.col("p_partkey") == F.col("n_nationkey")).where(equals_ignore_case("p_type", F.upper("p_type")))
-    return same.agg(F.count("*").alias("n"))
+    return tb.table(spark, d, "part").select("p_partkey", equals_ignore_case("p_type", F.lower("p_type")).alias("same"), equals_ignore_case("p_type", "p_name").alias("other"))
 
 
 # ---- scan, ignore, paths
@@ -244,8 +243,8 @@ def _pruned(spark, d):
 query("index_counts", f"WITH {STATES} SELECT (SELECT count(*) FROM indexed) AS declarations, (SELECT count(DISTINCT file) FROM indexed) AS files_with_declarations, (SELECT count(*) FROM records) AS files")(lambda spark, d: stats.counts(tb.indexed(spark, d), tb.records(spark, d)))
 query("slowest_files", f"WITH {FILES} SELECT path, mtime_ns::DOUBLE AS seconds FROM files ORDER BY seconds DESC, path LIMIT 20")(lambda spark, d: stats.slowest(tb.files(spark, d).select("path", F.col("mtime_ns").cast("double").alias("seconds"))))
 query("parse_errors", "SELECT count(*) FILTER (n_chars > 2000) AS errors FROM documents")(lambda spark, d: stats.parse_errors(tb.table(spark, d, "documents").select(F.when(F.col("n_chars") > 2000, "too long").alias("error"))))
-query("line_numbers", "SELECT doc_id, n_chars // 2 AS o, (1 + length(substr(text, 1, (n_chars // 2)::INT)) - length(replace(substr(text, 1, (n_chars // 2)::INT), chr(10), '')))::INT AS line FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")(
-    lambda spark, d: tb.table(spark, d, "documents").where("lang = 'en' and octet_length(text) = length(text)").withColumn("o", F.floor(F.col("n_chars") / 2)).select("doc_id", "o", stats.line_of("text", F.col("o").cast("int")).alias("line"))
+query("line_numbers", "SELECT doc_id, (1 + length(left(text, n_chars // 2)) - length(replace(left(text, n_chars // 2), chr(10), '')))::INT AS line FROM documents")(
+    lambda spark, d: tb.table(spark, d, "documents").withColumn("o", F.octet_length(F.expr("left(text, cast(n_chars div 2 as int))"))).select("doc_id", stats.line_of("text", "o").alias("line"))
 )
 query("dedup_captures", "SELECT DISTINCT 'o' || l_orderkey AS file, (l_partkey % 50)::INT AS byte_offset FROM lineitem")(lambda spark, d: stats.deduplicated(tb.table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), (F.col("l_partkey") % 50).cast("int").alias("byte_offset"))))
 
@@ -332,43 +331,44 @@ def _built(spark, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
 
 
-# ---- source, snapshot and streams: files of their own, no SQL counterpart
+# ---- source, snapshot and streams, in folders of their own
 
 
-def _written_tree(spark: SparkSession, sf_dir: str) -> str:
-    """A small project on disk, from the first customers' sources."""
-    root = tempfile.mkdtemp(prefix="brindle-tree-")
-    for r in tb.generated_sources(spark, sf_dir).orderBy("path").limit(20).collect():
-        path = os.path.join(root, r["path"])
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(r["content"])
-    return root
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    return tb.written_tree(tb.generated_sources(spark, sf_dir), shared_folder(spark, "tree"))
 
 
-@query("scan_source_tree")
+@query("scan_source_tree", f"SELECT 'gen/c' || c_custkey || '.cpp' AS path, ({sum(map(len, tb.GENERATED))} + {len(tb.GENERATED) - 1} * length(c_custkey::VARCHAR))::INT AS bytes FROM customer WHERE c_custkey <> 0")
 def _scan(spark, d):
-    from brindle.sources import tree
+    return tree.read_tree(spark, _tree(spark, d), ignore="gen/c0.cpp\n").select("path", F.length("content").alias("bytes"))
 
-    return tree.read_tree(spark, _written_tree(spark, d), ignore="gen/c0.cpp\n").select("path", F.length("content").alias("bytes"))
 
+@query("build_from_tree", _GEN)
+def _build(spark, d):
+    sources = tree.read_tree(spark, _tree(spark, d))
+    return extract.declarations_of(extract.parse_sources(sources)).select("file", "name", "kind", "line")
 
-@query("snapshot_round_trip")
-def _snapshot(spark, d):
-    from brindle.sources import snapshot
 
-    folder = tempfile.mkdtemp(prefix="brindle-snap-")
+@query("snapshot_round_trip", f"WITH {DECLARATIONS} SELECT * FROM decl")
+def _snapshot(spark, d):
+    folder = shared_folder(spark, "snapshot")
     snapshot.save(folder, tb.declarations(spark, d), tb.records(spark, d))
     return snapshot.load(spark, folder)[0]
 
 
-@query("replay_requests")
-def _replay(spark, d):
-    from brindle.streaming import service
+_REPLAY = """WITH c AS (SELECT c_custkey::VARCHAR AS k, 'gen/c' || c_custkey || '.cpp' AS f FROM customer),
+t AS (SELECT * FROM c ORDER BY length(k), f LIMIT 3)
+SELECT 0::BIGINT AS nth, '{"id":1,"symbols":[' || string_agg('{"name":"Account' || k || '","kind":"class","file":"' || f || '","line":4,"score":' || (600 - length(k)) || '}', ',' ORDER BY length(k), f) || ']}' AS response FROM t
+UNION ALL SELECT 1, '{"id":2,"status":"rebuilt"}'
+UNION ALL SELECT 2, '{"id":3,"status":"ready","files":' || count(*) || ',"symbols":' || 7 * count(*) || '}' FROM c
+UNION ALL SELECT 3, '{"id":0,"error":"bad JSON"}'"""
 
-    index = service.Index(spark, _written_tree(spark, d), cache=False)
+
+@query("replay_requests", _REPLAY)
+def _replay(spark, d):
+    index = service.Index(spark, _tree(spark, d), cache=False)
     index.build()
-    base = tempfile.mkdtemp(prefix="brindle-replay-")
+    base = shared_folder(spark, "replay")
     os.makedirs(f"{base}/in")
     with open(f"{base}/in/a.txt", "w", encoding="utf-8") as f:
         f.write('{"id":1,"method":"query","params":{"pattern":"Account class","limit":3}}\n{"id":2,"method":"rebuildFile","params":{"file":"gen/c1.cpp"}}\n{"id":3,"method":"status"}\nnonsense\n')

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.model import DECLARATIONS, FILES
 from brindle.operators import extract, maintain, stats
 from brindle.plans import search
-from brindle.sources import snapshot, tree
+from brindle.sources import shared, snapshot, tree
 from brindle.streaming import protocol
 
 
@@ -32,11 +32,15 @@ class Index:
         return tree.read_tree(self.spark, self.root, self.dirs, tree.load_ignore(self.root, self.ignore_name), content, **self.options)
 
     def _swap(self, declarations: DataFrame, records: DataFrame, n_files: int) -> None:
-        """Settle the new tables before the old ones go; later plans start from them."""
-        new = [t.coalesce(8).cache() for t in (declarations, records)]
+        """Settle the new tables before the old ones go. With a shared folder they are written there, which cuts the lineage
+        of a long session; searches read them from memory."""
+        settle = (lambda t: t.checkpoint().cache()) if shared.configured(self.spark) else (lambda t: t.cache())
+        new = [settle(t) for t in (declarations, records)]
         for t in new:
             t.count()
-        self.declarations, self.records = new
+        old, (self.declarations, self.records) = (self.declarations, self.records), new
+        for t in old:
+            t.unpersist()
         self.n_files, self.ready = n_files, True
 
     def build(self) -> None:

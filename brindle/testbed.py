@@ -70,17 +70,38 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", line.alias("line"))
 
 
+#: A C++ file with known declarations; the customer's key goes between the parts.
+GENERATED = ("// header of ", "\n#define LIMIT_", " 10\nnamespace n", " {\nclass Account", " {\npublic:\n  void close", "();\n  int balance;\n};\n}\nint total", " = 0;\nvoid run", "() { int local = 1; constexpr int kept = 2; }\nenum class Mode", " { A };\n")
+
+
 def generated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A C++ file for each customer, with known declarations."""
+    """A C++ file for each customer."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     k = F.col("c_custkey").cast("string")
-    parts = ["// header of ", "\n#define LIMIT_", " 10\nnamespace n", " {\nclass Account", " {\npublic:\n  void close", "();\n  int balance;\n};\n}\nint total", " = 0;\nvoid run", "() { int local = 1; constexpr int kept = 2; }\nenum class Mode", " { A };\n"]
-    pieces = [F.lit(parts[0])]
-    for p in parts[1:]:
+    pieces = [F.lit(GENERATED[0])]
+    for p in GENERATED[1:]:
         pieces += [k, F.lit(p)]
     return c.select(F.concat(F.lit("gen/c"), k, F.lit(".cpp")).alias("path"), F.col("c_nationkey").cast("long").alias("mtime_ns"), F.encode(F.concat(*pieces), "UTF-8").alias("content"))
 
 
+def written_tree(sources: DataFrame, root: str) -> str:
+    """Write sources as files below ``root``, a folder that all executors see."""
+
+    def body(batches):
+        import os
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(content)
+            yield pdf[["path"]]
+
+    sources.select("path", "content").mapInPandas(body, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as query texts: a name part, for some with a kind, for some with a file part."""
     n = table(spark, sf_dir, "nation").select("n_nationkey")
