@@ -110,6 +110,14 @@ def score_column(name: Column | str, pattern: Column | str) -> Column:
 
 def contains_subsequence(text: Column | str, pattern: str) -> Column:
     """Whether the pattern's bytes occur in order, in any ASCII case: one regular expression, no score."""
-    raw = bytes_as_chars(text)
     _, low_p = _byte_lower(pattern)
-    return ascii_lower(raw).rlike("(?s)" + ".*?".join(f"\\x{ord(c):02x}" for c in low_p)) if low_p else col(text).isNotNull()
+    if not low_p:
+        return col(text).isNotNull()
+    return ascii_lower(bytes_as_chars(text)).rlike("(?s)^" + "".join(f"[^\\x{ord(c):02x}]*+\\x{ord(c):02x}" for c in low_p))
+
+
+def subsequence_regex(pattern: Column | str) -> Column:
+    """The same expression for a column of patterns, to be matched with ``ascii_lower(bytes_as_chars(...))``. Each step is
+    possessive, so a match takes one pass over the text."""
+    codes = F.transform(F.filter(F.split(ascii_lower(bytes_as_chars(pattern)), ""), lambda c: c != ""), lambda c: F.hex(F.encode(c, "ISO-8859-1")))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(codes, lambda h: F.concat(F.lit("[^\\x"), h, F.lit("]*+\\x"), h)), ""))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import score_column
-from brindle.functions.score import contains_subsequence, with_score
-from brindle.functions.text import LOWER, UPPER, is_file_token, kind_of, tokens
+from brindle.functions.score import contains_subsequence, subsequence_regex, with_score
+from brindle.functions.text import LOWER, UPPER, ascii_lower, bytes_as_chars, is_file_token, kind_of, tokens
 from brindle.model import DEFAULT_LIMIT, KINDS, ORDER
 
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -87,14 +87,16 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
     window's group limit), so what is exchanged is at most ``limit`` rows for each query and task.
     """
     asked = patterns.where("pattern is not null and pattern <> ''").withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
-    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.file").alias("qfile"), F.col("p.name").alias("qname"))
+    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), subsequence_regex("p.file").alias("qfile_re"), subsequence_regex("p.name").alias("qname_re"))
+    plain = declarations.withColumn("__name", ascii_lower(bytes_as_chars("name"))).withColumn("__file", ascii_lower(bytes_as_chars("file")))
     n = asked.count()
     slices = max(1, -(-n // max_patterns))
     out = None
     for s in range(slices):
         part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)
-        hit = declarations.join(F.broadcast(part), F.col("qkind").isNull() | (F.col("kind") == F.col("qkind")))
-        hit = hit.where(F.when(F.col("qfile") == "", True).otherwise(score_column("file", "qfile").isNotNull())).withColumn("score", score_column("name", "qname")).where("score is not null")
+        # who matches is decided by regular expressions within the join; only matches are scored
+        meets = (F.col("qkind").isNull() | (F.col("kind") == F.col("qkind"))) & F.rlike("__name", F.col("qname_re")) & F.rlike("__file", F.col("qfile_re"))
+        hit = plain.join(F.broadcast(part), meets).withColumn("score", score_column("name", "qname"))
         w = Window.partitionBy("qid").orderBy(*ranked(hit))
         top = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("qid", "rank", "name", "kind", "file", "line", "score")
         out = top if out is None else out.unionByName(top)
