@@ -1,5 +1,5 @@
 """Query text to plan."""
 
-from brindle.plans.search import QuerySpec, batch_search, compile_query, search
+from brindle.plans.search import QuerySpec, apropos, batch_search, compile_query, search
 
-__all__ = ["QuerySpec", "batch_search", "compile_query", "search"]
+__all__ = ["QuerySpec", "apropos", "batch_search", "compile_query", "search"]

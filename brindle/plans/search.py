@@ -67,6 +67,12 @@ def search(declarations: DataFrame, text: str | None, limit: int = DEFAULT_LIMIT
     return top.select("name", "kind", "file", "line", "score")
 
 
+def apropos(declarations: DataFrame, text: str | None) -> DataFrame:
+    """All that ``search`` would find, without a limit, in the same order."""
+    rows = candidates(declarations, compile_query(text))
+    return rows.orderBy(*ranked(rows)).select("name", "kind", "file", "line", "score")
+
+
 def compiled_columns(text: Column) -> tuple[Column, Column, Column]:
     """Kind, file part and name part of a column of query texts."""
     every = tokens(text)

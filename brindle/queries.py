@@ -13,7 +13,7 @@ from brindle.functions import ascii_lower, equals_ignore_case, extension, is_fil
 from brindle.functions.text import known_kind
 from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
-from brindle.plans import batch_search, search
+from brindle.plans import apropos, batch_search, search
 from brindle.plans.search import compiled_columns
 from brindle.sources import snapshot, tree
 from brindle.sources.shared import shared_folder
@@ -98,6 +98,8 @@ _search("search_last_kind_wins", "struct class gear", "class", "", "gear")
 _search("search_blanks_give_all", "   ", None, "", "", 0)
 query("search_empty_pattern", f"WITH {DECLARATIONS} SELECT name, kind, file, line, 0::INT AS score FROM decl WHERE false")(lambda spark, d: search(tb.declarations(spark, d), ""))
 
+query("apropos", search_sql(None, "", "gear", 1 << 40))(lambda spark, d: apropos(tb.declarations(spark, d), "gear"))
+
 _SCORED = ["rw", "RB", "smallring", "ring", "small_ring", "aa", "x"]
 query("score_rules", f"WITH {DECLARATIONS} SELECT ord, name, {', '.join(f'{score_sql("name", repr(p))} AS s{i}' for i, p in enumerate(_SCORED))} FROM decl")(
     lambda spark, d: tb.declarations(spark, d).select("ord", "name", *(score("name", p).alias(f"s{i}") for i, p in enumerate(_SCORED)))
