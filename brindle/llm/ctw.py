@@ -18,7 +18,9 @@ DEPTH = 5
 #: A byte that no UTF-8 text holds marks the end of a text and stands before its start.
 MARK = 0xFF
 #: Bytes of text in a block, and the most parts into which the statistics are dealt.
-BLOCK_BYTES, MAX_PARTS = 24 << 20, 4096
+BLOCK_BYTES, MAX_PARTS = 16 << 20, 4096
+#: Distinct words that are held as strings at a time; beyond, they are kept as hashes.
+WORDS_HELD = 100_000
 #: Parts of the statistics: grams by their two latest context bytes, words by their hash.
 GRAM, WORD = 0, 1
 
@@ -161,6 +163,7 @@ class _Block:
 
     def __init__(self):
         self.keys, self.counts, self.words, self.size = [], [], Counter(), 0
+        self.hashes, self.seen = [], []
 
     def add(self, texts: list[bytes], train: list[bool]) -> None:
         for use in (True, False):
@@ -176,7 +179,9 @@ class _Block:
                     self.words.update(t.split())
                 else:
                     self.words.update(dict.fromkeys(t.split(), 0))
-        if self.size > 4 << 20:
+                if len(self.words) > WORDS_HELD:
+                    self.close_words()
+        if self.size > 2 << 20:
             self.close()
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +190,16 @@ class _Block:
         return u, n
 
 
+    def close_words(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.words:
+            self.hashes.append(_word_hashes(list(self.words)))
+            self.seen.append(np.fromiter(self.words.values(), np.int64, len(self.words)))
+            self.words = Counter()
+        u, n = _merge(self.hashes, self.seen) if self.hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.hashes, self.seen = [u], [n]
+        return u, n
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -235,11 +250,12 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     volume = src.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))).first()[0] or 0
     blocks = max(12, math.ceil(volume / BLOCK_BYTES))
     parts = min(MAX_PARTS, blocks)
-    dealt = src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
+    # a row's block is the partition that repartition(blocks, "h") puts it in, so that a task holds one block
+    dealt = src.withColumn("h", F.xxhash64("id", "t")).withColumn("block", F.pmod(F.hash("h"), F.lit(blocks)).cast("long"))
 
     def gather(batches):
         found = defaultdict(_Block)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", max_bytes=1 << 21):
             texts, block = [t.lower() for t in buffers(b, "t")], b.column("block").to_pylist()
             train = [not x for x in b.column("held").to_pylist()]
             for own in set(block):
@@ -248,11 +264,9 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         for own in list(found):
             x = found.pop(own)
             yield _rows(list(_blobs(own, GRAM, *x.close(), parts)), _BLOB_ARROW)
-            words = list(x.words)
-            hashes, n = _word_hashes(words), np.fromiter(x.words.values(), np.int64, len(words))
-            yield _rows(list(_blobs(own, WORD, hashes, n, parts)), _BLOB_ARROW)
+            yield _rows(list(_blobs(own, WORD, *x.close_words(), parts)), _BLOB_ARROW)
 
-    blobs = saved(dealt.repartition(blocks, "block").mapInArrow(gather, _BLOB))
+    blobs = saved(dealt.repartition(blocks, "h").mapInArrow(gather, _BLOB))
 
     def grouped(batches):
         """Rows of a partition sorted by part -> (part, iterator) runs, without holding them."""
@@ -332,10 +346,10 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         gram, logp = joined(GRAM, np.float32)
         logp = logp.astype(np.float64)
         word, count = joined(WORD, np.int64)
-        value: dict[bytes, tuple[float, int]] = {}
         end = math.log10((texts_seen + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = [[], [], [], [], [], []]
-        for b in slices(texts.to_batches(), "t"):
+        for b in slices(texts.to_batches(), "t", max_bytes=1 << 20):
+            value: dict[bytes, tuple[float, bool]] = {}
             for t in buffers(b, "t"):
                 t = t.lower()
                 words = t.split()
