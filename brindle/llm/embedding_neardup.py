@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +90,12 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     total = classes.count()
     share = min(1.0, fit_rows / max(1, total))
     pick = classes.select("label", "v") if share == 1.0 else classes.select("label", "v").sample(share, seed=seed).limit(2 * fit_rows)
-    groups: dict[tuple[str, int], list] = {}
-    for label, vec in pick.collect():
-        groups.setdefault((label, len(vec)), []).append(vec)
+    got = pick.toArrow().combine_chunks()
+    values, ends = got.column("v").combine_chunks(), np.cumsum(pc.list_value_length(got.column("v")).to_numpy())
+    flat, at = values.flatten().to_numpy(), np.concatenate(([0], ends)).astype(np.int64)
+    groups: dict[tuple[str, int], list[np.ndarray]] = {}
+    for i, label in enumerate(got.column("label").to_pylist()):
+        groups.setdefault((label, int(at[i + 1] - at[i])), []).append(flat[at[i] : at[i + 1]])
     rng = np.random.default_rng(seed)
     forest = {}
     for key in sorted(groups):
