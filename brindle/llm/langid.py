@@ -16,6 +16,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: The broadcast matrix has at most so many cells; many languages get fewer buckets.
 MAX_CELLS = 1 << 23
+#: Bytes of text that are taken at a time; about sixty bytes of arrays go with each.
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _letters: np.ndarray | None = None
@@ -40,7 +42,7 @@ def normal_form(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     parts = [(t or "").lower() for t in texts]
     n = np.fromiter((len(t) + 2 for t in parts), np.int64, len(parts))
     raw = np.frombuffer("".join(f" {t} " for t in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(parts)), n)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), n)
     code = letter_table()[raw]
     blank = code == 32
     keep = np.ones(len(code), bool)
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
 
     def count(batches):
         sums = np.zeros(buckets * len(langs), np.int64)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", max_bytes=SLICE_BYTES):
             code, owner, _ = normal_form(b.column("t").to_pylist())
             row = np.fromiter((rows[x] for x in b.column("l").to_pylist()), np.int64, b.num_rows)
             for bucket, of in hashed_ngrams(code, owner, buckets, orders):
@@ -134,7 +136,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[C
     out = type(src.schema)(fields).add("lang_pred", "string").add("score", "double")
 
     def body(batches):
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", max_bytes=SLICE_BYTES):
             lang, score = ref.value.predict(b.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
