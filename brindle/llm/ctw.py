@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +211,20 @@ def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     return (((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def _pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Differences (of ascending values), byte planes, Zstandard."""
+    a = np.diff(a, prepend=a[:1] * 0) if ascending else np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(dtype).itemsize
+    planes = pa.decompress(raw[8:], n * size, codec="zstd", asbytes=True)
+    a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
+    return np.cumsum(a, dtype=dtype) if ascending else a
+
+
 def _blobs(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int):
     part = _part_of(keys, kind, parts)
     order = np.argsort(part, kind="stable")
@@ -218,7 +232,7 @@ def _blobs(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: i
     for p in np.flatnonzero(np.diff(edges)).tolist():
         at = order[edges[p] : edges[p + 1]]
         at = at[np.argsort(keys[at])] if kind == WORD else at
-        yield 2 * p + kind, block, keys[at].tobytes(), counts[at].astype(np.int64).tobytes()
+        yield 2 * p + kind, block, _pack(keys[at], True), _pack(counts[at].astype(np.int64))
 
 
 _BLOB = "part long, block long, keys binary, counts binary"
@@ -250,23 +264,16 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     volume = src.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))).first()[0] or 0
     blocks = max(12, math.ceil(volume / BLOCK_BYTES))
     parts = min(MAX_PARTS, blocks)
-    # a row's block is the partition that repartition(blocks, "h") puts it in, so that a task holds one block
-    dealt = src.withColumn("h", F.xxhash64("id", "t")).withColumn("block", F.pmod(F.hash("h"), F.lit(blocks)).cast("long"))
-
-    def gather(batches):
-        found = defaultdict(_Block)
-        for b in slices(batches, "t", max_bytes=1 << 21):
-            texts, block = [t.lower() for t in buffers(b, "t")], b.column("block").to_pylist()
-            train = [not x for x in b.column("held").to_pylist()]
-            for own in set(block):
-                at = [i for i, x in enumerate(block) if x == own]
-                found[own].add([texts[i] for i in at], [train[i] for i in at])
-        for own in list(found):
-            x = found.pop(own)
-            yield _rows(list(_blobs(own, GRAM, *x.close(), parts)), _BLOB_ARROW)
-            yield _rows(list(_blobs(own, WORD, *x.close_words(), parts)), _BLOB_ARROW)
-
-    blobs = saved(dealt.repartition(blocks, "h").mapInArrow(gather, _BLOB))
+    dealt = src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
+
+    def gather(rows: pa.Table) -> pa.Table:
+        own, x = rows.column("block")[0].as_py(), _Block()
+        for b in slices(rows.to_batches(), "t", max_bytes=1 << 21):
+            x.add([t.lower() for t in buffers(b, "t")], [not h for h in b.column("held").to_pylist()])
+        out = list(_blobs(own, GRAM, *x.close(), parts)) + list(_blobs(own, WORD, *x.close_words(), parts))
+        return pa.Table.from_batches([_rows(out, _BLOB_ARROW)])
+
+    blobs = saved(dealt.groupBy("block").applyInArrow(gather, _BLOB))
 
     def grouped(batches):
         """Rows of a partition sorted by part -> (part, iterator) runs, without holding them."""
@@ -278,15 +285,15 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
 
         def close():
             u, n = _merge(keys, counts)
-            return _rows([(part, -1, u.tobytes(), n.tobytes())], _BLOB_ARROW)
+            return _rows([(part, -1, _pack(u, True), _pack(n))], _BLOB_ARROW)
 
         for p, _, k, c in grouped(batches):
             if part is not None and p != part:
                 yield close()
                 keys, counts, size = [], [], 0
             part = p
-            keys.append(np.frombuffer(k, np.uint64))
-            counts.append(np.frombuffer(c, np.int64))
+            keys.append(_unpack(k, np.uint64, True))
+            counts.append(_unpack(c, np.int64))
             size += len(keys[-1])
             if size > 4 << 20:
                 u, n = _merge(keys, counts)
@@ -299,10 +306,10 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     def cells(batches):
         for p, _, k, c in grouped(batches):
             if p % 2 == WORD:
-                n = np.frombuffer(c, np.int64)
+                n = _unpack(c, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(n.sum())]), pa.array([float((n > 0).sum())]), pa.array([0.0])], ["cell", "n0", "n1", "below"])
                 continue
-            _, above = subtree(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+            _, above = subtree(_unpack(k, np.uint64, True), _unpack(c, np.int64))
             for node, logw, n0, n1 in above.values():
                 up = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
                 u, inv = np.unique(up, return_inverse=True)
@@ -319,18 +326,18 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     def answer(batches):
         model = (None, None)
         for p, block, k, c in grouped(batches):
-            keys = np.frombuffer(k, np.uint64)
+            keys = _unpack(k, np.uint64, True)
             if block == -1:
-                model = (p, subtree(keys, np.frombuffer(c, np.int64))[0] if p % 2 == GRAM else (keys, np.frombuffer(c, np.int64)))
+                model = (p, subtree(keys, _unpack(c, np.int64))[0] if p % 2 == GRAM else (keys, _unpack(c, np.int64)))
                 continue
             assert model[0] == p
             if p % 2 == GRAM:
                 value = log10_probability(keys, model[1], top.value).astype(np.float32)
             else:
                 value = model[1][1][np.searchsorted(model[1][0], keys)]
-            yield _rows([(p % 2, block, k, value.tobytes())], _BLOB_ARROW)
+            yield _rows([(p % 2, block, k, _pack(value))], _BLOB_ARROW)
 
-    asked = sums.unionByName(blobs).repartition(parts, "part").sortWithinPartitions("part", "block")
+    asked = sums.unionByName(blobs.withColumn("counts", F.lit(None).cast("binary"))).repartition(parts, "part").sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(answer, _BLOB)
 
     def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -338,8 +345,8 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         keys, values = known.column("keys").to_pylist(), known.column("counts").to_pylist()
 
         def joined(which, dtype):
-            k = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x, q in zip(keys, kind, strict=True) if q == which)])
-            v = np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x, q in zip(values, kind, strict=True) if q == which)])
+            k = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, np.uint64, True) for x, q in zip(keys, kind, strict=True) if q == which)])
+            v = np.concatenate([np.zeros(0, dtype), *(_unpack(x, dtype) for x, q in zip(values, kind, strict=True) if q == which)])
             order = np.argsort(k)
             return k[order], v[order]
 
