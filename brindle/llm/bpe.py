@@ -21,7 +21,8 @@ from brindle.llm.common import slices, tokenizer_path
 REMEMBER = 300_000
 #: Letters and numbers below U+0250, as Unicode has them; there NFC changes nothing.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_PLAIN = re.compile("[\n!-~¡-ɏ]*")
+#: Capitals whose lower case lies beyond (Ə, Ɓ, Ɗ and others) are left out: the classes above do not know it.
+_PLAIN = re.compile("[\n!-~" + "".join([c for c in map(chr, range(0xA1, 0x250)) if max(c.lower()) < "ɐ"]) + "]*")
 
 
 class WordBpe:

@@ -311,6 +311,15 @@ def test_bpe_of_random_strings_equals_the_library():
     assert 0 < own.failed < own.speculated
 
 
+def test_bpe_of_every_plain_code_point_equals_the_library():
+    own = bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
+    for c in map(chr, range(0xA1, 0x250)):
+        texts = [c, f"a{c}b", f"{c}li", f"x{c}", f"1{c}2", f"{c}{c}{c}!", f"Text with {c}wa and A{c} in it\n{c}"]
+        for t, g, e in zip(texts, own.encode(texts), own.lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(g[0], "<u4").tolist() == e.ids, t
+            assert g[1] == own.lib.decode(e.ids, skip_special_tokens=False), t
+
+
 # ---- 8: chat formatting
 
 
