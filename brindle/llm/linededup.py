@@ -9,6 +9,8 @@ from brindle.llm.common import saved
 
 #: A line with at least so many spaces is a chunk of its own and counts as multi-line.
 LONG_LINE = 50
+#: Runs of lines with more words than this are compared wherever they begin, if asked for.
+RUN_WORDS = 50
 
 
 def _chunked(df: DataFrame, long_line: int) -> DataFrame:
@@ -46,7 +48,55 @@ def _repeated(chunks: DataFrame) -> DataFrame:
     return saved(seen.where("n > 1 and lo = hi").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.k").alias("fk")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE, stats: bool = False) -> DataFrame:
+def _reach(df: DataFrame, lines: str, out: str, words: int) -> DataFrame:
+    """Adds ``out``: for each element of ``lines`` the first place at which more than ``words`` words have been passed, or the size.
+
+    Every element has a word or more, so ``words`` + 1 elements are enough. Sums over 1, 2, 4, ... elements are doubled
+    from each other and then tried from the largest down: linear in the lines.
+    """
+    steps = int(words).bit_length()
+    df = df.withColumn("_sum0", F.expr(f"transform({lines}, x -> least(x.w, {int(words) + 1}))"))
+    for k in range(steps - 1):
+        df = df.withColumn(f"_sum{k + 1}", F.expr(f"transform(_sum{k}, (x, i) -> x + coalesce(get(_sum{k}, i + {1 << k}), 0))"))
+    df = df.withColumn(out, F.expr("transform(_sum0, (x, i) -> named_struct('q', i, 't', 0))"))
+    for k in reversed(range(steps)):
+        fits = f"v.q + {1 << k} <= size(_sum0) and v.t + get(_sum{k}, v.q) <= {int(words)}"
+        df = df.withColumn(out, F.expr(f"transform({out}, v -> if({fits}, named_struct('q', v.q + {1 << k}, 't', v.t + get(_sum{k}, v.q)), v))"))
+    return df.drop(*[f"_sum{k}" for k in range(steps)])
+
+
+def _text_of(s: str, e: str) -> str:
+    return f"array_join(slice(_lines, {s} + 1, {e} - {s} + 1), '\\n')"
+
+
+def _runs(plain: DataFrame, words: int) -> DataFrame:
+    """``(d, th, h, s, e)``: the shortest runs of lines s to e with more than ``words`` words, from each line on and back from each line.
+
+    Blank lines neither begin nor end a run. A passage of more words is covered by the runs inside it entirely, and they
+    are the same in every copy, whatever stands around it.
+    """
+    df = plain.withColumn("_lines", F.expr("split(_text, '\\n', -1)"))
+    df = df.withColumn("_on", F.expr(r"filter(transform(_lines, (x, i) -> named_struct('i', i, 'w', regexp_count(x, '\\S+'))), x -> x.w > 0)"))
+    df = _reach(df, "_on", "_to", words).withColumn("_back", F.reverse("_on"))
+    df = _reach(df, "_back", "_from", words)
+    there = "transform(filter(transform(_to, (v, p) -> named_struct('s', p, 'e', v.q)), v -> v.e < size(_on)), v -> cast(_on[v.s].i as bigint) * 2147483648 + _on[v.e].i)"
+    back = "transform(filter(transform(_from, (v, p) -> named_struct('e', p, 's', v.q)), v -> v.s < size(_on)), v -> cast(_back[v.s].i as bigint) * 2147483648 + _back[v.e].i)"
+    df = df.withColumn("_key", F.expr(f"array_distinct(concat({there}, {back}))"))
+    df = df.withColumn("_place", F.expr("transform(_key, x -> named_struct('s', cast(shiftright(x, 31) as int), 'e', cast(x & 2147483647 as int)))"))
+    df = df.select("d", "th", F.explode(F.expr(f"transform(_place, x -> named_struct('h', xxhash64({_text_of('x.s', 'x.e')}), 's', x.s, 'e', x.e))")).alias("r"))
+    return df.select("d", "th", "r.h", "r.s", "r.e")
+
+
+def _repeated_runs(plain: DataFrame, words: int) -> DataFrame:
+    """``(d, th, v)``: each place of each run seen more than once; lines ``v.c`` to ``v.e`` repeat its first place, which itself repeats nothing."""
+    runs = _runs(plain, words)
+    seen = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e")).alias("f"))
+    first = saved(seen.where("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.e").alias("fe")))
+    here = "d <=> fd and th = fth"
+    return runs.join(first.hint("merge"), "h").select("d", "th", F.struct("h", "s", "e", F.expr(f"if({here}, greatest(s, fe + 1), s)").alias("c")).alias("v"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE, stats: bool = False, run_words: int | None = None) -> DataFrame:
     """``docs`` with every repeated multi-line chunk of ``text_col`` removed but for its first place.
 
     Places are ordered by id (null first), a hash of the whole text, and position. Chunks of white space only are
@@ -54,6 +104,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with equal id and equal text are one document: all keep what the first place keeps. Groups whose hash is equal
     but whose bytes differ are left alone. ``stats`` adds ``removed_chunks`` and ``removed_lines``. Other columns are
     passed on whatever their names, unless they begin with two underscores and ``dl``.
+
+    Chunk boundaries depend on the lines around a passage. With ``run_words`` every repeated run of lines with more words
+    goes as well, wherever the boundaries fall; a run that overlaps its own first place goes from where that ends.
     """
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("_text")).where("_text is not null")
     cut = _chunked(plain, long_line)
@@ -62,11 +115,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.where("(multi or long) and trim(both ' \t\n\r' from txt) <> ''").select("d", "th", "k", "txt", F.sha2("txt", 256).alias("h"))
     first = _repeated(rows)
     hits = rows.select("d", "th", "k", "h").join(first.hint("merge"), "h").where("not (d <=> fd and th = fth and k = fk)")
-    drop = saved(hits.groupBy(F.col("d").alias("__dl_d"), F.col("th").alias("__dl_th")).agg(F.collect_set("k").alias("__dl_cut")))
+    if run_words is not None:
+        place = "struct<h: bigint, s: int, e: int, c: int>"
+        found = _repeated_runs(plain, run_words).select("d", "th", F.lit(None).cast("int").alias("k"), F.col("v").cast(place).alias("v"))
+        hits = hits.select("d", "th", "k", F.lit(None).cast(place).alias("v")).unionByName(found)
+    cuts = [F.collect_set("k").alias("__dl_cut"), *([F.collect_set("v").alias("__dl_runs")] if run_words is not None else [])]
+    drop = saved(hits.groupBy(F.col("d").alias("__dl_d"), F.col("th").alias("__dl_th")).agg(*cuts))
     own = docs.withColumn("__dl_own", F.xxhash64(F.col(text_col)))
     # always a sort-merge join: the plan, and with it the disk, is the same at every size
     joined = own.join(drop.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__dl_d")) & (F.col("__dl_own") == F.col("__dl_th")), "left")
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    if run_words is not None:
+        return _without(joined.select(F.struct(F.lit(0).alias("__dl_0"), *keep).alias("__dl_keep"), F.col(f"`{text_col}`").alias("_text"), "__dl_cut", "__dl_runs"), docs.columns, text_col, long_line, stats)
     wide = _chunked(joined.select(*keep, F.col(f"`{text_col}`").alias("_text"), "__dl_cut"), long_line)
     parts = f"transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), cast(null as string), array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))"
     text = F.when(F.col("__dl_cut").isNull(), F.col("_text")).otherwise(F.expr(f"array_join({parts}, '\\n')"))
@@ -76,3 +136,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lost = f"coalesce(aggregate(transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), e - {_start()} + 1, 0)), 0, (a, x) -> a + x), 0)"
         out += [F.coalesce(F.size("__dl_cut"), F.lit(0)).alias("removed_chunks"), F.when(F.col("__dl_cut").isNull(), 0).otherwise(F.expr(lost)).alias("removed_lines")]
     return wide.select(*out)
+
+
+def _without(joined: DataFrame, columns: list[str], text_col: str, long_line: int, stats: bool) -> DataFrame:
+    """Compares the bytes of the runs in ``__dl_runs`` and takes out the lines of these and of the chunks in ``__dl_cut``."""
+    joined = saved(joined)
+    lines = joined.where("size(__dl_runs) > 0").select("__dl_runs", F.expr("split(_text, '\\n', -1)").alias("_lines"))
+    texts = lines.select(F.explode(F.expr(f"transform(__dl_runs, v -> named_struct('h', v.h, 'txt', {_text_of('v.s', 'v.e')}))")).alias("r")).select("r.h", "r.txt")
+    differ = texts.groupBy("h").agg(F.min("txt").alias("lo"), F.max("txt").alias("hi")).where("lo <> hi")
+    differ = saved(differ.select("h")).agg(F.collect_set("h").alias("__dl_not"))
+    wide = _chunked(joined.crossJoin(F.broadcast(differ)), long_line)
+    chunks = f"transform(__dl_cut, k -> sequence({_start()}, _ends[k]))"
+    runs = "transform(filter(__dl_runs, v -> v.c <= v.e and not array_contains(__dl_not, v.h)), v -> sequence(v.c, v.e))"
+    wide = wide.withColumn("_gone", F.expr(f"array_distinct(flatten(concat({chunks}, {runs})))"))
+    wide = wide.withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
+    text = F.expr("if(coalesce(size(_gone), 0) < 1, _text, array_join(transform(_left, i -> _lines[i]), '\\n'))")
+    out: list[Column] = [F.explode_outer(F.array(text)).alias(text_col) if c == text_col else F.col(f"__dl_keep.`{c}`") for c in columns]
+    if stats:
+        out += [F.expr("greatest(0, coalesce(size(__dl_cut), 0))").alias("removed_chunks"), F.expr("greatest(0, coalesce(size(_gone), 0))").alias("removed_lines")]
+    return wide.select(*out)

@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the repeated chunks of lines; n_chars follows the text. What has become empty goes."""
-    out = linededup.dedup_lines(docs)
+    """Documents without the repeated chunks and runs of lines; n_chars follows the text. What has become empty goes."""
+    out = linededup.dedup_lines(docs, run_words=linededup.RUN_WORDS)
     out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.where("text is not null and text <> ''").select(*docs.columns)
 

@@ -383,6 +383,66 @@ def test_line_dedup_hostile(spark):
     assert linededup.dedup_lines(helpers.empty(spark)).count() == 0
 
 
+def wrapped_passages(lines, n=40):
+    """Pairs of documents: a passage of 60 words over so many lines, each time between fresh lines."""
+    rng, rows = random.Random(lines), []
+    fresh = lambda: "\n".join(" ".join(f"f{rng.randrange(10**9)}" for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(1, 6)))
+    for i in range(n):
+        words = [f"p{lines}x{i}x{j}" for j in range(60)]
+        cut = [0, *sorted(rng.sample(range(5, 56), lines - 1)), 60]
+        passage = "\n".join(" ".join(words[a:b]) for a, b in zip(cut, cut[1:], strict=False))
+        for later in (0, 1):
+            head, tail = fresh(), fresh()
+            rows.append((1000 * later + i, f"{head}\n{passage}\n{tail}", f"{head}\n{tail}" if later else f"{head}\n{passage}\n{tail}"))
+    return rows
+
+
+@pytest.mark.parametrize("lines", [2, 3, 4, 5, 6, 12])
+def test_wrapped_passages_go_whatever_stands_around_them(spark, lines):
+    import corpus_pipeline as p
+
+    rows = wrapped_passages(lines)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in p.line_dedup(spark, df, "").collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def brute_runs(rows, words=50):
+    """All runs of more words at once: a line goes if it lies in one that stood earlier, but for overlaps with the first place."""
+    first, gone = {}, defaultdict(set)
+    for d, t in rows:
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = "\n".join(lines[a : b + 1])
+                if len(run.split()) > words and lines[a].split() and lines[b].split():
+                    fd, fb = first.setdefault(run, (d, b))
+                    gone[d].update(range(max(a, fb + 1) if fd == d else a, b + 1))
+    return gone
+
+
+def test_runs_against_brute_force(spark):
+    rng = random.Random(9)
+    pool = [" ".join(f"w{i}" for i in range(rng.choice([1, 4, 11, 30, 49, 50, 51, 70]))) + f" z{n}" for n in range(12)] + ["", "  "]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {rng.random()}" for _ in range(rng.randint(1, 14)))) for d in range(60)]
+    rows += [(70, "\n".join(["same line again and again"] * 40)), (71, ""), (72, None)]
+    df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, _ends string").repartition(3)
+    plain = {r.doc_id: r.removed_lines for r in linededup.dedup_lines(df, stats=True).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_lines(df, stats=True, run_words=50).collect()}
+    assert len(got) == len(rows) and all(r._ends == "e" for r in got.values())
+    gone = brute_runs([r for r in rows if r[1] is not None])
+    assert got[72].text is None and got[71].text == ""
+    kept = set()
+    for d, t in rows:
+        if t is not None:
+            left = [x for i, x in enumerate(t.split("\n")) if i not in gone[d]]
+            it = iter(left)
+            assert all(x in it for x in got[d].text.split("\n")) or got[d].text == ""
+            assert got[d].removed_lines >= max(plain[d], len(gone[d]))
+            kept |= set(got[d].text.split("\n"))
+    assert all(x in kept for _, t in rows if t for x in t.split("\n") if x.strip())
+
+
 # ---- pipeline
 
 
