@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,16 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. There is no other place to fall back on."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        sc.setCheckpointDir(found)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores before it, so that no column of ``df`` has the name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def kept_columns(df: DataFrame, results: tuple[str, ...]) -> list[Column]:
+    """All columns but those named like a result, which takes their place."""
+    out = {r.lower() for r in results}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in out]
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The row as one struct, out of reach of an operator's own names. The first field only makes sure that there is one."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in without))
+
+
+def unpacked(df: DataFrame, struct: str, without: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``df`` out of what ``packed`` made; those named in ``without`` are given."""
+    new = without or {}
+    return [(new[c] if c in new else F.col(f"{struct}.c{i}")).alias(c) for i, c in enumerate(df.columns)]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -42,10 +63,12 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``saved`` wrote. Only for tables that nothing lazy still reads."""
-    path = getattr(df, "_brindle_path", None)
-    if path:
+    for df in tables:
+        path = getattr(df, "_brindle_path", None)
+        if not path:
+            continue
         jvm = df.sparkSession._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -48,9 +48,13 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
 def row_hash(docs: DataFrame) -> Column:
     """Hash of all columns that can be hashed; maps and variants are left out."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    return F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if _hashable(kind)])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -68,9 +72,9 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Distinct ``fp`` longs -> edges ``(a, b)`` that connect exactly what links of at most two bits connect.
 
     Main path: each fingerprint enters the seven covering tables and is compared within its buckets. A bucket with
-    more than ``bucket`` fingerprints is not compared pair by pair: its members list the 65 words within one bit of
-    themselves, and all who list the same word are within two bits of each other (and any two within two bits share
-    such a word). A word has 65 neighbours, so those groups are bounded; links between their smallest member and the
+    more than ``bucket`` fingerprints is not compared pair by pair, and the links within it do not come through the covering tables: its
+    members list the 65 words within one bit of themselves, and all who list the same word are within two bits of each other (and any two
+    within two bits share such a word). A word has 65 neighbours, so those groups are bounded; links between their smallest member and the
     rest suffice for components.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks()]
@@ -113,12 +117,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id.
 
-    Rows that repeat that id are told apart by the hash of all their columns (smallest wins), full repeats are
-    reduced to one. Columns and their order stay; a group without any id keeps its row of smallest hash.
+    Rows that repeat that id are told apart by the hash of all their columns (smallest wins); full repeats, compared
+    column by column, are reduced to one. Columns and their order stay, whatever their names; a group without any id keeps its
+    row of smallest hash. Rows with one id and one hash that differ nevertheless all stay.
     """
     rows = simhash_components(docs, id_col, text_col)
     win = rows.groupBy(F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"), "component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("w"))
-    win = win.select(F.col("w.doc_id").alias("__id"), F.col("w.row_hash").alias("__h")).distinct()
-    d = docs.withColumn("__h0", row_hash(docs))
-    hit = d.join(win.hint("merge"), F.col("__h0") == F.col("__h"), "left_semi")
-    return hit.dropDuplicates(["__h0"]).drop("__h0")
+    win = win.select(F.col("w.doc_id").alias("wid"), F.col("w.row_hash").alias("wh")).distinct()
+    # columns in two structs, as the optimizer's inference is exponential in the number of renamed columns beside a hash of them
+    named = [(f"c{i}", c, _hashable(kind)) for i, (c, kind) in enumerate(docs.dtypes)]
+    fields = lambda which: F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(n) for n, c, ok in named if ok == which))
+    doc = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_hash(docs).alias("h"), fields(True).alias("own"), fields(False).alias("rest"))
+    hit = doc.join(win.hint("merge"), (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid")), "left_semi")
+    return hit.dropDuplicates(["h", "id", "own"]).select(*(F.col(f"{'own' if ok else 'rest'}.{n}").alias(c) for n, c, ok in named))

@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, tokenizer_path
+from brindle.llm.common import free_name, kept_columns, slices, tokenizer_path
 
 #: Texts with more characters are encoded in chunks of CHUNK characters that overlap by OVERLAP.
 HUGE, CHUNK, OVERLAP = 16_384, 8_192, 128
+RESULTS = ("n_bytes", "n_tokens", "over_limit")
 
 
 class PieceCounter:
@@ -30,7 +31,9 @@ class PieceCounter:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.chunk, self.overlap, self.huge, self.widened = chunk, overlap, huge, 0
-        assert not self.lib.piece_to_id("\n") or self.lib.is_unknown(self.lib.piece_to_id("\n"))
+        feed = self.lib.piece_to_id("\n")
+        if feed and not self.lib.is_unknown(feed):
+            raise ValueError("the model has a piece for the line feed, which is needed to keep parts apart")
         pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()) if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i)))
         every = range(self.lib.get_piece_size())
         byte = {i: int(self.lib.id_to_piece(i)[3:5], 16) for i in every if self.lib.is_byte(i)}
@@ -100,19 +103,21 @@ class PieceCounter:
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """``keep`` columns (all by default) plus ``n_bytes``, ``n_tokens`` and ``over_limit`` for every row.
 
-    Null and empty texts have 0 of both. Whole texts are counted, however long. Rows are never dropped.
+    Null and empty texts have 0 of both. Whole texts are counted, however long. Rows are never dropped. A column of ``docs`` named like a
+    result gives way to it.
     """
-    src = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).alias("__text"))
-    out = type(src.schema)([f for f in src.schema.fields if f.name != "__text"]).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    text = free_name(docs, "text")
+    src = docs.select(*(keep if keep is not None else kept_columns(docs, RESULTS)), F.col(f"`{text_col}`").alias(text))
+    out = type(src.schema)(src.schema.fields[:-1]).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def body(batches):
         counter = PieceCounter.shared(model)
-        for b in slices(batches, "__text"):
-            texts = [t or "" for t in b.column("__text").to_pylist()]
+        for b in slices(batches, text):
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             n = counter.count(texts)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                [*b.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
+                [*b.schema.names[:-1], *RESULTS],
             )
 
     return src.mapInArrow(body, out)
