@@ -10,19 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import buffers, saved, slices
+from brindle.llm.common import buffers, discard, saved, slices
 from brindle.llm.langid import fold
 
 #: Bytes of context. A gram is DEPTH context bytes, the latest first, and the byte they predict: 48 bits.
 DEPTH = 5
 #: A byte that no UTF-8 text holds marks the end of a text and stands before its start.
 MARK = 0xFF
-#: Bytes of text in a block, and the most parts into which the statistics are dealt.
-BLOCK_BYTES, MAX_PARTS = 16 << 20, 4096
+#: Bytes of text in a block, and for each part of the statistics; twice as many positions make a two-byte context heavy, and at most so
+#: many contexts are.
+BLOCK_BYTES, MOST_HEAVY = 16 << 20, 4096
 #: Distinct words that are held as strings at a time; beyond, they are kept as hashes.
 WORDS_HELD = 100_000
-#: Parts of the statistics: grams by their two latest context bytes, words by their hash.
+#: Parts of the statistics: grams by their two latest context bytes (three, where these are heavy), words by their hash.
 GRAM, WORD = 0, 1
+#: Numbers of the cells above the parts: one byte of context and a node, two bytes and a node, and what is counted besides.
+DEEP, WORDS = 1 << 40, -1
 
 
 def grams_of(texts: list[bytes]) -> np.ndarray:
@@ -87,6 +90,11 @@ def _by_node(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, j: int):
     return key[at], total - ones, ones
 
 
+def _sums(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """Sums by number; doubles, also of nothing."""
+    return np.bincount(at, weights=weights, minlength=size).astype(np.float64)
+
+
 def subtree(keys: np.ndarray, counts: np.ndarray, top: int = 2):
     """Node tables of depths ``top``..DEPTH from sorted grams: ``{(depth, bit): (node keys, estimate of a one, weight)}``,
     and for each bit the nodes at depth ``top`` with their counts and log P_w."""
@@ -100,14 +108,14 @@ def subtree(keys: np.ndarray, counts: np.ndarray, top: int = 2):
             c, s, m = ctx, sym, n
         else:
             pair, inv = np.unique((ctx << np.uint64(8)) | sym, return_inverse=True)
-            c, s, m = pair >> np.uint64(8), pair & np.uint64(255), np.bincount(inv, weights=n, minlength=len(pair))
+            c, s, m = pair >> np.uint64(8), pair & np.uint64(255), _sums(inv, n, len(pair))
         for j in range(8):
             node, n0, n1 = _by_node(c, s, m, j)
             below = None
             if d < DEPTH:
                 child, logw = above[j]
                 up = ((child >> np.uint64(16)) << np.uint64(8)) | (child & np.uint64(255))
-                below = np.bincount(np.searchsorted(node, up), weights=logw, minlength=len(node))
+                below = _sums(np.searchsorted(node, up), logw, len(node))
             logw, w = _weighed(n0, n1, below)
             tables[d, j] = (node, (n1 + 0.5) / (n0 + n1 + 1), w)
             above[j] = (node, logw) if d > top else (node, logw, n0, n1)
@@ -120,23 +128,35 @@ def trunk(cells: list[tuple[int, float, float, float]]):
     node, (n0, n1, below) = a[:, 0].astype(np.uint64), a[:, 1:].T
     logw, w = _weighed(n0, n1, below)
     root, inv = np.unique(node & np.uint64(255), return_inverse=True)
-    r0, r1, rl = (np.bincount(inv, weights=x, minlength=len(root)) for x in (n0, n1, logw))
+    r0, r1, rl = (_sums(inv, x, len(root)) for x in (n0, n1, logw))
     _, rw = _weighed(r0, r1, rl)
     return {1: (node, (n1 + 0.5) / (n0 + n1 + 1), w), 0: (root, (r1 + 0.5) / (r0 + r1 + 1), rw)}
 
 
+def crown(rows: list[tuple[int, float, float, float]]) -> dict:
+    """Node tables above the parts from ``(cell, zeros, ones, sum of children's log P_w)``: depths 0 and 1, and depth 2 of heavy contexts."""
+    cells = {int(r[0]): np.array(r[1:], np.float64) for r in rows if 0 <= r[0] < DEEP}
+    a = np.array(sorted(tuple(r) for r in rows if r[0] >= DEEP), np.float64).reshape(-1, 4)
+    node, (n0, n1, below) = a[:, 0].astype(np.int64) - DEEP, a[:, 1:].T
+    logw, w = _weighed(n0, n1, below)
+    for k, *x in zip((((node >> 16) << 8) | (node & 255)).tolist(), n0, n1, logw, strict=True):
+        cells[k] = cells.get(k, 0) + np.array(x)
+    return trunk([(k, *x) for k, x in cells.items()]) | {2: (node.astype(np.uint64), (n1 + 0.5) / (n0 + n1 + 1), w)}
+
+
 def log10_probability(keys: np.ndarray, tables: dict, top: dict) -> np.ndarray:
     """log10 P(byte | context) of sorted grams: along the path, each node's estimate enters with its posterior weight.
 
-    The path ends at the last node that was seen in training, which takes what weight is left.
+    ``tables`` holds the depths of a part, ``top`` those above. The path ends at the first node that was not seen in training: it and all
+    below predict a half, with the weight that is left.
     """
     sym, out = keys & np.uint64(255), np.zeros(len(keys))
     for j in range(8):
         node = np.uint64(1 << j) | (sym >> np.uint64(8 - j))
-        acc, rest, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        acc, rest = np.zeros(len(keys)), np.ones(len(keys))
         alive = np.arange(len(keys))
         for d in range(DEPTH + 1):
-            table, est, w = top[d] if d < 2 else tables[d, j]
+            table, est, w = tables[d, j] if (d, j) in tables else top[d]
             if not len(table) or not len(alive):
                 break
             ctx = keys[alive] >> np.uint64(8 * (DEPTH - d + 1)) if d else np.zeros(len(alive), np.uint64)
@@ -144,10 +164,9 @@ def log10_probability(keys: np.ndarray, tables: dict, top: dict) -> np.ndarray:
             at = np.minimum(np.searchsorted(table, want), len(table) - 1)
             hit = table[at] == want
             alive, at = alive[hit], at[hit]
-            last[alive] = est[at]
             acc[alive] += rest[alive] * w[at] * est[at]
             rest[alive] *= 1 - w[at]
-        p = acc + rest * last
+        p = acc + rest * 0.5
         out += np.log10(np.where((sym >> np.uint64(7 - j)) & np.uint64(1), p, 1 - p))
     return out
 
@@ -206,8 +225,14 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
-    top = keys >> np.uint64(8 * (DEPTH - 1)) if kind == GRAM else keys
+def is_heavy(keys: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    return np.isin(keys >> np.uint64(8 * (DEPTH - 1)), heavy)
+
+
+def _part_of(keys: np.ndarray, kind: int, parts: int, heavy: np.ndarray) -> np.ndarray:
+    top = keys
+    if kind == GRAM:
+        top = np.where(is_heavy(keys, heavy), (keys >> np.uint64(8 * (DEPTH - 2))) | np.uint64(1 << 24), keys >> np.uint64(8 * (DEPTH - 1)))
     return (((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
@@ -225,8 +250,8 @@ def _unpack(raw: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=dtype) if ascending else a
 
 
-def _blobs(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int):
-    part = _part_of(keys, kind, parts)
+def _blobs(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int, heavy: np.ndarray):
+    part = _part_of(keys, kind, parts, heavy)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)).tolist():
@@ -246,34 +271,79 @@ def _rows(rows, schema):
 _BLOB_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(src: DataFrame) -> DataFrame:
+    """``src`` with a column ``block``: each task cuts its rows into blocks of about ``BLOCK_BYTES``, whatever the rows are."""
+
+    def body(batches):
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in slices(batches, "t", max_bytes=1 << 21):
+            if size > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += b.column("t").nbytes
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, block, np.int64))], [*b.schema.names, "block"])
+
+    return src.mapInArrow(body, "id long, held boolean, t string, block long")
+
+
+def _positions(batches):
+    """Positions of each two-byte context; beyond these, the number of training texts and the number of rows."""
+    n = np.zeros((1 << 16) + 2, np.int64)
+    for b in slices(batches, "t", max_bytes=1 << 21):
+        held = b.column("held").to_pylist()
+        n[-2:] += (held.count(False), len(held))
+        pad = bytes([MARK, MARK])
+        raw = np.frombuffer(b"".join(pad + t.lower() + pad for t in buffers(b, "t")), np.uint8).astype(np.int64)
+        n[:-2] += np.bincount((raw[1:] << 8) | raw[:-1], minlength=1 << 16)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+
+def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", heavy_positions: int = 2 * BLOCK_BYTES) -> DataFrame:
     """Score every row; learn from the rows where ``held_out`` (by default fold 1 of 5) is false.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``. Both models see the text
     with A-Z in lower case; null text is empty. ``score`` is the log10 probability of all its bytes and the end of the text;
-    ``base_score`` that of its words and an end under the smoothed unigram. If nothing is held for training, bytes are
-    uniform. Repeated ids and rows are rows like others; an empty table gives an empty result.
+    ``base_score`` that of its words and an end under the smoothed unigram, whose words are counted by a 64-bit hash. If nothing is
+    held for training, every bit is a half. Repeated ids and rows are rows like others; an empty table gives an empty result.
 
     The model is never in one place. Texts are dealt into blocks. Each block's distinct grams and words go, with counts, to the
-    part that owns them (grams by their two latest context bytes, so that a part holds whole subtrees from depth 2 down); parts
-    add up the counts, write them, and send their subtree's weights to depths 0 and 1, a table of at most 65,280 cells. Then
-    parts answer each block with the probabilities of its grams, and blocks sum them up.
+    part that owns them, so that a part holds whole subtrees: from depth 2 down, or from depth 3 down under the two-byte contexts with
+    more than ``heavy_positions`` positions (more, if over ``MOST_HEAVY`` of them had as many). Parts
+    add up the counts, write them, and send their subtrees' weights to the depths above, a table of at most 65,280 cells and 255 for each
+    heavy context. Then parts answer each block with the probabilities of its grams, and blocks sum them up. There are
+    as many parts as blocks; what they exchange is never more than the distinct grams of each block.
     """
     held = fold(id_col, 5) == 1 if held_out is None else held_out
-    src = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("t"))
-    volume = src.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))).first()[0] or 0
-    blocks = max(12, math.ceil(volume / BLOCK_BYTES))
-    parts = min(MAX_PARTS, blocks)
-    dealt = src.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
+    dealt = saved(_dealt(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("t"))))
+    positions = np.zeros((1 << 16) + 2, np.int64)
+    for r in dealt.mapInArrow(_positions, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        positions[r["cell"]] = r["n"]
+    volume, texts_seen = int(positions[:-2].sum()), int(positions[-2])
+    parts = max(12, math.ceil(volume / BLOCK_BYTES))
+    heavy = np.flatnonzero(positions[:-2] > max(heavy_positions, volume // MOST_HEAVY)).astype(np.uint64)
 
-    def gather(rows: pa.Table) -> pa.Table:
-        own, x = rows.column("block")[0].as_py(), _Block()
-        for b in slices(rows.to_batches(), "t", max_bytes=1 << 21):
-            x.add([t.lower() for t in buffers(b, "t")], [not h for h in b.column("held").to_pylist()])
-        out = list(_blobs(own, GRAM, *x.close(), parts)) + list(_blobs(own, WORD, *x.close_words(), parts))
-        return pa.Table.from_batches([_rows(out, _BLOB_ARROW)])
+    def gather(batches):
+        own, x = None, _Block()
 
-    blobs = saved(dealt.groupBy("block").applyInArrow(gather, _BLOB))
+        def close():
+            return _rows([*_blobs(own, GRAM, *x.close(), parts, heavy), *_blobs(own, WORD, *x.close_words(), parts, heavy)], _BLOB_ARROW)
+
+        for b in slices(batches, "t", max_bytes=1 << 21):
+            block = b.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if own is not None and own != block[i]:
+                    yield close()
+                    x = _Block()
+                own, rows = int(block[i]), b.slice(i, j - i)
+                x.add([t.lower() for t in buffers(rows, "t")], [not h for h in rows.column("held").to_pylist()])
+        if own is not None:
+            yield close()
+
+    # a block that lies in two files' splits answers for itself twice, which changes nothing
+    blobs = saved(dealt.mapInArrow(gather, _BLOB))
 
     def grouped(batches):
         """Rows of a partition sorted by part -> (part, iterator) runs, without holding them."""
@@ -304,37 +374,45 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
     sums = saved(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add_up, _BLOB))
 
     def cells(batches):
+        names = ["cell", "n0", "n1", "below"]
         for p, _, k, c in grouped(batches):
+            keys, n = _unpack(k, np.uint64, True), _unpack(c, np.int64)
             if p % 2 == WORD:
-                n = _unpack(c, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(n.sum())]), pa.array([float((n > 0).sum())]), pa.array([0.0])], ["cell", "n0", "n1", "below"])
+                yield pa.RecordBatch.from_arrays([pa.array([WORDS]), pa.array([float(n.sum())]), pa.array([float((n > 0).sum())]), pa.array([0.0])], names)
                 continue
-            _, above = subtree(_unpack(k, np.uint64, True), _unpack(c, np.int64))
-            for node, logw, n0, n1 in above.values():
-                up = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
-                u, inv = np.unique(up, return_inverse=True)
-                add = [np.bincount(inv, weights=x, minlength=len(u)) for x in (n0, n1, logw)]
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), *map(pa.array, add)], ["cell", "n0", "n1", "below"])
+            deep = is_heavy(keys, heavy)
+            for which, top, base in ((~deep, 2, 0), (deep, 3, DEEP)):
+                for node, logw, n0, n1 in subtree(keys[which], n[which], top)[1].values():
+                    u, inv = np.unique(((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255)), return_inverse=True)
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64) + base), *(pa.array(_sums(inv, x, len(u))) for x in (n0, n1, logw))], names)
 
     top_rows = sums.mapInArrow(cells, "cell long, n0 double, n1 double, below double").groupBy("cell").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
-    tokens_seen, distinct = next(((int(r[1]), int(r[2])) for r in top_rows if r[0] == -1), (0, 0))
+    tokens_seen, distinct = next(((int(r[1]), int(r[2])) for r in top_rows if r[0] == WORDS), (0, 0))
     # the end token: once in each training text
-    texts_seen = src.where(~F.col("held")).count()
     total, vocabulary = tokens_seen + texts_seen, distinct + bool(texts_seen)
-    top = docs.sparkSession.sparkContext.broadcast(trunk([tuple(r) for r in top_rows if r[0] >= 0]))
+    top = docs.sparkSession.sparkContext.broadcast(crown(top_rows))
 
     def answer(batches):
-        model = (None, None)
+        part, light, deep, words = None, None, None, None
         for p, block, k, c in grouped(batches):
             keys = _unpack(k, np.uint64, True)
             if block == -1:
-                model = (p, subtree(keys, _unpack(c, np.int64))[0] if p % 2 == GRAM else (keys, _unpack(c, np.int64)))
+                part, n = p, _unpack(c, np.int64)
+                if p % 2 == GRAM:
+                    which = is_heavy(keys, heavy)
+                    light, deep = subtree(keys[~which], n[~which], 2)[0], subtree(keys[which], n[which], 3)[0]
+                else:
+                    words = keys, n
                 continue
-            assert model[0] == p
+            if part != p:
+                raise RuntimeError(f"part {p} has no sums")
             if p % 2 == GRAM:
-                value = log10_probability(keys, model[1], top.value).astype(np.float32)
+                which, value = is_heavy(keys, heavy), np.zeros(len(keys))
+                value[~which] = log10_probability(keys[~which], light, top.value)
+                value[which] = log10_probability(keys[which], deep, top.value)
             else:
-                value = model[1][1][np.searchsorted(model[1][0], keys)]
+                value = words[1][np.searchsorted(words[0], keys)]
             yield _rows([(p % 2, block, k, _pack(value))], _BLOB_ARROW)
 
     asked = sums.unionByName(blobs.withColumn("counts", F.lit(None).cast("binary"))).repartition(parts, "part").sortWithinPartitions("part", "block")
@@ -350,8 +428,7 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
             order = np.argsort(k)
             return k[order], v[order]
 
-        gram, logp = joined(GRAM, np.float32)
-        logp = logp.astype(np.float64)
+        gram, logp = joined(GRAM, np.float64)
         word, count = joined(WORD, np.int64)
         end = math.log10((texts_seen + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = [[], [], [], [], [], []]
@@ -373,8 +450,13 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.table([texts.column("id"), texts.column("held"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", *names])
 
-    return (
-        dealt.groupBy("block")
-        .cogroup(answers.groupBy("block"))
+    # more tasks than blocks, so that few blocks share one
+    n = 3 * parts
+    done = saved(
+        dealt.repartition(n, "block")
+        .groupBy("block")
+        .cogroup(answers.repartition(n, "block").groupBy("block"))
         .applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     )
+    discard(dealt, blobs, sums)
+    return done
