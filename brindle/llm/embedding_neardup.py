@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import saved
+from brindle.llm.common import discard, saved
 from brindle.llm.components import connected_components
 
 #: Trees, vectors in a leaf, overlap on either side of a split (in units of unit vectors), rows the trees are fitted on.
-TREES, LEAF, MARGIN, FIT_ROWS = 5, 200, 0.03, 40_000
+TREES, LEAF, MARGIN, FIT_ROWS = 3, 2048, 0.02, 40_000
 #: A leaf with more vectors is compared block against block; tiles bound the memory of a comparison.
 BLOCK, TILE = 4096, 512
 
@@ -24,13 +27,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def fit_tree(sample: np.ndarray, size: float, rng: np.random.Generator, leaf: int, margin: float):
-    """Nested ``(direction, split, left, right)`` or None for a leaf. Both sides of a split hold what lies within ``margin`` of it.
+    """Nested ``(direction, split, left, right)``, or a leaf's estimated size. Both sides of a split hold what lies within ``margin`` of it.
 
     Of six random directions the one with the widest spread is taken. A node is left whole when it is small
     enough, or when the overlap would hold nearly all of it: a dense group is never cut.
     """
     if size <= leaf or len(sample) < 8:
-        return None
+        return float(size)
     dirs = rng.normal(size=(6, sample.shape[1]))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
     p = sample @ dirs.T
@@ -39,17 +42,17 @@ def fit_tree(sample: np.ndarray, size: float, rng: np.random.Generator, leaf: in
     split = float(np.median(p))
     left, right = p <= split + margin, p >= split - margin
     if max(left.sum(), right.sum()) > 0.9 * len(p):
-        return None
+        return float(size)
     return w, split, fit_tree(sample[left], size * left.mean(), rng, leaf, margin), fit_tree(sample[right], size * right.mean(), rng, leaf, margin)
 
 
-def leaves(tree, v: np.ndarray, margin: float) -> list[np.ndarray]:
-    """Row numbers in each leaf, leaves in a fixed order; a row is in one or more."""
-    out: list[np.ndarray] = []
+def leaves(tree, v: np.ndarray, margin: float) -> list[tuple[np.ndarray, float]]:
+    """Row numbers in each leaf and its estimated size, leaves in a fixed order; a row is in one or more."""
+    out: list[tuple[np.ndarray, float]] = []
 
     def go(node, at):
-        if node is None:
-            out.append(at)
+        if isinstance(node, float):
+            out.append((at, node))
             return
         p = v[at] @ node[0]
         go(node[2], at[p <= node[1] + margin])
@@ -83,7 +86,11 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     component_id is the smallest id in its component, if any. Rows are never dropped.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    # stored singles stay singles on their way; all arithmetic is in doubles
+    own_type, item = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(own_type).alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
     good = F.expr("label is not null and v is not null and coalesce(forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false) and exists(v, x -> x <> 0)")
     v = v.withColumn("k1", F.when(good, F.xxhash64("label", "v"))).withColumn("k2", F.when(good, F.xxhash64("v", F.lit(1), "label")))
     classes = saved(v.where("k1 is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
@@ -102,41 +109,53 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         rows = unit(np.array(groups[key], float))
         if len(rows) / share > leaf:
             forest[key] = [fit_tree(rows, len(rows) / share, rng, leaf, margin) for _ in range(trees)]
+        else:
+            forest[key] = [len(rows) / share]
     ref = spark.sparkContext.broadcast(forest)
+    block = BLOCK
 
     def place(batches):
-        """One row per (class, leaf); earlier leaves of the same class go along."""
+        """One row per (class, leaf), with the number of blocks that the leaf's size asks for; all leaves of the class go along."""
         for b in batches:
             label, raw = b.column("label").to_pylist(), b.column("v").to_pylist()
             by: dict[tuple[str, int], list[int]] = {}
             for i, x in enumerate(label):
                 by.setdefault((x, len(raw[i])), []).append(i)
             for key, at in by.items():
-                vec = unit(np.array([raw[i] for i in at], float))
+                stored = np.array([raw[i] for i in at], item)
+                vec = unit(stored.astype(float))
                 member: list[list[int]] = [[] for _ in at]
-                for t, tree in enumerate(ref.value.get(key, [None])):
-                    for number, rows in enumerate(leaves(tree, vec, margin)):
+                blocks: list[list[int]] = [[] for _ in at]
+                # a group that the sample has not met is small beside it
+                for t, tree in enumerate(ref.value.get(key, [1.0])):
+                    for number, (rows, size) in enumerate(leaves(tree, vec, margin)):
                         for r in rows.tolist():
-                            member[r].append((t << 32) | number)
+                            member[r].append((t << 24) | number)
+                            blocks[r].append(max(1, math.ceil(size / block)))
                 src = np.repeat(np.arange(len(at)), [len(m) for m in member])
-                flat = [x for m in member for x in m]
-                at = np.array(at)
+                take = pa.array(np.array(at)[src])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{key[0]}|{key[1]}"] * len(flat)), pa.array(flat, pa.int64()), b.column("cid").take(pa.array(at[src])), b.column("n").take(pa.array(at[src])), pa.array([vec[s].tobytes() for s in src], pa.binary()), pa.array([member[s] for s in src], pa.list_(pa.int64()))],
-                    ["g", "leaf", "cid", "n", "vec", "member"],
+                    [
+                        pa.array([f"{key[0]}|{key[1]}"] * len(src)),
+                        pa.array([x for m in member for x in m], pa.int32()),
+                        pa.array([x for m in blocks for x in m], pa.int32()),
+                        b.column("cid").take(take),
+                        b.column("n").take(take),
+                        pa.array([stored[s].tobytes() for s in src], pa.binary()),
+                        pa.array([member[s] for s in src], pa.list_(pa.int32())),
+                    ],
+                    ["g", "leaf", "nb", "cid", "n", "vec", "member"],
                 )
 
-    placed = classes.select("label", "v", "cid", "n").mapInArrow(place, "g string, leaf long, cid long, n long, vec binary, member array<long>")
-    sizes = classes.select("label", "v", "cid", "n").mapInArrow(place, placed.schema).groupBy("g", "leaf").agg(F.count("*").alias("size")).where("size > 1")
-    sized = placed.join(saved(sizes), ["g", "leaf"])
-    sized = sized.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    placed = classes.select("label", "v", "cid", "n").mapInArrow(place, "g string, leaf int, nb int, cid long, n long, vec binary, member array<int>")
+    sized = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "leaf", "cid", "n", "vec", "member", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(t: pa.Table) -> pa.Table:
         cid, n, own = (t.column(c).to_numpy() for c in ("cid", "n", "own"))
         lo, hi, here = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("leaf")[0].as_py()
-        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), float).reshape(len(cid), -1)
-        member = t.column("member").to_pylist()
+        vec = unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), item).reshape(len(cid), -1).astype(float))
+        member, many = t.column("member").to_pylist(), n.astype(float)
         before = sorted({x for m in member for x in m if x < here})
         shared = np.zeros((len(cid), len(before)), np.float32)
         col = {x: i for i, x in enumerate(before)}
@@ -144,7 +163,7 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
             shared[i, [col[x] for x in m if x < here]] = 1
         left = np.flatnonzero(own == lo)
         right = np.flatnonzero(own == hi)
-        links, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
+        links, label = np.zeros(len(cid)), np.arange(len(cid))
         for i in range(0, len(left), TILE):
             a = left[i : i + TILE]
             hit = vec[a] @ vec[right].T >= threshold
@@ -156,10 +175,11 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
             merge_labels(label, a[x], right[y])
             if before:
                 hit &= ~(shared[a] @ shared[right].T > 0)
-            links[a] += hit @ n[right]
-            links[right] += n[a] @ hit
+            weigh = hit.astype(float)
+            links[a] += weigh @ many[right]
+            links[right] += many[a] @ weigh
         c, e = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(cid)))
-        return pa.table({"edge": np.repeat([False, True], [len(c), len(e)]), "a": np.concatenate([cid[c], cid[e]]), "b": np.concatenate([links[c], cid[label[e]]])})
+        return pa.table({"edge": np.repeat([False, True], [len(c), len(e)]), "a": np.concatenate([cid[c], cid[e]]), "b": np.concatenate([links[c].astype(np.int64), cid[label[e]]])})
 
     found = saved(dealt.groupBy("g", "leaf", "lo", "hi").applyInArrow(compare, "edge boolean, a long, b long"))
     counts = found.where("not edge").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
@@ -170,4 +190,6 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     ids = v.select("vec_id", "k1", "k2")
     linked = ids.where("k1 is not null").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = ids.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = saved(linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+    discard(classes, found)
+    return out
