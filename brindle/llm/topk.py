@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import saved
+from brindle.llm.common import discard, saved
 
 #: Queries that are sent along at once, vectors in a block, and rotated coordinates in a partial sum.
 QUERIES, BLOCK, HEAD = 8192, 8192, 16
@@ -82,37 +82,40 @@ def top_inner_products(vectors: DataFrame, k: int = 10, every: int = 100, scale:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k`` best other rows.
 
     Components become floor(``scale`` * x). Ties go to the smaller id. Vectors that are null, empty or hold null or
-    non-finite components take no part, nor do rows without an id. Rows that repeat id and vector are one; rows that
-    repeat an id with another vector are candidates each, but never of a query with that id, and the query is the one
-    of smallest hash. Vectors of another length than a query's are no candidates of it.
+    non-finite components take no part, nor do rows without an id. Rows that repeat an id, with the same vector or
+    another, are candidates each, but never of a query with that id; the query is asked once, with the least of its vectors
+    (for each length). Vectors of another length than a query's are no candidates of it.
 
     All vectors are sorted by descending length and cut into blocks of ``BLOCK``. Queries go in slices of ``QUERIES``,
     a bounded broadcast, over the blocks in waves: first the longest, then eight times as many each time; after each wave
-    the slice's k-th best scores are the new bars. Coordinates are rotated by the eigenvectors of the second-moment
+    the slice's k-th best scores are the new bars, and the waves end when no vector left is long enough for any of them. Coordinates are rotated by the eigenvectors of the second-moment
     matrix of all vectors, so that a few carry most of an inner product.
     """
     spark = vectors.sparkSession
     good = F.expr("vec_id is not null and v is not null and size(v) > 0 and coalesce(forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false)")
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(good)
-    plain = plain.withColumn("h", F.xxhash64("v")).dropDuplicates(["vec_id", "h"])
 
     def integers(batches):
         for b in batches:
             if b.num_rows:
                 rows = [np.floor(np.array(x, float) * scale) for x in b.column("v").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("h"), pa.array([len(x) for x in rows], pa.int32()), pa.array([float(np.sqrt((x * x).sum())) for x in rows]), pa.array([x.tobytes() for x in rows], pa.binary())], ["vec_id", "h", "dim", "norm", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([len(x) for x in rows], pa.int32()), pa.array([float(np.sqrt((x * x).sum())) for x in rows]), pa.array([x.tobytes() for x in rows], pa.binary())], ["vec_id", "dim", "norm", "vec"])
 
-    whole = saved(plain.mapInArrow(integers, "vec_id long, h long, dim int, norm double, vec binary"))
+    whole = saved(plain.mapInArrow(integers, "vec_id long, dim int, norm double, vec binary"))
+    # of rows that repeat a query's id the least vector asks
+    asking = plain.where(F.col("vec_id") % every == 0).groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+    asking = saved(asking.mapInArrow(integers, "vec_id long, dim int, norm double, vec binary"))
     out = None
     for dim in [r["dim"] for r in whole.select("dim").distinct().orderBy("dim").collect()]:
-        found = _one_length(spark, whole.where(F.col("dim") == dim), dim, k, every)
-        out = found if out is None else out.unionByName(found)
+        found = _one_length(spark, whole.where(F.col("dim") == dim), asking.where(F.col("dim") == dim), dim, k)
+        out = found if out is None else out if found is None else out.unionByName(found)
+    discard(whole, asking)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
 
 
-def _one_length(spark, table: DataFrame, dim: int, k: int, every: int) -> DataFrame:
+def _one_length(spark, table: DataFrame, asking: DataFrame, dim: int, k: int) -> DataFrame | None:
     def moments(batches):
         m = np.zeros((dim, dim))
         for b in batches:
@@ -129,20 +132,25 @@ def _one_length(spark, table: DataFrame, dim: int, k: int, every: int) -> DataFr
     n = table.count()
     blocks = max(1, math.ceil(n / BLOCK))
     ordered = table.repartitionByRange(blocks, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    ordered = saved(ordered.select("vec_id", "vec", F.spark_partition_id().alias("blk")))
-    asking = table.where(F.col("vec_id") % every == 0)
+    ordered = saved(ordered.select("vec_id", "vec", "norm", F.spark_partition_id().alias("blk")))
+    # the longest vector of each block, one number for BLOCK rows: beyond the last block that can reach a bar nothing is read
+    longest = np.zeros(blocks + 1)
+    for r in ordered.groupBy("blk").agg(F.max("norm").alias("m")).collect():
+        longest[r["blk"]] = r["m"]
+    longest = np.maximum.accumulate(longest[::-1])[::-1]
     slices = max(1, math.ceil(asking.count() * 1.25 / QUERIES))
     results = None
     for s in range(slices):
-        rows = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).groupBy("vec_id").agg(F.min_by("vec", "h").alias("vec")).collect()
+        rows = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).select("vec_id", "vec").collect()
         if not rows:
             continue
         rows.sort(key=lambda r: r["vec_id"])
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         vec = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), float).reshape(-1, dim)
         bar = np.full(len(ids), -np.inf)
+        length = np.sqrt((vec * vec).sum(axis=1))
         best, first, width = None, 0, 1
-        while first < blocks:
+        while first < blocks and (length * longest[first] * (1 + 1e-9) + 1e-9 >= bar).any():
             ref = spark.sparkContext.broadcast(Search(ids, vec, bar, turn, k))
 
             def scan(batches, ref=ref):
@@ -159,13 +167,17 @@ def _one_length(spark, table: DataFrame, dim: int, k: int, every: int) -> DataFr
             wave = ordered.where(F.col("blk").between(first, first + width - 1)).select("vec_id", "vec").mapInArrow(scan, "query_id long, vec_id long, score long")
             every_one = wave if best is None else best.unionByName(wave)
             w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            best = saved(every_one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "score"))
+            last, best = best, saved(every_one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "score"))
+            ref.unpersist()
+            if last is not None:
+                discard(last)
             first, width = first + width, width * 8
             if first < blocks:
                 kth = {r["query_id"]: r["s"] for r in best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).collect()}
                 bar = np.array([kth.get(i, -np.inf) for i in ids.tolist()])
         results = best if results is None else results.unionByName(best)
+    discard(ordered)
     if results is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return None
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return results.select("query_id", F.row_number().over(w).cast("int").alias("rank"), "vec_id", "score")
