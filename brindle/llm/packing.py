@@ -8,10 +8,10 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import saved, slices
+from brindle.llm.common import discard, saved, slices
 from brindle.llm.tokens import ByteBpe
 
 
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", eos: int = 2, ca
 
     Best-fit decreasing needs only how many pieces there are of each length, which is at most ``capacity`` numbers:
     these go to the driver, which returns runs of bins. The pieces, written once, are numbered within their length by a
-    running number in each task plus a prefix sum over tasks, and look their run up.
+    running number in each task plus a prefix sum over tasks (a sort-merge join, dealt by length and task), and look their run up.
     """
     pieces = saved(tokenized_pieces(docs, tokenizer, eos, capacity, id_col, text_col))
     per_task = pieces.groupBy("length", "pid").agg(F.count("*").alias("n"))
@@ -134,11 +134,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", eos: int = 2, ca
         runs[size].append((item, first, offset))
     lookup = {k: tuple(np.array(c, np.int64) for c in zip(*sorted(v), strict=True)) for k, v in runs.items()}
     ref = docs.sparkSession.sparkContext.broadcast(lookup)
-    from pyspark.sql import Window
-
     before = per_task.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
     before = saved(before.select("length", "pid", F.coalesce("base", F.lit(0)).alias("base")))
-    placed = pieces.join(before, ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("item"))
+    # as many rows as lengths and tasks, which grows with the input: never broadcast
+    placed = pieces.join(before.hint("merge"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("item"))
 
     def place(batches):
         for b in batches:
@@ -153,7 +152,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", eos: int = 2, ca
                 seq[at], off[at] = first_bin[j] + item[at] - first_item[j], offset[j]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(off)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = saved(placed.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+    discard(pieces, before)
+    return out
 
 
 def pack_one_by_one(lengths: list[int], capacity: int) -> int:
