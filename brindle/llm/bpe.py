@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import slices, tokenizer_path
+from brindle.llm.common import free_name, kept_columns, slices, tokenizer_path
 
-#: Units (text between blanks) in each of the two generations that a Python worker remembers. Results do not depend on it.
-REMEMBER = 300_000
+#: Bytes, by estimate, of each of the two generations of units (text between blanks) that a Python worker remembers, and characters
+#: of the longest unit or word that outlives its slice. Results do not depend on either.
+REMEMBER, LONGEST = 160 << 20, 64
+RESULTS = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
 #: Letters and numbers below U+0250, as Unicode has them; there NFC changes nothing.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Capitals whose lower case lies beyond (Ə, Ɓ, Ɗ and others) are left out: the classes above do not know it.
@@ -60,7 +62,7 @@ class WordBpe:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         n = max(self.token) + 1
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        #: When a token is formed (merge number, -1 for symbols) and from what.
+        #: When a token is formed (merge number, -1 for characters) and from what.
         self.rank, self.left, self.right = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -85,11 +87,11 @@ class WordBpe:
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
         self.before: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
-        self.speculated = self.failed = 0
+        self.size = self.speculated = self.failed = 0
 
-    def exact(self, symbols: list[str]) -> list[int]:
+    def exact(self, characters: list[str]) -> list[int]:
         """Lowest merge first, leftmost among equals."""
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        ids = [self.vocab[c] for c in characters if c in self.vocab]
         if len(ids) <= 24:
             get, none = self.merge.get, (1 << 60, 0)
             found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
@@ -122,15 +124,15 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], prv[i], ids[prv[i]], to, m[1]))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
-    def symbols(self, word: str, end: bool = True) -> list[str]:
+    def characters(self, word: str, end: bool = True) -> list[str]:
         return [*word[:-1], word[-1] + self.suffix] if end else list(word)
 
     def is_sound(self, token: str) -> bool:
-        """Whether the exact merges of a token's own symbols give the token back."""
+        """Whether the exact merges of a token's own characters give the token back."""
         got = self.sound.get(token)
         if got is None:
             end = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
-            got = self.sound[token] = self.exact(self.symbols(token[: -len(self.suffix)] if end else token, end)) == [self.vocab[token]]
+            got = self.sound[token] = self.exact(self.characters(token[: -len(self.suffix)] if end else token, end)) == [self.vocab[token]]
         return got
 
     def greedy(self, word: str) -> list[int] | None:
@@ -184,7 +186,7 @@ class WordBpe:
         for w, g, fails in zip(words, guess, bad, strict=True):
             if fails or g is None:
                 self.failed += 1
-                g = self.exact(self.symbols(w))
+                g = self.exact(self.characters(w))
             self.word_ids[w] = tuple(g)
 
     def split(self, unit: str) -> list[str | int]:
@@ -210,14 +212,15 @@ class WordBpe:
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids (little-endian unsigned 32-bit) and its decoding: the tokens, joined by blanks."""
         parts = [t.split(" ") for t in texts]
-        if len(self.ids) > REMEMBER:
+        if self.size > REMEMBER:
             self.before = (self.ids, self.text)
-            self.ids, self.text = {}, {}
+            self.ids, self.text, self.size = {}, {}, 0
             self.word_ids.clear()
         new = set().union(*parts) - self.ids.keys()
-        for u in new & self.before[0].keys():
+        known = new & self.before[0].keys()
+        for u in known:
             self.ids[u], self.text[u] = self.before[0][u], self.before[1][u]
-        split = {u: self.split(u) for u in new - self.before[0].keys()}
+        split = {u: self.split(u) for u in new - known}
         fresh = {w for s in split.values() for w in s if isinstance(w, str)} - self.word_ids.keys()
         if fresh:
             self.learn(list(fresh))
@@ -226,25 +229,34 @@ class WordBpe:
             self.ids[u] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
             self.text[u] = "".join([self.token[i] + " " for i in ids])
         ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [(b"".join(map(ids, p)), "".join(map(text, p))[:-1]) for p in parts]
+        out = [(b"".join(map(ids, p)), "".join(map(text, p))[:-1]) for p in parts]
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            del self.word_ids[w]
+        for u in [u for u in split if len(u) > LONGEST]:
+            del self.ids[u], self.text[u], split[u]
+        # a unit in two tables, and about one word
+        self.size += 600 * (len(split) + len(known)) + 12 * (sum(map(len, split)) + sum(map(len, known)))
+        return out
 
 
 def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text_col: str = "text", keep: list[Column] | None = None, ids: bool = True) -> DataFrame:
     """``keep`` columns (all by default) plus ``ids`` (array, if asked for), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
     Whole texts, null as empty (no tokens, empty decoding). Special strings in a text keep their ids, none are added. A text
-    is handled between blanks: normalisation, splitting and merges never cross one.
+    is handled between blanks: normalisation, splitting and merges never cross one. A column of ``docs`` named like a result
+    gives way to it.
     """
-    src = docs.select(*(keep if keep is not None else [F.col(f"`{c}`") for c in docs.columns]), F.col(text_col).alias("__text"))
-    out = type(src.schema)([f for f in src.schema.fields if f.name != "__text"])
+    text = free_name(docs, "text")
+    src = docs.select(*(keep if keep is not None else kept_columns(docs, RESULTS if ids else RESULTS[1:])), F.col(f"`{text_col}`").alias(text))
+    out = type(src.schema)(src.schema.fields[:-1])
     if ids:
         out = out.add("ids", T.ArrayType(T.IntegerType()))
     out = out.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def body(batches):
         bpe = WordBpe.shared(tokenizer)
-        for b in slices(batches, "__text"):
-            done = bpe.encode([t or "" for t in b.column("__text").to_pylist()])
+        for b in slices(batches, text):
+            done = bpe.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             raw = [d[0] for d in done]
             cols = [pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(d[1].encode()).hexdigest() for d in done])]
             if ids:

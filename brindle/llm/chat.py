@@ -14,15 +14,23 @@ from pyspark.sql import functions as F
 from brindle.llm.common import slices
 from brindle.llm.tokens import ByteBpe
 
-#: Reserved ids after the vocabulary, and how they are written.
-IM_START, IM_END = 50257, 50258
-WRITTEN = {IM_START: "<|im_start|>", IM_END: "<|im_end|>"}
+#: How the markers of a turn are written; their ids are the first two beyond the tokenizer's.
+IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 #: A conversation with more tokens is given out in several rows.
 PART_TOKENS = 1 << 18
 
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
+def reserved(tokenizer: str) -> tuple[int, int]:
+    """Ids of the two markers. A tokenizer that already has them is refused: content could spell them."""
+    lib = ByteBpe.shared(tokenizer).lib
+    if any(lib.token_to_id(m) is not None for m in (IM_START, IM_END)):
+        raise ValueError("the tokenizer has the markers of a turn among its tokens")
+    first = max(lib.get_vocab(with_added_tokens=True).values()) + 1
+    return first, first + 1
+
+
 def escape(text: str) -> str:
     """One more backslash inside every ``<|``, ``<\\|``, ...: no control string is left, and unescape takes it out again."""
     return _CONTROL.sub(r"<\\\1|", text)
@@ -71,7 +79,7 @@ def format_conversations(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json",
 
     def assemble(batches):
         end = np.frombuffer(ByteBpe.shared(tokenizer).encode_bytes(["\n"])[0], "<u4")
-        start, stop = np.array([IM_START], "<u4"), np.array([IM_END], "<u4")
+        start, stop = (np.array([i], "<u4") for i in reserved(tokenizer))
         conv, part, held, size = None, 0, [], 0
 
         def flush(last: bool) -> pa.RecordBatch:
@@ -109,6 +117,7 @@ class Reader:
 
     def __init__(self, tokenizer: str):
         bpe = ByteBpe.shared(tokenizer)
+        self.start, self.stop = reserved(tokenizer)
         self.bytes = {i: bpe.fast.decode_single_token_bytes(i) for i in bpe.fast._mergeable_ranks.values()}
 
     def text(self, ids: np.ndarray) -> str:
@@ -116,10 +125,10 @@ class Reader:
 
     def turns(self, tokens: np.ndarray) -> Iterator[tuple[str, str, int]]:
         """Role, text, and number of characters of the formatted turn."""
-        for a, z in zip(np.flatnonzero(tokens == IM_START), np.flatnonzero(tokens == IM_END), strict=True):
+        for a, z in zip(np.flatnonzero(tokens == self.start), np.flatnonzero(tokens == self.stop), strict=True):
             inner = self.text(tokens[a + 1 : z])
             role, _, text = inner.partition("\n")
-            yield unescape_role(role), unescape(text), len(WRITTEN[IM_START]) + len(inner) + len(WRITTEN[IM_END]) + 1
+            yield unescape_role(role), unescape(text), len(IM_START) + len(inner) + len(IM_END) + 1
 
     def learned(self, tokens: np.ndarray, mask: np.ndarray) -> Iterator[str]:
         """Text of each run under the mask."""

@@ -9,8 +9,9 @@ import numpy as np
 
 from brindle.llm.common import tokenizer_path
 
-#: Encoded units that a Python worker remembers; the memory is emptied when it is full. Results do not depend on it.
-REMEMBER = 300_000
+#: Bytes of encoded units that a Python worker remembers, by estimate, and characters of the longest unit that is remembered at all;
+#: the memory is emptied when it is full. Results do not depend on it.
+REMEMBER, LONGEST = 96 << 20, 64
 
 #: GPT-2's published splitting pattern.
 GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,6 +76,7 @@ class ByteBpe:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("units", pat_str=GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.plain = re.compile("[\x00-ɏ]*")
 
     def _new(self, unit: str) -> bytes:
@@ -92,10 +94,16 @@ class ByteBpe:
             try:
                 out.append(b"".join(map(known.__getitem__, parts)))
             except KeyError:
-                if len(known) > REMEMBER:
+                if self.size > REMEMBER:
                     known.clear()
+                    self.size = 0
+                long: dict[str, bytes] = {}
                 for u in parts:
-                    if u not in known:
-                        known[u] = self._new(u)
-                out.append(b"".join(map(known.__getitem__, parts)))
+                    if u not in known and u not in long:
+                        if len(u) > LONGEST:
+                            long[u] = self._new(u)
+                        else:
+                            known[u] = self._new(u)
+                            self.size += 300 + 4 * len(u) + len(known[u])
+                out.append(b"".join([long[u] if u in long else known[u] for u in parts]))
         return out
