@@ -1,51 +1,42 @@
-"""Line de-duplication over content-defined chunks of lines, in SQL expressions only."""
+"""Line de-duplication over content-defined chunks of lines, in SQL expressions only.
+
+Two steps find passages: ``chunk_ends`` cuts a text at local minima of a rolling hash over its line hashes, and ``_reach`` adds, if
+asked for, the shortest runs of lines over a number of words, which chunks can straddle. One step groups equal passages over
+all documents, one compares their bytes, and one takes out all places but the first.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import saved
+from brindle.llm.common import discard, packed, saved, unpacked
 
-#: A line with at least so many spaces is a chunk of its own and counts as multi-line.
-LONG_LINE = 50
 #: Runs of lines with more words than this are compared wherever they begin, if asked for.
 RUN_WORDS = 50
+#: Identity of a line; equal hashes are compared by bytes afterwards.
+LINE_HASH = "xxhash64(x)"
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """Adds ``lines`` and ``facts``: of each line the rolling hash's input (the first 32 bits of its MD5), its identity, and its
+    words, which are its blanks plus one, or 0 if there is only white space."""
+    df = df.withColumn("lines", F.expr("split(t, '\\n', -1)"))
+    words = "if(trim(both ' \\t\\r' from x) = '', 0, 1 + octet_length(x) - octet_length(replace(x, ' ', '')))"
+    return df.withColumn("facts", F.expr(f"transform(lines, x -> named_struct('m', cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint), 'h', {LINE_HASH}, 'w', {words}))"))
 
 
-def _chunked(df: DataFrame, long_line: int) -> DataFrame:
-    """Adds ``_lines`` and ``_ends`` (index of each chunk's last line) to ``df`` with a column ``_text``.
+def _chunks(df: DataFrame) -> DataFrame:
+    """Adds ``chunks``: first and last line of each chunk of two lines or more that is not all white space.
 
-    A line's hash is the first 32 bits of its MD5. The rolling hash after line i covers lines i-1 and i,
-    ``(31 * h[i-1] + h[i]) mod 4294967291``; a chunk ends where it is a strict local minimum, so a chunk cut inside has two lines
-    or more, and an inserted line moves only the boundaries next to it.
+    The rolling hash after line i covers lines i-1 and i, ``(31 * m[i-1] + m[i]) mod 4294967291``; a chunk ends where it is a
+    strict local minimum, so an inserted line moves only the boundaries next to it.
     """
-    df = df.withColumn("_lines", F.expr("split(_text, '\\n', -1)"))
-    df = df.withColumn(
-        "_facts",
-        F.expr(
-            f"transform(_lines, x -> named_struct('h', cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint), 'long', length(x) - length(replace(x, ' ', '')) >= {int(long_line)}))"
-        ),
-    )
-    df = df.withColumn("_roll", F.expr("transform(_facts, (x, i) -> if(i = 0, 4294967291L, pmod(31L * element_at(_facts, if(i = 0, 1, i)).h + x.h, 4294967291L)))"))
-    last = "size(_lines) - 1"
-    return df.withColumn(
-        "_ends",
-        F.expr(
-            f"filter(sequence(0, {last}), i -> i = {last} or _facts[i].long or _facts[least(i + 1, {last})].long"
-            f" or (i > 0 and _roll[i] < _roll[greatest(i - 1, 0)] and _roll[i] < _roll[least(i + 1, {last})]))"
-        ),
-    )
-
-
-def _start(k: str = "k") -> str:
-    return f"if({k} = 0, 0, element_at(_ends, if({k} = 0, 1, {k})) + 1)"
-
-
-def _repeated(chunks: DataFrame) -> DataFrame:
-    """Chunks seen more than once, with their first place. The hash groups; equal least and greatest text is the byte comparison."""
-    seen = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "k")).alias("f"), F.min("txt").alias("lo"), F.max("txt").alias("hi"))
-    return saved(seen.where("n > 1 and lo = hi").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.k").alias("fk")))
+    df = df.withColumn("roll", F.expr("transform(facts, (x, i) -> if(i = 0, 4294967291L, pmod(31L * get(facts, i - 1).m + x.m, 4294967291L)))"))
+    last = "size(lines) - 1"
+    df = df.withColumn("ends", F.expr(f"filter(sequence(0, {last}), i -> i = {last} or (i > 0 and roll[i] < get(roll, i - 1) and roll[i] < get(roll, i + 1)))"))
+    every = "transform(ends, (e, k) -> named_struct('s', if(k = 0, 0, get(ends, k - 1) + 1), 'e', e))"
+    return df.withColumn("chunks", F.expr(f"filter({every}, v -> v.e > v.s and exists(slice(facts, v.s + 1, v.e - v.s + 1), x -> x.w > 0))")).drop("roll", "ends")
 
 
 def _reach(df: DataFrame, lines: str, out: str, words: int) -> DataFrame:
@@ -55,103 +46,106 @@ def _reach(df: DataFrame, lines: str, out: str, words: int) -> DataFrame:
     from each other and then tried from the largest down: linear in the lines.
     """
     steps = int(words).bit_length()
-    df = df.withColumn("_sum0", F.expr(f"transform({lines}, x -> least(x.w, {int(words) + 1}))"))
+    df = df.withColumn("sum0", F.expr(f"transform({lines}, x -> least(x.w, {int(words) + 1}))"))
     for k in range(steps - 1):
-        df = df.withColumn(f"_sum{k + 1}", F.expr(f"transform(_sum{k}, (x, i) -> x + coalesce(get(_sum{k}, i + {1 << k}), 0))"))
-    df = df.withColumn(out, F.expr("transform(_sum0, (x, i) -> named_struct('q', i, 't', 0))"))
+        df = df.withColumn(f"sum{k + 1}", F.expr(f"transform(sum{k}, (x, i) -> x + coalesce(get(sum{k}, i + {1 << k}), 0))"))
+    df = df.withColumn(out, F.expr("transform(sum0, (x, i) -> named_struct('q', i, 't', 0))"))
     for k in reversed(range(steps)):
-        fits = f"v.q + {1 << k} <= size(_sum0) and v.t + get(_sum{k}, v.q) <= {int(words)}"
-        df = df.withColumn(out, F.expr(f"transform({out}, v -> if({fits}, named_struct('q', v.q + {1 << k}, 't', v.t + get(_sum{k}, v.q)), v))"))
-    return df.drop(*[f"_sum{k}" for k in range(steps)])
-
-
-def _text_of(s: str, e: str) -> str:
-    return f"array_join(slice(_lines, {s} + 1, {e} - {s} + 1), '\\n')"
+        fits = f"v.q + {1 << k} <= size(sum0) and v.t + get(sum{k}, v.q) <= {int(words)}"
+        df = df.withColumn(out, F.expr(f"transform({out}, v -> if({fits}, named_struct('q', v.q + {1 << k}, 't', v.t + get(sum{k}, v.q)), v))"))
+    return df.drop(*[f"sum{k}" for k in range(steps)])
 
 
-def _runs(plain: DataFrame, words: int) -> DataFrame:
-    """``(d, th, h, s, e)``: the shortest runs of lines s to e with more than ``words`` words, from each line on and back from each line.
+def _runs(df: DataFrame, words: int) -> DataFrame:
+    """Adds ``runs``: the shortest runs of lines s to e with more than ``words`` words, from each line on and back from each line.
 
     Blank lines neither begin nor end a run. A passage of more words is covered by the runs inside it entirely, and they
     are the same in every copy, whatever stands around it.
     """
-    df = plain.withColumn("_lines", F.expr("split(_text, '\\n', -1)"))
-    df = df.withColumn("_on", F.expr(r"filter(transform(_lines, (x, i) -> named_struct('i', i, 'w', regexp_count(x, '\\S+'))), x -> x.w > 0)"))
-    df = _reach(df, "_on", "_to", words).withColumn("_back", F.reverse("_on"))
-    df = _reach(df, "_back", "_from", words)
-    there = "transform(filter(transform(_to, (v, p) -> named_struct('s', p, 'e', v.q)), v -> v.e < size(_on)), v -> cast(_on[v.s].i as bigint) * 2147483648 + _on[v.e].i)"
-    back = "transform(filter(transform(_from, (v, p) -> named_struct('e', p, 's', v.q)), v -> v.s < size(_on)), v -> cast(_back[v.s].i as bigint) * 2147483648 + _back[v.e].i)"
-    df = df.withColumn("_key", F.expr(f"array_distinct(concat({there}, {back}))"))
-    df = df.withColumn("_place", F.expr("transform(_key, x -> named_struct('s', cast(shiftright(x, 31) as int), 'e', cast(x & 2147483647 as int)))"))
-    df = df.select("d", "th", F.explode(F.expr(f"transform(_place, x -> named_struct('h', xxhash64({_text_of('x.s', 'x.e')}), 's', x.s, 'e', x.e))")).alias("r"))
-    return df.select("d", "th", "r.h", "r.s", "r.e")
-
-
-def _repeated_runs(plain: DataFrame, words: int) -> DataFrame:
-    """``(d, th, v)``: each place of each run seen more than once; lines ``v.c`` to ``v.e`` repeat its first place, which itself repeats nothing."""
-    runs = _runs(plain, words)
-    seen = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e")).alias("f"))
-    first = saved(seen.where("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.e").alias("fe")))
-    here = "d <=> fd and th = fth"
-    return runs.join(first.hint("merge"), "h").select("d", "th", F.struct("h", "s", "e", F.expr(f"if({here}, greatest(s, fe + 1), s)").alias("c")).alias("v"))
+    df = df.withColumn("on", F.expr("filter(transform(facts, (x, i) -> named_struct('i', i, 'w', x.w)), x -> x.w > 0)"))
+    df = _reach(df, "on", "there", words).withColumn("back", F.reverse("on"))
+    df = _reach(df, "back", "from", words)
+    there = "transform(filter(transform(there, (v, p) -> named_struct('s', p, 'e', v.q)), v -> v.e < size(on)), v -> named_struct('s', on[v.s].i, 'e', on[v.e].i))"
+    back = "transform(filter(transform(`from`, (v, p) -> named_struct('e', p, 's', v.q)), v -> v.s < size(on)), v -> named_struct('s', back[v.s].i, 'e', back[v.e].i))"
+    return df.withColumn("runs", F.expr(f"concat({there}, {back})")).drop("on", "there", "back", "from")
+
+
+def _slice(of: str, v: str = "v") -> str:
+    return f"slice({of}, {v}.s + 1, {v}.e - {v}.s + 1)"
+
+
+def passages(plain: DataFrame, run_words: int | None) -> DataFrame:
+    """``(d, th, h, s, e)`` of every chunk, and of every run of more than ``run_words`` words, in ``plain(d, th, t)``; lines s to e, each pair once."""
+    df = _chunks(_facts(plain))
+    found = "chunks"
+    if run_words is not None:
+        df, found = _runs(df, run_words), "array_distinct(concat(chunks, runs))"
+    df = df.withColumn("ids", F.expr("transform(facts, x -> x.h)")).withColumn("found", F.expr(found))
+    df = df.select("d", "th", F.explode(F.expr(f"transform(found, v -> named_struct('h', xxhash64({_slice('ids')}), 's', v.s, 'e', v.e))")).alias("v"))
+    return df.select("d", "th", "v.h", "v.s", "v.e")
+
 
+def _differing(hit: DataFrame) -> DataFrame:
+    """``h`` of the passages in ``hit(t, v)`` that share their hash with other bytes.
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE, stats: bool = False, run_words: int | None = None) -> DataFrame:
+    Equal bytes are equal lines in equal order. So the least and the greatest row of line hashes of each ``h`` must be the same, and so
+    must the least and the greatest text of each line hash: every line goes through the comparison once for a document, not once for each passage.
+    """
+    df = _facts(hit).withColumn("ids", F.expr("transform(facts, x -> x.h)"))
+    rows = df.select(F.explode(F.expr(f"transform(v, v -> named_struct('h', v.h, 'ids', {_slice('ids')}))")).alias("r")).select("r.*")
+    uneven = rows.groupBy("h").agg(F.min("ids").alias("lo"), F.max("ids").alias("hi")).where("lo <> hi").select("h")
+    used = f"array_distinct(flatten(transform(v, v -> {_slice('lines')})))"
+    lines = df.select(F.explode(F.expr(used)).alias("x")).select(F.expr(LINE_HASH).alias("h"), "x")
+    mixed = saved(lines.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h"))
+    if mixed.head(1):
+        # two different lines with one 64-bit hash: whatever holds such a line is left alone
+        at = rows.select("h", F.explode("ids").alias("line")).distinct()
+        uneven = uneven.union(at.join(mixed.select(F.col("h").alias("line")), "line", "left_semi").select("h"))
+    return uneven.distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, run_words: int | None = None) -> DataFrame:
     """``docs`` with every repeated multi-line chunk of ``text_col`` removed but for its first place.
 
     Places are ordered by id (null first), a hash of the whole text, and position. Chunks of white space only are
     left. Null text stays null and empty text stays empty; a document made of repeats only becomes empty; rows are never dropped.
-    Rows with equal id and equal text are one document: all keep what the first place keeps. Groups whose hash is equal
-    but whose bytes differ are left alone. ``stats`` adds ``removed_chunks`` and ``removed_lines``. Other columns are
-    passed on whatever their names, unless they begin with two underscores and ``dl``.
+    Rows with equal id and equal text are one document: all keep what the first place keeps. Passages whose hash is equal
+    but whose bytes differ are left alone.
 
     Chunk boundaries depend on the lines around a passage. With ``run_words`` every repeated run of lines with more words
-    goes as well, wherever the boundaries fall; a run that overlaps its own first place goes from where that ends.
+    goes as well, wherever the boundaries fall, single lines among them; a run that overlaps its own first place goes from where that ends.
+
+    Other columns pass through untouched whatever their names. ``stats`` adds ``removed_passages`` (places taken out, which may overlap)
+    and ``removed_lines``; a column of ``docs`` with such a name gives way to it.
     """
-    plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("_text")).where("_text is not null")
-    cut = _chunked(plain, long_line)
-    rows = cut.select("d", "th", F.expr(f"transform(_ends, (e, k) -> named_struct('k', k, 'n', e - {_start()} + 1, 'long', _facts[e].long, 'txt', array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))").alias("c"))
-    rows = rows.select("d", "th", F.explode_outer("c").alias("c")).select("d", "th", "c.k", F.col("c.txt").alias("txt"), (F.col("c.n") > 1).alias("multi"), F.col("c.long").alias("long"))
-    rows = rows.where("(multi or long) and trim(both ' \t\n\r' from txt) <> ''").select("d", "th", "k", "txt", F.sha2("txt", 256).alias("h"))
-    first = _repeated(rows)
-    hits = rows.select("d", "th", "k", "h").join(first.hint("merge"), "h").where("not (d <=> fd and th = fth and k = fk)")
-    if run_words is not None:
-        place = "struct<h: bigint, s: int, e: int, c: int>"
-        found = _repeated_runs(plain, run_words).select("d", "th", F.lit(None).cast("int").alias("k"), F.col("v").cast(place).alias("v"))
-        hits = hits.select("d", "th", "k", F.lit(None).cast(place).alias("v")).unionByName(found)
-    cuts = [F.collect_set("k").alias("__dl_cut"), *([F.collect_set("v").alias("__dl_runs")] if run_words is not None else [])]
-    drop = saved(hits.groupBy(F.col("d").alias("__dl_d"), F.col("th").alias("__dl_th")).agg(*cuts))
-    own = docs.withColumn("__dl_own", F.xxhash64(F.col(text_col)))
-    # always a sort-merge join: the plan, and with it the disk, is the same at every size
-    joined = own.join(drop.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__dl_d")) & (F.col("__dl_own") == F.col("__dl_th")), "left")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    if run_words is not None:
-        return _without(joined.select(F.struct(F.lit(0).alias("__dl_0"), *keep).alias("__dl_keep"), F.col(f"`{text_col}`").alias("_text"), "__dl_cut", "__dl_runs"), docs.columns, text_col, long_line, stats)
-    wide = _chunked(joined.select(*keep, F.col(f"`{text_col}`").alias("_text"), "__dl_cut"), long_line)
-    parts = f"transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), cast(null as string), array_join(slice(_lines, {_start()} + 1, e - {_start()} + 1), '\\n')))"
-    text = F.when(F.col("__dl_cut").isNull(), F.col("_text")).otherwise(F.expr(f"array_join({parts}, '\\n')"))
-    # generators hold filters back: pushed down they would be copied into every lambda below
-    out: list[Column] = [F.explode_outer(F.array(text)).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    if stats:
-        lost = f"coalesce(aggregate(transform(_ends, (e, k) -> if(array_contains(__dl_cut, k), e - {_start()} + 1, 0)), 0, (a, x) -> a + x), 0)"
-        out += [F.coalesce(F.size("__dl_cut"), F.lit(0)).alias("removed_chunks"), F.when(F.col("__dl_cut").isNull(), 0).otherwise(F.expr(lost)).alias("removed_lines")]
-    return wide.select(*out)
-
-
-def _without(joined: DataFrame, columns: list[str], text_col: str, long_line: int, stats: bool) -> DataFrame:
-    """Compares the bytes of the runs in ``__dl_runs`` and takes out the lines of these and of the chunks in ``__dl_cut``."""
-    joined = saved(joined)
-    lines = joined.where("size(__dl_runs) > 0").select("__dl_runs", F.expr("split(_text, '\\n', -1)").alias("_lines"))
-    texts = lines.select(F.explode(F.expr(f"transform(__dl_runs, v -> named_struct('h', v.h, 'txt', {_text_of('v.s', 'v.e')}))")).alias("r")).select("r.h", "r.txt")
-    differ = texts.groupBy("h").agg(F.min("txt").alias("lo"), F.max("txt").alias("hi")).where("lo <> hi")
-    differ = saved(differ.select("h")).agg(F.collect_set("h").alias("__dl_not"))
-    wide = _chunked(joined.crossJoin(F.broadcast(differ)), long_line)
-    chunks = f"transform(__dl_cut, k -> sequence({_start()}, _ends[k]))"
-    runs = "transform(filter(__dl_runs, v -> v.c <= v.e and not array_contains(__dl_not, v.h)), v -> sequence(v.c, v.e))"
-    wide = wide.withColumn("_gone", F.expr(f"array_distinct(flatten(concat({chunks}, {runs})))"))
-    wide = wide.withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
-    text = F.expr("if(coalesce(size(_gone), 0) < 1, _text, array_join(transform(_left, i -> _lines[i]), '\\n'))")
-    out: list[Column] = [F.explode_outer(F.array(text)).alias(text_col) if c == text_col else F.col(f"__dl_keep.`{c}`") for c in columns]
+    whole = docs.select(packed(docs, (text_col,)).alias("doc"), F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("t"))
+    places = saved(passages(whole.select("d", "th", "t").where("t is not null"), run_words))
+    seen = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e")).alias("f"))
+    first = saved(seen.where("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.e").alias("fe")))
+    cut = F.expr("if(d <=> fd and th = fth, greatest(s, fe + 1), s)")
+    # sort-merge joins at every size: the plan, and with it the disk, does not change
+    hits = places.join(first.hint("merge"), "h").withColumn("c", cut)
+    drop = saved(hits.groupBy("d", "th").agg(F.collect_set(F.struct("h", "s", "e", "c")).alias("v")))
+    joined = saved(_with(whole, drop))
+    wrong = saved(_differing(joined.where("size(v) > 0").select("t", "v")))
+    if wrong.head(1):
+        left = joined.select("d", "th", F.explode("v").alias("r")).join(wrong, F.col("r.h") == wrong.h, "left_anti")
+        joined = saved(_with(joined.drop("v"), left.groupBy("d", "th").agg(F.collect_set("r").alias("v"))))
+    discard(places, first, drop, wrong)
+    gone = "array_distinct(flatten(transform(filter(v, r -> r.c <= r.e), r -> sequence(r.c, r.e))))"
+    out = joined.withColumn("lines", F.expr("if(size(v) > 0, split(t, '\\n', -1), null)")).withColumn("gone", F.expr(gone))
+    out = out.withColumn("rest", F.expr("array_except(sequence(0, size(lines) - 1), gone)"))
+    text = F.expr("if(coalesce(size(gone), 0) < 1, t, array_join(transform(rest, i -> lines[i]), '\\n'))")
+    # the generator holds filters back: pushed down they would be copied into the lambdas
+    out = out.withColumn("new", F.explode_outer(F.array(text)))
+    cols = unpacked(docs, "doc", {text_col: F.col("new")})
     if stats:
-        out += [F.expr("greatest(0, coalesce(size(__dl_cut), 0))").alias("removed_chunks"), F.expr("greatest(0, coalesce(size(_gone), 0))").alias("removed_lines")]
-    return wide.select(*out)
+        names = ("removed_passages", "removed_lines")
+        cols = [c for c, name in zip(cols, docs.columns, strict=True) if name.lower() not in names]
+        cols += [F.expr("coalesce(size(filter(v, r -> r.c <= r.e)), 0)").alias(names[0]), F.expr("greatest(0, coalesce(size(gone), 0))").alias(names[1])]
+    return out.select(*cols)
+
+
+def _with(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    d = drop.select(F.col("d").alias("dd"), F.col("th").alias("dth"), "v")
+    return rows.join(d.hint("merge"), F.col("d").eqNullSafe(F.col("dd")) & (F.col("th") == F.col("dth")), "left").drop("dd", "dth")

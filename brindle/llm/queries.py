@@ -49,7 +49,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs, stats=True)
+    return linededup.dedup_lines(docs, stats=True, run_words=linededup.RUN_WORDS)
 
 
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,27 +59,35 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup)}
 
-_LINES = "string_split(text, chr(10))"
+#: Words of a line: blanks plus one, none in a line of white space.
+_WORDS = "CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 0 ELSE 1 + length(x) - length(replace(x, ' ', '')) END"
 ORACLE_SQL = {
     "op9_line_dedup": f"""
-WITH l AS (SELECT doc_id, text, {_LINES} AS lines FROM documents),
-f AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h,
-             list_transform(lines, lambda x: length(x) - length(replace(x, ' ', '')) >= 50) AS lng FROM l),
-r AS (SELECT *, list_transform(range(len(lines)), lambda i: CASE WHEN i = 0 THEN 4294967291 ELSE (31 * h[i] + h[i + 1]) % 4294967291 END) AS roll FROM f),
-e AS (SELECT *, list_filter(range(len(lines)), lambda i: i = len(lines) - 1 OR lng[i + 1] OR coalesce(lng[i + 2], false)
-             OR (i > 0 AND roll[i + 1] < roll[i] AND roll[i + 1] < coalesce(roll[i + 2], -1))) AS ends FROM r),
-c AS (SELECT doc_id, text, lines, lng, unnest(range(len(ends))) AS k, unnest(ends) AS e_, ends FROM e),
-p AS (SELECT doc_id, text, k, e_ - s_ + 1 AS n, lng[e_ + 1] AS lng_, array_to_string(lines[s_ + 1 : e_ + 1], chr(10)) AS txt
-      FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE ends[k] + 1 END AS s_ FROM c)),
-q AS (SELECT *, (n > 1 OR lng_) AND trim(txt, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS fit FROM p),
-w AS (SELECT *, fit AND row_number() OVER (PARTITION BY fit, txt ORDER BY doc_id, k) > 1 AS cut FROM q)
-SELECT doc_id, coalesce(string_agg(txt, chr(10) ORDER BY k) FILTER (NOT cut), '') AS text,
-       (count(*) FILTER (cut))::INT AS removed_chunks, coalesce(sum(n) FILTER (cut), 0)::INT AS removed_lines
-FROM w GROUP BY doc_id""",
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS m, list_transform(lines, lambda x: {_WORDS}) AS w FROM l),
+r AS (SELECT *, list_transform(range(len(lines)), lambda i: CASE WHEN i = 0 THEN 4294967291 ELSE (31 * m[i] + m[i + 1]) % 4294967291 END) AS roll FROM f),
+e AS (SELECT *, list_filter(range(len(lines)), lambda i: i = len(lines) - 1 OR (i > 0 AND roll[i + 1] < roll[i] AND roll[i + 1] < roll[i + 2])) AS ends FROM r),
+c AS (SELECT doc_id, w, unnest(range(len(ends))) AS k, unnest(ends) AS e, ends FROM e),
+chunks AS (SELECT doc_id, s, e FROM (SELECT doc_id, w, e, CASE WHEN k = 0 THEN 0 ELSE ends[k] + 1 END AS s FROM c) WHERE e > s AND list_sum(w[s + 1 : e + 1]) > 0),
+lit AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w FROM f) WHERE w > 0),
+there AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM lit a ASOF JOIN lit b ON a.doc_id = b.doc_id AND a.upto - a.w + {linededup.RUN_WORDS + 1} <= b.upto),
+back AS (SELECT a.doc_id, b.i AS s, a.i AS e FROM lit a ASOF JOIN (SELECT *, upto - w AS before FROM lit) b ON a.doc_id = b.doc_id AND a.upto - {linededup.RUN_WORDS + 1} >= b.before),
+places AS (SELECT doc_id, s, e FROM chunks UNION SELECT doc_id, s, e FROM there UNION SELECT doc_id, s, e FROM back),
+t AS (SELECT p.*, array_to_string(lines[s + 1 : e + 1], chr(10)) AS txt FROM places p JOIN l USING (doc_id)),
+g AS (SELECT *, count(*) OVER (PARTITION BY txt) AS n, first_value(doc_id) OVER q AS fd, first_value(e) OVER q AS fe FROM t WINDOW q AS (PARTITION BY txt ORDER BY doc_id, s, e)),
+h AS (SELECT * FROM (SELECT doc_id, e, CASE WHEN doc_id = fd THEN greatest(s, fe + 1) ELSE s END AS c FROM g WHERE n > 1) WHERE c <= e),
+gone AS (SELECT DISTINCT doc_id, unnest(range(c, e + 1)) AS i FROM h),
+x AS (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM l),
+y AS (SELECT x.doc_id, coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (gone.i IS NULL), '') AS text, count(gone.i)::INT AS removed_lines FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id),
+z AS (SELECT doc_id, count(*)::INT AS removed_passages FROM h GROUP BY doc_id)
+SELECT d.doc_id, y.text, coalesce(z.removed_passages, 0) AS removed_passages, coalesce(y.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)""",
     "op3_exact_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+q AS (SELECT vec_id, arg_min(e, embedding) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+      FROM q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_chat_format": r"""
