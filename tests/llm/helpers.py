@@ -1,6 +1,10 @@
 """A small hostile documents table: nulls, empty and long texts, repeated rows and ids, clashing extra columns."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t string, id long, block long, fp long, k string, label int"
+#: Extra columns with names that operators use for themselves, or for results, each with its value.
+EXTRA = {"t": "clash", "id": 99, "block": 3, "fp": 4, "k": "k", "label": 1}
+EXTRA |= {n: f"own {n}" for n in ("_lines", "_text", "_ends", "_facts", "_roll", "__text", "__h0", "doc", "d", "th", "v", "h", "wid", "c0", "lines", "facts", "new", "gone", "lang_best", "lang_log", "_")}
+RESULTS = {n: f"own {n}" for n in ("score", "lang_pred", "n_tokens", "removed_lines", "ids")}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` {'string' if isinstance(x, str) else 'long'}" for n, x in (EXTRA | RESULTS).items())
 LONG = " ".join(f"word{i % 37} and\nmore" for i in range(4000))
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog", "en", "s"),
@@ -21,7 +25,7 @@ ROWS = [
 
 
 def rows():
-    return [(*r, None, "clash", 99, 3, 4, "k", 1) for r in ROWS]
+    return [(*r, None, *EXTRA.values(), *RESULTS.values()) for r in ROWS]
 
 
 def docs(spark):
@@ -30,3 +34,9 @@ def docs(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def assert_extras(rows, but=()):
+    """Every extra column that is no result has the value it came with."""
+    for r in rows:
+        assert {n: r[n] for n in EXTRA | RESULTS if n not in but} == {n: x for n, x in (EXTRA | RESULTS).items() if n not in but}
