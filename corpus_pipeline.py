@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import langid, linededup, packing, simhash
-from brindle.llm.common import saved, table
+from brindle.llm.common import packed, saved, table, unpacked
 
 #: A document whose best language has a smaller posterior is rejected, as is one without letters.
 MIN_LANGUAGE_SCORE = 0.5
@@ -15,8 +15,8 @@ MIN_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: learned from the labelled rows of the stage's input, held-out fold excepted."""
     model = langid.fit(docs.where(langid.fold("doc_id", 4) != 2))
-    cols = docs.columns
-    return langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*cols)
+    found = langid.identify(docs, model, keep=[packed(docs).alias("doc")])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*unpacked(docs, "doc"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
