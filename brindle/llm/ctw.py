@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,9 +173,12 @@ def log10_probability(keys: np.ndarray, tables: dict, top: dict) -> np.ndarray:
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key. The keys come in sorted runs, which a stable sort merges."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    u, inv = np.unique(k, return_inverse=True)
-    return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order].astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
 class _Block:
@@ -271,6 +275,14 @@ def _rows(rows, schema):
 _BLOB_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, some of which may be empty; each for itself, so that no rounding depends on its neighbours."""
+    out, full = np.zeros(len(lengths), values.dtype), np.flatnonzero(lengths)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full])
+    return out
+
+
 def _dealt(src: DataFrame) -> DataFrame:
     """``src`` with a column ``block``: each task cuts its rows into blocks of about ``BLOCK_BYTES``, whatever the rows are."""
 
@@ -425,27 +437,26 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         def joined(which, dtype):
             k = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, np.uint64, True) for x, q in zip(keys, kind, strict=True) if q == which)])
             v = np.concatenate([np.zeros(0, dtype), *(_unpack(x, dtype) for x, q in zip(values, kind, strict=True) if q == which)])
-            order = np.argsort(k)
-            return k[order], v[order]
+            k, at = np.unique(k, return_index=True)
+            return pd.Index(k), v[at]
 
         gram, logp = joined(GRAM, np.float64)
         word, count = joined(WORD, np.int64)
         end = math.log10((texts_seen + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = [[], [], [], [], [], []]
         for b in slices(texts.to_batches(), "t", max_bytes=1 << 20):
-            value: dict[bytes, tuple[float, bool]] = {}
-            for t in buffers(b, "t"):
-                t = t.lower()
-                words = t.split()
-                new = [w for w in set(words) if w not in value]
-                if new:
-                    c = count[np.searchsorted(word, _word_hashes(new))]
-                    s = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
-                    value.update(zip(new, zip(s.tolist(), (c > 0).tolist(), strict=True), strict=True))
-                got = np.array([value[w] for w in words], np.float64).reshape(-1, 2)
-                own = logp[np.searchsorted(gram, np.sort(grams_of([t])))].sum()
-                for x, v in zip(out, (len(words) + 1, int(got[:, 1].sum()) + (texts_seen > 0), total, got[:, 0].sum() + end, own, -own * math.log2(10) / (len(t) + 1)), strict=True):
-                    x.append(v)
+            held_back = [t.lower() for t in buffers(b, "t")]
+            words = [t.split() for t in held_back]
+            number: dict[bytes, int] = {}
+            ids = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+            c = count[word.get_indexer(_word_hashes(list(number)))]
+            n_words = np.array([len(ws) for ws in words])
+            own = _by_text(logp[gram.get_indexer(grams_of(held_back))], np.array([len(t) + 1 for t in held_back]))
+            known_words = _by_text((c > 0).astype(np.int64)[ids], n_words) + (texts_seen > 0)
+            base = _by_text(np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))[ids], n_words) + end
+            bits = -own * math.log2(10) / np.array([len(t) + 1 for t in held_back])
+            for x, v in zip(out, (n_words + 1, known_words, np.full(len(words), total), base, own, bits), strict=True):
+                x.extend(v.tolist())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.table([texts.column("id"), texts.column("held"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", *names])
