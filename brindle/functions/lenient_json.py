@@ -19,3 +19,18 @@ def _leading_integer(c: Column) -> Column:
 
 def string(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
+
+
+def size(array: Column | str) -> Column:
+    """Number of elements; 0 where there is no array."""
+    return F.coalesce(F.size(col(array)), F.lit(0))
+
+
+def at(array: Column | str, i: int) -> Column:
+    """The element at ``i``, from 0; null beyond the ends."""
+    return F.get(col(array), F.lit(i))
+
+
+def pushed(array: Column | str, value: Column) -> Column:
+    """The array with one more element at its end."""
+    return F.array_append(col(array), value)

@@ -108,6 +108,54 @@ def score_column(name: Column | str, pattern: Column | str) -> Column:
     ).cast("int")
 
 
+def with_scores(rows: DataFrame, patterns: dict[str, str], name: str = "name") -> DataFrame:
+    """One column for each of several literal patterns, all unrolled."""
+    for out, pattern in patterns.items():
+        rows = with_score(rows, pattern, name, out)
+    return rows
+
+
+def _chain(d: DataFrame, low: str, pattern: str, longest: int, out: str) -> DataFrame:
+    """Adds ``out1`` .. ``outN``: positions of the pattern column's characters, 0 after a miss, the last one again beyond its end."""
+    for i in range(1, longest + 1):
+        prev = F.col(f"{out}{i - 1}") if i > 1 else F.lit(0)
+        at = F.call_function("locate", F.substring(pattern, i, 1), F.col(low), prev + 1)
+        at = F.when(prev > 0, at).otherwise(0) if i > 1 else at
+        d = d.withColumn(f"{out}{i}", F.when(F.length(pattern) >= i, at).otherwise(prev if i > 1 else F.lit(1)))
+    return d
+
+
+def scored_pairs(pairs: DataFrame, longest: int, longest_file: int) -> DataFrame:
+    """``pairs`` with columns ``name, file`` and patterns ``qname, qfile``: only those whose file and name match, with ``score``.
+
+    The chain of ``locate`` of ``with_score``, for a column of patterns of at most ``longest`` bytes: in one generated stage, without lambdas
+    or regular expressions. Generators hand on what matches; filters would be pushed down and copy the chain.
+    """
+    cols = [F.col(f"`{c}`") for c in pairs.columns]
+    d = pairs.withColumn("__file", ascii_lower(bytes_as_chars("file"))).withColumn("__qfile", ascii_lower(bytes_as_chars("qfile")))
+    if longest_file:
+        d = _chain(d, "__file", "__qfile", longest_file, "__f")
+        d = d.select(*cols, F.explode(F.when(F.col(f"__f{longest_file}") > 0, F.array(F.lit(0)))).alias("__go"))
+    d = d.withColumn("__raw", bytes_as_chars("name")).withColumn("__low", ascii_lower("__raw")).withColumn("__q", bytes_as_chars("qname")).withColumn("__qlow", ascii_lower("__q"))
+    if not longest:
+        return d.select(*cols, F.lit(0).alias("score"))
+    d = _chain(d, "__low", "__qlow", longest, "__p")
+    for i in range(1, longest + 1):
+        here, before = F.col(f"__p{i}"), F.col(f"__p{i - 1}") if i > 1 else F.lit(-1)
+        gain = F.when(here == before + 1, 10).otherwise(0) + F.when(_starts_word(F.col("__raw"), here), 20).otherwise(0) + F.when(F.substring("__raw", here, F.lit(1)) == F.substring("__q", i, 1), 5).otherwise(0)
+        d = d.withColumn(f"__s{i}", (F.col(f"__s{i - 1}") if i > 1 else F.lit(0)) + F.when(F.length("__q") >= i, gain).otherwise(0))
+    size, n = F.length("__raw"), F.length("__q")
+    value = (
+        F.when(n == 0, 0)
+        .when(size < n, F.lit(None).cast("int"))
+        .when((size == n) & (F.col("__low") == F.col("__qlow")), F.lit(1000))
+        .when(F.startswith("__low", F.col("__qlow")), 500 + F.greatest(F.lit(0), 100 - (size - n)))
+        .when(F.col(f"__p{longest}") > 0, F.greatest(F.lit(1), F.col(f"__s{longest}") - F.floor(size / 4).cast("int")))
+    )
+    d = d.withColumn("__v", value.cast("int"))
+    return d.select(*cols, F.explode(F.when(F.col("__v").isNotNull(), F.array("__v"))).alias("score"))
+
+
 def contains_subsequence(text: Column | str, pattern: str) -> Column:
     """Whether the pattern's bytes occur in order, in any ASCII case: one regular expression, no score."""
     _, low_p = _byte_lower(pattern)

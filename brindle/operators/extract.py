@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.stats import deduplicated
+from brindle.sources.shared import settled
 
 MAX_DEPTH = 16
 #: One file's rows and what became of it: ``error`` is null if it was read.
@@ -516,14 +517,21 @@ def captures_of(parsed: DataFrame) -> DataFrame:
     return deduplicated(parsed.where("error is null").select("file", F.explode("found").alias("c")).select("file", "c.*"))
 
 
-def declarations_of(parsed: DataFrame) -> DataFrame:
+def declarations_of(parsed: DataFrame, settle: bool = True) -> DataFrame:
     """Rows of the index, numbered from 0 by file, then offset. A file that was scanned twice has its numbers twice.
 
-    Only ``(file, number of declarations)`` pairs are put in order; the declarations themselves stay where they are.
+    ``parsed`` is read twice, hence settled unless the caller has done so. Only ``(file, number of declarations)`` pairs are put in order, in ranges of files: a running
+    sum within each range, and before it the sum of the ranges before, of which there are as many as partitions.
     """
-    good = parsed.where("error is null")
+    good = parsed.where("error is null").select("file", "found")
+    good = settled(good) if settle else good
     sizes = good.groupBy("file").agg(F.max(F.size("found")).cast("long").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sizes = settled(sizes.repartitionByRange("file").withColumn("part", F.spark_partition_id()))
+    offset, first = {}, 0
+    for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        offset[r["part"]], first = first, first + r["n"]
+    ranges = parsed.sparkSession.createDataFrame(list(offset.items()), "part int, first long")
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.join(F.broadcast(ranges), "part").select("file", (F.col("first") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"))
     rows = good.select("file", F.posexplode("found").alias("i", "c")).join(base, "file")
     return rows.select("c.name", "c.kind", "file", "c.line", (F.col("base") + F.col("i")).alias("ord"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import settled
+
 
 def removed(records: DataFrame, current: DataFrame) -> DataFrame:
     """Recorded paths that are gone."""
@@ -35,10 +37,22 @@ def upserted(records: DataFrame, fresh: DataFrame) -> DataFrame:
     return records.join(new.select("path"), "path", "left_anti").unionByName(new)
 
 
-def appended(declarations: DataFrame, fresh: DataFrame) -> DataFrame:
-    """UNION ALL; what is new comes after what was there: its order numbers go on from the largest."""
-    top = declarations.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
-    return declarations.unionByName(fresh.crossJoin(F.broadcast(top)).withColumn("ord", F.col("ord") + F.col("top") + 1).select(*declarations.columns))
+def largest(declarations: DataFrame) -> int:
+    """The largest order number in use, -1 if there is none."""
+    top = declarations.agg(F.max("ord")).first()[0]
+    return -1 if top is None else top
+
+
+def appended(declarations: DataFrame, fresh: DataFrame, top: int) -> DataFrame:
+    """UNION ALL; what is new comes after what was there: its order numbers go on from ``top``."""
+    return declarations.unionByName(fresh.withColumn("ord", F.col("ord") + top + 1).select(*declarations.columns))
+
+
+def states(records: DataFrame, current: DataFrame) -> DataFrame:
+    """``path, old_ns, mtime_ns, state`` for every path on either side, ``state`` one of removed, new, changed, same: one join for all that a refresh asks."""
+    both = records.select("path", F.col("mtime_ns").alias("old_ns"), F.lit(True).alias("known")).join(current.select("path", "mtime_ns", F.lit(True).alias("here")).dropDuplicates(["path"]), "path", "full")
+    state = F.when(F.col("here").isNull(), "removed").when(F.col("known").isNull(), "new").when(F.col("mtime_ns").eqNullSafe(F.col("old_ns")), "same").otherwise("changed")
+    return both.select("path", "old_ns", "mtime_ns", state.alias("state"))
 
 
 @dataclass
@@ -55,19 +69,33 @@ class Delta:
         return bool(self.n_removed or self.n_changed)
 
 
-def apply_delta(declarations: DataFrame, records: DataFrame, current: DataFrame, extract) -> Delta:
-    """Refresh from the present files. ``extract(paths)`` gives ``(declarations, parsed)`` for files to read.
+def apply_delta(declarations: DataFrame, records: DataFrame, current: DataFrame, extract, top: int | None = None) -> Delta:
+    """Refresh from the present files. ``extract(paths)`` gives ``(declarations, parsed)`` for files to read; ``top`` is the largest
+    order number in use, if it is known.
 
-    A file that cannot be read loses its declarations and keeps its old record, so the next refresh tries it again.
+    Both sides are read once, into the table of states, which is settled; all else reads that. A file that cannot be read loses its
+    declarations and keeps its old record, so the next refresh tries it again.
     """
-    gone, touched = removed(records, current), changed(records, current)
-    n_gone, n_touched = gone.count(), touched.count()
+    both = settled(states(records, current))
+    n = {r["state"]: r["count"] for r in both.groupBy("state").count().collect()}
+    n_gone, n_touched = n.get("removed", 0), n.get("new", 0) + n.get("changed", 0)
     if not n_gone and not n_touched:
         return Delta(declarations, records, 0, 0)
-    fresh, parsed = extract(touched.dropDuplicates(["path"]))
-    kept = without(declarations, evicted(records, current))
-    left = records.join(gone, "path", "left_anti")
-    return Delta(appended(kept, fresh), upserted(left, parsed), n_gone, n_touched)
+    fresh, parsed = extract(both.where("state in ('new', 'changed')").select("path", "mtime_ns"))
+    kept = without(declarations, both.where("state in ('removed', 'changed')").select("path"))
+    left = both.where("state in ('same', 'changed')").select("path", F.col("old_ns").alias("mtime_ns"))
+    return Delta(appended(kept, fresh, largest(declarations) if top is None else top), upserted(left, parsed), n_gone, n_touched)
+
+
+def applied_files(declarations: DataFrame, records: DataFrame, stamps: DataFrame, extract, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Refresh of the named files only: ``stamps(path, mtime_ns)``, each path once, null where the file is gone. -> (declarations, records, parsed).
+
+    Their old declarations and records go in any case; those that can be read are appended and recorded.
+    """
+    fresh, parsed = extract(stamps.where("mtime_ns is not null"))
+    kept = without(declarations, stamps.select("path"))
+    left = records.join(stamps.select("path"), "path", "left_anti")
+    return appended(kept, fresh, top), left.unionByName(parsed), parsed
 
 
 def pruned(declarations: DataFrame, records: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,7 +106,7 @@ def pruned(declarations: DataFrame, records: DataFrame, present: DataFrame) -> t
 
 def delta_counts(records: DataFrame, current: DataFrame) -> DataFrame:
     """One row: removed, changed (new ones included), evicted, unchanged."""
-    both = records.select("path", F.col("mtime_ns").alias("old")).join(current.dropDuplicates(["path"]), "path", "full")
-    gone, new = F.col("mtime_ns").isNull(), F.col("old").isNull()
-    diff = ~gone & ~F.col("mtime_ns").eqNullSafe(F.col("old"))
-    return both.agg(F.count_if(gone).alias("removed"), F.count_if(diff).alias("changed"), F.count_if(gone | diff).alias("evicted"), F.count_if(~gone & ~new & ~diff).alias("unchanged"))
+    touched = F.col("state").isin("new", "changed")
+    return states(records, current).agg(
+        F.count_if(F.col("state") == "removed").alias("removed"), F.count_if(touched).alias("changed"), F.count_if(touched | (F.col("state") == "removed")).alias("evicted"), F.count_if(F.col("state") == "same").alias("unchanged")
+    )

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import score_column
-from brindle.functions.score import contains_subsequence, subsequence_regex, with_score
+from brindle.functions.score import UNROLL, contains_subsequence, scored_pairs, subsequence_regex, with_score
 from brindle.functions.text import LOWER, UPPER, ascii_lower, bytes_as_chars, is_file_token, kind_of, tokens
-from brindle.model import DEFAULT_LIMIT, KINDS, ORDER
+from brindle.model import DECLARATIONS, DEFAULT_LIMIT, KINDS, ORDER
 
 _LOWER = str.maketrans(UPPER, LOWER)
 
@@ -86,24 +87,29 @@ def compiled_columns(text: Column) -> tuple[Column, Column, Column]:
 
 
 def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFAULT_LIMIT, max_patterns: int = 4096) -> DataFrame:
-    """Many queries at once: ``qid, rank, name, kind, file, line, score`` for a table ``qid, pattern``.
+    """Many queries at once: ``qid, rank, name, kind, file, line, score`` for a table ``qid, pattern``; ``declarations`` in the index's schema.
 
     Declarations are streamed past the patterns, which are few beside them: their number is checked, and slices of at most
     ``max_patterns`` are broadcast one after another. Each task keeps its best rows per query before the shuffle (the
     window's group limit), so what is exchanged is at most ``limit`` rows for each query and task.
     """
     asked = patterns.where("pattern is not null and pattern <> ''").withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
-    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), subsequence_regex("p.file").alias("qfile_re"), subsequence_regex("p.name").alias("qname_re"))
-    plain = declarations.withColumn("__name", ascii_lower(bytes_as_chars("name"))).withColumn("__file", ascii_lower(bytes_as_chars("file")))
-    n = asked.count()
-    slices = max(1, -(-n // max_patterns))
-    out = None
+    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("qname")).alias("name"), F.max(F.octet_length("qfile")).alias("file")).first()
+    rows = declarations.select(*DECLARATIONS.names)
+    found = []
+    slices = max(1, -(-size["n"] // max_patterns))
     for s in range(slices):
         part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)
-        # who matches is decided by regular expressions within the join; only matches are scored
-        meets = (F.col("qkind").isNull() | (F.col("kind") == F.col("qkind"))) & F.rlike("__name", F.col("qname_re")) & F.rlike("__file", F.col("qfile_re"))
-        hit = plain.join(F.broadcast(part), meets).withColumn("score", score_column("name", "qname"))
-        w = Window.partitionBy("qid").orderBy(*ranked(hit))
-        top = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("qid", "rank", "name", "kind", "file", "line", "score")
-        out = top if out is None else out.unionByName(top)
-    return out
+        # those with a kind by a hash join on it, the others past every row; both broadcast sides are of checked size
+        pairs = rows.join(F.broadcast(part.where("qkind is not null")), F.col("kind") == F.col("qkind")).unionByName(rows.crossJoin(F.broadcast(part.where("qkind is null"))))
+        if max(size["name"] or 0, size["file"] or 0) <= UNROLL:
+            hit = scored_pairs(pairs, size["name"] or 0, size["file"] or 0)
+        else:
+            low = lambda c: ascii_lower(bytes_as_chars(c))
+            meets = F.rlike(low("name"), subsequence_regex("qname")) & F.rlike(low("file"), subsequence_regex("qfile"))
+            hit = pairs.where(meets).withColumn("score", score_column("name", "qname"))
+        found.append(hit)
+    hit = reduce(DataFrame.unionByName, found)
+    w = Window.partitionBy("qid").orderBy(*ranked(hit))
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("qid", "rank", "name", "kind", "file", "line", "score")

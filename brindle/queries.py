@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle import testbed as tb
-from brindle.functions import ascii_lower, equals_ignore_case, extension, is_file_token, kind_name, kind_of, normal_path, score, tokens
+from brindle.functions import ascii_lower, equals_ignore_case, extension, is_file_token, kind_name, kind_of, lenient_json, normal_path, tokens
+from brindle.functions.register import register
+from brindle.functions.score import with_scores
 from brindle.functions.text import known_kind
 from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
@@ -100,9 +102,9 @@ query("search_empty_pattern", f"WITH {DECLARATIONS} SELECT name, kind, file, lin
 
 query("apropos", search_sql(None, "", "gear", 1 << 40))(lambda spark, d: apropos(tb.declarations(spark, d), "gear"))
 
-_SCORED = ["rw", "RB", "smallring", "ring", "small_ring", "aa", "x"]
+_SCORED = ["rw", "RB", "smallring", "ring", "small_ring", "aa", "x", ""]
 query("score_rules", f"WITH {DECLARATIONS} SELECT ord, name, {', '.join(f'{score_sql("name", repr(p))} AS s{i}' for i, p in enumerate(_SCORED))} FROM decl")(
-    lambda spark, d: tb.declarations(spark, d).select("ord", "name", *(score("name", p).alias(f"s{i}") for i, p in enumerate(_SCORED)))
+    lambda spark, d: with_scores(tb.declarations(spark, d).select("ord", "name"), {f"s{i}": p for i, p in enumerate(_SCORED)})
 )
 query(
     "batch_search",
@@ -172,14 +174,17 @@ def _ignored(spark, d):
     return ignore.not_ignored(tb.files(spark, d).select("path"), ignore.parse_rules(IGNORE))
 
 
-@query("ignore_rules_parsed", "SELECT * FROM (VALUES ('src1/', true), ('src2/en/', true), ('src3/fr/', true), ('src0/en/doc_0.cpp', false), (' src5/', true)) t(pattern, is_glob)")
+_RULES = "SELECT n_nationkey, unnest(['src' || n_nationkey || '/', 'old/f' || n_nationkey || '.c', ' x' || n_nationkey || '/']) AS pattern, unnest([true, false, true]) AS is_glob FROM nation"
+
+
+@query("ignore_rules_parsed", _RULES)
 def _rules(spark, d):
-    return spark.createDataFrame([(IGNORE,)], "text string").select(F.explode(ignore.parsed_rules(F.col("text"))).alias("r")).select("r.pattern", "r.is_glob")
+    return tb.rule_texts(spark, d).select("n_nationkey", F.explode(ignore.parsed_rules(F.col("text"))).alias("r")).select("n_nationkey", "r.pattern", "r.is_glob")
 
 
-@query("rule_count", "SELECT 5::BIGINT AS rules")
+@query("rule_count", f"SELECT count(*) AS rules, count_if(is_glob) AS globs FROM ({_RULES})")
 def _rule_count(spark, d):
-    return _rules(spark, d).agg(F.count("*").alias("rules"))
+    return _rules(spark, d).agg(F.count("*").alias("rules"), F.count_if("is_glob").alias("globs"))
 
 
 @query("normal_paths", f"WITH {FILES}, w AS (SELECT path AS p, CASE mtime_ns % 3 WHEN 0 THEN './' || path WHEN 1 THEN replace(path, '/', chr(92)) ELSE '././' || path END AS raw FROM files) SELECT raw, CASE WHEN starts_with(replace(raw, chr(92), '/'), './') THEN substr(replace(raw, chr(92), '/'), 3) ELSE replace(raw, chr(92), '/') END AS path FROM w")
@@ -189,12 +194,6 @@ def _paths(spark, d):
     return f.select(raw.alias("raw")).select("raw", normal_path("raw").alias("path"))
 
 
-@query("overlapping_roots", f"WITH {FILES} SELECT path FROM files WHERE starts_with(path, 'src1/') UNION ALL SELECT path FROM files WHERE starts_with(path, 'src1/en/')")
-def _roots(spark, d):
-    f = tb.files(spark, d).select("path")
-    return f.where(F.startswith("path", F.lit("src1/"))).unionAll(f.where(F.startswith("path", F.lit("src1/en/"))))
-
-
 @query("kind_text", f"SELECT p_partkey, CASE WHEN list_contains({_K}, w) THEN w ELSE 'function' END AS stored, CASE WHEN list_contains({_K}, w) THEN w ELSE 'unknown' END AS shown FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Class' ELSE {_K}[p_partkey % 8 + 1] END AS w FROM part)")
 def _kind_text(spark, d):
     w = F.when(F.col("p_partkey") % 5 == 0, "Class").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 8 + 1).cast("int")))
@@ -220,7 +219,7 @@ query("delta_counts", f"WITH {STATES} SELECT (SELECT count(*) FROM removed) AS r
     "incremental_refresh",
     f"""WITH {STATES}, kept AS (SELECT indexed.* FROM indexed ANTI JOIN evicted ON file = path),
 fresh AS (SELECT 'new_' || path AS name, 'macro' AS kind, path AS file, 1::INT AS line, substr(path, 2, length(path) - 5)::BIGINT AS ord FROM changed)
-SELECT * FROM kept UNION ALL SELECT name, kind, file, line, ord + (SELECT coalesce(max(ord), -1) FROM kept) + 1 FROM fresh""",
+SELECT * FROM kept UNION ALL SELECT name, kind, file, line, ord + (SELECT coalesce(max(ord), -1) FROM indexed) + 1 FROM fresh""",
 )
 def _refresh(spark, d):
     def read(paths):
@@ -243,8 +242,17 @@ def _pruned(spark, d):
 # ---- aggregates and reports
 
 query("index_counts", f"WITH {STATES} SELECT (SELECT count(*) FROM indexed) AS declarations, (SELECT count(DISTINCT file) FROM indexed) AS files_with_declarations, (SELECT count(*) FROM records) AS files")(lambda spark, d: stats.counts(tb.indexed(spark, d), tb.records(spark, d)))
-query("slowest_files", f"WITH {FILES} SELECT path, mtime_ns::DOUBLE AS seconds FROM files ORDER BY seconds DESC, path LIMIT 20")(lambda spark, d: stats.slowest(tb.files(spark, d).select("path", F.col("mtime_ns").cast("double").alias("seconds"))))
-query("parse_errors", "SELECT count(*) FILTER (n_chars > 2000) AS errors FROM documents")(lambda spark, d: stats.parse_errors(tb.table(spark, d, "documents").select(F.when(F.col("n_chars") > 2000, "too long").alias("error"))))
+
+
+def _parsed(spark, d):
+    """Sources of which every seventh cannot be read."""
+    sources = tb.generated_sources(spark, d).withColumn("content", F.when(F.col("mtime_ns") % 7 != 0, F.col("content")))
+    return extract.parse_sources(sources)
+
+
+query("slowest_files", "SELECT 20::BIGINT AS files, true AS timed")(lambda spark, d: stats.slowest(_parsed(spark, d).withColumnRenamed("file", "path").select("path", "seconds")).agg(F.count("*").alias("files"), F.bool_and((F.col("seconds") >= 0) & F.col("path").isNotNull()).alias("timed")))
+query("slowest_order", f"WITH {FILES} SELECT path, mtime_ns::DOUBLE AS seconds FROM files ORDER BY seconds DESC, path LIMIT 20")(lambda spark, d: stats.slowest(tb.files(spark, d).select("path", F.col("mtime_ns").cast("double").alias("seconds"))))
+query("parse_errors", "SELECT count(*) FILTER (c_nationkey % 7 = 0) AS errors FROM customer")(lambda spark, d: stats.parse_errors(_parsed(spark, d)))
 query("line_numbers", "SELECT doc_id, (1 + length(left(text, n_chars // 2)) - length(replace(left(text, n_chars // 2), chr(10), '')))::INT AS line FROM documents")(
     lambda spark, d: tb.table(spark, d, "documents").withColumn("o", F.octet_length(F.expr("left(text, cast(n_chars div 2 as int))"))).select("doc_id", stats.line_of("text", "o").alias("line"))
 )
@@ -286,34 +294,44 @@ query("parse_requests", f"WITH {_REQUESTS} SELECT * FROM q")(_requests)
 @query(
     "responses",
     f"""WITH {_REQUESTS} SELECT event_id, CASE WHEN bad THEN '{{"id":0,"error":"bad JSON"}}' WHEN method = 'unknown' THEN '{{"id":' || id || ',"error":"unknown method"}}'
-  WHEN method = 'status' THEN '{{"id":' || id || ',"status":"ready","files":7,"symbols":9}}' WHEN method = 'query' THEN '{{"id":' || id || ',"symbols":[]}}'
-  ELSE '{{"id":' || id || ',"status":"rebuilt"}}' END AS response FROM q""",
+  WHEN method = 'status' THEN '{{"id":' || id || ',"status":"ready","files":7,"declarations":9}}' WHEN method = 'query' THEN '{{"id":' || id || ',"declarations":[]}}'
+  WHEN method = 'rebuildFile' AND file = '' THEN '{{"id":' || id || ',"error":"no file given"}}' ELSE '{{"id":' || id || ',"status":"rebuilt"}}' END AS response FROM q""",
 )
 def _responses(spark, d):
-    r, rid = _requests(spark, d), F.col("id")
-    none = F.expr("cast(array() as array<struct<name:string,kind:string,file:string,line:int,score:int>>)")
-    text = (
-        F.when(F.col("bad"), protocol.error_response(rid, F.lit("bad JSON")))
-        .when(F.col("method") == "unknown", protocol.error_response(rid, F.lit("unknown method")))
-        .when(F.col("method") == "status", protocol.status_response(rid, F.lit(True), F.lit(7), F.lit(9)))
-        .when(F.col("method") == "query", protocol.query_response(rid, none))
-        .otherwise(protocol.ack_response(rid, F.lit("rebuilt")))
-    )
-    return r.select("event_id", text.alias("response"))
-
-
-@query("match_responses", f"WITH {_REQUESTS} SELECT a.event_id, b.method FROM q a JOIN q b ON a.event_id = b.id WHERE a.method = 'query'")
+    return protocol.answer_responses(_requests(spark, d), files=7, declarations=9).select("event_id", "response")
+
+
+@query("match_responses", f"WITH {_REQUESTS} SELECT a.event_id AS id, b.method FROM q a JOIN q b ON a.event_id = b.id WHERE a.method = 'query'")
 def _matched(spark, d):
     r = _requests(spark, d)
-    return r.where("method = 'query'").select("event_id").join(r.select(F.col("id").alias("event_id"), "method"), "event_id")
+    return protocol.matched(r.where("method = 'query'").select(F.col("event_id").alias("id")), r.select("id", "method"))
+
+
+_ESCAPED = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN -event_id ELSE event_id END AS id,
+  CASE event_id % 6 WHEN 0 THEN 'query' WHEN 1 THEN 'query' WHEN 4 THEN 'shutdown' WHEN 5 THEN 'rebuildFile' ELSE 'unknown' END AS method,
+  CASE event_id % 6 WHEN 0 THEN {} || user_id || 'q/' WHEN 1 THEN 'tab' || chr(9) || 'here' || user_id ELSE '' END AS pattern,
+  CASE WHEN event_id % 6 = 3 AND user_id > 0 THEN user_id ELSE 200 END::BIGINT AS "limit",
+  CASE event_id % 6 WHEN 3 THEN 'a' || chr(92) || 'b"c' WHEN 5 THEN chr(10) || user_id || '.h' ELSE '' END AS file, false AS bad FROM events"""
+query("parse_escapes", _ESCAPED.format("'aAB'"))(lambda spark, d: protocol.parse_requests(tb.escaped_lines(spark, d)).drop("line"))
+query("parse_escapes_compat", _ESCAPED.format("'a??'"))(lambda spark, d: protocol.parse_requests(tb.escaped_lines(spark, d), strict_compat=True).drop("line"))
+
+
+@query("escaped_json", r"""SELECT doc_id, '{"id":' || doc_id || ',"error":"' || replace(replace(replace(replace(left(text, 80), '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || chr(92) || 'r\\' || '"}' AS response FROM documents""")
+def _escaped(spark, d):
+    return tb.table(spark, d, "documents").select("doc_id", protocol.error_response(F.col("doc_id"), F.concat(F.expr("left(text, 80)"), F.lit("\r\\"))).alias("response"))
+
+
+@query("json_arrays", "SELECT event_id, len(a)::INT AS n, a[2] AS second, a[9] AS beyond, list_append(a, event_id)[-1] AS pushed FROM (SELECT event_id, [user_id, event_id % 5, user_id + 1] AS a FROM events)")
+def _arrays(spark, d):
+    text = F.concat(F.lit("["), F.concat_ws(",", F.col("user_id").cast("string"), (F.col("event_id") % 5).cast("string"), (F.col("user_id") + 1).cast("string")), F.lit("]"))
+    a = tb.table(spark, d, "events").select("event_id", F.from_json(text, "array<bigint>").alias("a"))
+    return a.select("event_id", lenient_json.size("a").alias("n"), lenient_json.at("a", 1).alias("second"), lenient_json.at("a", 8).alias("beyond"), F.element_at(lenient_json.pushed("a", F.col("event_id")), -1).alias("pushed"))
 
 
 @query("lenient_json_fields", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.none'), '') AS none FROM events")
 def _fields(spark, d):
-    from brindle.functions.lenient_json import number, string
-
     j = tb.table(spark, d, "events").withColumn("j", F.from_json("props", "k string, none string"))
-    return j.select("event_id", number("j.k").alias("k"), string("j.none").alias("none"))
+    return j.select("event_id", lenient_json.number("j.k").alias("k"), lenient_json.string("j.none").alias("none"))
 
 
 # ---- extraction
@@ -333,6 +351,31 @@ def _built(spark, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
 
 
+_ALL = """SELECT 'all/s' || k || '.cpp' AS file, name, kind, line FROM (SELECT s_suppkey::VARCHAR AS k FROM supplier),
+LATERAL (VALUES ('Point' || k, 'struct', 3), ('Id' || k, 'alias', 4), ('Word' || k, 'typedef', 5), ('SUM' || k, 'macro', 6), ('pick' || k, 'function', 8), ('Bag' || k, 'class', 9), ('put', 'function', 9),
+  ('declared' || k, 'function', 10), ('ready' || k, 'variable', 12), ('spare' || k, 'variable', 12), ('text' || k, 'variable', 13), ('Early' || k, 'enum', 14), ('Point' || k || '::move', 'function', 15),
+  ('step' || k, 'variable', 15), ('operator<', 'function', 16)) t(name, kind, line)"""
+
+
+@query("extract_constructs", _ALL)
+def _constructs(spark, d):
+    return extract.captures_of(extract.parse_sources(tb.construct_sources(spark, d))).select("file", "name", "kind", "line")
+
+
+@query("numbered_declarations", f"SELECT file, name, kind, line, row_number() OVER (ORDER BY file, nth) - 1 AS ord FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, CASE WHEN name = 'put' OR name LIKE 'spare%' OR name LIKE 'step%' THEN 1 ELSE 0 END) AS nth FROM ({_ALL}))")
+def _numbered(spark, d):
+    return extract.declarations_of(extract.parse_sources(tb.construct_sources(spark, d))).select("file", "name", "kind", "line", "ord")
+
+
+@query("sql_functions", f"""WITH {DECLARATIONS} SELECT ord, {_low("name")} AS low, {score_sql("name", "'rw'")} AS score, regexp_extract(file, '([^.]*)$', 1) AS ext, CASE WHEN kind = 'enum' THEN 'enum' END AS kind,
+  CASE WHEN contains(file, ' ') THEN 3 ELSE 2 END AS words, true AS is_file, file AS path FROM decl""")
+def _sql_functions(spark, d):
+    register(spark)
+    tb.declarations(spark, d).createOrReplaceTempView("brindle_declarations")
+    return spark.sql("""SELECT ord, ascii_lower(name) AS low, fuzzy_score(name, 'rw') AS score, file_extension(file) AS ext, kind_of(if(kind = 'enum', 'ENUM', 'x')) AS kind,
+      size(query_tokens(concat('a  ', file))) AS words, is_file_token(file) AS is_file, normal_path(concat('./', replace(file, '/', chr(92)))) AS path FROM brindle_declarations""")
+
+
 # ---- source, snapshot and streams, in folders of their own
 
 
@@ -351,18 +394,83 @@ def _build(spark, d):
     return extract.declarations_of(extract.parse_sources(sources)).select("file", "name", "kind", "line")
 
 
+_DIRS = """c AS (SELECT c_custkey AS k, 'part' || c_custkey % 4 || '/deep' || c_custkey % 3 || '/c' || c_custkey || '.cpp' AS path FROM customer)"""
+
+
+def _deep_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The sources dealt over folders, with an ignore file at the root."""
+    path = F.concat(F.lit("part"), F.regexp_extract("path", "([0-9]+)", 1).cast("int") % 4, F.lit("/deep"), F.regexp_extract("path", "([0-9]+)", 1).cast("int") % 3, F.lit("/"), F.regexp_replace("path", "^gen/", ""))
+    root = tb.written_tree(tb.generated_sources(spark, sf_dir).withColumn("path", path), shared_folder(spark, "deep"))
+    with open(f"{root}/.declarations-ignore", "w", encoding="utf-8") as f:
+        f.write("# rules\r\npart1/*\r\n./part2\\deep0\\*\n")
+    return root
+
+
+@query("scan_roots", f"WITH {_DIRS} SELECT path FROM c WHERE path LIKE 'part2/%' UNION ALL SELECT path FROM c WHERE path LIKE 'part2/deep1/%' UNION ALL SELECT path FROM c WHERE path LIKE 'part0/deep2/%'")
+def _roots(spark, d):
+    return tree.read_tree(spark, _deep_tree(spark, d), ["part2", "part2/deep1", "part0/deep2", "none"], content=False, fan="2").select("path")
+
+
+@query("scan_with_ignore_file", f"WITH {_DIRS} SELECT path, true AS timed FROM c WHERE path NOT LIKE 'part1/%' AND path NOT LIKE 'part2/deep0/%'")
+def _scan_ignored(spark, d):
+    root = _deep_tree(spark, d)
+    return tree.read_tree(spark, root, ignore=tree.load_ignore(root), content=False).select("path", (F.col("mtime_ns") > 1_500_000_000_000_000_000).alias("timed"))
+
+
 @query("snapshot_round_trip", f"WITH {DECLARATIONS} SELECT * FROM decl")
 def _snapshot(spark, d):
-    folder = shared_folder(spark, "snapshot")
+    folder = f"{shared_folder(spark, 'snapshot')}/s"
     snapshot.save(folder, tb.declarations(spark, d), tb.records(spark, d))
     return snapshot.load(spark, folder)[0]
 
 
+@query("snapshot_files", f"WITH {STATES} SELECT path, mtime_ns FROM records WHERE path <> 'f1.cpp' UNION ALL SELECT 'n.cpp', 5")
+def _snapshot_files(spark, d):
+    folder = f"{shared_folder(spark, 'snapshot')}/s"
+    version = snapshot.save(folder, tb.declarations(spark, d), tb.records(spark, d))
+    snapshot.save_delta(spark, folder, version, {"f1.cpp": (None, []), "n.cpp": (5, [("n", "macro", "n.cpp", 1, 1 << 40)])})
+    return snapshot.load(spark, folder)[1]
+
+
+@query("snapshot_exists_and_delete", "SELECT false AS before, true AS saved, true AS deleted, false AS again, false AS after, count(*) AS rows FROM part")
+def _snapshot_life(spark, d):
+    folder = f"{shared_folder(spark, 'snapshot')}/s"
+    before = snapshot.exists(spark, folder)
+    snapshot.save(folder, tb.declarations(spark, d), tb.records(spark, d))
+    n, saved = snapshot.load(spark, folder)[0].count(), snapshot.exists(spark, folder)
+    deleted, again = snapshot.delete(spark, folder), snapshot.delete(spark, folder)
+    return spark.createDataFrame([(before, saved, deleted, again, snapshot.exists(spark, folder), n)], "before boolean, saved boolean, deleted boolean, again boolean, after boolean, rows long")
+
+
+@query("json_snapshot_v2", f"WITH {DECLARATIONS} SELECT name, kind, file, line, row_number() OVER (ORDER BY ord) - 1 AS ord FROM decl")
+def _json_v2(spark, d):
+    path = f"{shared_folder(spark, 'json')}/snapshot.json"
+    snapshot.export_json(path, tb.declarations(spark, d), tb.records(spark, d))
+    return snapshot.import_json(spark, path)[0]
+
+
+@query("json_snapshot_v2_files", f"WITH {STATES} SELECT path, mtime_ns FROM records")
+def _json_v2_files(spark, d):
+    path = f"{shared_folder(spark, 'json')}/snapshot.json"
+    snapshot.export_json(path, tb.declarations(spark, d), tb.records(spark, d), "rows")
+    return snapshot.import_json(spark, path, "rows")[1]
+
+
+@query("json_snapshot_v1", "SELECT CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'enum' ELSE 'function' END AS kind, 'n.h' AS file, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE n_nationkey END::INT AS line, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord FROM nation")
+def _json_v1(spark, d):
+    """A foreign file of version 1: no files, unknown kinds, missing fields."""
+    path = f"{shared_folder(spark, 'json')}/v1"
+    row = F.struct(F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("n"), F.when(F.col("n_nationkey") % 2 == 0, "enum").otherwise("Enum").alias("k"), F.lit("n.h").alias("f"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey")).alias("l"))
+    rows = tb.table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("a")).select(F.lit(1).alias("version"), F.transform("a", lambda x: x["r"]).alias("list"))
+    rows.select(F.to_json(F.struct("version", "list"))).coalesce(1).write.text(path)
+    return snapshot.import_json(spark, path, "list")[0]
+
+
 _REPLAY = """WITH c AS (SELECT c_custkey::VARCHAR AS k, 'gen/c' || c_custkey || '.cpp' AS f FROM customer),
 t AS (SELECT * FROM c ORDER BY length(k), f LIMIT 3)
-SELECT 0::BIGINT AS nth, '{"id":1,"symbols":[' || string_agg('{"name":"Account' || k || '","kind":"class","file":"' || f || '","line":4,"score":' || (600 - length(k)) || '}', ',' ORDER BY length(k), f) || ']}' AS response FROM t
+SELECT 0::BIGINT AS nth, '{"id":1,"declarations":[' || string_agg('{"name":"Account' || k || '","kind":"class","file":"' || f || '","line":4,"score":' || (600 - length(k)) || '}', ',' ORDER BY length(k), f) || ']}' AS response FROM t
 UNION ALL SELECT 1, '{"id":2,"status":"rebuilt"}'
-UNION ALL SELECT 2, '{"id":3,"status":"ready","files":' || count(*) || ',"symbols":' || 7 * count(*) || '}' FROM c
+UNION ALL SELECT 2, '{"id":3,"status":"ready","files":' || count(*) || ',"declarations":' || 7 * count(*) || '}' FROM c
 UNION ALL SELECT 3, '{"id":0,"error":"bad JSON"}'"""
 
 
@@ -376,3 +484,89 @@ def _replay(spark, d):
         f.write('{"id":1,"method":"query","params":{"pattern":"Account class","limit":3}}\n{"id":2,"method":"rebuildFile","params":{"file":"gen/c1.cpp"}}\n{"id":3,"method":"status"}\nnonsense\n')
     service.replay(index, f"{base}/in", f"{base}/out", f"{base}/check")
     return spark.read.parquet(f"{base}/out").select("nth", "response")
+
+
+_SESSION = f"""WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT 0::BIGINT AS nth, '{{"id":0,"error":"bad JSON"}}' AS response
+UNION ALL SELECT 1, '{{"id":0,"error":"unknown method"}}'
+UNION ALL SELECT 2, '{{"id":2,"error":"no file given"}}'
+UNION ALL SELECT 3, '{{"id":3,"status":"rebuilt"}}'
+UNION ALL SELECT 4, '{{"id":4,"list":[{{"name":"fresh_one","kind":"function","file":"gen/new.h","line":2,"score":1000}}]}}'
+UNION ALL SELECT 5, '{{"id":5,"status":"rebuilt"}}'
+UNION ALL SELECT 6, '{{"id":6,"status":"ready","files":' || (count(*) + 1) || ',"list":' || (7 * count(*) + 1) || '}}' FROM c
+UNION ALL SELECT 7, '{{"id":7,"status":"rebuilt"}}'
+UNION ALL SELECT 8, '{{"id":8,"list":[]}}'
+UNION ALL SELECT 9, '{{"id":9,"status":"shutdown"}}'"""
+
+
+@query("session", _SESSION)
+def _session(spark, d):
+    """A session with snapshots, in a foreign dialect: single-file refresh, refresh, forced rebuild, shutdown; what follows is not read."""
+    root = _tree(spark, d)
+    index = service.Index(spark, root, cache_dir=f"{shared_folder(spark, 'cache')}/s", rows_key="list", query_timeout=600)
+    index.start()
+    with open(f"{root}/gen/new.h", "w", encoding="utf-8") as f:
+        f.write("// new\nvoid fresh_one();\n")
+    lines = ["{bad", "[]", '{"id":2,"method":"rebuildFile"}', "\r", '{"id":3,"method":"rebuildFile","params":{"file":"gen/new.h"}}', '{"id":4,"method":"query","params":{"pattern":"fresh_one"}}', '{"id":5,"method":"rebuild"}', '{"id":6,"method":"status"}']
+    got = list(service.serve(index, lines))
+    os.remove(f"{root}/gen/new.h")
+    got += service.serve(index, ['{"id":7,"method":"forceRebuild"}', '{"id":8,"method":"query","params":{"pattern":"fresh_one"}}', '{"id":9,"method":"shutdown"}', '{"id":10,"method":"status"}'])
+    return spark.createDataFrame(list(enumerate(got)), "nth long, response string")
+
+
+@query("warm_start", f"SELECT file, name, kind, line FROM ({_GEN}) WHERE file <> 'gen/c1.cpp' UNION ALL SELECT 'gen/c2.cpp', 'again', 'macro', 1")
+def _warm_start(spark, d):
+    """Saved, a file refreshed and saved as a delta, another deleted; then started from the snapshot, which is pruned."""
+    root, cache = _tree(spark, d), f"{shared_folder(spark, 'cache')}/s"
+    first = service.Index(spark, root, cache_dir=cache)
+    first.start()
+    with open(f"{root}/gen/c2.cpp", "r+", encoding="utf-8") as f:
+        text = f.read().replace("// header of 2", "#define again 1")
+        f.seek(0)
+        f.write(text)
+    first.refresh_file("gen/c2.cpp")
+    first.save()
+    os.remove(f"{root}/gen/c1.cpp")
+    second = service.Index(spark, root, cache_dir=cache)
+    second.start()
+    if not second.ready or second.dirty or second.seconds:
+        raise RuntimeError("not started from the snapshot")
+    return second.declarations.select("file", "name", "kind", "line")
+
+
+@query("event_feed", f"SELECT file, name, kind, line FROM ({_GEN}) WHERE substr(file, 6, length(file) - 9)::BIGINT % 5 <> 0 UNION ALL SELECT 'gen/c' || c_custkey || '.cpp', 'Renewed' || c_custkey, 'enum', 1 FROM customer WHERE c_custkey % 10 = 0")
+def _event_feed(spark, d):
+    """Every fifth file has events: half of them were rewritten, half deleted."""
+    root = _tree(spark, d)
+    index = service.Index(spark, root, cache=False)
+    index.build()
+    keys = tb.table(spark, d, "customer").where("c_custkey % 5 = 0").select("c_custkey")
+
+    def touch(batches):
+        for pdf in batches:
+            for k in pdf["c_custkey"]:
+                if k % 10:
+                    os.remove(f"{root}/gen/c{k}.cpp")
+                else:
+                    with open(f"{root}/gen/c{k}.cpp", "w", encoding="utf-8") as f:
+                        f.write(f"enum Renewed{k} {{ }};")
+            yield pdf
+
+    keys.mapInPandas(touch, "c_custkey long").write.format("noop").mode("overwrite").save()
+    base = shared_folder(spark, "feed")
+    path = F.concat(F.lit("gen/c"), F.col("c_custkey").cast("string"), F.lit(".cpp"))
+    keys.select(path.alias("path"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("at")).write.json(f"{base}/in")
+    service.follow(index, f"{base}/in", f"{base}/check")
+    return index.declarations.select("file", "name", "kind", "line")
+
+
+@query("request_timeout", "SELECT * FROM (VALUES (0::BIGINT, true), (1::BIGINT, false)) t(nth, late)")
+def _timeout(spark, d):
+    """A request that takes too long is answered with an error, the next one with its rows."""
+    index = service.Index(spark, "/", cache=False, query_timeout=0.2)
+    index.declarations, index.ready = spark.range(0, 64, 1, 4).select(F.expr("cast(java_method('java.lang.Thread', 'sleep', 500L) as string)").alias("name"), F.lit("macro").alias("kind"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("id").alias("ord")), True
+    line = '{"id":1,"method":"query","params":{"pattern":" "}}'
+    got = list(service.serve(index, [line]))
+    index.declarations, index.query_timeout = tb.declarations(spark, d), 600
+    got += service.serve(index, [line])
+    return spark.createDataFrame([(i, '"error":"no answer' in x) for i, x in enumerate(got)], "nth long, late boolean")

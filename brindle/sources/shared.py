@@ -1,12 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and files in any store that Hadoop knows."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configured(spark: SparkSession) -> str | None:
@@ -15,8 +15,63 @@ def configured(spark: SparkSession) -> str | None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new local path in the shared folder; a temporary one only where none is configured, as in tests."""
-    base = (configured(spark) or "").removeprefix("file://") or tempfile.gettempdir()
-    path = os.path.join(base, f"brindle-{purpose}-{uuid.uuid4().hex}")
+    """A new folder, as a path of the file system that all machines mount. Other stores cannot hold a source tree."""
+    base = configured(spark)
+    if not base:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if "://" in base and not base.startswith("file://"):
+        raise ValueError(f"{base} is no mounted folder: source trees and request files need one")
+    path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"brindle-{purpose}-{uuid.uuid4().hex}")
     os.makedirs(path, exist_ok=True)
     return path
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """``table``, computed once: written to the shared folder, which cuts its lineage, or kept by the executors where there is none."""
+    if configured(table.sparkSession):
+        return table.checkpoint()
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table.count()
+    return table
+
+
+class Store:
+    """Small files beside Spark's own, through the same Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
+        self.fs = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def is_file(self, name: str) -> bool:
+        return self.fs.exists(self.path(name)) and self.fs.getFileStatus(self.path(name)).isFile()
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all: written beside, then renamed over what was there."""
+        beside = f"{name}.{uuid.uuid4().hex}"
+        stream = self.fs.create(self.path(beside), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        over[0] = options.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(self.path(beside), self.path(name), over)
+
+    def folders(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path("")) if s.isDirectory()] if self.fs.exists(self.path("")) else []
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+    def delete_if_empty(self) -> None:
+        if self.fs.exists(self.path("")) and not len(self.fs.listStatus(self.path(""))):
+            self.fs.delete(self.path(""), False)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,82 +11,103 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import kind_name
 from brindle.model import DECLARATIONS, FILES, SNAPSHOT_VERSION
+from brindle.sources.shared import Store
 
-POINTER = "_CURRENT"
-_JSON = "version long, symbols array<struct<n string, k string, f string, l long>>, files array<struct<p string, m long>>"
+POINTER, DELTA = "_CURRENT", "_delta.json"
 
 
 class SnapshotError(ValueError):
     """What was found is not a snapshot of a known version."""
 
 
-def exists(folder: str) -> bool:
-    return os.path.isfile(os.path.join(folder, POINTER))
+def exists(spark: SparkSession, folder: str) -> bool:
+    return Store(spark, folder).is_file(POINTER)
 
 
 def save(folder: str, declarations: DataFrame, records: DataFrame) -> str:
     """Write a new version, then move the pointer: readers see the old or the new version whole. The one before stays until the next save."""
-    os.makedirs(folder, exist_ok=True)
-    version = uuid.uuid4().hex
-    declarations.write.parquet(os.path.join(folder, version, "declarations"))
-    records.write.parquet(os.path.join(folder, version, "files"))
-    old = current(folder)
-    with open(os.path.join(folder, f"{POINTER}.{version}"), "w", encoding="utf-8") as f:
-        f.write(version)
-    os.replace(os.path.join(folder, f"{POINTER}.{version}"), os.path.join(folder, POINTER))
-    for name in os.listdir(folder):
-        if name not in (version, old) and os.path.isdir(os.path.join(folder, name)):
-            shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
+    store, version = Store(declarations.sparkSession, folder), uuid.uuid4().hex
+    declarations.write.parquet(f"{folder}/{version}/declarations")
+    records.write.parquet(f"{folder}/{version}/files")
+    old = current(declarations.sparkSession, folder)
+    store.write(POINTER, version)
+    for name in store.folders():
+        if name not in (version, old):
+            store.delete(name)
     return version
 
 
-def current(folder: str) -> str | None:
-    try:
-        with open(os.path.join(folder, POINTER), encoding="utf-8") as f:
-            return f.read().strip()
-    except OSError:
-        return None
+def save_delta(spark: SparkSession, folder: str, version: str, delta: dict[str, tuple[int | None, list]]) -> None:
+    """Files that were read or lost since ``version`` was written, ``{path: (time or None, rows)}``; one small file, replaced as a whole."""
+    Store(spark, folder).write(f"{version}/{DELTA}", json.dumps(delta))
 
 
-def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    version = current(folder)
+def load_delta(spark: SparkSession, folder: str, version: str) -> dict[str, tuple[int | None, list]]:
+    store = Store(spark, folder)
+    return {p: (ns, [tuple(r) for r in rows]) for p, (ns, rows) in json.loads(store.read(f"{version}/{DELTA}")).items()} if store.is_file(f"{version}/{DELTA}") else {}
+
+
+def composed(declarations: DataFrame, records: DataFrame, delta: dict[str, tuple[int | None, list]]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the delta in place of what they had of its files."""
+    if not delta:
+        return declarations, records
+    spark, paths = declarations.sparkSession, list(delta)
+    rows = spark.createDataFrame([r for _, found in delta.values() for r in found], DECLARATIONS)
+    files = spark.createDataFrame([(p, ns) for p, (ns, _) in delta.items() if ns is not None], FILES)
+    return declarations.where(~F.col("file").isin(paths)).unionByName(rows), records.where(~F.col("path").isin(paths)).unionByName(files)
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    store = Store(spark, folder)
+    return store.read(POINTER).strip() if store.is_file(POINTER) else None
+
+
+def load_base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, str]:
+    version = current(spark, folder)
     if version is None:
         raise SnapshotError(f"no snapshot in {folder}")
-    return tuple(spark.read.schema(s).parquet(os.path.join(folder, version, n)) for s, n in ((DECLARATIONS, "declarations"), (FILES, "files")))
+    d, r = (spark.read.schema(s).parquet(f"{folder}/{version}/{n}") for s, n in ((DECLARATIONS, "declarations"), (FILES, "files")))
+    return d, r, version
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Declarations and files, with the delta."""
+    d, r, version = load_base(spark, folder)
+    return composed(d, r, load_delta(spark, folder, version))
 
 
-def delete(folder: str) -> bool:
+def delete(spark: SparkSession, folder: str) -> bool:
     """Whether there was one. The folder goes if nothing else is in it."""
-    if not exists(folder):
+    store = Store(spark, folder)
+    if not store.is_file(POINTER):
         return False
-    os.remove(os.path.join(folder, POINTER))
-    for name in os.listdir(folder):
-        if os.path.isdir(os.path.join(folder, name)):
-            shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
-    if not os.listdir(folder):
-        os.rmdir(folder)
+    store.delete(POINTER)
+    for name in store.folders():
+        store.delete(name)
+    store.delete_if_empty()
     return True
 
 
-def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tables of a JSON snapshot. Version 1 has no files. Unknown kinds become functions, missing fields '' or 0."""
-    text = spark.read.text(path, wholetext=True)
-    one = text.select(F.from_json("value", _JSON).alias("j")).select("j.*").first()
-    if one is None or one["version"] not in (1, SNAPSHOT_VERSION):
+def import_json(spark: SparkSession, path: str, rows_key: str = "declarations") -> tuple[DataFrame, DataFrame]:
+    """Tables of a JSON snapshot whose declarations are under ``rows_key``. Version 1 has no files. Unknown kinds become functions,
+    missing fields '' or 0. The declarations never come to the driver, only the version and whether there are any."""
+    schema = f"version long, `{rows_key}` array<struct<n string, k string, f string, l long>>, files array<struct<p string, m long>>"
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.version", F.col(f"j.`{rows_key}`").alias("rows"), "j.files")
+    head = parsed.select("version", F.col("rows").isNull().alias("none")).first()
+    if head is None or head["version"] not in (1, SNAPSHOT_VERSION):
         raise SnapshotError("not a snapshot of version 1 or 2")
-    if one["symbols"] is None:
+    if head["none"]:
         raise SnapshotError("the snapshot has no declarations")
-    parsed = text.select(F.from_json("value", _JSON).alias("j"))
-    d = parsed.select(F.posexplode("j.symbols").alias("ord", "s"))
+    d = parsed.select(F.posexplode("rows").alias("ord", "s"))
     declarations = d.select(F.coalesce("s.n", F.lit("")).alias("name"), kind_name(F.col("s.k")).alias("kind"), F.coalesce("s.f", F.lit("")).alias("file"), F.coalesce("s.l", F.lit(0)).cast("int").alias("line"), F.col("ord").cast("long").alias("ord"))
-    files = parsed.select(F.explode("j.files").alias("f")).select(F.coalesce("f.p", F.lit("")).alias("path"), F.coalesce("f.m", F.lit(0)).alias("mtime_ns"))
+    files = parsed.select(F.explode("files").alias("f")).select(F.coalesce("f.p", F.lit("")).alias("path"), F.coalesce("f.m", F.lit(0)).alias("mtime_ns"))
     return declarations, files
 
 
-def export_json(path: str, declarations: DataFrame, records: DataFrame) -> None:
-    """Version 2, streamed row by row to one file, in order."""
+def export_json(path: str, declarations: DataFrame, records: DataFrame, rows_key: str = "declarations") -> None:
+    """Version 2, streamed row by row to one file of this machine, in order."""
     with open(f"{path}.part", "w", encoding="utf-8") as f:
-        f.write(f'{{"version":{SNAPSHOT_VERSION},"symbols":[')
+        f.write(f'{{"version":{SNAPSHOT_VERSION},{json.dumps(rows_key)}:[')
         for i, r in enumerate(declarations.orderBy("ord").toLocalIterator()):
             f.write("," * (i > 0) + json.dumps({"n": r["name"], "k": r["kind"], "f": r["file"], "l": r["line"]}, separators=(",", ":"), ensure_ascii=False))
         f.write('],"files":[')

@@ -2,7 +2,8 @@
 
 Options: ``root``; ``dirs`` (``;``-separated, relative to the root, none for the root itself); ``extensions``
 (``;``-separated, the usual C and C++ ones by default); ``ignore`` (text of an ignore file); ``ignore_from`` (``root`` or ``scan``: which
-folder the rules' paths are relative to); ``content`` (``false`` lists only); ``batch`` (files in a partition).
+folder the rules' paths are relative to); ``content`` (``false`` lists only); ``batch`` (files in a partition); ``fan`` (folders that are
+handed to tasks, which list what is below them; only what lies above is listed by the driver).
 
 Names that begin with a dot or an underscore count, times are exact to the nanosecond, links to folders are not followed, and folders that
 cannot be read are passed over; a missing root gives no rows. Overlapping folders give their files once for each.
@@ -35,8 +36,8 @@ def mtime_ns(path: str) -> int:
         return -1
 
 
-def list_tree(root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: str = "", base: str | None = None) -> list[str]:
-    """Absolute paths of the files under ``root`` that qualify. Rules apply to paths relative to ``base``."""
+def list_tree(root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: str = "", base: str | None = None, deep: bool = True) -> list[str]:
+    """Absolute paths of the files under ``root`` (``deep``) or in it that qualify. Rules apply to paths relative to ``base``."""
     if not os.path.isdir(root):
         log.warning("no folder %s", root)
         return []
@@ -45,6 +46,8 @@ def list_tree(root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: str =
     out = []
     for folder, subs, names in os.walk(root, followlinks=False):
         subs.sort()
+        if not deep:
+            subs.clear()
         for name in sorted(names):
             path = os.path.join(folder, name)
             if file_extension(name) in extensions and os.path.isfile(path):
@@ -59,8 +62,24 @@ def scan_roots(root: str, dirs: list[str]) -> list[str]:
 
 
 class Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    """Files that are known, or a folder whose files the task lists itself."""
+
+    def __init__(self, files: list[str] | None = None, folder: str | None = None):
+        self.files, self.folder = files or [], folder
+
+
+def top_folders(root: str, fan: int) -> tuple[list[str], list[str]]:
+    """``(folders opened here, folders left to tasks)``: level by level, until there are ``fan`` to hand out."""
+    opened, left = [], [root] if os.path.isdir(root) else []
+    while left and len(left) < fan:
+        folder = left.pop(0)
+        opened.append(folder)
+        try:
+            with os.scandir(folder) as entries:
+                left += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+        except OSError:
+            log.warning("folder %s cannot be read", folder)
+    return opened, left
 
 
 class TreeReader(DataSourceReader):
@@ -70,17 +89,29 @@ class TreeReader(DataSourceReader):
         self.extensions = tuple(e for e in options.get("extensions", ";".join(EXTENSIONS)).split(";") if e)
         self.ignore, self.per_root = options.get("ignore", ""), options.get("ignore_from", "root") == "root"
         self.content = options.get("content", "true").lower() == "true"
-        self.batch = int(options.get("batch", "64"))
+        self.batch, self.fan = int(options.get("batch", "64")), int(options.get("fan", "256"))
 
     def partitions(self):
-        found = []
-        for r in scan_roots(self.root, self.dirs):
-            for p in list_tree(r, self.extensions, self.ignore, self.root if self.per_root else None):
-                found.append((p, os.path.relpath(p, self.root).replace(os.sep, "/")))
-        return [Files(found[i : i + self.batch]) for i in range(0, len(found), self.batch)] or [Files([])]
+        out = []
+        for root in scan_roots(self.root, self.dirs):
+            if not os.path.isdir(root):
+                log.warning("no folder %s", root)
+            opened, left = top_folders(root, self.fan)
+            found = [p for folder in opened for p in self.listed(folder, root, deep=False)]
+            out += [Files(found[i : i + self.batch]) for i in range(0, len(found), self.batch)]
+            out += [Files(folder=f"{root}\n{folder}") for folder in left]
+        return out or [Files()]
+
+    def listed(self, folder: str, root: str, deep: bool) -> list[str]:
+        return list_tree(folder, self.extensions, self.ignore, self.root if self.per_root else root, deep)
 
     def read(self, partition):
-        for path, rel in partition.files:
+        files = partition.files
+        if partition.folder is not None:
+            root, _, folder = partition.folder.partition("\n")
+            files = self.listed(folder, root, deep=True)
+        for path in files:
+            rel = os.path.relpath(path, self.root).replace(os.sep, "/")
             content = None
             if self.content:
                 try:

@@ -18,10 +18,19 @@ _REQUEST = "id string, method string, params struct<pattern:string,limit:string,
 MAX_LIMIT = (1 << 31) - 1
 
 
-def parse_requests(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds ``id, method, pattern, limit, file, bad``; a blank line gives nothing, an unknown method ``unknown``."""
+#: Raw control bytes pass, and a backslash before any other character than JSON's stands for that character.
+_LENIENT = {"columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+
+
+def parse_requests(lines: DataFrame, line: str = "line", strict_compat: bool = False) -> DataFrame:
+    """Adds ``id, method, pattern, limit, file, bad``; a blank line gives nothing, an unknown method ``unknown``.
+
+    ``strict_compat`` reads every ``\\uXXXX`` as ``?``, as older clients expect.
+    """
     text = F.regexp_replace(line, "\r$", "")
-    d = lines.where(F.trim(text) != "").withColumn("__r", F.from_json(text, _REQUEST, {"columnNameOfCorruptRecord": "_bad"}))
+    if strict_compat:
+        text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\u[0-9a-fA-F]{4}", "$1?")
+    d = lines.where(F.trim(text) != "").withColumn("__r", F.from_json(text, _REQUEST, _LENIENT))
     limit = number(F.col("__r.params.limit"))
     # JSON that is no object is a request without fields, not an error
     scalar = F.trim(text).rlike(r'^(\[.*\]|-?[0-9].*|".*"|true|false|null)$')
@@ -37,12 +46,12 @@ def parse_requests(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def query_response(rid: Column, results: Column) -> Column:
-    return F.to_json(F.struct(rid.alias("id"), results.alias("symbols")))
+def query_response(rid: Column, results: Column, rows_key: str = "declarations") -> Column:
+    return F.to_json(F.struct(rid.alias("id"), results.alias(rows_key)))
 
 
-def status_response(rid: Column, ready: Column, files: Column, declarations: Column) -> Column:
-    return F.to_json(F.struct(rid.alias("id"), F.when(ready, "ready").otherwise("building").alias("status"), files.alias("files"), declarations.alias("symbols")))
+def status_response(rid: Column, ready: Column, files: Column, declarations: Column, rows_key: str = "declarations") -> Column:
+    return F.to_json(F.struct(rid.alias("id"), F.when(ready, "ready").otherwise("building").alias("status"), files.alias("files"), declarations.alias(rows_key)))
 
 
 def ack_response(rid: Column, status: Column) -> Column:
@@ -53,6 +62,30 @@ def error_response(rid: Column, message: Column) -> Column:
     return F.to_json(F.struct(rid.alias("id"), message.alias("error")))
 
 
+_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
+
+
+def answer_responses(requests: DataFrame, rows_key: str = "declarations", ready: bool = True, files: int = 0, declarations: int = 0) -> DataFrame:
+    """Adds ``response`` to parsed requests: the answers of an index that has no row for any query. Wrong lines are errors with id 0."""
+    rid, none = F.col("id"), F.expr("cast(array() as array<struct<name:string,kind:string,file:string,line:int,score:int>>)")
+    text = (
+        F.when(F.col("bad"), error_response(F.lit(0).cast("long"), F.lit("bad JSON")))
+        .when(F.col("method") == "query", query_response(rid, none, rows_key))
+        .when(F.col("method") == "status", status_response(rid, F.lit(ready), F.lit(files), F.lit(declarations), rows_key))
+        .when(F.col("method").isin("rebuild", "forceRebuild"), ack_response(rid, F.lit("rebuilt")))
+        .when((F.col("method") == "rebuildFile") & (F.col("file") == ""), error_response(rid, F.lit("no file given")))
+        .when(F.col("method") == "rebuildFile", ack_response(rid, F.lit("rebuilt")))
+        .when(F.col("method") == "shutdown", ack_response(rid, F.lit("shutdown")))
+        .otherwise(error_response(rid, F.lit("unknown method")))
+    )
+    return requests.withColumn("response", text)
+
+
+def matched(pending: DataFrame, responses: DataFrame, key: str = "id") -> DataFrame:
+    """Responses with the requests that wait for them, by id; a response nobody waits for is left out."""
+    return pending.join(responses, key)
+
+
 @dataclass(frozen=True)
 class Request:
     id: int = 0
@@ -69,14 +102,19 @@ def _integer(v) -> int:
 
 
 def parse_request(line: str, strict_compat: bool = False) -> Request | None:
-    """None if the line is no JSON. Only the first value counts, what follows it is ignored; the last of equal keys wins.
+    """None if the line is no JSON. Only the first value counts, what follows it is ignored; the last of equal keys wins. Raw control
+    bytes pass, an unknown escape is its character.
 
     ``strict_compat`` reads every ``\\uXXXX`` as ``?``, as older clients expect.
     """
-    if strict_compat:
-        line = re.sub(r"((?:^|[^\\])(?:\\\\)*)\\u[0-9a-fA-F]{4}", r"\1?", line)
+
+    def escape(m: re.Match) -> str:
+        if m[1][0] == "u":
+            return "?" if strict_compat and len(m[1]) == 5 else m[0]
+        return m[0] if m[1] in '"\\/bfnrt' else m[1]
+
     try:
-        v, _ = json.JSONDecoder().raw_decode(line.strip())
+        v, _ = json.JSONDecoder(strict=False).raw_decode(_ESCAPE.sub(escape, line.strip()))
     except ValueError:
         return None
     if not isinstance(v, dict):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import threading
 import time
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,44 +16,74 @@ from brindle.model import DECLARATIONS, FILES
 from brindle.operators import extract, maintain, stats
 from brindle.plans import search
 from brindle.sources import shared, snapshot, tree
+from brindle.sources.shared import settled
 from brindle.streaming import protocol
 
+#: So many single files are kept beside the index before they are merged into it.
+MERGE = 128
 
-class Index:
-    """The declarations and files of one project. Tables are immutable; an operation swaps them."""
 
-    def __init__(self, spark: SparkSession, root: str, dirs: list[str] | None = None, cache: bool = True, cache_dir: str | None = None, ignore_name: str = ".declarations-ignore", extensions: str | None = None):
+class Index:
+    """The declarations and files of one project: two settled tables, and beside them the few files that were refreshed singly since.
+
+    ``rows_key`` names the result list and the count in responses, ``query_timeout`` is in seconds.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        dirs: list[str] | None = None,
+        cache: bool = True,
+        cache_dir: str | None = None,
+        ignore_name: str = ".declarations-ignore",
+        extensions: str | None = None,
+        rows_key: str = "declarations",
+        query_timeout: float | None = None,
+        strict_compat: bool = False,
+    ):
         self.spark, self.root, self.dirs, self.cache = spark, os.path.abspath(root), dirs or [], cache
         self.cache_dir = cache_dir or os.path.join(self.root, ".cache", "declarations")
         self.ignore_name, self.options = ignore_name, {"extensions": extensions} if extensions else {}
+        self.rows_key, self.query_timeout, self.strict_compat = rows_key, query_timeout, strict_compat
         self.ready, self.dirty, self.n_files, self.seconds = False, False, 0, 0.0
-        self.declarations = spark.createDataFrame([], DECLARATIONS)
-        self.records = spark.createDataFrame([], FILES)
+        self.base = (spark.createDataFrame([], DECLARATIONS), spark.createDataFrame([], FILES))
+        self.delta: dict[str, tuple[int | None, list]] = {}
+        self.top, self.saved = -1, None
+        self.declarations, self.records = self.base
         self.parsed: DataFrame | None = None
 
     def _present(self, content: bool) -> DataFrame:
         return tree.read_tree(self.spark, self.root, self.dirs, tree.load_ignore(self.root, self.ignore_name), content, **self.options)
 
-    def _swap(self, declarations: DataFrame, records: DataFrame, n_files: int) -> None:
+    def _swap(self, declarations: DataFrame, records: DataFrame, n_files: int, top: int | None = None) -> None:
         """Settle the new tables before the old ones go. With a shared folder they are written there, which cuts the lineage
         of a long session; searches read them from memory."""
-        settle = (lambda t: t.checkpoint().cache()) if shared.configured(self.spark) else (lambda t: t.cache())
-        new = [settle(t) for t in (declarations, records)]
-        for t in new:
-            t.count()
-        old, (self.declarations, self.records) = (self.declarations, self.records), new
+        new = [settled(t) for t in (declarations, records)]
+        if shared.configured(self.spark):
+            new = [t.cache() for t in new]
+        old, self.base = self.base, tuple(new)
+        self.declarations, self.records = self.base
         for t in old:
             t.unpersist()
+        self.delta, self.saved = {}, None
+        self.top = maintain.largest(self.declarations) if top is None else top
         self.n_files, self.ready = n_files, True
 
+    def _read(self, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Declarations and records of files that can be read."""
+        parsed = settled(extract.parse_sources(tree.read_files(self.spark, self.root, paths)))
+        good = parsed.where("error is null").select(F.col("file").alias("path"), "mtime_ns")
+        return extract.declarations_of(parsed, settle=False), good
+
     def build(self) -> None:
         """Scan, extract and replace everything. A file that cannot be read has no record and is tried again by the next refresh."""
         began = time.monotonic()
-        parsed = extract.parse_sources(self._present(True)).cache()
-        self.parsed = parsed
-        n = parsed.count()
+        if self.parsed is not None:
+            self.parsed.unpersist()
+        self.parsed = parsed = settled(extract.parse_sources(self._present(True)))
         records = parsed.where("error is null").select(F.col("file").alias("path"), "mtime_ns").dropDuplicates(["path"])
-        self._swap(extract.declarations_of(parsed), records, n)
+        self._swap(extract.declarations_of(parsed, settle=False), records, parsed.count())
         self.dirty, self.seconds = True, time.monotonic() - began
 
     def refresh(self) -> None:
@@ -58,40 +91,65 @@ class Index:
         if not self.records.head(1):
             self.build()
             return
-        present = self._present(False).select("path", "mtime_ns").cache()
-
-        def read(paths: DataFrame):
-            parsed = extract.parse_sources(tree.read_files(self.spark, self.root, paths)).cache()
-            good = parsed.where("error is null").select(F.col("file").alias("path"), "mtime_ns")
-            return extract.declarations_of(parsed), good
-
-        d = maintain.apply_delta(self.declarations, self.records, present, read)
+        present = settled(self._present(False).select("path", "mtime_ns"))
+        n = present.count()
+        d = maintain.apply_delta(self.declarations, self.records, present, self._read, self.top)
         if d.dirty:
-            self._swap(d.declarations, d.records, present.count())
+            self._swap(d.declarations, d.records, n)
             self.dirty = True
         else:
-            self.n_files, self.ready = present.count(), True
+            self.n_files, self.ready = n, True
+        present.unpersist()
+
+    def _relative(self, path: str) -> str:
+        return os.path.relpath(os.path.join(self.root, path), self.root).replace(os.sep, "/")
 
     def refresh_file(self, path: str) -> bool:
-        """One file, by path from the root or absolute: read again, or forgotten if it is gone. Whether it was read."""
+        """One file, by path from the root or absolute: read again, or forgotten if it is gone. Whether it was read.
+
+        The index is not rewritten: the file goes into the delta, which is merged when it holds ``MERGE`` files.
+        """
         if not self.ready:
             return False
-        full = path if os.path.isabs(path) else os.path.join(self.root, path)
-        rel = os.path.relpath(full, self.root).replace(os.sep, "/")
-        one = self.spark.createDataFrame([(rel,)], "path string")
-        kept = maintain.without(self.declarations, one)
-        records = self.records.join(F.broadcast(one), "path", "left_anti")
-        if not os.path.isfile(full):
-            self._swap(kept, records, self.n_files)
-            self.dirty = True
-            return False
-        known = bool(self.records.where(F.col("path") == rel).head(1))
-        stamp = self.spark.createDataFrame([(rel, tree.mtime_ns(full))], FILES)
-        parsed = extract.parse_sources(tree.read_files(self.spark, self.root, stamp)).cache()
-        good = parsed.where("error is null")
-        self._swap(maintain.appended(kept, extract.declarations_of(parsed)), records.unionByName(good.select(F.col("file").alias("path"), "mtime_ns")), self.n_files + (not known))
+        rel = self._relative(path)
+        full, found, stamp = os.path.join(self.root, rel), [], None
+        if os.path.isfile(full):
+            known = self.delta[rel][0] is not None if rel in self.delta else bool(self.base[1].where(F.col("path") == rel).head(1))
+            self.n_files += not known
+            try:
+                with open(full, "rb") as f:
+                    found = [(name, kind, rel, line, self.top + 1 + i) for i, (name, kind, line, _, _) in enumerate(extract.scan(f.read()))]
+                stamp = tree.mtime_ns(full)
+            except (OSError, RecursionError) as e:
+                tree.log.warning("%s cannot be read: %s", rel, e)
+        self.top += len(found)
+        self.delta[rel] = (stamp, found)
+        self.dirty = True
+        self.declarations, self.records = snapshot.composed(*self.base, self.delta)
+        if len(self.delta) >= MERGE:
+            self._swap(self.declarations, self.records, self.n_files, self.top)
+        return stamp is not None
+
+    def refresh_files(self, paths: DataFrame) -> None:
+        """Any number of files ``path`` at once, in one pass: read again where they are, forgotten where they are gone."""
+        if not self.ready:
+            return
+        root = self.root
+
+        def stamp(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                rel = [os.path.relpath(os.path.join(root, p), root).replace(os.sep, "/") for p in pdf["path"]]
+                ns = [tree.mtime_ns(os.path.join(root, p)) if os.path.isfile(os.path.join(root, p)) else None for p in rel]
+                yield pd.DataFrame({"path": pd.Series(rel, dtype=str), "mtime_ns": pd.Series(ns, dtype="Int64")})
+
+        stamps = settled(paths.select("path").mapInPandas(stamp, FILES).dropDuplicates(["path"]))
+        there = stamps.where("mtime_ns is not null")
+        new = there.join(self.records.select("path"), "path", "left_anti").count()
+        d, r, _ = maintain.applied_files(self.declarations, self.records, stamps, self._read, self.top)
+        self._swap(d, r, self.n_files + new)
         self.dirty = True
-        return bool(good.head(1))
 
     def prune(self) -> int:
         """Forget files that no longer exist; how many."""
@@ -110,17 +168,22 @@ class Index:
         return n
 
     def save(self) -> None:
-        snapshot.save(self.cache_dir, self.declarations, self.records)
+        """The whole index, or only the delta where the rest is saved already."""
+        if self.saved is None or self.saved != snapshot.current(self.spark, self.cache_dir):
+            self.saved = snapshot.save(self.cache_dir, *self.base)
+        snapshot.save_delta(self.spark, self.cache_dir, self.saved, self.delta)
         self.dirty = False
 
     def load(self) -> None:
-        d, r = snapshot.load(self.spark, self.cache_dir)
+        d, r, version = snapshot.load_base(self.spark, self.cache_dir)
+        delta = snapshot.load_delta(self.spark, self.cache_dir, version)
+        d, r = snapshot.composed(d, r, delta)
         self._swap(d, r, d.select("file").distinct().count())
-        self.dirty = False
+        self.saved, self.dirty = None if delta else version, False
 
     def start(self) -> None:
         """From the snapshot if there is one and it can be read, pruned; else a build."""
-        if self.cache and snapshot.exists(self.cache_dir):
+        if self.cache and snapshot.exists(self.spark, self.cache_dir):
             try:
                 self.load()
                 if self.prune():
@@ -135,28 +198,59 @@ class Index:
     def search(self, text: str, limit: int = 200) -> list[dict]:
         if not self.ready:
             return []
-        return [r.asDict() for r in search(self.declarations, text, limit).collect()]
+        return within(self.spark, self.query_timeout, lambda: [r.asDict() for r in search(self.declarations, text, limit).collect()])
 
     def slowest(self) -> list[dict]:
         return [r.asDict() for r in stats.slowest(self.parsed.select("file", "seconds").withColumnRenamed("file", "path")).collect()] if self.parsed is not None else []
 
 
+def within(spark: SparkSession, seconds: float | None, call: Callable):
+    """The result of ``call``; its Spark jobs are cancelled when the time is over."""
+    if not seconds:
+        return call()
+    sc, group, done, late = spark.sparkContext, f"request-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            sc.cancelJobGroup(group)
+            wait = 0.1
+
+    sc.setJobGroup(group, "request", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        out = call()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {seconds:g} s") from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise TimeoutError(f"no answer within {seconds:g} s")
+    return out
+
+
 def status(index: Index, rid: int) -> str:
     n = index.declarations.count()
-    return protocol.dump(id=rid, status="ready" if index.ready else "building", files=index.n_files, symbols=n)
+    return protocol.dump(**{"id": rid, "status": "ready" if index.ready else "building", "files": index.n_files, index.rows_key: n})
 
 
 def handle(index: Index, r: protocol.Request) -> str:
     """One response. A single-file refresh is acknowledged even if the file could not be read; a forced rebuild drops the snapshot in any case."""
     if r.method == "query":
-        return protocol.dump(id=r.id, symbols=index.search(r.pattern, r.limit))
+        return protocol.dump(**{"id": r.id, index.rows_key: index.search(r.pattern, r.limit)})
     if r.method == "status":
         return status(index, r.id)
     if r.method == "rebuild":
         index.refresh()
         return protocol.dump(id=r.id, status="rebuilt")
     if r.method == "forceRebuild":
-        snapshot.delete(index.cache_dir)
+        snapshot.delete(index.spark, index.cache_dir)
         index.build()
         return protocol.dump(id=r.id, status="rebuilt")
     if r.method == "rebuildFile":
@@ -169,17 +263,26 @@ def handle(index: Index, r: protocol.Request) -> str:
     return protocol.dump(id=r.id, error="unknown method")
 
 
+def answer(index: Index, r: protocol.Request) -> str:
+    """``handle``, but whatever fails or takes too long is answered with an error, and the loop goes on."""
+    try:
+        return handle(index, r)
+    except Exception as e:  # noqa: BLE001 - one request must not end the service
+        tree.log.warning("request %s failed: %s", r.id, e, exc_info=tree.log.isEnabledFor(logging.DEBUG))
+        return protocol.dump(id=r.id, error=(str(e) or type(e).__name__).splitlines()[0])
+
+
 def serve(index: Index, lines: Iterable[str]) -> Iterator[str]:
     """Responses in order, until a shutdown or the end; what changed is saved after the response has gone out."""
     for line in lines:
         line = line.removesuffix("\n").removesuffix("\r")
         if not line:
             continue
-        r = protocol.parse_request(line)
+        r = protocol.parse_request(line, index.strict_compat)
         if r is None:
             yield protocol.dump(id=0, error="bad JSON")
             continue
-        yield handle(index, r)
+        yield answer(index, r)
         if index.cache and index.dirty:
             index.save()
         if r.method == "shutdown":
@@ -205,11 +308,11 @@ def newest_events(events: DataFrame) -> DataFrame:
 
 
 def follow(index: Index, events_dir: str, checkpoint: str) -> None:
-    """A feed of JSON lines ``{"path","at"}``: each micro-batch refreshes every named file once."""
+    """A feed of JSON lines ``{"path","at"}``: each micro-batch refreshes every named file once, all in one pass."""
     source = index.spark.readStream.schema("path string, at long").json(events_dir)
 
     def apply(batch: DataFrame, _: int) -> None:
-        for r in newest_events(batch).orderBy("at", "path").toLocalIterator():
-            index.refresh_file(r["path"])
+        if batch.head(1):
+            index.refresh_files(newest_events(batch))
 
     source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -59,6 +59,21 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat_ws("_", F.lit("d"), "l_orderkey", "l_linenumber").alias("name"), _pick(KINDS, F.col("l_linenumber") % 8).alias("kind"), F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".cpp")).alias("file"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
 
 
+def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as request lines with escapes of every sort, raw tabs, repeated keys, values of wrong types, and trailing text."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    u, i = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    line = (
+        F.when(F.col("event_id") % 6 == 0, F.concat(F.lit('{"id":'), i, F.lit(',"method":"query","params":{"pattern":"a\\u0041\\u0042'), u, F.lit('\\q\\/"}} trailing {')))
+        .when(F.col("event_id") % 6 == 1, F.concat(F.lit('{"id":1,"id":'), i, F.lit(',"method":"status","method":"query","params":{"pattern":"tab\there'), u, F.lit('"}}')))
+        .when(F.col("event_id") % 6 == 2, F.concat(F.lit('[1,{"id":'), i, F.lit("}]")))
+        .when(F.col("event_id") % 6 == 3, F.concat(F.lit('{"id":true,"method":null,"params":{"pattern":null,"limit":"'), u, F.lit('","file":"a\\\\b\\"c"}}')))
+        .when(F.col("event_id") % 6 == 4, F.concat(F.lit(' \t{ "id" : -'), i, F.lit(' , "method" : "shutdown" }')))
+        .otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"method":"rebuildFile","params":{"file":"\\n'), u, F.lit('.h"}}')))
+    )
+    return e.select("event_id", line.alias("line"))
+
+
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request lines, numbers written as decimals every third time."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
@@ -84,6 +99,44 @@ def generated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("gen/c"), k, F.lit(".cpp")).alias("path"), F.col("c_nationkey").cast("long").alias("mtime_ns"), F.encode(F.concat(*pieces), "UTF-8").alias("content"))
 
 
+#: A second C++ file, with every construct that is reported or passed over; the key goes between the parts.
+CONSTRUCTS = (
+    "/* enum Hidden { A }; */\nstruct Later",
+    ";\nstruct Point",
+    " final : Base { int x; };\nusing Id",
+    " = long;\ntypedef unsigned Word",
+    ";\n#define SUM",
+    "(a, b) \\\n  ((a) + (b))\ntemplate <class T> T pick",
+    "(T a) { return a; }\ntemplate <class T> class Bag",
+    " { void put(T); };\nint declared",
+    "(int);\nint *made",
+    "(int) { return 0; }\nint ready",
+    " = 1, *spare",
+    ", many[3];\nconst char* text",
+    ' = R"(struct No { };)";\nenum Early',
+    " : int;\nvoid Point",
+    "::move() { static int calls = 0; constexpr int step",
+    " = 1; }\nbool operator<(int, int);\nunion Raw { int bits; };\nnamespace a { namespace b { namespace c { namespace d { namespace e { namespace f { namespace g { namespace h { int deep; struct Deep { }; } } } } } } } }\n",
+)
+
+
+def construct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C++ file with every construct for each supplier."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey").cast("string")
+    pieces = [F.lit(CONSTRUCTS[0])]
+    for p in CONSTRUCTS[1:]:
+        pieces += [k, F.lit(p)]
+    return s.select(F.concat(F.lit("all/s"), k, F.lit(".cpp")).alias("path"), F.col("s_suppkey").alias("mtime_ns"), F.encode(F.concat(*pieces), "UTF-8").alias("content"))
+
+
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as ignore files: a comment, a prefix, an exact path with backslashes, a blank line, an indented prefix."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey").cast("string")
+    return n.select("n_nationkey", F.concat(F.lit("# "), "n_name", F.lit("\r\n./src"), k, F.lit("/*\r\n\nold\\f"), k, F.lit(".c\n x"), k, F.lit("/*")).alias("text"))
+
+
 def written_tree(sources: DataFrame, root: str) -> str:
     """Write sources as files below ``root``, a folder that all executors see."""
 

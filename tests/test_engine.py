@@ -11,9 +11,9 @@ from hypothesis import strategies as st
 from brindle.__main__ import arguments, main
 from brindle.functions import extension, normal_path, score, score_column
 from brindle.functions.score import contains_subsequence, with_score
-from brindle.model import FILES
+from brindle.model import FILES, QUERY_TIMEOUT
 from brindle.operators import extract, ignore, maintain
-from brindle.plans import compile_query, search
+from brindle.plans import batch_search, compile_query, search
 from brindle.sources import snapshot, tree
 from brindle.streaming import protocol, service
 
@@ -93,35 +93,147 @@ def test_unrolled_score_plan_grows_linearly(spark):
         assert search(df, p).collect()[0].score == model_score("the_long_name_of_it", p)
 
 
+#: Files of our own, each with several constructs, and what is reported of them in order.
 CASES = {
-    "void foo() {}": [("foo", "function")],
-    "class A {};\nstruct B { int x; };": [("A", "class"), ("B", "struct")],
-    "enum C { X };\nenum class D { Y };\nenum class E : int;": [("C", "enum"), ("D", "enum"), ("E", "enum")],
-    "using L = int;\ntypedef int I;": [("L", "alias"), ("I", "typedef")],
-    "class Later;": [],
-    "class Foo {\n void bar();\n int x;\n static constexpr int k = 3;\n};\nvoid Foo::bar() { int y = 1; }": [("Foo", "class"), ("bar", "function"), ("Foo::bar", "function")],
-    "template <typename T> T most(T a) { return a; }\ntemplate <class T> class Box { };\ntemplate<class T> struct SBox { };\ntemplate<class T> using V = Box<T>;": [("most", "function"), ("Box", "class"), ("SBox", "struct"), ("V", "alias")],
-    'int g = 42;\nstatic float pi = 3.1f;\nconst char* name = "x";': [("g", "variable"), ("pi", "variable"), ("name", "variable")],
-    "void f() { int a = 1; const int b = 2; constexpr int c = 3; }": [("f", "function"), ("c", "variable")],
-    "namespace n { int inner = 1; }": [("inner", "variable")],
-    "#define MAX 5\n#define SQ(x) \\\n  ((x) * (x))\n": [("MAX", "macro"), ("SQ", "macro")],
-    "namespace a { namespace b { namespace c { namespace d { namespace e { class I { public: virtual ~I() = default; virtual void run() = 0; }; } } } } }": [("I", "class"), ("~I", "function"), ("run", "function")],
-    "class API Decorated {\npublic:\n virtual void one() = 0;\n virtual int two(int x) const = 0;\n int data;\n};": [("one", "function"), ("two", "function")],
-    "int* p();\nint& r();\nvoid (*fp)(int);": [("(*fp)", "function")],
-    "typedef struct P { int x; } Q;\nstruct S { int x; } s1, *s2;": [("P", "struct"), ("Q", "typedef"), ("S", "struct"), ("s1", "variable"), ("s2", "variable")],
-    "Foo::Foo(int a) : x(a), y{2} { z(); }\nbool operator==(const A& a, const A& b);": [("Foo::Foo", "function"), ("operator==", "function")],
-    'extern "C" { void cfun(int); }': [("cfun", "function")],
-    "int arr[3] = {1};\nint **pp;\nint &r = x;\nint a, *b = 0, c[2];": [("a", "variable"), ("b", "variable")],
-    '// void no();\n/* int x; */ const char* s = R"(void no2();)";': [("s", "variable")],
-    "int main(int argc, char** argv) { switch (argc) { case 1: foo(); break; } Local loc; int q(int a); return 0; }": [("main", "function"), ("q", "function")],
-    "union U { int a; };\nusing namespace std;\ntemplate<> class A<int> { };": [],
-    "": [],
+    "a cache with a forward declaration, a nested type and members": (
+        """
+        class Evictor;
+        namespace store {
+        struct Slot { unsigned long key; char payload[16]; };
+        class Cache final : public Base {
+            enum Policy : char { Oldest, Rarest };
+            static constexpr int kWays = 8;
+            Evictor* evictor_ = nullptr;
+        public:
+            explicit Cache(int ways) : evictor_(nullptr) { reset(); }
+            ~Cache();
+            Slot* find(unsigned long key) const;
+            bool insert(Slot slot), full() const noexcept;
+        };
+        }
+        """,
+        [("Slot", "struct"), ("Cache", "class"), ("Policy", "enum"), ("Cache", "function"), ("~Cache", "function"), ("insert", "function")],
+    ),
+    "members defined outside, with locals of all sorts": (
+        """
+        store::Cache::~Cache() { long lost = 0; static int calls; constexpr unsigned kMask = 7u; (void)lost; }
+        bool store::Cache::insert(Slot slot) { for (int way = 0; way < 8; ++way) { if (probe(way)) return true; } return false; }
+        """,
+        [("store::Cache::~Cache", "function"), ("kMask", "variable"), ("store::Cache::insert", "function")],
+    ),
+    "globals: several in one line, pointers, arrays, references": (
+        """
+        unsigned hits, misses = 0, *latest = &hits;
+        static const double kRatio{0.75};
+        char* banner = "a;b{c}";
+        long table[64];
+        char** lines;
+        int& alias = misses;
+        extern int elsewhere;
+        """,
+        [("hits", "variable"), ("misses", "variable"), ("latest", "variable"), ("kRatio", "variable"), ("banner", "variable"), ("elsewhere", "variable")],
+    ),
+    "templates of every sort in one file": (
+        """
+        template <typename K, typename V = int> struct Pair { K k; V v; };
+        template <class... Ts> class Bundle : Ts... { };
+        template <typename N> constexpr N clamp(N x, N lo, N hi);
+        template <> struct Pair<char, char> { };
+        template <class T> using Ref = T&;
+        template <typename T> requires Small<T> T twice(T t) { return t + t; }
+        """,
+        [("Pair", "struct"), ("Bundle", "class"), ("clamp", "function"), ("Ref", "alias"), ("twice", "function")],
+    ),
+    "aliases and typedefs, also those that are passed over": (
+        """
+        using Clock = steady_clock;
+        using std::swap;
+        typedef unsigned char Octet;
+        typedef Octet* OctetPtr;
+        typedef void (*Handler)(int);
+        typedef struct { int a; } Anonymous;
+        typedef enum Tone { Low, High } ToneAlias;
+        """,
+        [("Clock", "alias"), ("Octet", "typedef"), ("Anonymous", "typedef"), ("Tone", "enum"), ("ToneAlias", "typedef")],
+    ),
+    "macros beside conditions and comments": (
+        """
+        #ifndef GUARD_H
+        #  define GUARD_H
+        #define LOG(level, text) \\
+            do { emit(level, text); } while (0)
+        // #define COMMENTED 1
+        /* #define NEITHER 2
+           struct Ghost { }; */
+        #undef LOG
+        #endif
+        """.replace("\\\\", "\\"),
+        [("GUARD_H", "macro"), ("LOG", "macro")],
+    ),
+    "strings and characters that look like code": (
+        """
+        const char* page = R"html(<script>function f() { class Z { }; }</script>)html";
+        char quote = '"', brace = '{';
+        const char* both = "/* not a comment */ struct Y { };";
+        void after();
+        """,
+        [("page", "variable"), ("quote", "variable"), ("brace", "variable"), ("both", "variable"), ("after", "function")],
+    ),
+    "names behind pointers and references, and a pointer to a function": (
+        """
+        Node* next(Node* n);
+        Node& front();
+        double (*curve)(double, double);
+        auto size() -> unsigned long;
+        [[nodiscard]] int checked(void);
+        """,
+        [("(*curve)", "function"), ("size", "function"), ("checked", "function")],
+    ),
+    "a class behind an export macro is read as a body": (
+        """
+        struct SHARED_EXPORT Window : Widget {
+            int width = 3;
+            void show();
+            virtual bool close(int reason) = 0;
+        };
+        """,
+        [("show", "function"), ("close", "function")],
+    ),
+    "enums, forward and scoped, and what has no name or is no declaration": (
+        """
+        enum struct Axis : short;
+        enum Colour { Red, Green };
+        enum { Nameless };
+        union Bits { float f; unsigned u; };
+        using namespace store;
+        static_assert(sizeof(int) == 4, "int");
+        """,
+        [("Axis", "enum"), ("Colour", "enum")],
+    ),
+    "linkage, operators and bodies after other functions": (
+        """
+        extern "C" { void c_entry(void); int c_count; }
+        extern "C" int c_single(int);
+        Vec operator+(Vec a, Vec b) { return Vec{a.x + b.x}; }
+        bool Vec::operator==(const Vec& o) const { auto same = [&](int i) { return i == o.x; }; return same(x); }
+        int outer() { struct Local { int v; }; int inner(int); return inner(1); }
+        """,
+        [("c_entry", "function"), ("c_count", "variable"), ("c_single", "function"), ("operator+", "function"), ("Vec::operator==", "function"), ("outer", "function"), ("Local", "struct"), ("inner", "function")],
+    ),
+    "nothing": ("  \n// only a comment", []),
 }
 
 
 @pytest.mark.parametrize("source", list(CASES))
 def test_extraction(source):
-    assert [(n, k) for n, k, *_ in extract.scan(source.encode())] == CASES[source]
+    text, want = CASES[source]
+    assert [(n, k) for n, k, *_ in extract.scan(text.encode())] == want
+
+
+def test_what_lies_too_deep_is_not_reported():
+    deep = "".join(f"namespace level{i} {{ " for i in range(7))
+    assert [n for n, *_ in extract.scan(f"{deep}void seen();{' }' * 7}".encode())] == ["seen"]
+    assert [n for n, *_ in extract.scan(f"{deep}namespace level7 {{ void unseen(); }}{' }' * 7}".encode())] == []
 
 
 def test_lines_offsets_and_bytes():
@@ -163,6 +275,8 @@ def test_scanning_a_tree(spark, tmp_path):
     assert twice[0].content is None
     assert tree.read_tree(spark, str(tmp_path / "none")).count() == 0
     assert tree.list_tree(str(tmp_path), ()) == []
+    for fan in ("1", "2", "3", "99"):
+        assert {r.path for r in tree.read_tree(spark, str(tmp_path), ignore=rules, fan=fan).collect()} == got
     scan_relative = tree.read_tree(spark, str(tmp_path), ["build"], ignore="g.cpp", ignore_from="scan").collect()
     assert scan_relative == []
 
@@ -217,16 +331,16 @@ def test_index_life(spark, tmp_path):
     os.remove(tmp_path / "b.cpp")
     assert again.prune() == 1
     assert again.dirty
-    assert snapshot.delete(again.cache_dir)
-    assert not snapshot.delete(again.cache_dir)
+    assert snapshot.delete(spark, again.cache_dir)
+    assert not snapshot.delete(spark, again.cache_dir)
     with pytest.raises(snapshot.SnapshotError):
         snapshot.load(spark, again.cache_dir)
     assert again.slowest() == []
 
 
 def test_json_snapshots(spark, tmp_path):
-    write(tmp_path, {"v1": '{"version":1,"symbols":[{"n":"old","k":"function","f":"o.cpp","l":7}]}', "bad": "not json", "v9": '{"version":999,"symbols":[]}', "none": '{"version":2,"files":[]}', "empty": '{"version":2,"symbols":[],"files":[]}'})
-    d, f = snapshot.import_json(spark, str(tmp_path / "v1"))
+    write(tmp_path, {"v1": '{"version":1,"foreign":[{"n":"old","k":"function","f":"o.cpp","l":7}]}', "bad": "not json", "v9": '{"version":999,"declarations":[]}', "none": '{"version":2,"files":[]}', "empty": '{"version":2,"declarations":[],"files":[]}'})
+    d, f = snapshot.import_json(spark, str(tmp_path / "v1"), "foreign")
     assert [tuple(r) for r in d.collect()] == [("old", "function", "o.cpp", 7, 0)]
     assert f.count() == 0
     assert snapshot.import_json(spark, str(tmp_path / "empty"))[0].count() == 0
@@ -235,7 +349,7 @@ def test_json_snapshots(spark, tmp_path):
             snapshot.import_json(spark, str(tmp_path / bad))
     rows = spark.createDataFrame([("q\"x\n", "macro", "é.h", 3, 0)], d.schema)
     snapshot.export_json(str(tmp_path / "out"), rows, spark.createDataFrame([("é.h", 5)], FILES))
-    assert json.loads((tmp_path / "out").read_text()) == {"version": 2, "symbols": [{"n": 'q"x\n', "k": "macro", "f": "é.h", "l": 3}], "files": [{"p": "é.h", "m": 5}]}
+    assert json.loads((tmp_path / "out").read_text()) == {"version": 2, "declarations": [{"n": 'q"x\n', "k": "macro", "f": "é.h", "l": 3}], "files": [{"p": "é.h", "m": 5}]}
     back, files = snapshot.import_json(spark, str(tmp_path / "out"))
     assert [tuple(r) for r in back.collect()] == [tuple(r) for r in rows.collect()]
     assert files.first().mtime_ns == 5
@@ -270,6 +384,13 @@ def test_requests_line_and_column_form(spark, line, want):
 def test_strict_compat_reads_escapes_as_question_marks():
     assert protocol.parse_request('{"method":"query","params":{"pattern":"\\u0041"}}').pattern == "A"
     assert protocol.parse_request('{"method":"query","params":{"pattern":"\\u0041"}}', strict_compat=True).pattern == "?"
+    assert protocol.parse_request('{"method":"query","params":{"pattern":"\\u0041\\u0042\\\\u0043"}}', strict_compat=True).pattern == "??\\u0043"
+
+
+def test_unknown_escapes_and_control_bytes_pass(spark):
+    line = '{"id":7,"method":"query","params":{"pattern":"a\\qb\tc\\\\d"}}'
+    assert protocol.parse_request(line).pattern == "aqb\tc\\d"
+    assert protocol.parse_requests(spark.createDataFrame([(line,)], "line string")).first().pattern == "aqb\tc\\d"
 
 
 def test_serving_a_session(spark, tmp_path):
@@ -281,12 +402,12 @@ def test_serving_a_session(spark, tmp_path):
     got = [json.loads(x) for x in service.serve(index, lines)]
     assert [g["id"] for g in got] == [1, 2, 0, 3, 4, 5, 6, 7, 8]
     assert got[0]["status"] == "rebuilt"
-    assert [s["name"] for s in got[1]["symbols"]] == ["Newcomer"]
-    assert list(got[1]["symbols"][0]) == ["name", "kind", "file", "line", "score"]
+    assert [s["name"] for s in got[1]["declarations"]] == ["Newcomer"]
+    assert list(got[1]["declarations"][0]) == ["name", "kind", "file", "line", "score"]
     assert all("error" in got[i] for i in (2, 3, 4))
-    assert got[5] == {"id": 5, "status": "ready", "files": 2, "symbols": 2}
+    assert got[5] == {"id": 5, "status": "ready", "files": 2, "declarations": 2}
     assert got[8]["status"] == "shutdown"
-    assert snapshot.exists(index.cache_dir)
+    assert snapshot.exists(spark, index.cache_dir)
 
 
 def test_replay_equals_the_loop_and_events_refresh(spark, tmp_path):
@@ -309,8 +430,70 @@ def test_replay_equals_the_loop_and_events_refresh(spark, tmp_path):
 def test_command_line(tmp_path):
     a = arguments(["--root", "r", "--search-dir", "x", "--search-dir", "y", "--no-cache"])
     assert (a.root, a.dirs, a.cache, a.diagnostics) == ("r", ["x", "y"], False, False)
-    with pytest.raises(SystemExit):
-        arguments(["--root", "r", "--nope"])
-    with pytest.raises(SystemExit):
-        arguments([])
+    for wrong in (["--root", "r", "--nope"], []):
+        with pytest.raises(SystemExit) as e:
+            arguments(wrong)
+        assert e.value.code == 1
+    with pytest.raises(SystemExit) as e:
+        arguments(["--help"])
+    assert e.value.code == 0
+    more = arguments(["--root", "r", "--rows-key", "hits", "--query-timeout", "0", "--strict-compat"])
+    assert (more.rows_key, more.query_timeout, more.strict_compat) == ("hits", 0.0, True)
+    assert arguments(["--root", "r"]).query_timeout == QUERY_TIMEOUT
     assert main(["--root", str(tmp_path / "none")]) == 1
+
+
+def test_single_files_stay_beside_the_index_until_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(service, "MERGE", 3)
+    write(tmp_path, {f"f{i}.cpp": f"int v{i};" for i in range(5)})
+    index = service.Index(spark, str(tmp_path))
+    index.start()
+    base, version = index.base, index.saved
+    write(tmp_path, {"f0.cpp": "int w0;", "g.h": "struct G { };"})
+    assert index.refresh_file("f0.cpp") and index.refresh_file(str(tmp_path / "g.h"))
+    assert index.base is base and index.n_files == 6
+    index.save()
+    assert index.saved == version
+    assert sorted(r.name for r in snapshot.load(spark, index.cache_dir)[0].collect()) == names(index) == ["G", "v1", "v2", "v3", "v4", "w0"]
+    os.remove(tmp_path / "f1.cpp")
+    assert not index.refresh_file("f1.cpp")
+    assert index.base is not base and not index.delta
+    assert names(index) == ["G", "v2", "v3", "v4", "w0"]
+    assert index.declarations.select("ord").distinct().count() == 5
+    again = service.Index(spark, str(tmp_path))
+    again.start()
+    assert names(again) == ["G", "v2", "v3", "v4", "w0"]
+
+
+def test_one_failing_request_does_not_end_the_service(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"a.cpp": "void alpha() {}"})
+    index = service.Index(spark, str(tmp_path), cache=False)
+    index.build()
+    monkeypatch.setattr(service.Index, "refresh", lambda self: 1 / 0)
+    got = [json.loads(x) for x in service.serve(index, ['{"id":1,"method":"rebuild"}', '{"id":2,"method":"query","params":{"pattern":"alpha"}}'])]
+    assert got[0] == {"id": 1, "error": "division by zero"}
+    assert got[1]["declarations"][0]["name"] == "alpha"
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from brindle.functions.register import register
+
+    register(spark)
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("aAbB_:é") for _ in range(rng.randint(0, 8))), "".join(rng.choice("aAbB_") for _ in range(rng.randint(0, 4)))) for _ in range(300)]
+    spark.createDataFrame(rows, "n string, p string").createOrReplaceTempView("pairs")
+    assert all(r.s == model_score(r.n, r.p) for r in spark.sql("SELECT n, p, fuzzy_score(n, p) AS s FROM pairs").collect())
+
+
+def test_batches_of_searches_equal_single_ones(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("abcAB_:") for _ in range(rng.randint(1, 9))), rng.choice(["class", "enum", "macro"]), f"d{i % 3}/f{i % 7}.{rng.choice(['h', 'cpp'])}", i, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "name string, kind string, file string, line int, ord long").cache()
+    texts = ["ab", "A enum", "b d1.h", "class", "f2.cpp", "  ", "", None, "abc enum d/.h", "zzzz", "a" * 60, "_:"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "qid long, pattern string")
+    for some in (texts, texts[:10]):
+        got = {}
+        for r in batch_search(df, asked.where(f"qid < {len(some)}"), 7).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.name, r.kind, r.file, r.line, r.score))
+        for i, t in enumerate(some):
+            assert got.get(i, []) == [tuple(r) for r in search(df, t, 7).collect()], t
