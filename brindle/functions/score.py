@@ -24,6 +24,12 @@ def _starts_word(raw: Column, at: Column) -> Column:
     return (at == 1) | prev.isin("_", ":") | (prev.between("a", "z") & here.between("A", "Z"))
 
 
+def _word_start(at: str) -> str:
+    """The same as text, for the raw name in ``__raw``."""
+    prev = f"substring(__raw, {at} - 1, 1)"
+    return f"{at} = 1 OR {prev} IN ('_', ':') OR ({prev} BETWEEN 'a' AND 'z' AND substring(__raw, {at}, 1) BETWEEN 'A' AND 'Z')"
+
+
 def score(name: Column | str, pattern: str) -> Column:
     """Score for one pattern known when the query is planned, as a single expression."""
     if not pattern:
@@ -64,35 +70,53 @@ UNROLL = 48
 
 
 def with_score(rows: DataFrame, pattern: str, name: str = "name", out: str = "score") -> DataFrame:
-    """``rows`` with a column ``out``: a chain of ``locate``, one projection for each byte of the pattern.
+    """``rows`` with a column ``out``, the score for a literal pattern."""
+    return with_scores(rows, {out: pattern}, name)
+
+
+def with_scores(rows: DataFrame, patterns: dict[str, str], name: str = "name") -> DataFrame:
+    """One column for each of some literal patterns: a chain of ``locate``, one projection for each byte, all patterns side by side.
 
     Every link is guarded, as a miss would otherwise restart the search at the front. Each position is used
     several times by the next link, so Catalyst keeps the projections apart and the plan grows linearly; all of them run
     in one generated stage.
     """
-    raw_p, low_p = _byte_lower(pattern)
-    n = len(raw_p)
-    if not n or n > UNROLL:
-        return rows.withColumn(out, score(name, pattern))
-    cols = rows.columns
-    d = rows.withColumn("__raw", bytes_as_chars(name)).withColumn("__low", ascii_lower("__raw"))
-    for i, c in enumerate(low_p):
-        prev = F.col(f"__p{i - 1}") if i else F.lit(0)
-        at = F.call_function("locate", F.lit(c), F.col("__low"), prev + 1)
-        d = d.withColumn(f"__p{i}", F.when(prev > 0, at).otherwise(0) if i else at)
-        here = F.col(f"__p{i}")
-        gain = F.when(_starts_word(F.col("__raw"), here), 20).otherwise(0) + F.when(F.substring(F.col("__raw"), here, F.lit(1)) == F.lit(raw_p[i]), 5).otherwise(0)
-        if i:
-            gain = gain + F.when(here == prev + 1, 10).otherwise(0) + F.col(f"__s{i - 1}")
-        d = d.withColumn(f"__s{i}", gain)
-    size, last = F.length("__raw"), F.col(f"__p{n - 1}")
-    value = (
-        F.when(size < n, F.lit(None).cast("int"))
-        .when((size == n) & (F.col("__low") == F.lit(low_p)), F.lit(1000))
-        .when(F.startswith("__low", F.lit(low_p)), 500 + F.greatest(F.lit(0), 100 - (size - n)))
-        .when(last > 0, F.greatest(F.lit(1), F.col(f"__s{n - 1}") - F.floor(size / 4).cast("int")))
-    )
-    return d.select(*(F.col(f"`{c}`") for c in cols), value.cast("int").alias(out))
+    chained = {out: _byte_lower(p) for out, p in patterns.items() if 0 < len(p.encode()) <= UNROLL}
+    cols = [F.col(f"`{c}`") for c in rows.columns if c not in patterns]
+    others = [score(name, p).alias(out) for out, p in patterns.items() if out not in chained]
+    if not chained:
+        return rows.select(*cols, *others)
+    low, size = F.col("__low"), F.length("__raw")
+    d = rows.select(*cols, *others, bytes_as_chars(name).alias("__raw")).withColumn("__low", ascii_lower("__raw"))
+    # as texts, since building thousands of column objects takes longer than running them
+    kept = [f"`{c}`" for c in d.columns]
+    for i in range(max(len(p) for p, _ in chained.values()) + 1):
+        step = []
+        for k, (raw_p, low_p) in enumerate(chained.values()):
+            here, before = f"__p{k}_{i - 1}", f"__p{k}_{i - 2}"
+            if i < len(raw_p):
+                at = f"locate(chr({ord(low_p[i])}), __low, {here if i else 0} + 1)"
+                step.append(f"{f'if({here} > 0, {at}, 0)' if i else at} AS __p{k}_{i}")
+            if 0 < i <= len(raw_p):
+                gain = f"if({_word_start(here)}, 20, 0) + if(substring(__raw, {here}, 1) = chr({ord(raw_p[i - 1])}), 5, 0)"
+                if i > 1:
+                    gain += f" + if({here} = {before} + 1, 10, 0) + __s{k}_{i - 2}"
+                step += [f"{gain} AS __s{k}_{i - 1}", here]
+            elif i > len(raw_p):
+                step += [f"__s{k}_{len(raw_p) - 1}", f"__p{k}_{len(raw_p) - 1}"]
+        d = d.selectExpr(*kept, *step)
+
+    def value(k: int, raw_p: str, low_p: str) -> Column:
+        n = len(raw_p)
+        return (
+            F.when(size < n, F.lit(None).cast("int"))
+            .when((size == n) & (low == F.lit(low_p)), F.lit(1000))
+            .when(F.startswith(low, F.lit(low_p)), 500 + F.greatest(F.lit(0), 100 - (size - n)))
+            .when(F.col(f"__p{k}_{n - 1}") > 0, F.greatest(F.lit(1), F.col(f"__s{k}_{n - 1}") - F.floor(size / 4).cast("int")))
+        ).cast("int")
+
+    done = {out: value(k, *p).alias(out) for k, (out, p) in enumerate(chained.items())}
+    return d.select(*cols, *(done.get(out, F.col(f"`{out}`")) for out in patterns))
 
 
 def score_column(name: Column | str, pattern: Column | str) -> Column:
@@ -108,52 +132,40 @@ def score_column(name: Column | str, pattern: Column | str) -> Column:
     ).cast("int")
 
 
-def with_scores(rows: DataFrame, patterns: dict[str, str], name: str = "name") -> DataFrame:
-    """One column for each of several literal patterns, all unrolled."""
-    for out, pattern in patterns.items():
-        rows = with_score(rows, pattern, name, out)
-    return rows
-
-
-def _chain(d: DataFrame, low: str, pattern: str, longest: int, out: str) -> DataFrame:
-    """Adds ``out1`` .. ``outN``: positions of the pattern column's characters, 0 after a miss, the last one again beyond its end."""
-    for i in range(1, longest + 1):
-        prev = F.col(f"{out}{i - 1}") if i > 1 else F.lit(0)
-        at = F.call_function("locate", F.substring(pattern, i, 1), F.col(low), prev + 1)
-        at = F.when(prev > 0, at).otherwise(0) if i > 1 else at
-        d = d.withColumn(f"{out}{i}", F.when(F.length(pattern) >= i, at).otherwise(prev if i > 1 else F.lit(1)))
-    return d
-
-
 def scored_pairs(pairs: DataFrame, longest: int, longest_file: int) -> DataFrame:
     """``pairs`` with columns ``name, file`` and patterns ``qname, qfile``: only those whose file and name match, with ``score``.
 
-    The chain of ``locate`` of ``with_score``, for a column of patterns of at most ``longest`` bytes: in one generated stage, without lambdas
-    or regular expressions. Generators hand on what matches; filters would be pushed down and copy the chain.
+    The chain of ``locate`` of ``with_scores``, for columns of patterns of at most ``longest`` bytes: in one generated stage, without lambdas
+    or regular expressions. Beyond a pattern's end its last position is handed on. Generators hand on what matches; filters would be pushed
+    down and copy the chain.
     """
-    cols = [F.col(f"`{c}`") for c in pairs.columns]
-    d = pairs.withColumn("__file", ascii_lower(bytes_as_chars("file"))).withColumn("__qfile", ascii_lower(bytes_as_chars("qfile")))
+    cols = [f"`{c}`" for c in pairs.columns]
+    text, low = (lambda c: f"decode(encode({c}, 'UTF-8'), 'ISO-8859-1')"), (lambda x: f"translate({x}, '{UPPER}', '{LOWER}')")
+
+    def link(out: str, i: int) -> str:
+        prev = f"{out}{i - 1}"
+        at = f"locate(substring(__q, {i}, 1), __t, {prev if i > 1 else 0} + 1)"
+        return f"if(length(__q) >= {i}, {f'if({prev} > 0, {at}, 0)' if i > 1 else at}, {prev if i > 1 else 1}) AS {out}{i}"
+
+    d = pairs
     if longest_file:
-        d = _chain(d, "__file", "__qfile", longest_file, "__f")
-        d = d.select(*cols, F.explode(F.when(F.col(f"__f{longest_file}") > 0, F.array(F.lit(0)))).alias("__go"))
-    d = d.withColumn("__raw", bytes_as_chars("name")).withColumn("__low", ascii_lower("__raw")).withColumn("__q", bytes_as_chars("qname")).withColumn("__qlow", ascii_lower("__q"))
+        d = d.selectExpr(*cols, f"{low(text('file'))} AS __t", f"{low(text('qfile'))} AS __q")
+        for i in range(1, longest_file + 1):
+            d = d.selectExpr(*cols, "__t", "__q", link("__f", i))
+        d = d.selectExpr(*cols, f"explode(if(__f{longest_file} > 0, array(0), null)) AS __go")
     if not longest:
-        return d.select(*cols, F.lit(0).alias("score"))
-    d = _chain(d, "__low", "__qlow", longest, "__p")
-    for i in range(1, longest + 1):
-        here, before = F.col(f"__p{i}"), F.col(f"__p{i - 1}") if i > 1 else F.lit(-1)
-        gain = F.when(here == before + 1, 10).otherwise(0) + F.when(_starts_word(F.col("__raw"), here), 20).otherwise(0) + F.when(F.substring("__raw", here, F.lit(1)) == F.substring("__q", i, 1), 5).otherwise(0)
-        d = d.withColumn(f"__s{i}", (F.col(f"__s{i - 1}") if i > 1 else F.lit(0)) + F.when(F.length("__q") >= i, gain).otherwise(0))
-    size, n = F.length("__raw"), F.length("__q")
-    value = (
-        F.when(n == 0, 0)
-        .when(size < n, F.lit(None).cast("int"))
-        .when((size == n) & (F.col("__low") == F.col("__qlow")), F.lit(1000))
-        .when(F.startswith("__low", F.col("__qlow")), 500 + F.greatest(F.lit(0), 100 - (size - n)))
-        .when(F.col(f"__p{longest}") > 0, F.greatest(F.lit(1), F.col(f"__s{longest}") - F.floor(size / 4).cast("int")))
-    )
-    d = d.withColumn("__v", value.cast("int"))
-    return d.select(*cols, F.explode(F.when(F.col("__v").isNotNull(), F.array("__v"))).alias("score"))
+        return d.selectExpr(*cols, "0 AS score")
+    d = d.selectExpr(*cols, f"{text('name')} AS __raw", f"{text('qname')} AS __rq").selectExpr(*cols, "__raw", "__rq", f"{low('__raw')} AS __t", f"{low('__rq')} AS __q")
+    for i in range(1, longest + 2):
+        step, here = [link("__p", i)] if i <= longest else [], f"__p{i - 1}"
+        if i > 1:
+            gain = f"if({_word_start(here)}, 20, 0) + if(substring(__raw, {here}, 1) = substring(__rq, {i - 1}, 1), 5, 0)" + (f" + if({here} = __p{i - 2} + 1, 10, 0)" if i > 2 else "")
+            step += [f"{f'__s{i - 2}' if i > 2 else 0} + if(length(__rq) >= {i - 1}, {gain}, 0) AS __s{i - 1}", here]
+        d = d.selectExpr(*cols, "__raw", "__rq", "__t", "__q", *step)
+    value = f"""CASE WHEN __q = '' THEN 0 WHEN length(__t) < length(__q) THEN NULL WHEN __t = __q THEN 1000
+      WHEN startswith(__t, __q) THEN 500 + greatest(0, 100 - (length(__t) - length(__q))) WHEN __p{longest} > 0 THEN greatest(1, __s{longest} - cast(length(__t) div 4 AS int)) END"""
+    d = d.selectExpr(*cols, f"cast({value} AS int) AS __v")
+    return d.selectExpr(*cols, "explode(if(__v IS NOT NULL, array(__v), null)) AS score")
 
 
 def contains_subsequence(text: Column | str, pattern: str) -> Column:

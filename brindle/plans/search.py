@@ -96,7 +96,10 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
     asked = patterns.where("pattern is not null and pattern <> ''").withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
     asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"))
     size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("qname")).alias("name"), F.max(F.octet_length("qfile")).alias("file")).first()
-    rows = declarations.select(*DECLARATIONS.names)
+    rows, cores = declarations.select(*DECLARATIONS.names), declarations.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        # a small table, which each pattern multiplies
+        rows = rows.repartition(cores)
     found = []
     slices = max(1, -(-size["n"] // max_patterns))
     for s in range(slices):
