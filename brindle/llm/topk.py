@@ -134,9 +134,10 @@ def _one_length(spark, table: DataFrame, asking: DataFrame, dim: int, k: int) ->
     ordered = table.repartitionByRange(blocks, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     ordered = saved(ordered.select("vec_id", "vec", "norm", F.spark_partition_id().alias("blk")))
     # the longest vector of each block, one number for BLOCK rows: beyond the last block that can reach a bar nothing is read
+    norms = {r["blk"]: r["m"] for r in ordered.groupBy("blk").agg(F.max("norm").alias("m")).collect()}
+    blocks = max(norms, default=-1) + 1
     longest = np.zeros(blocks + 1)
-    for r in ordered.groupBy("blk").agg(F.max("norm").alias("m")).collect():
-        longest[r["blk"]] = r["m"]
+    longest[list(norms)] = list(norms.values())
     longest = np.maximum.accumulate(longest[::-1])[::-1]
     slices = max(1, math.ceil(asking.count() * 1.25 / QUERIES))
     results = None
