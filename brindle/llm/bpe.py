@@ -8,6 +8,7 @@ import json
 import re
 import sys
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from brindle.llm.common import free_name, kept_columns, slices, tokenizer_path
 
 #: Bytes, by estimate, of each of the two generations of units (text between blanks) that a Python worker remembers, and characters
 #: of the longest unit or word that outlives its slice. Results do not depend on either.
-REMEMBER, LONGEST = 160 << 20, 64
+REMEMBER, LONGEST = 224 << 20, 64
 RESULTS = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
 #: Letters and numbers below U+0250, as Unicode has them; there NFC changes nothing.
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -27,6 +28,9 @@ _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\n!-~" + "".join([c for c in map(chr, range(0xA1, 0x250)) if max(c.lower()) < "ɐ"]) + "]*")
 
 
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+
+
 class WordBpe:
     """A tokenizers file with NFC, lower case, a splitting pattern, byte alphabet and a word-end suffix."""
 
@@ -61,6 +65,8 @@ class WordBpe:
             self.byte[b] = chr(256 + i)
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         n = max(self.token) + 1
+        #: As they are decoded, with a blank after each.
+        self.shown = {i: f"{t} " for i, t in self.token.items()}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         #: When a token is formed (merge number, -1 for characters) and from what.
         self.rank, self.left, self.right = np.full(n, -1, np.int64), np.arange(n), np.arange(n)
@@ -73,20 +79,24 @@ class WordBpe:
         keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
         order = np.argsort(keys)
         self.pair, self.pair_rank = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        #: Longest token that begins with the same two characters.
+        #: Longest token that begins with the same four characters; where there is none, three characters are the most.
         self.longest: dict[str, int] = {}
         for t in self.vocab:
-            n = len(t.removesuffix(self.suffix)) if self.suffix else len(t)
-            self.longest[t[:2]] = max(n, self.longest.get(t[:2], 1))
+            bare = t.removesuffix(self.suffix) if self.suffix else t
+            if len(bare) > 3:
+                self.longest[bare[:4]] = max(len(bare), self.longest.get(bare[:4], 4))
         pattern = self.words.pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
         #: The same splitting for plain units, if the pattern only tells letters, numbers and white space apart.
         self.plain_words = None if r"\p" in pattern else re.compile(pattern)
-        self.sound: dict[str, bool] = {}
+        #: Marks that stand alone after a word of letters.
+        self.tails = frozenset(p for p in ".,;:!?" if self.plain_words and not any(p in s for s in self.special) and self.plain_words.findall(f"ab{p}") == ["ab", p])
+        #: Tokens that may be proposed, with their ids, and those that may not.
+        self.sound: dict[str, int] = {}
+        self.unsound: set[str] = set()
         self.word_ids: dict[str, tuple[int, ...]] = {}
-        #: Ids of a unit, and its tokens with a blank after each; what is new, and what was new before.
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        self.before: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        #: Of a unit its ids, and its tokens with a blank after each; what is new, and what was new before.
+        self.units: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
         self.size = self.speculated = self.failed = 0
 
     def exact(self, characters: list[str]) -> list[int]:
@@ -129,22 +139,36 @@ class WordBpe:
 
     def is_sound(self, token: str) -> bool:
         """Whether the exact merges of a token's own characters give the token back."""
-        got = self.sound.get(token)
-        if got is None:
-            end = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
-            got = self.sound[token] = self.exact(self.characters(token[: -len(self.suffix)] if end else token, end)) == [self.vocab[token]]
-        return got
+        if token in self.sound:
+            return True
+        if token in self.unsound or token not in self.vocab:
+            return False
+        end = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
+        if self.exact(self.characters(token[: -len(self.suffix)] if end else token, end)) == [self.vocab[token]]:
+            self.sound[token] = self.vocab[token]
+            return True
+        self.unsound.add(token)
+        return False
 
     def greedy(self, word: str) -> list[int] | None:
         """Longest sound token first; None where no token fits."""
-        out, i, n, vocab = [], 0, len(word), self.vocab
+        out, i, n, sound, longest, vocab = [], 0, len(word), self.sound, self.longest, self.vocab
+        whole = word + self.suffix
         while i < n:
-            for j in range(min(n, i + self.longest.get(word[i : i + 2], 1)), i, -1):
-                t = word[i:j] + self.suffix if j == n else word[i:j]
-                if t in vocab and self.is_sound(t):
-                    out.append(vocab[t])
+            j = i + longest.get(word[i : i + 4], 3)
+            if j >= n:
+                t = whole[i:]
+                if t in sound or (t in vocab and self.is_sound(t)):
+                    out.append(sound[t])
+                    return out
+                j = n - 1
+            while j > i:
+                t = word[i:j]
+                if t in sound or (t in vocab and self.is_sound(t)):
+                    out.append(sound[t])
                     i = j
                     break
+                j -= 1
             else:
                 return None
         return out
@@ -173,6 +197,10 @@ class WordBpe:
             limit[v], y[v] = self.rank[y[v]] + 1, self.left[y[v]]
         return ok
 
+    def merged(self, word: str) -> list[int]:
+        """``exact`` for a whole word, by the library's merge loop over the same table."""
+        return [t.id for t in self.lib.model.tokenize(word)]
+
     def learn(self, words: list[str]) -> None:
         """Encode new words (in the byte alphabet) into ``word_ids``."""
         guess = [self.greedy(w) for w in words]
@@ -186,17 +214,20 @@ class WordBpe:
         for w, g, fails in zip(words, guess, bad, strict=True):
             if fails or g is None:
                 self.failed += 1
-                g = self.exact(self.characters(w))
+                g = self.merged(w)
             self.word_ids[w] = tuple(g)
 
     def split(self, unit: str) -> list[str | int]:
         """Words of a unit in the byte alphabet, and ids of special strings."""
-        if unit.isascii() and unit.isalpha():
-            return [unit.lower()]
+        if unit.isascii():
+            if unit.isalpha():
+                return [unit.lower()]
+            if unit[-1:] in self.tails and unit[:-1].isalpha():
+                return [unit[:-1].lower(), unit[-1]]
         special = self.cut and "<" in unit and any(s in unit for s in self.special)
         if self.plain_words and not special and _PLAIN.fullmatch(unit):
             found = self.plain_words.findall(unit.lower())
-            return found if unit.isascii() and "\n" not in unit else [self.spelled(w) for w in found]
+            return [w if w.isascii() and w.isprintable() else self.spelled(w) for w in found]
         out: list[str | int] = []
         for part in self.cut.split(unit) if special else [unit]:
             if part in self.special:
@@ -213,28 +244,31 @@ class WordBpe:
         """For each text its ids (little-endian unsigned 32-bit) and its decoding: the tokens, joined by blanks."""
         parts = [t.split(" ") for t in texts]
         if self.size > REMEMBER:
-            self.before = (self.ids, self.text)
-            self.ids, self.text, self.size = {}, {}, 0
+            self.before, self.units, self.size = self.units, {}, 0
             self.word_ids.clear()
-        new = set().union(*parts) - self.ids.keys()
-        known = new & self.before[0].keys()
+        units, before = self.units, self.before
+        new = set().union(*parts).difference(units)
+        known = new.intersection(before)
         for u in known:
-            self.ids[u], self.text[u] = self.before[0][u], self.before[1][u]
+            units[u] = before[u]
         split = {u: self.split(u) for u in new - known}
         fresh = {w for s in split.values() for w in s if isinstance(w, str)} - self.word_ids.keys()
         if fresh:
             self.learn(list(fresh))
+        token = self.shown
         for u, s in split.items():
             ids = [i for w in s for i in (self.word_ids[w] if isinstance(w, str) else (w,))]
-            self.ids[u] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-            self.text[u] = "".join([self.token[i] + " " for i in ids])
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        out = [(b"".join(map(ids, p)), "".join(map(text, p))[:-1]) for p in parts]
+            raw = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+            units[u] = (raw, "".join([token[i] for i in ids]))
+        out, get = [], units.__getitem__
+        for p in parts:
+            pairs = list(map(get, p))
+            out.append((b"".join(map(_FIRST, pairs)), "".join(map(_SECOND, pairs))[:-1]))
         for w in [w for w in fresh if len(w) > LONGEST]:
             del self.word_ids[w]
         for u in [u for u in split if len(u) > LONGEST]:
-            del self.ids[u], self.text[u], split[u]
-        # a unit in two tables, and about one word
+            del units[u], split[u]
+        # a unit with its two values, and about one word
         self.size += 600 * (len(split) + len(known)) + 12 * (sum(map(len, split)) + sum(map(len, known)))
         return out
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -11,7 +13,7 @@ from brindle.llm.common import tokenizer_path
 
 #: Bytes of encoded units that a Python worker remembers, by estimate, and characters of the longest unit that is remembered at all;
 #: the memory is emptied when it is full. Results do not depend on it.
-REMEMBER, LONGEST = 96 << 20, 64
+REMEMBER, LONGEST = 128 << 20, 64
 
 #: GPT-2's published splitting pattern.
 GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,16 +77,19 @@ class ByteBpe:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("units", pat_str=GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.merge = self.fast._core_bpe.encode_ordinary
+        #: A character that every special string begins with, if there is one.
+        self.mark = self.special[0][0] if self.special and len({s[0] for s in self.special}) == 1 else ""
         self.known: dict[str, bytes] = {}
         self.size = 0
         self.plain = re.compile("[\x00-ɏ]*")
 
     def _new(self, unit: str) -> bytes:
-        if self.plain.fullmatch(unit) and not any(s in unit for s in self.special):
-            ids = self.fast.encode_ordinary(unit)
+        if self.plain.fullmatch(unit) and not (self.mark in unit and any(s in unit for s in self.special)):
+            ids = self.merge(unit)
         else:
             ids = self.lib.encode(unit, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
@@ -104,6 +109,6 @@ class ByteBpe:
                             long[u] = self._new(u)
                         else:
                             known[u] = self._new(u)
-                            self.size += 300 + 4 * len(u) + len(known[u])
+                            self.size += 190 + len(u) + len(known[u])
                 out.append(b"".join([long[u] if u in long else known[u] for u in parts]))
         return out

@@ -391,8 +391,8 @@ def test_memories_are_bounded_by_bytes_on_texts_without_blanks(monkeypatch):
         part = texts[i : i + 8]
         assert [np.frombuffer(g[0], "<u4").tolist() for g in own.encode(part)] == [e.ids for e in word_lib.encode_batch(part, add_special_tokens=False)]
         assert [np.frombuffer(g, "<u4").tolist() for g in byte.encode_bytes(part)] == [e.ids for e in byte_lib.encode_batch(part, add_special_tokens=False)]
-        assert max(map(len, [*own.ids, *own.word_ids, *byte.known, ""])) <= 64
-        assert sum(map(len, own.ids)) + sum(map(len, own.before[0])) + sum(map(len, byte.known)) < 1 << 18
+        assert max(map(len, [*own.units, *own.word_ids, *byte.known, ""])) <= 64
+        assert sum(map(len, own.units)) + sum(map(len, own.before)) + sum(map(len, byte.known)) < 1 << 18
 
 
 # ---- 8: chat formatting
