@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -14,11 +16,21 @@ def configured(spark: SparkSession) -> str | None:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a session on one machine, as in tests, gets one of its own; a cluster must name it."""
+    found = configured(spark)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder, as a path of the file system that all machines mount. Other stores cannot hold a source tree."""
-    base = configured(spark)
-    if not base:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    base = shared_base(spark)
     if "://" in base and not base.startswith("file://"):
         raise ValueError(f"{base} is no mounted folder: source trees and request files need one")
     path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"brindle-{purpose}-{uuid.uuid4().hex}")
