@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import shared_base
+
 
 #: Bytes of a row group in tables between steps: what a writer of whole texts holds in memory.
 ROW_GROUP = 16 << 20
@@ -20,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share. There is no other place to fall back on."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores before it, so that no column of ``df`` has the name in any case."""
     taken = {c.lower() for c in df.columns}
@@ -60,7 +54,7 @@ def saved(df: DataFrame) -> DataFrame:
     tasks were dealt (ids, order) are fixed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/brindle-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
