@@ -128,5 +128,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = [(f"c{i}", c, _hashable(kind)) for i, (c, kind) in enumerate(docs.dtypes)]
     fields = lambda which: F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(n) for n, c, ok in named if ok == which))
     doc = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_hash(docs).alias("h"), fields(True).alias("own"), fields(False).alias("rest"))
-    hit = doc.join(win.hint("merge"), (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid")), "left_semi")
+    # the ids are compared beside the join's key, so that rows lie by h alone, as the removal of repeats wants them
+    same = F.coalesce(F.col("id") == F.col("wid"), F.col("id").isNull() & F.col("wid").isNull())
+    hit = doc.join(win.hint("merge"), (F.col("h") == F.col("wh")) & same, "left_semi")
     return hit.dropDuplicates(["h", "id", "own"]).select(*(F.col(f"{'own' if ok else 'rest'}.{n}").alias(c) for n, c, ok in named))
