@@ -22,6 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def evenly(index: str) -> Column:
+    """A key that ``repartition(n, key)`` deals to partition ``index`` modulo n, for an SQL expression from 0 to 2^31 - 1.
+
+    Hashing few large groups into about as many partitions puts several into some. Spark's hash of an int (Murmur3, seed 42) is one to one,
+    so there is an int for every hash: this runs its steps backwards, in 32 bits.
+    """
+    word = (1 << 32) - 1
+
+    def times(b: int) -> str:
+        b = pow(b, -1, 1 << 32)
+        return f"(x * {b & 0xFFFF}L + ((x * {b >> 16}L) & 65535L) * 65536L) & {word}L"
+
+    def turned_back(k: int) -> str:
+        return f"shiftright(x, {k}) | ((x & {(1 << k) - 1}L) * {1 << (32 - k)}L)"
+
+    steps = ["x ^ shiftright(x, 16)", times(0xC2B2AE35), "x ^ shiftright(x, 13) ^ shiftright(x, 26)", times(0x85EBCA6B), "x ^ shiftright(x, 16)", "x ^ 4L"]
+    steps += [f"(x - {0xE6546B64}L) & {word}L", times(5), turned_back(13), "x ^ 42L", times(0x1B873593), turned_back(15), times(0xCC9E2D51), "if(x >= 2147483648L, x - 4294967296L, x)"]
+    out = f"array(cast({index} as bigint))"
+    for s in steps:
+        out = f"transform({out}, x -> {s})"
+    return F.expr(f"cast({out}[0] as int)")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores before it, so that no column of ``df`` has the name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import buffers, discard, saved, slices
+from brindle.llm.common import buffers, discard, evenly, saved, slices
 from brindle.llm.langid import fold
 
 #: Bytes of context. A gram is DEPTH context bytes, the latest first, and the byte they predict: 48 bits.
@@ -383,7 +383,9 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         if part is not None:
             yield close()
 
-    sums = saved(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add_up, _BLOB))
+    # part 2p of the grams and 2p + 1 of the words go to task p
+    task = evenly("part div 2")
+    sums = saved(blobs.repartition(parts, task).sortWithinPartitions("part").mapInArrow(add_up, _BLOB))
 
     def cells(batches):
         names = ["cell", "n0", "n1", "below"]
@@ -427,7 +429,7 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
                 value = words[1][np.searchsorted(words[0], keys)]
             yield _rows([(p % 2, block, k, _pack(value))], _BLOB_ARROW)
 
-    asked = sums.unionByName(blobs.withColumn("counts", F.lit(None).cast("binary"))).repartition(parts, "part").sortWithinPartitions("part", "block")
+    asked = sums.unionByName(blobs.withColumn("counts", F.lit(None).cast("binary"))).repartition(parts, task).sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(answer, _BLOB)
 
     def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -461,12 +463,13 @@ def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.table([texts.column("id"), texts.column("held"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", *names])
 
-    # more tasks than blocks, so that few blocks share one
-    n = 3 * parts
+    # blocks in order, each to the next task; a few more tasks than blocks, as tasks of the first step had different numbers of them
+    deepest = dealt.agg(F.max(F.col("block").bitwiseAND((1 << 32) - 1))).first()[0] or 0
+    key, n = evenly(f"(shiftright(block, 32) * {deepest + 1}L + (block & {(1 << 32) - 1}L)) & {(1 << 31) - 1}L"), 3 * parts
     done = saved(
-        dealt.repartition(n, "block")
-        .groupBy("block")
-        .cogroup(answers.repartition(n, "block").groupBy("block"))
+        dealt.withColumn("key", key).repartition(n, "key")
+        .groupBy("key")
+        .cogroup(answers.withColumn("key", key).repartition(n, "key").groupBy("key"))
         .applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
     )
     discard(dealt, blobs, sums)

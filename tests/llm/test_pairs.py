@@ -27,6 +27,16 @@ def closure(ids, links):
     return {i: find(i) for i in ids}
 
 
+def test_even_keys_go_to_the_partition_of_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.llm.common import evenly
+
+    for n, last in ((64, 64), (7, 700), (100, (1 << 31) - 1)):
+        ids = spark.range(0, last, max(1, last // 500)).repartition(n, evenly("id")).select("id", F.spark_partition_id().alias("p"))
+        assert all(r.id % n == r.p for r in ids.collect())
+
+
 def test_components_long_chain_and_star(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (7, 8), (8, 7)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
