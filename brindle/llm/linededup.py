@@ -79,7 +79,9 @@ def passages(plain: DataFrame, run_words: int | None) -> DataFrame:
     df = _chunks(_facts(plain))
     found = "chunks"
     if run_words is not None:
-        df, found = _runs(df, run_words), "array_distinct(concat(chunks, runs))"
+        # as whole numbers, of which duplicates are found by hashing; of structs, Spark compares each with each
+        keys = "array_distinct(transform(concat(chunks, runs), v -> cast(v.s as bigint) * 2147483648L + v.e))"
+        df, found = _runs(df, run_words), f"transform({keys}, x -> named_struct('s', cast(shiftright(x, 31) as int), 'e', cast(x & 2147483647L as int)))"
     df = df.withColumn("ids", F.expr("transform(facts, x -> x.h)")).withColumn("found", F.expr(found))
     df = df.select("d", "th", F.explode(F.expr(f"transform(found, v -> named_struct('h', xxhash64({_slice('ids')}), 's', v.s, 'e', v.e))")).alias("v"))
     return df.select("d", "th", "v.h", "v.s", "v.e")

@@ -554,6 +554,16 @@ def test_line_dedup_against_brute_force(spark, words):
     assert all(x in kept for _, t in rows if t for x in t.split("\n") if x.strip())
 
 
+def test_texts_of_very_many_lines(spark):
+    n = 60_000
+    lines = [f"line {i} of a long text, with a few words" for i in range(n)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new"] + lines[1000:] + ["end"])), (3, "\n".join(["x"] * n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, run_words=50).collect()}
+    assert (got[1], got[2]) == (rows[0][1], "new\nend")
+    assert 0 < len(got[3]) < len(rows[2][1])
+
+
 def test_passages_whose_hashes_collide_are_left_alone(spark, monkeypatch):
     rows = mixed_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
