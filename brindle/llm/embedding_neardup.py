@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import math
+import pickle
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ from brindle.llm.components import connected_components
 TREES, LEAF, MARGIN, FIT_ROWS = 3, 2048, 0.02, 40_000
 #: A leaf with more vectors is compared block against block; tiles bound the memory of a comparison.
 BLOCK, TILE = 4096, 512
+#: Bytes of vectors in a task that refines leaves, and of the sample that it fits a tree on.
+PART, SAMPLE = 16 << 20, 64 << 20
+#: The size of a group of which the sample holds too little for any split.
+UNKNOWN = -1.0
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -30,10 +36,11 @@ def fit_tree(sample: np.ndarray, size: float, rng: np.random.Generator, leaf: in
     """Nested ``(direction, split, left, right)``, or a leaf's estimated size. Both sides of a split hold what lies within ``margin`` of it.
 
     Of six random directions the one with the widest spread is taken. A node is left whole when it is small
-    enough, or when the overlap would hold nearly all of it: a dense group is never cut.
+    enough, or when the overlap would hold nearly all of it: a dense group is never cut. One that is too large, but of
+    which the sample holds too little to go on, has its size negated; ``refine`` splits it by its own rows.
     """
     if size <= leaf or len(sample) < 8:
-        return float(size)
+        return -float(size) if size > leaf and size > 1.5 * len(sample) else float(size)
     dirs = rng.normal(size=(6, sample.shape[1]))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
     p = sample @ dirs.T
@@ -62,6 +69,67 @@ def leaves(tree, v: np.ndarray, margin: float) -> list[tuple[np.ndarray, float]]
     return out
 
 
+def has_thin(tree) -> bool:
+    """Whether a leaf is left for ``refine``."""
+    return tree < 0 if isinstance(tree, float) else has_thin(tree[2]) or has_thin(tree[3])
+
+
+def refine(placed: DataFrame, item: str, leaf: int, margin: float, trees: int, fit_rows: int, seed: int) -> DataFrame:
+    """``placed`` with every leaf of negative size split by trees fitted on its own rows, until none is left.
+
+    A round counts those leaves, draws from each a sample bounded by rows and bytes, fits its tree in one task, and puts
+    the rows through it in parts of bounded bytes: neither leaves nor trees come to the driver. A round makes leaves
+    smaller by the ratio of its sample to eight, so rounds are logarithmic in the table.
+    """
+    schema = "g string, leaf string, size double, cid long, n long, vec binary"
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cid")
+        g, at, size, rows = (t.column(c)[0].as_py() for c in ("g", "leaf", "size", "rows"))
+        sample = unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), item).reshape(t.num_rows, -1).astype(float))
+        rng = np.random.default_rng([seed, zlib.crc32(f"{g} {at}".encode())])
+        grown = [fit_tree(sample, rows, rng, leaf, margin) for _ in range(trees if size == UNKNOWN and rows > leaf else 1)]
+        return pa.table({"g": [g], "leaf": [at], "parts": pa.array([t.column("parts")[0].as_py()], pa.int64()), "trees": pa.array([pickle.dumps(grown)], pa.binary())})
+
+    def put(rows: pa.Table, grown: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["g", "leaf", "size", "cid", "n", "vec"])
+        at = rows.column("leaf")[0].as_py()
+        # a leaf that gave no sample row is tried again under another name
+        forest = pickle.loads(grown.column("trees")[0].as_py()) if grown.num_rows else [rows.column("size")[0].as_py()]
+        vec = unit(np.frombuffer(b"".join(rows.column("vec").to_pylist()), item).reshape(rows.num_rows, -1).astype(float))
+        take, names, sizes = [], [], []
+        for t, tree in enumerate(forest):
+            for number, (inside, size) in enumerate(leaves(tree, vec, margin)):
+                take.append(inside)
+                names += [f"{at}.{t}.{number}"] * len(inside)
+                sizes += [size] * len(inside)
+        kept = rows.select(["g", "cid", "n", "vec"]).take(pa.array(np.concatenate(take)))
+        return pa.table({"g": kept.column("g"), "leaf": pa.array(names, pa.string()), "size": pa.array(sizes, pa.float64()), "cid": kept.column("cid"), "n": kept.column("n"), "vec": kept.column("vec")})
+
+    now, done, level = saved(placed.select("g", F.col("leaf").cast("string").alias("leaf"), "size", "cid", "n", "vec")), [], 0
+    while True:
+        done.append(now.where("size >= 0"))
+        thin = now.where("size < 0")
+        if thin.isEmpty():
+            break
+        level += 1
+        share = F.least(F.lit(float(fit_rows)), F.lit(float(SAMPLE)) / (2 * F.max(F.length("vec")))) / F.count("*")
+        of = saved(thin.groupBy("g", "leaf").agg(F.count("*").alias("rows"), F.ceil(F.sum(F.length("vec")) / PART).alias("parts"), share.alias("share")))
+        known = thin.join(of, ["g", "leaf"])
+        drawn = known.where(F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        grown = saved(drawn.groupBy("g", "leaf").applyInArrow(fit, "g string, leaf string, parts long, trees binary"))
+        sent = grown.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        parted = known.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(0)), F.col("parts")))
+        now = saved(parted.groupBy("g", "leaf", "part").cogroup(sent.groupBy("g", "leaf", "part")).applyInArrow(put, schema))
+        discard(of, grown)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    # a class lies in few leaves, as the overlap is thin
+    return out.join(out.groupBy("cid").agg(F.collect_list("leaf").alias("member")), "cid")
+
+
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Smallest label along links (a, b), in place."""
     while True:
@@ -77,8 +145,9 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     """``vec_id, n_links, component_id, kept`` for every row: links are pairs of one label with cosine >= ``threshold``.
 
     Equal vectors of one label are one class that counts for all its rows. Trees are fitted on at most about
-    ``fit_rows`` classes, every class is put through them and compared, in double precision, with all classes in
-    its leaves. A pair that meets in several leaves is counted in the first. No pair leaves its task: a leaf yields a
+    ``fit_rows`` classes; leaves that this sample is too thin for are split by trees fitted on their own rows
+    (``refine``), so leaves do not grow with the table. Every class is put through the trees and compared, in double
+    precision, with all classes in its leaves. A pair that meets in several leaves is counted in the first. No pair leaves its task: a leaf yields a
     number of links for each class and a spanning forest.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
@@ -93,7 +162,7 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(own_type).alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
     good = F.expr("label is not null and v is not null and coalesce(forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false) and exists(v, x -> x <> 0)")
     v = v.withColumn("k1", F.when(good, F.xxhash64("label", "v"))).withColumn("k2", F.when(good, F.xxhash64("v", F.lit(1), "label")))
-    classes = saved(v.where("k1 is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
+    classes = saved(v.where("k1 is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("len", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
     total = classes.count()
     share = min(1.0, fit_rows / max(1, total))
     pick = classes.select("label", "v") if share == 1.0 else classes.select("label", "v").sample(share, seed=seed).limit(2 * fit_rows)
@@ -107,15 +176,21 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     forest = {}
     for key in sorted(groups):
         rows = unit(np.array(groups[key], float))
-        if len(rows) / share > leaf:
+        if share < 1.0 and len(rows) < 8:
+            forest[key] = [UNKNOWN]
+        elif len(rows) / share > leaf:
             forest[key] = [fit_tree(rows, len(rows) / share, rng, leaf, margin) for _ in range(trees)]
         else:
             forest[key] = [len(rows) / share]
     ref = spark.sparkContext.broadcast(forest)
     block = BLOCK
+    thin = any(has_thin(tree) for grown in forest.values() for tree in grown)
+    if share < 1.0 and not thin:  # groups that the sample has not met
+        met = spark.createDataFrame(sorted(forest), "label string, len int")
+        thin = not classes.select("label", "len").distinct().join(met, ["label", "len"], "left_anti").isEmpty()
 
     def place(batches):
-        """One row per (class, leaf), with the number of blocks that the leaf's size asks for; all leaves of the class go along."""
+        """One row per (class, leaf), with the leaf's size; all leaves of the class go along."""
         for b in batches:
             label, raw = b.column("label").to_pylist(), b.column("v").to_pylist()
             by: dict[tuple[str, int], list[int]] = {}
@@ -125,30 +200,31 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                 stored = np.array([raw[i] for i in at], item)
                 vec = unit(stored.astype(float))
                 member: list[list[int]] = [[] for _ in at]
-                blocks: list[list[int]] = [[] for _ in at]
-                # a group that the sample has not met is small beside it
-                for t, tree in enumerate(ref.value.get(key, [1.0])):
+                sizes: list[list[float]] = [[] for _ in at]
+                for t, tree in enumerate(ref.value.get(key, [UNKNOWN])):
                     for number, (rows, size) in enumerate(leaves(tree, vec, margin)):
                         for r in rows.tolist():
                             member[r].append((t << 24) | number)
-                            blocks[r].append(max(1, math.ceil(size / block)))
+                            sizes[r].append(size)
                 src = np.repeat(np.arange(len(at)), [len(m) for m in member])
                 take = pa.array(np.array(at)[src])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"{key[0]}|{key[1]}"] * len(src)),
                         pa.array([x for m in member for x in m], pa.int32()),
-                        pa.array([x for m in blocks for x in m], pa.int32()),
+                        pa.array([x for m in sizes for x in m], pa.float64()),
                         b.column("cid").take(take),
                         b.column("n").take(take),
                         pa.array([stored[s].tobytes() for s in src], pa.binary()),
                         pa.array([member[s] for s in src], pa.list_(pa.int32())),
                     ],
-                    ["g", "leaf", "nb", "cid", "n", "vec", "member"],
+                    ["g", "leaf", "size", "cid", "n", "vec", "member"],
                 )
 
-    placed = classes.select("label", "v", "cid", "n").mapInArrow(place, "g string, leaf int, nb int, cid long, n long, vec binary, member array<int>")
-    sized = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    placed = classes.select("label", "v", "cid", "n").mapInArrow(place, "g string, leaf int, size double, cid long, n long, vec binary, member array<int>")
+    if thin:
+        placed = refine(placed, item, leaf, margin, trees, fit_rows, seed)
+    sized = placed.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "leaf", "cid", "n", "vec", "member", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(t: pa.Table) -> pa.Table:
@@ -156,11 +232,12 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         lo, hi, here = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("leaf")[0].as_py()
         vec = unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), item).reshape(len(cid), -1).astype(float))
         member, many = t.column("member").to_pylist(), n.astype(float)
-        before = sorted({x for m in member for x in m if x < here})
+        seen = Counter(x for m in member for x in m if x < here)
+        before = [x for x, times in seen.items() if times > 1]
         shared = np.zeros((len(cid), len(before)), np.float32)
         col = {x: i for i, x in enumerate(before)}
         for i, m in enumerate(member):
-            shared[i, [col[x] for x in m if x < here]] = 1
+            shared[i, [col[x] for x in m if x in col]] = 1
         left = np.flatnonzero(own == lo)
         right = np.flatnonzero(own == hi)
         links, label = np.zeros(len(cid)), np.arange(len(cid))

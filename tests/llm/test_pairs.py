@@ -169,6 +169,40 @@ def test_forest_finds_planted_links_with_production_parameters(spark, dim):
     assert all(got[i][1] < i for i in np.flatnonzero(have[n:]) + n if want[i] == have[i] == 1)
 
 
+@pytest.mark.parametrize("fit_rows", [40, 400])
+def test_leaves_beyond_the_sample_are_split_by_their_own_rows(spark, monkeypatch, fit_rows):
+    """A sample far too thin: a hot label, labels that it holds little or nothing of, one dense group. Links stay right, leaves stay small."""
+    monkeypatch.setattr(embedding_neardup, "PART", 20_000)
+    rng, n, dim = np.random.default_rng(11), 3000, 24
+    base = rng.normal(size=(n, dim))
+    near = base + rng.normal(size=(n, dim)) * 0.2
+    dense = rng.normal(size=dim) + rng.normal(size=(300, dim)) * 0.05
+    v = np.vstack([base, near, dense]).astype(np.float32)
+    lab = np.concatenate([np.where(np.arange(n) % 3 == 0, 500 + np.arange(n) % 50, 0)] * 2 + [np.full(300, 0)])
+    df = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, lab, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4)
+    rounds, largest = [], []
+    own = embedding_neardup.refine
+
+    def watched(*args):
+        out = own(*args)
+        rounds.append(1)
+        largest.append(out.groupBy("g", "leaf").count().selectExpr("max(count)").first()[0])
+        return out
+
+    monkeypatch.setattr(embedding_neardup, "refine", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_neardup.neighbours(df, leaf=128, fit_rows=fit_rows, trees=4, margin=0.03).collect()}
+    assert rounds and max(largest) < 900
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    hit = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
+    want = hit.sum(axis=1) - 1
+    have = np.array([got[i][0] for i in range(len(v))])
+    assert want[:n].sum() > 1500
+    assert (have <= want).all()
+    assert have[: 2 * n].sum() >= 0.97 * want[: 2 * n].sum()
+    assert (have[2 * n :] == want[2 * n :]).all()
+    assert len({got[i][1] for i in range(2 * n, len(v))}) == 1
+
+
 def test_top_k_with_ties_hostile_rows_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 37)
     monkeypatch.setattr(topk, "QUERIES", 3)
