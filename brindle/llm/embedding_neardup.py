@@ -77,7 +77,7 @@ def has_thin(tree) -> bool:
 def refine(placed: DataFrame, item: str, leaf: int, margin: float, trees: int, fit_rows: int, seed: int) -> DataFrame:
     """``placed`` with every leaf of negative size split by trees fitted on its own rows, until none is left.
 
-    A round counts those leaves, draws from each a sample bounded by rows and bytes, fits its tree in one task, and puts
+    A round counts those leaves, draws from each a sample of about ``fit_rows``, fits its tree in one task, and puts
     the rows through it in parts of bounded bytes: neither leaves nor trees come to the driver. A round makes leaves
     smaller by the ratio of its sample to eight, so rounds are logarithmic in the table.
     """
@@ -114,7 +114,7 @@ def refine(placed: DataFrame, item: str, leaf: int, margin: float, trees: int, f
         if thin.isEmpty():
             break
         level += 1
-        share = F.least(F.lit(float(fit_rows)), F.lit(float(SAMPLE)) / (2 * F.max(F.length("vec")))) / F.count("*")
+        share = F.lit(float(fit_rows)) / F.count("*")
         of = saved(thin.groupBy("g", "leaf").agg(F.count("*").alias("rows"), F.ceil(F.sum(F.length("vec")) / PART).alias("parts"), share.alias("share")))
         known = thin.join(of, ["g", "leaf"])
         drawn = known.where(F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
@@ -145,7 +145,7 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     """``vec_id, n_links, component_id, kept`` for every row: links are pairs of one label with cosine >= ``threshold``.
 
     Equal vectors of one label are one class that counts for all its rows. Trees are fitted on at most about
-    ``fit_rows`` classes; leaves that this sample is too thin for are split by trees fitted on their own rows
+    ``fit_rows`` classes (fewer, where these would take over 64 MB); leaves that this sample is too thin for are split by trees fitted on their own rows
     (``refine``), so leaves do not grow with the table. Every class is put through the trees and compared, in double
     precision, with all classes in its leaves. A pair that meets in several leaves is counted in the first. No pair leaves its task: a leaf yields a
     number of links for each class and a spanning forest.
@@ -163,7 +163,8 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     good = F.expr("label is not null and v is not null and coalesce(forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false) and exists(v, x -> x <> 0)")
     v = v.withColumn("k1", F.when(good, F.xxhash64("label", "v"))).withColumn("k2", F.when(good, F.xxhash64("v", F.lit(1), "label")))
     classes = saved(v.where("k1 is not null").groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("len", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
-    total = classes.count()
+    total, width = classes.agg(F.count("*"), F.max("len")).first()
+    fit_rows = min(fit_rows, max(256, SAMPLE // (8 * (width or 1))))
     share = min(1.0, fit_rows / max(1, total))
     pick = classes.select("label", "v") if share == 1.0 else classes.select("label", "v").sample(share, seed=seed).limit(2 * fit_rows)
     got = pick.toArrow().combine_chunks()
@@ -174,9 +175,11 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         groups.setdefault((label, int(at[i + 1] - at[i])), []).append(flat[at[i] : at[i + 1]])
     rng = np.random.default_rng(seed)
     forest = {}
+    # a group without a sample row may yet be larger than a leaf (else the chance is below e^-20)
+    unsure = share < 1.0 and 20 / share > leaf
     for key in sorted(groups):
         rows = unit(np.array(groups[key], float))
-        if share < 1.0 and len(rows) < 8:
+        if unsure and len(rows) < 8:
             forest[key] = [UNKNOWN]
         elif len(rows) / share > leaf:
             forest[key] = [fit_tree(rows, len(rows) / share, rng, leaf, margin) for _ in range(trees)]
@@ -185,7 +188,7 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     ref = spark.sparkContext.broadcast(forest)
     block = BLOCK
     thin = any(has_thin(tree) for grown in forest.values() for tree in grown)
-    if share < 1.0 and not thin:  # groups that the sample has not met
+    if unsure and not thin:  # groups that the sample has not met
         met = spark.createDataFrame(sorted(forest), "label string, len int")
         thin = not classes.select("label", "len").distinct().join(met, ["label", "len"], "left_anti").isEmpty()
 
@@ -201,7 +204,7 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                 vec = unit(stored.astype(float))
                 member: list[list[int]] = [[] for _ in at]
                 sizes: list[list[float]] = [[] for _ in at]
-                for t, tree in enumerate(ref.value.get(key, [UNKNOWN])):
+                for t, tree in enumerate(ref.value.get(key, [UNKNOWN if unsure else 1.0])):
                     for number, (rows, size) in enumerate(leaves(tree, vec, margin)):
                         for r in rows.tolist():
                             member[r].append((t << 24) | number)
