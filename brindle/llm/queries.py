@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, simhash, token_counts, topk
+from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, periodic, simhash, token_counts, topk
 from brindle.llm.common import table
 
 
@@ -57,7 +57,12 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.find_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup, op13_periodic_runs)}
 
 #: Words of a line: blanks plus one, none in a line of white space.
 _WORDS = "CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 0 ELSE 1 + length(x) - length(replace(x, ' ', '')) END"
