@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, periodic, simhash, token_counts, topk
+from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, periodic, simhash, token_counts, topk, warc
 from brindle.llm.common import table
 
 
@@ -57,12 +57,16 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic.digests(periodic.find_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup, op12_warc, op13_periodic_runs)}
 
 #: Words of a line: blanks plus one, none in a line of white space.
 _WORDS = "CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 0 ELSE 1 + length(x) - length(replace(x, ' ', '')) END"
@@ -87,6 +91,11 @@ y AS (SELECT x.doc_id, coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (g
 z AS (SELECT doc_id, count(*)::INT AS removed_passages FROM h GROUP BY doc_id)
 SELECT d.doc_id, y.text, coalesce(z.removed_passages, 0) AS removed_passages, coalesce(y.removed_lines, 0) AS removed_lines
 FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    "op12_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+r AS (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS f FROM p),
+k AS (SELECT *, n >= {warc.MIN_BYTES} AND page_id <> f AS again FROM r)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN f END AS refers_to FROM k""",
     "op3_exact_topk": """
 WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),

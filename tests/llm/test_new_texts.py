@@ -1,6 +1,8 @@
 """Operators 11, 12 and 13."""
 
+import gzip
 import hashlib
+import io
 import random
 import zlib
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import periodic
+from brindle.llm import periodic, warc
 from brindle.llm.queries import QUERIES
 
 from . import helpers
@@ -101,3 +103,88 @@ def test_periodic_runs_of_hostile_rows(spark):
     assert sorted(map(repr, rows)) == sorted(repr(plain_row(r[0], r[1])) for r in helpers.ROWS)
     assert periodic.find_runs(helpers.empty(spark)).count() == 0
     assert periodic.digests(periodic.find_runs(periodic.made_periodic(helpers.empty(spark)))).count() == 0
+
+
+# ---- 12: WARC archives
+
+BIG = "<p>" + "x" * 200 + "</p>"
+PAGES = [
+    (5, "http://a/5", BIG), (3, "http://a/3", BIG), (3, "http://a/3", BIG), (9, None, BIG), (None, "http://none", BIG), (1, "http://a/1", None), (2, "http://a/2", ""),
+    (4, "http://ä/\r\n x?y=%20", "short"), (6, "u", "short"), (7, "u", "é" * 50), (8, "u", "é" * 50), (11, "u", "x" * 99), (12, "u", "x" * 99), (-7, "u", "ends\r\n\r\nWARC/1.1\r\n"), (10, "u", BIG + " 😀 梦 \0"), (13, "u", "long " * 500_000),
+]
+
+
+def plain_pages(rows):
+    by = {}
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        if len(raw) >= 100 and i is not None:
+            by[raw] = min(i, by.get(raw, i))
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        first = by.get(raw)
+        again = first is not None and first != i
+        yield (i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None)
+
+
+def test_pages_through_archives(spark):
+    df = spark.createDataFrame([(*r, "own", 3) for r in PAGES], "page_id long, url string, html string, digest string, key int").repartition(3)
+    got = warc.through_archives(df)
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, plain_pages(PAGES)))
+    assert warc.through_archives(df.limit(0)).count() == 0
+
+
+def test_hot_and_other_copies_get_one_response(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_SHARE", 4)
+    rows = [(i, "u", "y" * (100 + i % 20 if i % 3 else 100)) for i in range(600)]
+    got = warc.payload_roles(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.id, r.refers_to) for r in got.collect()) == sorted((r[0], r[4]) for r in plain_pages(rows))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archives_are_members_with_an_index_and_strays_go(spark, tmp_path):
+    whole, parted = f"file://{tmp_path}/whole", f"file://{tmp_path}/parted"
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    wrote = warc.write_archives(warc.payload_roles(df), whole, archive_bytes=1)
+    assert wrote.count() > 2 and sum(r.records for r in wrote.collect()) == len(PAGES)
+    for r in wrote.collect():
+        lib = zlib.decompressobj(31)
+        lib.decompress((tmp_path / "whole" / r.path).read_bytes())
+        assert lib.eof and not lib.unused_data  # one stream
+    (tmp_path / "whole" / "lost.warc.gz").write_bytes(b"half")
+    assert warc.sweep(wrote, whole) == 1 and warc.listed(spark, whole).count() == wrote.count()
+    done = warc.normalise(warc.listed(spark, whole), whole, parted)
+    assert not done.where("error is not null").count() and sum(r.records for r in done.collect()) == len(PAGES)
+    index = warc.read_index(spark, parted)
+    for r in index.collect():
+        raw = (tmp_path / "parted" / r.path).read_bytes()[r.offset : r.offset + r.length]
+        assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: " + r.type.encode())
+    for r in done.collect():
+        assert gzip.decompress((tmp_path / "parted" / r.path).read_bytes()) == gzip.decompress((tmp_path / "whole" / r.source).read_bytes())
+    some = warc.read_records(index.where("type = 'response'"), parted).collect()
+    assert all(r.intact for r in some) and sorted(bytes(r.payload) for r in some) == sorted((t or "").encode() for (_, _, t), x in zip(PAGES, plain_pages(PAGES), strict=True) if x[3] == "response")
+    assert {r.uri for r in some} >= {"http://%C3%A4/%0D%0A%20x?y=%20"}
+
+
+def test_torn_archives_keep_what_is_whole():
+    records = [warc.record(str(i), "u", b"p" * i * 1000, hashlib.sha256(b"p" * i * 1000).hexdigest(), None, "1970-01-01T00:00:00Z") for i in range(40)]
+    text = b"".join(records)
+
+    def run(raw):
+        out, lines = io.BytesIO(), io.BytesIO()
+        got = warc.normalised(io.BytesIO(raw), out, lines)
+        return got, gzip.decompress(out.getvalue()) if out.getvalue() else b"", lines.getvalue().count(b"\n")
+
+    assert run(gzip.compress(text)) == ((40, run(gzip.compress(text))[0][1], None), text, 40)
+    parts = gzip.compress(text[:5000]) + gzip.compress(text[5000:]) + bytes(100)
+    assert run(parts)[1:] == (text, 40)  # any members will do, and padding
+    assert run(b"")[0] == (0, 0, None)
+    full = zlib.compressobj(0, zlib.DEFLATED, 31)
+    raw = full.compress(text) + full.flush()
+    for cut in (1, 10, 500, 20_000, len(raw) - 9):
+        (n, _, wrong), kept, lines = run(raw[:cut])
+        assert kept == b"".join(records[:n]) and lines == n and wrong
+    for bad in (text + b"rest", b"junk\r\n\r\n" + text, text.replace(b"Content-Length: 1", b"Content-Length: x", 2), b"no gzip"):
+        (n, _, wrong), kept, _ = run(gzip.compress(bad) if bad != b"no gzip" else bad)
+        assert wrong and kept == b"".join(records[:n])
