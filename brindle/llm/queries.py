@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, periodic, simhash, token_counts, topk, warc
+from brindle.llm import bpe, chat, ctw, embedding_neardup, langid, linededup, packing, periodic, phrases, simhash, token_counts, topk, warc
 from brindle.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
@@ -66,7 +70,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup, op12_warc, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_ctw_score, op3_exact_topk, op4_best_fit_packing, op5_langid, op6_token_counts, op7_bpe_roundtrip, op8_chat_format, op9_line_dedup, op10_simhash_neardup, op11_phrases, op12_warc, op13_periodic_runs)}
 
 #: Words of a line: blanks plus one, none in a line of white space.
 _WORDS = "CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = '' THEN 0 ELSE 1 + length(x) - length(replace(x, ' ', '')) END"
@@ -91,6 +95,22 @@ y AS (SELECT x.doc_id, coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (g
 z AS (SELECT doc_id, count(*)::INT AS removed_passages FROM h GROUP BY doc_id)
 SELECT d.doc_id, y.text, coalesce(z.removed_passages, 0) AS removed_passages, coalesce(y.removed_lines, 0) AS removed_lines
 FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    "op11_phrases": f"""
+WITH p AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+q AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS t FROM p),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[ \\x09]+'), lambda x: x <> '') AS w FROM q),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, {phrases.MAX_WORDS + 1}), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])))) AS g FROM w),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS i FROM s) WHERE i = 1),
+e AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda i: g[i : i + m - 1])))) AS g FROM f WHERE len(g) > 2),
+m AS (SELECT lang, g, max(f) AS around FROM e GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(g, ' ') AS phrase FROM b LEFT JOIN m USING (lang, g) WHERE coalesce(100 * around::HUGEINT < {phrases.COVER} * a::HUGEINT, true)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= {phrases.TOP}""",
     "op12_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 r AS (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS f FROM p),

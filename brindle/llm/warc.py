@@ -20,7 +20,7 @@ from brindle.sources.shared import shared_base
 #: Payloads of fewer bytes are never replaced by a revisit.
 MIN_BYTES = 100
 #: Compressed bytes after which a writer begins a new archive, and of an archive that one task reads back.
-ARCHIVE_BYTES, SPAN_BYTES = 1 << 30, 64 << 20
+ARCHIVE_BYTES, SPAN_BYTES = 1 << 30, 16 << 20
 #: A payload with at least this share of all rows counts as hot: at most as many can be, so their table is broadcast.
 HOT_SHARE = 1000
 LEVEL = 6
@@ -330,7 +330,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
 
     ``(path, offset, id, uri, type, refers_to, payload_bytes, digest, intact)`` and, if asked for, ``payload`` (null for revisits); ``intact`` is whether
     a response's payload has the digest that its head tells. Any part of an index will do, so records can be chosen, and an archive is read by as many
-    tasks as it has spans of ``SPAN_BYTES``.
+    tasks as it has spans of ``SPAN_BYTES``: the number of tasks follows the bytes to be read, not those of the index.
     """
     kinds = {"path": "string", "offset": "long", "id": "string", "uri": "string", "type": "string", "refers_to": "string", "payload_bytes": "long", "digest": "string", "intact": "boolean"}
     kinds |= {"payload": "binary"} if payloads else {}
@@ -348,7 +348,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     rows, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[k]) for n, k in kinds.items()], list(kinds))
 
-    spans = index.select("path", "offset", "length").repartition("path", F.expr(f"offset div {SPAN_BYTES}")).sortWithinPartitions("path", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    spans = index.select("path", "offset", "length").repartition(1 + 2 * total // SPAN_BYTES, F.col("path"), F.expr(f"offset div {SPAN_BYTES}")).sortWithinPartitions("path", "offset")
     return spans.mapInArrow(body, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 

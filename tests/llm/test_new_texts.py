@@ -4,14 +4,16 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import periodic, warc
-from brindle.llm.queries import QUERIES
+from brindle.llm import periodic, phrases, warc
+from brindle.llm.queries import ORACLE_SQL, QUERIES
 
 from . import helpers
 
@@ -188,3 +190,87 @@ def test_torn_archives_keep_what_is_whole():
     for bad in (text + b"rest", b"junk\r\n\r\n" + text, text.replace(b"Content-Length: 1", b"Content-Length: x", 2), b"no gzip"):
         (n, _, wrong), kept, _ = run(gzip.compress(bad) if bad != b"no gzip" else bad)
         assert wrong and kept == b"".join(records[:n])
+
+
+# ---- 11: phrase collocations
+
+
+def plain_phrases(rows, min_count, max_words, top=2000):
+    """By definition, from ``(text, lang)``."""
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for m in range(1, max_words + 1):
+                f[lang].update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+    out = []
+    for lang, counts in f.items():
+        often = {g: a for g, a in counts.items() if len(g) > 1 and a >= min_count}
+        gone = {g[o : o + m] for g, a in often.items() for m in range(2, len(g)) for o in range(len(g) - m + 1) if 100 * a >= 80 * counts[g[o : o + m]]}
+        rows = []
+        for g, a in often.items():
+            if g not in gone:
+                score, _, left, right = min((2000000 * a // (counts[g[:k]] + counts[g[k:]]), k, counts[g[:k]], counts[g[k:]]) for k in range(1, len(g)))
+                rows.append((-score, -a, " ".join(g).encode(), left, right))
+        out += [(lang, rank, p.decode(), -a, left, right, n[lang], -score) for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:top], 1)]
+    return sorted(out)
+
+
+def phrase_rows(df):
+    return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
+
+
+@pytest.mark.parametrize(("max_words", "block"), [(4, 16 << 20), (4, 300), (3, 40), (2, 1), (5, 150)])
+def test_phrases_against_brute_force(spark, monkeypatch, max_words, block):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
+    monkeypatch.setattr(phrases, "RANGE_ROWS", 50)
+    rng = random.Random(block)
+    vocab = [*"ABCdefgh", "né", "x\x01", "x", "\x1f", "\x85", "梦", "long" * 20]
+    rows = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 60)):
+            words.append(rng.choice(vocab[: rng.randint(1, len(vocab))]) if rng.random() < 0.9 else f"once{rng.random()}")
+        rows.append(("".join(w + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\n", "!?", " \r "]) for w in words), rng.choice(["en", "en", "de", None, "und", ""])))
+    rows += [(None, "en"), ("", "xx"), (" . ; ", "only breaks"), ("a b c d " * 200, "en"), ("word", None)]
+    df = spark.createDataFrame([(*r, i, "own", "own") for i, r in enumerate(rows)], "text string, lang string, key int, word string, rank string").repartition(3)
+    for least in (3, 8):
+        assert phrase_rows(phrases.collocations(df, min_count=least, max_words=max_words)) == plain_phrases(rows, least, max_words)
+
+
+def test_phrases_first_of_each_language_and_none(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SALTS", 3)
+    rows = [(f"p{i} q{i}. " * (3 + i % 4), lang) for i in range(40) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = phrase_rows(phrases.collocations(df, min_count=3, top=7))
+    assert got == plain_phrases(rows, 3, 4, top=7) and len(got) == 14
+    assert phrases.collocations(df.limit(0)).count() == 0
+    assert phrases.collocations(df, min_count=1000).count() == 0
+    helper = spark.createDataFrame([(r[1], r[2]) for r in helpers.ROWS], "text string, lang string")
+    assert phrase_rows(phrases.collocations(helpers.docs(spark), min_count=3)) == phrase_rows(phrases.collocations(helper, min_count=3)) == plain_phrases([(r[1], r[2]) for r in helpers.ROWS], 3, 4)
+
+
+def test_radix_order_is_byte_order():
+    rng = np.random.default_rng(3)
+    keys = np.zeros((5000, 4), ">u4")
+    keys[:, :3] = rng.integers(0, 3, (5000, 3)) * rng.integers(1, 1 << 30, (5000, 3))
+    raw = keys.view(np.uint8).reshape(5000, 16)
+    assert [bytes(r) for r in raw[phrases.radix_order(raw)]] == sorted(bytes(r) for r in raw)
+    assert len(phrases.radix_order(raw[:0])) == 0
+
+
+@pytest.mark.parametrize("name", ["op11_phrases", "op12_warc"])
+def test_new_queries_match_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    cols = [c[0] for c in want.description]
+    df = QUERIES[name](spark, sf_dir)
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == sorted(map(repr, want.fetchall()))
