@@ -49,6 +49,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in index.slowest():
             logging.info("%s %.3f s", r["path"], r["seconds"])
     print(status(index, 0), flush=True)
+    sys.stdin.reconfigure(errors="replace")  # bytes that are no UTF-8 are a line like any other
     for response in serve(index, sys.stdin):
         print(response, flush=True)
     return 0

@@ -310,12 +310,21 @@ def _matched(spark, d):
 _ESCAPED = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN -event_id ELSE event_id END AS id,
   CASE event_id % 6 WHEN 0 THEN 'query' WHEN 1 THEN 'query' WHEN 4 THEN 'shutdown' WHEN 5 THEN 'rebuildFile' ELSE 'unknown' END AS method,
   CASE event_id % 6 WHEN 0 THEN {} || user_id || 'q/' WHEN 1 THEN 'tab' || chr(9) || 'here' || user_id ELSE '' END AS pattern,
-  CASE WHEN event_id % 6 = 3 AND user_id > 0 THEN user_id ELSE 200 END::BIGINT AS "limit",
+  200::BIGINT AS "limit",
   CASE event_id % 6 WHEN 3 THEN 'a' || chr(92) || 'b"c' WHEN 5 THEN chr(10) || user_id || '.h' ELSE '' END AS file, false AS bad FROM events"""
 query("parse_escapes", _ESCAPED.format("'aAB'"))(lambda spark, d: protocol.parse_requests(tb.escaped_lines(spark, d)).drop("line"))
 query("parse_escapes_compat", _ESCAPED.format("'a??'"))(lambda spark, d: protocol.parse_requests(tb.escaped_lines(spark, d), strict_compat=True).drop("line"))
 
 
+query(
+    "parse_hostile",
+    """WITH e AS (SELECT event_id, event_id % 12 AS c, length(event_id::VARCHAR) > 3 AS long FROM events), b AS (SELECT *, c IN (0, 1, 9) OR c = 11 AND long AS bad FROM e)
+SELECT event_id, CASE WHEN c IN (6, 7, 10) THEN event_id WHEN c = 5 THEN -event_id WHEN c = 8 THEN 9223372036854775807 WHEN c = 11 AND NOT long THEN event_id ELSE 0 END AS id,
+  CASE WHEN c IN (6, 7, 10) THEN 'query' WHEN c = 4 THEN 'status' WHEN c = 5 THEN 'rebuild' WHEN c = 8 THEN 'shutdown' ELSE 'unknown' END AS method,
+  CASE WHEN c = 10 THEN '😀' || chr(65533) || 'xé?' ELSE '' END AS pattern, 200::BIGINT AS "limit", '' AS file, bad FROM b""",
+)(lambda spark, d: protocol.parse_requests(tb.hostile_lines(spark, d)).drop("line"))
+
+
 @query("escaped_json", r"""SELECT doc_id, '{"id":' || doc_id || ',"error":"' || replace(replace(replace(replace(left(text, 80), '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || chr(92) || 'r\\' || '"}' AS response FROM documents""")
 def _escaped(spark, d):
     return tb.table(spark, d, "documents").select("doc_id", protocol.error_response(F.col("doc_id"), F.concat(F.expr("left(text, 80)"), F.lit("\r\\"))).alias("response"))

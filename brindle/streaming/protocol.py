@@ -3,47 +3,36 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.lenient_json import number
+from brindle.functions.lenient_json import BadJson, parse
 from brindle.model import DEFAULT_LIMIT
 
 #: Methods of the protocol.
 METHODS = ("query", "status", "rebuild", "forceRebuild", "rebuildFile", "shutdown")
-_REQUEST = "id string, method string, params struct<pattern:string,limit:string,file:string>, _bad string"
+_REQUEST = "id long, method string, pattern string, limit long, file string, bad boolean"
 MAX_LIMIT = (1 << 31) - 1
 
 
-#: Raw control bytes pass, and a backslash before any other character than JSON's stands for that character.
-_LENIENT = {"columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
-
-
 def parse_requests(lines: DataFrame, line: str = "line", strict_compat: bool = False) -> DataFrame:
-    """Adds ``id, method, pattern, limit, file, bad``; a blank line gives nothing, an unknown method ``unknown``.
+    """Adds ``id, method, pattern, limit, file, bad``; an empty line gives nothing, an unknown method ``unknown``.
 
-    ``strict_compat`` reads every ``\\uXXXX`` as ``?``, as older clients expect.
+    ``parse_request`` for a column: the lines alone go through it, in Arrow batches.
     """
-    text = F.regexp_replace(line, "\r$", "")
-    if strict_compat:
-        text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\u[0-9a-fA-F]{4}", "$1?")
-    d = lines.where(F.trim(text) != "").withColumn("__r", F.from_json(text, _REQUEST, _LENIENT))
-    limit = number(F.col("__r.params.limit"))
-    # JSON that is no object is a request without fields, not an error
-    scalar = F.trim(text).rlike(r'^(\[.*\]|-?[0-9].*|".*"|true|false|null)$')
-    bad = F.col("__r._bad").isNotNull() & ~scalar
-    return d.select(
-        *lines.columns,
-        number(F.col("__r.id")).alias("id"),
-        F.when(F.col("__r.method").isin(*METHODS), F.col("__r.method")).otherwise("unknown").alias("method"),
-        F.coalesce("__r.params.pattern", F.lit("")).alias("pattern"),
-        F.when(limit > 0, F.least(limit, F.lit(MAX_LIMIT))).otherwise(DEFAULT_LIMIT).alias("limit"),
-        F.coalesce("__r.params.file", F.lit("")).alias("file"),
-        F.coalesce(bad, F.lit(False)).alias("bad"),
-    )
+
+    @F.arrow_udf(_REQUEST)
+    def requests(texts: pa.Array) -> pa.Array:
+        got = [parse_request(x, strict_compat) for x in texts.to_pylist()]
+        rows = [(Request(), True) if r is None else (r, False) for r in got]
+        cols = [pa.array([r.id for r, _ in rows], pa.int64()), *(pa.array([getattr(r, c) for r, _ in rows], k) for c, k in (("method", pa.string()), ("pattern", pa.string()), ("limit", pa.int64()), ("file", pa.string()))), pa.array([b for _, b in rows], pa.bool_())]
+        return pa.StructArray.from_arrays(cols, ["id", "method", "pattern", "limit", "file", "bad"])
+
+    asked = lines.where(~F.col(line).isin("", "\r")).withColumn("__r", requests(F.col(line)))
+    return asked.select(*lines.columns, "__r.*")
 
 
 def query_response(rid: Column, results: Column, rows_key: str = "declarations") -> Column:
@@ -62,9 +51,6 @@ def error_response(rid: Column, message: Column) -> Column:
     return F.to_json(F.struct(rid.alias("id"), message.alias("error")))
 
 
-_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
-
-
 def answer_responses(requests: DataFrame, rows_key: str = "declarations", ready: bool = True, files: int = 0, declarations: int = 0) -> DataFrame:
     """Adds ``response`` to parsed requests: the answers of an index that has no row for any query. Wrong lines are errors with id 0."""
     rid, none = F.col("id"), F.expr("cast(array() as array<struct<name:string,kind:string,file:string,line:int,score:int>>)")
@@ -95,35 +81,21 @@ class Request:
     file: str = ""
 
 
-def _integer(v) -> int:
-    if isinstance(v, bool) or not isinstance(v, (int, float)):
-        return 0
-    return int(v)
-
-
 def parse_request(line: str, strict_compat: bool = False) -> Request | None:
-    """None if the line is no JSON. Only the first value counts, what follows it is ignored; the last of equal keys wins. Raw control
-    bytes pass, an unknown escape is its character.
-
-    ``strict_compat`` reads every ``\\uXXXX`` as ``?``, as older clients expect.
+    """None if the line is no JSON, as ``lenient_json.parse`` has it; never an exception. JSON that is no object is a request without fields, and a field
+    of another type than its own is a missing one. ``strict_compat`` reads every ``\\uXXXX`` as ``?``, as older clients expect.
     """
-
-    def escape(m: re.Match) -> str:
-        if m[1][0] == "u":
-            return "?" if strict_compat and len(m[1]) == 5 else m[0]
-        return m[0] if m[1] in '"\\/bfnrt' else m[1]
-
     try:
-        v, _ = json.JSONDecoder(strict=False).raw_decode(_ESCAPE.sub(escape, line.strip()))
-    except ValueError:
+        v = parse(line, strict_compat)
+    except BadJson:
         return None
     if not isinstance(v, dict):
         return Request()
     params = v.get("params") if isinstance(v.get("params"), dict) else {}
     text = lambda x: x if isinstance(x, str) else ""
-    method = text(v.get("method"))
-    limit = _integer(params.get("limit"))
-    return Request(_integer(v.get("id")), method if method in METHODS else "unknown", text(params.get("pattern")), min(limit, MAX_LIMIT) if limit > 0 else DEFAULT_LIMIT, text(params.get("file")))
+    whole = lambda x: x if isinstance(x, int) and not isinstance(x, bool) else 0
+    method, limit = text(v.get("method")), whole(params.get("limit"))
+    return Request(whole(v.get("id")), method if method in METHODS else "unknown", text(params.get("pattern")), min(limit, MAX_LIMIT) if limit > 0 else DEFAULT_LIMIT, text(params.get("file")))
 
 
 def dump(**fields) -> str:

@@ -52,6 +52,14 @@ class Index:
         self.top, self.saved = -1, None
         self.declarations, self.records = self.base
         self.parsed: DataFrame | None = None
+        self._counted: tuple[DataFrame, int] | None = None
+
+    @property
+    def n_declarations(self) -> int:
+        """Counted once for each state of the index, not for each request."""
+        if self._counted is None or self._counted[0] is not self.declarations:
+            self._counted = (self.declarations, self.declarations.count())
+        return self._counted[1]
 
     def _present(self, content: bool) -> DataFrame:
         return tree.read_tree(self.spark, self.root, self.dirs, tree.load_ignore(self.root, self.ignore_name), content, **self.options)
@@ -236,8 +244,7 @@ def within(spark: SparkSession, seconds: float | None, call: Callable):
 
 
 def status(index: Index, rid: int) -> str:
-    n = index.declarations.count()
-    return protocol.dump(**{"id": rid, "status": "ready" if index.ready else "building", "files": index.n_files, index.rows_key: n})
+    return protocol.dump(**{"id": rid, "status": "ready" if index.ready else "building", "files": index.n_files, index.rows_key: index.n_declarations})
 
 
 def handle(index: Index, r: protocol.Request) -> str:

@@ -74,6 +74,28 @@ def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", line.alias("line"))
 
 
+def hostile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines that must not end a service: foreign numbers, depth, wrong types, numbers beyond 64 bits, blanks, halves of pairs."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    i, at = F.col("event_id").cast("string"), F.col("event_id") % 12
+    deep = lambda c: F.repeat(F.lit(c), (F.col("event_id") % 7 + 2000).cast("int"))
+    lines = [
+        F.concat(F.lit('{"id":1e'), i, F.lit(',"method":"query"}')),
+        F.concat(F.lit('{"method":"status","id":NaN,"n":'), i, F.lit("}")),
+        F.concat(i, deep("[")),
+        F.concat(deep("["), deep("]")),
+        F.concat(F.lit('{"id":"'), i, F.lit('","method":"status"}')),
+        F.concat(F.lit('{"id":-'), i, F.lit('.99,"method":"rebuild","params":[]}')),
+        F.concat(F.lit('{"params":5,"id":'), i, F.lit(',"method":"query"}')),
+        F.concat(F.lit('{"params":{"pattern":7,"limit":"5","file":{}},"method":"query","id":'), i, F.lit("}")),
+        F.concat(F.lit('{"id":99999999999999999999'), i, F.lit(',"method":"shutdown"}')),
+        F.lit(" \t "),
+        F.concat(F.lit('{"id":'), i, F.lit(',"method":"query","params":{"pattern":"\\ud83d\\ude00\\ud800x\\u00e9\\uzzzz"}}')),
+        F.concat(F.lit('{"id":'), F.repeat(F.lit("0"), F.lit(60)), i, F.lit('}{"method":1}')),
+    ]
+    return e.select("event_id", F.element_at(F.array(*lines), at.cast("int") + 1).alias("line"))
+
+
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request lines, numbers written as decimals every third time."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")

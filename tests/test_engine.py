@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brindle.__main__ import arguments, main
-from brindle.functions import extension, normal_path, score, score_column
+from brindle.functions import extension, lenient_json, normal_path, score, score_column
 from brindle.functions.score import contains_subsequence, with_score
 from brindle.model import FILES, QUERY_TIMEOUT
 from brindle.operators import extract, ignore, maintain
@@ -370,6 +370,31 @@ def test_json_snapshots(spark, tmp_path):
         ('{"id":13,"method":"rebuildFile"}', (13, "rebuildFile", "", 200, "")),
         ('{"id":14,"method":"query","params":{"limit":99999999999}}', (14, "query", "", protocol.MAX_LIMIT, "")),
         ("not json", None),
+        ('{"id":NaN}', None),
+        ('{"id":1e999}', None),
+        ('{"id":1e3}', None),
+        ('{"params":{"limit":Infinity}}', None),
+        ("[" * 100_000, None),
+        ("[" * 50_000 + "]" * 50_000, (0, "unknown", "", 200, "")),
+        ("[1] x", (0, "unknown", "", 200, "")),
+        ('{"id":"7"}', (0, "unknown", "", 200, "")),
+        ("{'id':1}", None),
+        ('{"id":6,"method":"query","params":5}', (6, "query", "", 200, "")),
+        ('{"id":6,"method":"query","params":"x"}', (6, "query", "", 200, "")),
+        ('{"method":"query","params":{"pattern":7,"limit":"5"}}', (0, "query", "", 200, "")),
+        ('{"id":92233720368547758089}', ((1 << 63) - 1, "unknown", "", 200, "")),
+        ('{"id":-92233720368547758089}', (-(1 << 63), "unknown", "", 200, "")),
+        ('{"id":-}', (0, "unknown", "", 200, "")),
+        ('{"id":' + "1" * 64 + "}", None),
+        ('{"id":true,"method":"status"}', (0, "status", "", 200, "")),
+        ("   ", None),
+        ("[1,]", None),
+        ('{"a":1,}', None),
+        ('{"a" 1}', None),
+        ('"half', None),
+        ('"half\\', None),
+        ("truth", None),
+        ('{"id":1,"method":"query","params":{"pattern":"\\ud83d\\ude00\\udc00"}}', (1, "query", "😀\ufffd", 200, "")),
     ],
 )
 def test_requests_line_and_column_form(spark, line, want):
@@ -381,6 +406,64 @@ def test_requests_line_and_column_form(spark, line, want):
         assert (row.id, row.method, row.pattern, row.limit, row.file) == want
 
 
+def _fuzzed_lines(n, seed=8):
+    rng = random.Random(seed)
+    parts = ['{', '}', '[', ']', ',', ':', '"', '\\', '\\u', '00e9', 'd800', '"id"', '"method"', '"params"', '"query"', '"status"', '"pattern"', '"limit"', '"file"', "true", "null", "NaN", "-", "1", "23.5", "1e9", " ", "\t", "\r", "x", "é", "😀", "\x00", "\x7f"]
+    whole = ['{"id":3,"method":"query","params":{"pattern":"Foo","limit":7}}', '{"id":4,"method":"status"}', '{"id":5,"method":"rebuildFile","params":{"file":"a.cpp"}}']
+    for _ in range(n):
+        if rng.random() < 0.5:
+            yield "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        else:
+            line = list(rng.choice(whole))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 3)] = rng.choice(parts)
+            yield "".join(line)
+
+
+def test_fuzzed_lines_are_read_alike_and_never_end_the_loop(spark):
+    lines = list(_fuzzed_lines(10_000))
+    df = spark.createDataFrame(list(enumerate(lines)), "nth long, line string")
+    got = {r.nth: r for r in protocol.parse_requests(df).collect()}
+    bad = 0
+    for i, line in enumerate(lines):
+        r = protocol.parse_request(line)
+        if line in ("", "\r"):
+            assert i not in got
+        elif r is None:
+            bad += 1
+            assert got[i].bad
+        else:
+            assert not got[i].bad and (r.id, r.method, r.pattern, r.limit, r.file) == tuple(got[i])[2:-1]
+
+    class Stub:
+        strict_compat, cache, rows_key, n_files, n_declarations, ready = False, False, "declarations", 0, 0, True
+        search = staticmethod(lambda text, limit: [])
+        refresh = build = staticmethod(lambda: None)
+        refresh_file = staticmethod(lambda f: False)
+
+    lines = [x for x in lines if "shutdown" not in x]
+    answers = list(service.serve(Stub(), lines))
+    assert len(answers) == sum(x not in ("", "\r") for x in lines) and sum('"error":"bad JSON"' in a for a in answers) == bad > 1000
+    assert all(json.loads(a) for a in answers)
+
+
+def test_parser_agrees_with_json_where_json_is_strict():
+    rng = random.Random(2)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 6:
+            return {rng.choice("abcé\n\""): value(depth - 1) for _ in range(rng.randrange(4))}
+        return [None, True, False, rng.randrange(-(1 << 62), 1 << 62), "".join(rng.choice('ab"\\\n\té😀/') for _ in range(5))][kind]
+
+    for _ in range(500):
+        v = value(4)
+        assert lenient_json.parse(json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))) == v
+
+
 def test_strict_compat_reads_escapes_as_question_marks():
     assert protocol.parse_request('{"method":"query","params":{"pattern":"\\u0041"}}').pattern == "A"
     assert protocol.parse_request('{"method":"query","params":{"pattern":"\\u0041"}}', strict_compat=True).pattern == "?"
