@@ -18,7 +18,7 @@ COVER = 80
 #: Bytes of text of one language that share a dictionary and are counted together.
 BLOCK_BYTES = 16 << 20
 #: Rows that one range of keys holds, about.
-RANGE_ROWS = 4 << 20
+RANGE_ROWS = 2 << 20
 #: Shares into which a language is dealt before its first phrases are taken.
 SALTS = 256
 BREAK = b"\xff"  # no byte of UTF-8
@@ -37,25 +37,29 @@ def _cut(raw: bytes, at: int) -> int:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], context: int) -> Iterator[tuple[str, list[bytes], int]]:
-    """(language, tokens, lead) of each block; texts are parted by breaks. A huge text is cut between words, and the next block begins with up
-    to ``context`` tokens of the last as its lead: n-grams that end there have been counted."""
+    """(language, tokens, own) of each block; texts are parted by breaks. A huge text is cut between words, and behind its ``own`` tokens a block has up
+    to ``context`` tokens of the next, so that every n-gram lies in the block in which it begins."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
 
     def out(lang):
         size.pop(lang)
-        return lang, _tokens(BREAK.join(held.pop(lang))), 0
+        tokens = _tokens(BREAK.join(held.pop(lang)))
+        return lang, tokens, len(tokens)
 
     for b in slices(batches, "t"):
         for lang, raw in zip(b.column("lang").to_pylist(), buffers(b, "t"), strict=True):
             raw = raw.translate(_LETTERS)
             if len(raw) > BLOCK_BYTES:
-                lead, begin = [], 0
+                begin = 0
                 while begin < len(raw):
-                    end = _cut(raw, begin + BLOCK_BYTES)
-                    tokens = lead + _tokens(raw[begin:end])
-                    yield lang, tokens, len(lead)
-                    lead, begin = tokens[max(0, len(tokens) - context) :], end
+                    end = p = _cut(raw, begin + BLOCK_BYTES)
+                    tokens, more = _tokens(raw[begin:end]), []
+                    while len(more) < context and p < len(raw):
+                        p, q = _cut(raw, p + 1), p
+                        more += _tokens(raw[q:p])
+                    yield lang, tokens + more[:context], len(tokens)
+                    begin = end
                 continue
             held.setdefault(lang, []).append(raw)
             size[lang] = size.get(lang, 0) + len(raw)
@@ -66,19 +70,19 @@ def _blocks(batches: Iterable[pa.RecordBatch], context: int) -> Iterator[tuple[s
     yield from map(out, list(size))
 
 
-PARTS = "block long, lang string, lead int, ids binary, word string, at int, n long"
+PARTS = "block long, lang string, own int, ids binary, word string, at int, n long"
 
 
 def encoded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS) -> DataFrame:
     """Blocks of texts as numbers of their own dictionaries (0 is a break), one row each, and a row for each word of each dictionary with its count."""
-    null = {"block": pa.int64(), "lang": pa.string(), "lead": pa.int32(), "ids": pa.binary(), "word": pa.string(), "at": pa.int32(), "n": pa.int64()}
+    null = {"block": pa.int64(), "lang": pa.string(), "own": pa.int32(), "ids": pa.binary(), "word": pa.string(), "at": pa.int32(), "n": pa.int64()}
 
     def rows(size, **cols):
         return pa.RecordBatch.from_arrays([cols[c].cast(k) if c in cols else pa.nulls(size, k) for c, k in null.items()], list(null))
 
     def body(batches):
         block = TaskContext.get().partitionId() << 32
-        for lang, tokens, lead in _blocks(batches, max_words - 1):
+        for lang, tokens, own in _blocks(batches, max_words - 1):
             number = dict.fromkeys([BREAK])
             number.update(dict.fromkeys(tokens))
             number = {w: i for i, w in enumerate(number)}
@@ -86,8 +90,8 @@ def encoded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
             words = list(number)[1:]
             if not words:
                 continue
-            yield rows(1, block=pa.array([block]), lang=pa.array([lang]), lead=pa.array([lead]), ids=pa.array([ids.tobytes()], pa.binary()))
-            count = np.bincount(ids[lead:], minlength=len(number))[1:]
+            yield rows(1, block=pa.array([block]), lang=pa.array([lang]), own=pa.array([own]), ids=pa.array([ids.tobytes()], pa.binary()))
+            count = np.bincount(ids[:own], minlength=len(number))[1:]
             for i in range(0, len(words), 1 << 16):
                 some = words[i : i + (1 << 16)]
                 at = np.arange(i + 1, i + 1 + len(some), dtype=np.int32)
@@ -98,35 +102,31 @@ def encoded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     return plain.mapInArrow(body, PARTS)
 
 
-def grams(ids: np.ndarray, lead: int, linked: np.ndarray, lengths: range, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the n-grams of numbers whose neighbours are all ``linked``, of those that end behind ``lead``.
+def windows(ids: np.ndarray, own: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of up to ``width`` numbers, as keys, and their counts: from each of the first ``own`` places on, up to the next break, two words or more.
 
-    A key holds ``width`` numbers of four bytes, the first first and zeros behind the last, so keys have the order of their numbers. An n-gram is
-    named by its first n - 1 words' name and its last word, so only whole numbers are sorted.
+    A key holds ``width`` numbers of four bytes, the first first and zeros behind the last. All n-grams are the beginnings of windows. A window is named
+    word by word, by the name so far and the next word, so only whole numbers are sorted.
     """
-    base, last = np.unique(ids, return_inverse=True)
-    name, at = last, np.flatnonzero(linked)
-    keys, counts = [], []
-    for n in range(2, lengths.stop):
-        if n > 2:
-            at = at[at + n - 1 < len(ids)]
-            at = at[linked[at + n - 2]]
-        pair = name[at] * len(base) + last[at + n - 1]
-        order = np.argsort(pair)
-        new = np.ones(len(pair), bool)
-        new[1:] = np.diff(pair[order]) != 0
-        group = np.cumsum(new) - 1
-        count = np.bincount(group[at[order] + n - 1 >= lead], minlength=int(new.sum()))
-        if n in lengths:
-            first = at[order[new]][count > 0]
-            key = np.zeros((len(first), width), ">u4")
-            for k in range(n):
-                key[:, k] = ids[first + k]
-            keys.append(key)
-            counts.append(count[count > 0])
-        name = np.zeros(len(ids), np.int64)
-        name[at[order]] = group
-    return np.concatenate(keys).astype(">u4"), np.concatenate(counts)  # joined arrays are in the machine's order
+    padded = np.concatenate((ids, np.zeros(width, ids.dtype)))
+    at = np.flatnonzero((padded[:own] > 0) & (padded[1 : own + 1] > 0))
+    words = [padded[at]]
+    for k in range(1, width):
+        words.append(np.where(words[-1] > 0, padded[at + k], 0))
+    known, name = np.unique(words[0], return_inverse=True)
+    order, new = np.arange(len(at)), np.ones(len(at), bool)
+    for word in words[1:]:
+        key = name * (int(ids.max(initial=0)) + 1) + word
+        order = np.argsort(key)
+        new = np.ones(len(at), bool)
+        new[1:] = np.diff(key[order]) != 0
+        name = np.empty(len(at), np.int64)
+        name[order] = np.cumsum(new) - 1
+    first = order[new]
+    keys = np.zeros((len(first), width), ">u4")
+    for k, word in enumerate(words):
+        keys[:, k] = word[first]
+    return keys, np.diff(np.append(np.flatnonzero(new), len(at)))
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
@@ -153,36 +153,51 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def prefix_counts(keys: np.ndarray, n: np.ndarray, width: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted windows (rows of bytes) with counts: every beginning of two words or more that occurs ``min_count`` times, as a key, and its count. Those that may go
+    on in the range before or behind, the first and the last of each length, are there however few they are."""
+    word = keys.view(">u4").astype(np.int64)
+    new = np.zeros(len(keys), bool)
+    new[0] = True
+    out, counts = [], []
+    for k in range(width):
+        new[1:] |= word[1:, k] != word[:-1, k]
+        if not k:
+            continue
+        begin = np.flatnonzero(new)
+        f = np.add.reduceat(n, begin)
+        keep = f >= min_count
+        keep[[0, -1]] = True
+        keep &= word[begin, k] > 0
+        got = np.zeros((int(keep.sum()), width), ">u4")
+        got[:, : k + 1] = word[begin[keep], : k + 1]
+        out.append(got)
+        counts.append(f[keep])
+    return np.concatenate(out).astype(">u4"), np.concatenate(counts)  # joined arrays are in the machine's order
+
+
 def counted(rows: DataFrame, width: int, min_count: int) -> DataFrame:
-    """``rows(key, n, block)`` -> ``(key, f, block, head)`` for all rows of the keys with f = sum of n >= ``min_count``; one row of each key is its head.
+    """``rows(key, n)`` of windows -> ``(key, f)`` of their beginnings that occur ``min_count`` times.
 
-    Keys are dealt by range; a task sorts its range by radix and counts runs. ``rows`` holds a key once for each block at most, so a range
-    stays near ``RANGE_ROWS`` rows however frequent a key is in the texts.
+    Keys are dealt by range; a task sorts its range by radix and counts the runs of each length. A frequent phrase is many windows, which may lie in many ranges:
+    only the runs at the ends of ranges, two for each length, meet again. A window is there once for each block at most, so a range stays near ``RANGE_ROWS`` rows.
     """
     size = 4 * width
 
     def body(batches):
-        got = [(_bytes(b.column("key"), size), np.asarray(b.column("n")), np.asarray(b.column("block"))) for b in batches if b.num_rows]
+        got = [(_bytes(b.column("key"), size), np.asarray(b.column("n"))) for b in batches if b.num_rows]
         if not got:
             return
-        keys, n, block = (np.concatenate([g[x] for g in got]) for x in range(3))
+        keys, n = (np.concatenate([g[x] for g in got]) for x in range(2))
         got.clear()
         order = radix_order(keys)
-        keys, n, block = keys[order], n[order], block[order]
-        head = np.ones(len(keys), bool)
-        head[1:] = (keys[1:].view(np.uint32) != keys[:-1].view(np.uint32)).any(axis=1)
-        begin = np.flatnonzero(head)
-        f = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(keys))))
-        at = np.flatnonzero(f >= min_count)
-        for i in range(0, len(at), 1 << 16):
-            x = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([_binary(keys[x]), pa.array(f[x]), pa.array(block[x]), pa.array(head[x])], ["key", "f", "block", "head"])
-
-    total = rows.count()
-    if not total:
-        return rows.sparkSession.createDataFrame([], "key binary, f long, block long, head boolean")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    return rows.select("key", "n", "block").repartitionByRange(parts, "key").mapInArrow(body, "key binary, f long, block long, head boolean")
+        keys, f = prefix_counts(keys[order], n[order], width, min_count)
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([_binary(keys[i : i + (1 << 16)]), pa.array(f[i : i + (1 << 16)])], ["key", "f"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    ranges = rows.select("key", "n").repartitionByRange(parts, "key").mapInArrow(body, "key binary, f long")
+    return ranges.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
 
 
 def numbered(kept: DataFrame) -> DataFrame:
@@ -201,33 +216,12 @@ def numbered(kept: DataFrame) -> DataFrame:
     return out
 
 
-BLOCKS = "block long, lead int, ids binary, key binary, n long"
-
-
-def _block_rows(block: int, lead: int, ids: np.ndarray | None, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-    one, many = 0 if ids is None else 1, len(keys)
-    cols = [
-        pa.array(np.full(one + many, block, np.int64)),
-        pa.concat_arrays([pa.array([lead] * one, pa.int32()), pa.nulls(many, pa.int32())]),
-        pa.concat_arrays([pa.array([ids.tobytes()] if one else [], pa.binary()), pa.nulls(many, pa.binary())]),
-        pa.concat_arrays([pa.nulls(one, pa.binary()), _binary(keys)]),
-        pa.concat_arrays([pa.nulls(one, pa.int64()), pa.array(counts, pa.int64())]),
-    ]
-    return pa.Table.from_arrays(cols, ["block", "lead", "ids", "key", "n"])
-
-
-def _none() -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.Table.from_arrays([pa.nulls(0, k) for k in kinds], ["block", "lead", "ids", "key", "n"])
-
-
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three written tables: ``(key, f)`` of every phrase of up to ``max_words`` words with ``min_count`` occurrences, the words ``(id, lang, word, f)`` that
     keys are made of, and ``(lang, n)``, the words of each language.
 
     The words of each block's dictionary are summed over all blocks; frequent ones get numbers, and each block gets those of its own words. Pieces
-    break at all other words. Pairs are counted first; longer n-grams only where all their pairs are frequent, as an n-gram is no more frequent than
-    its parts. What leaves a block is a count for each distinct n-gram.
+    break at all other words. What leaves a block is a count for each distinct window of ``max_words`` words; one sort of these counts the phrases of all lengths.
     """
     parts = saved(encoded(docs, text_col, lang_col, max_words))
     words = parts.where("word is not null").select("block", "lang", "word", "at", "n")
@@ -237,42 +231,21 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     terms = numbered(kept.select("lang", "word", "f").distinct())
     own = kept.join(terms.select("lang", "word", "id"), ["lang", "word"]).select("block", "at", "id")
 
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    def keyed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _none()
-        block, lead, ids = (left.column(c)[0].as_py() for c in ("block", "lead", "ids"))
-        ids = np.frombuffer(ids, np.int32)
-        number = np.zeros(int(ids.max()) + 1, np.uint32)
+            return pa.table({"key": pa.nulls(0, pa.binary()), "n": pa.nulls(0, pa.int64())})
+        ids = np.frombuffer(left.column("ids")[0].as_py(), np.int32)
+        number = np.zeros(int(ids.max()) + 1, np.int64)
         number[np.asarray(right.column("at"))] = np.asarray(right.column("id"))
-        ids = number[ids]
-        linked = np.zeros(len(ids), bool)
-        linked[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
-        return _block_rows(block, lead, ids, *grams(ids, lead, linked, range(2, 3), max_words))
+        keys, n = windows(number[ids], left.column("own")[0].as_py(), max_words)
+        return pa.table({"key": _binary(keys), "n": pa.array(n, pa.int64())})
 
-    def longer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _none()
-        block, lead, ids = (left.column(c)[0].as_py() for c in ("block", "lead", "ids"))
-        ids = np.frombuffer(ids, np.uint32)
-        good = _bytes(right.column("key").combine_chunks(), 4 * max_words)[:, :8]
-        good = np.sort(np.ascontiguousarray(good).view(">u8").astype(np.uint64).ravel())
-        pair = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
-        linked = np.zeros(len(ids), bool)
-        linked[:-1] = good[np.minimum(np.searchsorted(good, pair), len(good) - 1)] == pair
-        return _block_rows(block, lead, None, *grams(ids, lead, linked, range(3, max_words + 1), max_words))
-
-    texts = parts.where("ids is not null").select("block", "lead", "ids")
-    two = saved(texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(pairs, BLOCKS))
+    texts = parts.where("ids is not null").select("block", "own", "ids")
+    keys = saved(texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(keyed, "key binary, n long"))
     discard(parts, kept)
-    often = saved(counted(two.where("key is not null"), max_words, min_count))
-    phrases = often.where("head").select("key", "f")
-    if max_words > 2:
-        texts = two.where("ids is not null").select("block", "lead", "ids")
-        more = saved(texts.groupBy("block").cogroup(often.select("block", "key").groupBy("block")).applyInArrow(longer, BLOCKS))
-        phrases = phrases.unionByName(counted(more, max_words, min_count).where("head").select("key", "f"))
     single = terms.select(F.expr(f"rpad(unhex(lpad(hex(id), 8, '0')), {4 * max_words}, x'00')").alias("key"), "f")
-    out = saved(phrases.unionByName(single))
-    discard(two, often, *([more] if max_words > 2 else []))
+    out = saved(counted(keys, max_words, min_count).unionByName(single))
+    discard(keys)
     return out, terms, totals
 
 
