@@ -7,13 +7,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from brindle.functions import score_column
 from brindle.functions.score import UNROLL, contains_subsequence, scored_pairs, subsequence_regex, with_score
 from brindle.functions.text import LOWER, UPPER, ascii_lower, bytes_as_chars, is_file_token, kind_of, tokens
 from brindle.model import DECLARATIONS, DEFAULT_LIMIT, KINDS, ORDER
+from brindle.plans.keys import FILE, KIND, key_counts, pattern_keys, with_keys
 
 _LOWER = str.maketrans(UPPER, LOWER)
+#: Rows on which it is seen which of a pattern's keys is rare.
+KEY_SAMPLE = 4096
 
 
 @dataclass(frozen=True)
@@ -89,30 +93,48 @@ def compiled_columns(text: Column) -> tuple[Column, Column, Column]:
 def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFAULT_LIMIT, max_patterns: int = 4096) -> DataFrame:
     """Many queries at once: ``qid, rank, name, kind, file, line, score`` for a table ``qid, pattern``; ``declarations`` in the index's schema.
 
-    Declarations are streamed past the patterns, which are few beside them: their number is checked, and slices of at most
-    ``max_patterns`` are broadcast one after another. Each task keeps its best rows per query before the shuffle (the
-    window's group limit), so what is exchanged is at most ``limit`` rows for each query and task.
+    No pattern meets every row: each asks by its rarest key (two bytes of a part in their order, a lone byte, or the kind), each row hands
+    out those of its keys that are asked for, and both meet in a hash join. Only a text of blanks, which finds all rows, joins all. Which key is
+    rare is seen on ``KEY_SAMPLE`` rows, as that changes no result. Patterns are taken in slices of about ``max_patterns``, which are broadcast. ``limit`` is
+    a number for all or the name of a column of ``patterns``. Each task keeps its best rows per query before the shuffle (the window's group limit).
     """
     asked = patterns.where("pattern is not null and pattern <> ''").withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
-    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"))
-    size = asked.agg(F.count("*").alias("n"), F.max(F.octet_length("qname")).alias("name"), F.max(F.octet_length("qfile")).alias("file")).first()
-    rows, cores = declarations.select(*DECLARATIONS.names), declarations.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
+    most = F.lit(limit) if isinstance(limit, int) else F.col(limit)
+    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"), most.cast("int").alias("qlimit"))
+    rows = declarations.select(*DECLARATIONS.names)
+    spark = declarations.sparkSession
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         # a small table, which each pattern multiplies
-        rows = rows.repartition(cores)
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    # a slice of patterns is known to the driver, as a broadcast is anyway
+    parts = [asked.limit(max_patterns + 1).collect()]
+    if len(parts[0]) > max_patterns:
+        slices = -(-asked.count() // max_patterns)
+        parts = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s).collect() for s in range(slices))
     found = []
-    slices = max(1, -(-size["n"] // max_patterns))
-    for s in range(slices):
-        part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)
-        # those with a kind by a hash join on it, the others past every row; both broadcast sides are of checked size
-        pairs = rows.join(F.broadcast(part.where("qkind is not null")), F.col("kind") == F.col("qkind")).unionByName(rows.crossJoin(F.broadcast(part.where("qkind is null"))))
-        if max(size["name"] or 0, size["file"] or 0) <= UNROLL:
-            hit = scored_pairs(pairs, size["name"] or 0, size["file"] or 0)
-        else:
-            low = lambda c: ascii_lower(bytes_as_chars(c))
-            meets = F.rlike(low("name"), subsequence_regex("qname")) & F.rlike(low("file"), subsequence_regex("qfile"))
-            hit = pairs.where(meets).withColumn("score", score_column("name", "qname"))
-        found.append(hit)
+    for part in parts:
+        every = [(r, pattern_keys(r["qkind"], r["qfile"], r["qname"])) for r in part]
+        counts = key_counts(rows.limit(KEY_SAMPLE), sorted({k for _, ks in every for k in ks}))
+        every = [(min(ks, key=lambda k: (counts.get(k, 0), k)), *r) for r, ks in every]
+        for long in (False, True):
+            some = [r for r in every if (max(len(r[3].encode()), len(r[4].encode())) > UNROLL) == long]
+            if some:
+                found.append(_met(rows, spark.createDataFrame(some, StructType([StructField("__key", IntegerType()), *asked.schema])), some, long))
+    if not found:
+        found.append(rows.where(F.lit(False)).crossJoin(asked.limit(0)).withColumn("score", F.lit(0)))
     hit = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("qid").orderBy(*ranked(hit))
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("qid", "rank", "name", "kind", "file", "line", "score")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("qlimit")).select("qid", "rank", "name", "kind", "file", "line", "score")
+
+
+def _met(rows: DataFrame, asked: DataFrame, patterns: list[tuple], long: bool) -> DataFrame:
+    """Rows and the patterns that find them, with the score. Long patterns are matched by regular expressions, so that they do not lengthen the chain of the others."""
+    keys = sorted({p[0] for p in patterns})
+    own = with_keys(rows, any(FILE <= k < KIND for k in keys), "__keys")
+    own = own.select(*rows.columns, F.explode(F.array_intersect("__keys", F.array(*map(F.lit, keys)))).alias("__key"))
+    pairs = own.join(F.broadcast(asked), "__key").where("qkind is null or kind = qkind").drop("__key")
+    if not long:
+        return scored_pairs(pairs, max(len(p[3].encode()) for p in patterns), max(len(p[4].encode()) for p in patterns))
+    low = lambda c: ascii_lower(bytes_as_chars(c))
+    meets = F.rlike(low("name"), subsequence_regex("qname")) & F.rlike(low("file"), subsequence_regex("qfile"))
+    return pairs.where(meets).withColumn("score", score_column("name", "qname"))

@@ -15,7 +15,7 @@ from brindle.functions.score import with_scores
 from brindle.functions.text import known_kind
 from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
-from brindle.plans import apropos, batch_search, search
+from brindle.plans import apropos, batch_search, search, topk
 from brindle.plans.search import compiled_columns
 from brindle.sources import snapshot, tree
 from brindle.sources.shared import shared_folder
@@ -117,6 +117,17 @@ SELECT qid, rank, name, kind, file, line, score FROM r WHERE rank <= 25""",
 )(lambda spark, d: batch_search(tb.declarations(spark, d), tb.patterns(spark, d), 25))
 
 
+def _clustered(spark, d) -> topk.Clustered:
+    folder = f"{shared_folder(spark, 'clustered')}/t"
+    topk.save_clustered(tb.declarations(spark, d), folder, 64)
+    return topk.Clustered.open(spark, folder)
+
+
+query("topk_prefix", search_sql(None, "", "redW", 40))(lambda spark, d: topk.search_clustered(_clustered(spark, d), "redW", 40))
+query("topk_subsequence", search_sql("struct", "", "sg", 50))(lambda spark, d: topk.search_clustered(_clustered(spark, d), "sg struct", 50))
+query("topk_name_and_file", search_sql(None, "brand_1.h", "smallri", 30))(lambda spark, d: topk.search_clustered(_clustered(spark, d), "brand_1.h smallri", 30))
+
+
 # ---- query text
 
 

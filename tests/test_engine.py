@@ -13,7 +13,7 @@ from brindle.functions import extension, lenient_json, normal_path, score, score
 from brindle.functions.score import contains_subsequence, with_score
 from brindle.model import FILES, QUERY_TIMEOUT
 from brindle.operators import extract, ignore, maintain
-from brindle.plans import batch_search, compile_query, search
+from brindle.plans import batch_search, compile_query, keys, search, topk
 from brindle.sources import snapshot, tree
 from brindle.streaming import protocol, service
 
@@ -580,3 +580,55 @@ def test_batches_of_searches_equal_single_ones(spark):
             got.setdefault(r.qid, []).append((r.name, r.kind, r.file, r.line, r.score))
         for i, t in enumerate(some):
             assert got.get(i, []) == [tuple(r) for r in search(df, t, 7).collect()], t
+    own = spark.createDataFrame([(i, t, i % 3 + 1) for i, t in enumerate(texts)], "qid long, pattern string, most long")
+    got = batch_search(df, own, "most", max_patterns=5).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in got} == {i: n for i, t in enumerate(texts) if (n := len(search(df, t, i % 3 + 1).collect()))}
+    plan = batch_search(df, own, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert batch_search(df, own.where("pattern = 'zzzz'"), 7).count() == 0 == batch_search(df.limit(0), own, 7).count()
+
+
+def test_clustered_search_equals_plain_search_and_reads_little(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    rows = [("".join(rng.choice("abcAB_:é") for _ in range(rng.randint(0, 30))), rng.choice(["class", "enum"]), f"f{i % 5}.h", i % 9, i) for i in range(3000)]
+    rows += [(f"prefix{'x' * (i % 7)}", "enum", "p.h", 1, 10_000 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "name string, kind string, file string, line int, ord long").cache()
+    topk.save_clustered(df, str(tmp_path / "t"), 16)
+    table = topk.Clustered.open(spark, str(tmp_path / "t"))
+    assert sum(table.bands.values()) == len(rows)
+    for looks in (1 / 8, 1):
+        monkeypatch.setattr(topk, "LOOKS", looks)
+        for text, limit in (("a", 5), ("ab", 3), ("AB_", 200), ("prefix", 10), ("PREFIXX enum", 4), ("b f3.h", 7), ("é", 9), ("zzz", 4), ("abcab", 1), ("", 5), ("  ", 6), ("class", 8), ("a" * 31, 2), ("_", 5000)):
+            assert topk.search_clustered(table, text, limit).collect() == search(df, text, limit).collect(), text
+    reads = []
+    run = topk.search_clustered(table, "prefix", 10, reads)
+    assert len(run.collect()) == 10 and sum(reads) + topk.rows_read(run) < len(rows) / 10
+
+
+@given(pattern=st.text("abA_", min_size=1, max_size=5), name=st.text("abAB_:", max_size=14))
+@settings(max_examples=500, deadline=None)
+def test_no_name_that_the_pattern_does_not_begin_passes_its_bound(pattern, name):
+    got = model_score(name, pattern)
+    if got is not None and not name.lower().startswith(pattern.lower()):
+        assert got <= topk.best_subsequence(len(pattern), len(name))
+
+
+@given(name=st.text("abAB_:é", max_size=12), file=st.text("ab/.", max_size=6), pattern=st.text("abAB_é", max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_rows_that_match_have_the_keys_of_the_pattern(name, file, pattern):
+    has = {keys.EVERY, keys.KIND + 1}
+    for base, text in ((0, name), (keys.FILE, file)):
+        raw = text.lower().encode() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text).encode()
+        has |= {base + keys.BYTE + c for c in raw} | {base + raw[i] * 256 + raw[j] for i in range(len(raw)) for j in range(i + 1, len(raw))}
+    if model_score(name, pattern) is not None:
+        assert set(keys.pattern_keys("class", "", pattern)) <= has or not pattern
+
+
+def test_keys_of_rows(spark):
+    df = spark.createDataFrame([("aBa", "enum", "x/é", 1), ("", "class", "", 2), (None, None, None, 3)], "name string, kind string, file string, ord long")
+    got = {r.ord: set(r.k) for r in keys.with_keys(df, True, "k").collect()}
+    a, b, x = 97, 98, [ord("x"), ord("/"), 0xC3, 0xA9]
+    files = {keys.FILE + keys.BYTE + c for c in x} | {keys.FILE + x[i] * 256 + x[j] for i in range(4) for j in range(i + 1, 4)}
+    assert got[1] == {keys.EVERY, keys.KIND + 3, keys.BYTE + a, keys.BYTE + b, a * 256 + b, b * 256 + a, a * 256 + a} | files
+    assert got[2] == {keys.EVERY, keys.KIND + 1} and got[3] == {keys.EVERY}
+    assert keys.key_counts(df, [keys.EVERY, a * 256 + b, 5]) == {keys.EVERY: 3, a * 256 + b: 1}
