@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import LOWER, UPPER, ascii_lower, bytes_as_chars
+from brindle.functions.text import LOWER, UPPER
 from brindle.model import KINDS
 
 _LOWER = str.maketrans(UPPER, LOWER)
+_FOLDED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Numbers of keys: two bytes, the first anywhere before the second; one byte; the same of the file; a kind; and what every row has.
 PAIR, BYTE, FILE, KIND, EVERY = 0, 1 << 16, 1 << 17, 1 << 18, (1 << 18) + len(KINDS)
 
@@ -22,34 +25,53 @@ def pattern_keys(kind: str | None, file: str, name: str) -> list[int]:
     return out or [EVERY]
 
 
-def _places(low: Column) -> Column:
-    """Distinct bytes of a text, with their first and last place."""
-    chars = F.filter(F.array_distinct(F.split(low, "")), lambda c: c != "")
-    back = F.reverse(low)
-    return F.transform(chars, lambda c: F.struct(F.ascii(c).alias("c"), F.call_function("locate", c, low).alias("f"), (F.length(low) + 1 - F.call_function("locate", c, back)).alias("l")))
+def _found(texts: pa.Array, keys: list[int]) -> list[np.ndarray]:
+    """For each key (of names) the texts that have it: a byte stands before another if its first place is before the other's last."""
+    raw, n = texts.fill_null("").cast(pa.large_binary()), len(texts)
+    offset = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + n + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
+    size = np.diff(offset)
+    place = np.arange(len(data)) - np.repeat(offset[:-1] - offset[0], size)
+    at = _FOLDED[data].astype(np.int64) * n + np.repeat(np.arange(n), size)
+    first, last = np.full(256 * n, np.iinfo(np.int64).max), np.full(256 * n, -1)
+    first[at[::-1]] = place[::-1]
+    last[at] = place
+    first, last = first.reshape(256, n), last.reshape(256, n)
+    return [np.flatnonzero(last[k - BYTE] >= 0 if k >= BYTE else first[k >> 8] < last[k & 255]) for k in keys]
 
 
-def _text_keys(places: str, base: int) -> str:
-    pairs = f"flatten(transform({places}, a -> transform(filter({places}, b -> a.f < b.l), b -> {base + PAIR} + a.c * 256 + b.c)))"
-    return f"concat({pairs}, transform({places}, a -> {base + BYTE} + a.c))"
+def with_keys(rows: DataFrame, keys: list[int], out: str) -> DataFrame:
+    """``rows(name, kind, file)`` with the array ``out`` of those of ``keys`` that they have. Names and files alone go through Arrow."""
+    names, files = [k for k in keys if k < FILE], [k for k in keys if FILE <= k < KIND]
 
+    def has(texts: pa.Array, own: list[int], base: int) -> pa.Array:
+        hits = _found(texts, [k - base for k in own])
+        row, key = np.concatenate(hits), np.repeat(np.array(own, np.int32), [len(h) for h in hits])
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
 
-def with_keys(rows: DataFrame, files: bool, out: str) -> DataFrame:
-    """``rows(name, kind, file)`` with the array ``out`` of all their keys, those of the file if asked for.
+    @F.arrow_udf("array<int>")
+    def in_name(texts: pa.Array) -> pa.Array:
+        return has(texts, names, 0)
 
-    A text of d distinct bytes has d^2 pairs at most, whatever its length: a byte stands before another if its first place is before the other's last.
-    """
-    kinds = F.array(*map(F.lit, KINDS))
-    parts = [f"transform(filter(array(array_position(__kinds, kind)), i -> i > 0), i -> {KIND - 1} + cast(i as int))", f"array({EVERY})", _text_keys("__name", 0)]
-    d = rows.select(*rows.columns, kinds.alias("__kinds"), ascii_lower(bytes_as_chars("name")).alias("__low"), ascii_lower(bytes_as_chars("file")).alias("__path"))
-    d = d.select(*rows.columns, "__kinds", _places(F.col("__low")).alias("__name"), *([_places(F.col("__path")).alias("__file")] if files else []))
-    if files:
-        parts.append(_text_keys("__file", FILE))
-    return d.select(*rows.columns, F.expr(f"concat({', '.join(f'coalesce({p}, array())' for p in parts)})").alias(out))
+    @F.arrow_udf("array<int>")
+    def in_file(texts: pa.Array) -> pa.Array:
+        return has(texts, files, FILE)
 
+    parts = [F.array(F.lit(EVERY))] if EVERY in keys else []
+    kinds = [k - KIND for k in keys if KIND <= k < EVERY]
+    parts += [F.when(F.col("kind") == KINDS[i], F.array(F.lit(KIND + i))).otherwise(F.array().cast("array<int>")) for i in kinds]
+    parts += ([in_name("name")] if names else []) + ([in_file("file")] if files else [])
+    return rows.select(*rows.columns, F.concat(*parts).alias(out))
 
-def key_counts(rows: DataFrame, keys: list[int]) -> dict[int, int]:
-    """In how many rows each of ``keys`` is; those in none are missing. At most as many numbers reach the driver."""
-    files = any(FILE <= k < KIND for k in keys)
-    found = with_keys(rows, files, "__keys").select(F.explode(F.array_intersect("__keys", F.array(*map(F.lit, keys)))).alias("key"))
-    return {r["key"]: r["count"] for r in found.groupBy("key").count().collect()}
+
+def key_counts(sample: pa.Table, keys: list[int]) -> dict[int, int]:
+    """In how many rows of a bounded ``sample(name, kind, file)`` each of ``keys`` is."""
+    names, files = [k for k in keys if k < FILE], [k for k in keys if FILE <= k < KIND]
+    out = dict.fromkeys(keys, sample.num_rows)
+    for own, base, column in ((names, 0, "name"), (files, FILE, "file")):
+        texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample.column(column).chunks]) if sample.num_rows else pa.array([], pa.large_string())
+        out |= {k: len(hit) for k, hit in zip(own, _found(texts, [k - base for k in own]), strict=True)}
+    kinds = sample.column("kind").to_pylist()
+    return out | {k: kinds.count(KINDS[k - KIND]) for k in keys if KIND <= k < EVERY}

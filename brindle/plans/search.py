@@ -13,7 +13,7 @@ from brindle.functions import score_column
 from brindle.functions.score import UNROLL, contains_subsequence, scored_pairs, subsequence_regex, with_score
 from brindle.functions.text import LOWER, UPPER, ascii_lower, bytes_as_chars, is_file_token, kind_of, tokens
 from brindle.model import DECLARATIONS, DEFAULT_LIMIT, KINDS, ORDER
-from brindle.plans.keys import FILE, KIND, key_counts, pattern_keys, with_keys
+from brindle.plans.keys import key_counts, pattern_keys, with_keys
 
 _LOWER = str.maketrans(UPPER, LOWER)
 #: Rows on which it is seen which of a pattern's keys is rare.
@@ -106,6 +106,7 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         # a small table, which each pattern multiplies
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    sample = declarations.select("name", "kind", "file").limit(KEY_SAMPLE).toArrow()
     # a slice of patterns is known to the driver, as a broadcast is anyway
     parts = [asked.limit(max_patterns + 1).collect()]
     if len(parts[0]) > max_patterns:
@@ -114,8 +115,8 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
     found = []
     for part in parts:
         every = [(r, pattern_keys(r["qkind"], r["qfile"], r["qname"])) for r in part]
-        counts = key_counts(rows.limit(KEY_SAMPLE), sorted({k for _, ks in every for k in ks}))
-        every = [(min(ks, key=lambda k: (counts.get(k, 0), k)), *r) for r, ks in every]
+        counts = key_counts(sample, sorted({k for _, ks in every for k in ks}))
+        every = [(min(ks, key=lambda k: (counts[k], k)), *r) for r, ks in every]
         for long in (False, True):
             some = [r for r in every if (max(len(r[3].encode()), len(r[4].encode())) > UNROLL) == long]
             if some:
@@ -130,8 +131,7 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
 def _met(rows: DataFrame, asked: DataFrame, patterns: list[tuple], long: bool) -> DataFrame:
     """Rows and the patterns that find them, with the score. Long patterns are matched by regular expressions, so that they do not lengthen the chain of the others."""
     keys = sorted({p[0] for p in patterns})
-    own = with_keys(rows, any(FILE <= k < KIND for k in keys), "__keys")
-    own = own.select(*rows.columns, F.explode(F.array_intersect("__keys", F.array(*map(F.lit, keys)))).alias("__key"))
+    own = with_keys(rows, keys, "__keys").select(*rows.columns, F.explode("__keys").alias("__key"))
     pairs = own.join(F.broadcast(asked), "__key").where("qkind is null or kind = qkind").drop("__key")
     if not long:
         return scored_pairs(pairs, max(len(p[3].encode()) for p in patterns), max(len(p[4].encode()) for p in patterns))

@@ -626,9 +626,10 @@ def test_rows_that_match_have_the_keys_of_the_pattern(name, file, pattern):
 
 def test_keys_of_rows(spark):
     df = spark.createDataFrame([("aBa", "enum", "x/é", 1), ("", "class", "", 2), (None, None, None, 3)], "name string, kind string, file string, ord long")
-    got = {r.ord: set(r.k) for r in keys.with_keys(df, True, "k").collect()}
+    every = [*range(keys.PAIR, keys.PAIR + 65536, 1), *range(keys.BYTE, keys.BYTE + 256), *range(keys.FILE, keys.FILE + 65536), *range(keys.FILE + keys.BYTE, keys.FILE + keys.BYTE + 256), *range(keys.KIND, keys.EVERY + 1)]
+    got = {r.ord: set(r.k) for r in keys.with_keys(df, every, "k").collect()}
     a, b, x = 97, 98, [ord("x"), ord("/"), 0xC3, 0xA9]
     files = {keys.FILE + keys.BYTE + c for c in x} | {keys.FILE + x[i] * 256 + x[j] for i in range(4) for j in range(i + 1, 4)}
     assert got[1] == {keys.EVERY, keys.KIND + 3, keys.BYTE + a, keys.BYTE + b, a * 256 + b, b * 256 + a, a * 256 + a} | files
     assert got[2] == {keys.EVERY, keys.KIND + 1} and got[3] == {keys.EVERY}
-    assert keys.key_counts(df, [keys.EVERY, a * 256 + b, 5]) == {keys.EVERY: 3, a * 256 + b: 1}
+    assert keys.key_counts(df.toArrow(), [keys.EVERY, a * 256 + b, 5, keys.KIND + 1, keys.FILE + keys.BYTE + ord('x')]) == {keys.EVERY: 3, a * 256 + b: 1, 5: 0, keys.KIND + 1: 1, keys.FILE + keys.BYTE + ord('x'): 1}
