@@ -87,15 +87,18 @@ def apply_delta(declarations: DataFrame, records: DataFrame, current: DataFrame,
     return Delta(appended(kept, fresh, largest(declarations) if top is None else top), upserted(left, parsed), n_gone, n_touched)
 
 
-def applied_files(declarations: DataFrame, records: DataFrame, stamps: DataFrame, extract, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Refresh of the named files only: ``stamps(path, mtime_ns)``, each path once, null where the file is gone. -> (declarations, records, parsed).
+def touched(records: DataFrame, current: DataFrame, extract) -> tuple[DataFrame, DataFrame] | None:
+    """A refresh from the present files as a delta: ``(stamps, declarations)`` of the files that are gone, changed or new, None if there are none.
 
-    Their old declarations and records go in any case; those that can be read are appended and recorded.
+    ``extract`` as in ``apply_delta``. A file that cannot be read has no declarations and keeps its old record, so the next refresh tries it again.
     """
-    fresh, parsed = extract(stamps.where("mtime_ns is not null"))
-    kept = without(declarations, stamps.select("path"))
-    left = records.join(stamps.select("path"), "path", "left_anti")
-    return appended(kept, fresh, top), left.unionByName(parsed), parsed
+    both = settled(states(records, current).where("state <> 'same'"))
+    if not both.head(1):
+        return None
+    fresh, parsed = extract(both.where("state <> 'removed'").select("path", "mtime_ns"))
+    good = parsed.select("path", F.col("mtime_ns").alias("good_ns"))
+    stamp = F.when(F.col("state") != "removed", F.coalesce("good_ns", "old_ns"))
+    return both.join(good, "path", "left").select("path", stamp.alias("mtime_ns")), fresh
 
 
 def pruned(declarations: DataFrame, records: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

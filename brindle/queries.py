@@ -17,7 +17,7 @@ from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
 from brindle.plans import apropos, batch_search, search, topk
 from brindle.plans.search import compiled_columns
-from brindle.sources import snapshot, tree
+from brindle.sources import log, snapshot, tree
 from brindle.sources.shared import shared_folder
 from brindle.streaming import protocol, service
 
@@ -226,18 +226,39 @@ query("upsert_records", f"WITH {STATES} SELECT path, mtime_ns FROM records ANTI
 query("delta_counts", f"WITH {STATES} SELECT (SELECT count(*) FROM removed) AS removed, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM evicted) AS evicted, (SELECT count(*) FROM current_ JOIN records USING (path, mtime_ns)) AS unchanged")(lambda spark, d: maintain.delta_counts(*_states(spark, d)))
 
 
-@query(
-    "incremental_refresh",
-    f"""WITH {STATES}, kept AS (SELECT indexed.* FROM indexed ANTI JOIN evicted ON file = path),
+_REFRESHED = f"""WITH {STATES}, kept AS (SELECT indexed.* FROM indexed ANTI JOIN evicted ON file = path),
 fresh AS (SELECT 'new_' || path AS name, 'macro' AS kind, path AS file, 1::INT AS line, substr(path, 2, length(path) - 5)::BIGINT AS ord FROM changed)
-SELECT * FROM kept UNION ALL SELECT name, kind, file, line, ord + (SELECT coalesce(max(ord), -1) FROM indexed) + 1 FROM fresh""",
-)
-def _refresh(spark, d):
-    def read(paths):
-        own = F.expr("cast(substring(path, 2, length(path) - 5) as bigint)")
-        return paths.select(F.concat(F.lit("new_"), "path").alias("name"), F.lit("macro").alias("kind"), F.col("path").alias("file"), F.lit(1).alias("line"), own.alias("ord")), paths
+SELECT * FROM kept UNION ALL SELECT name, kind, file, line, ord + (SELECT coalesce(max(ord), -1) FROM indexed) + 1 FROM fresh"""
+
+
+def _fresh(paths):
+    """One macro for each file to be read, numbered by the part."""
+    own = F.expr("cast(substring(path, 2, length(path) - 5) as bigint)")
+    return paths.select(F.concat(F.lit("new_"), "path").alias("name"), F.lit("macro").alias("kind"), F.col("path").alias("file"), F.lit(1).alias("line"), own.alias("ord")), paths
+
+
+query("incremental_refresh", _REFRESHED)(lambda spark, d: maintain.apply_delta(tb.indexed(spark, d), *_states(spark, d), _fresh).declarations)
+
+
+def _logged(spark, d, fold: bool) -> tuple[DataFrame, DataFrame]:
+    """The index as a log, refreshed by a delta in two parts, the second after files of the first; folded bucket by bucket, if asked for."""
+    records, current = _states(spark, d)
+    made = log.Log.create(tb.indexed(spark, d), records, f"{shared_folder(spark, 'log')}/l")
+    stamps, fresh = maintain.touched(records, current, _fresh)
+    top = made.state.top
+    made.append(stamps.where("mtime_ns is not null"), fresh.withColumn("ord", F.lit(-1).cast("long")))
+    made.append(stamps, fresh.withColumn("ord", F.col("ord") + top + 1))
+    if fold:
+        for b in sorted(made.due(1 << 30))[::2]:
+            made.fold({b})
+        made.unite()
+    made.commit()
+    return snapshot.load(spark, made.folder)
+
 
-    return maintain.apply_delta(tb.indexed(spark, d), *_states(spark, d), read).declarations
+query("log_merged", _REFRESHED)(lambda spark, d: _logged(spark, d, False)[0])
+query("log_folded", _REFRESHED)(lambda spark, d: _logged(spark, d, True)[0])
+query("log_records", f"WITH {STATES} SELECT path, mtime_ns FROM records ANTI JOIN evicted USING (path) UNION ALL SELECT path, mtime_ns FROM changed")(lambda spark, d: _logged(spark, d, True)[1])
 
 
 @query("prune_deleted", f"WITH {STATES} SELECT indexed.* FROM indexed ANTI JOIN removed ON file = path")

@@ -6,8 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,13 +38,34 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that ``settled`` writes inside are deleted at the end: for work whose result is written elsewhere, or small."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def settled(table: DataFrame) -> DataFrame:
-    """``table``, computed once: written to the shared folder, which cuts its lineage, or kept by the executors where there is none."""
-    if configured(table.sparkSession):
-        return table.checkpoint()
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    table.count()
-    return table
+    """``table``, computed once: written to the shared folder and read again, which cuts its lineage, so that a lost executor costs the tasks it was running. A
+    cluster must name that folder."""
+    path = f"{shared_base(table.sparkSession)}/brindle-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 class Store:

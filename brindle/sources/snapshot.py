@@ -1,50 +1,36 @@
-"""Snapshots: versioned Parquet folders behind a pointer file, and the JSON form (versions 1 and 2) for exchange."""
+"""Snapshots: the log of an index, and the JSON form (versions 1 and 2) for exchange."""
 
 from __future__ import annotations
 
 import json
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import kind_name
 from brindle.model import DECLARATIONS, FILES, SNAPSHOT_VERSION
+from brindle.sources.log import MANIFEST, Log, LogError
 from brindle.sources.shared import Store
 
-POINTER, DELTA = "_CURRENT", "_delta.json"
-
-
-class SnapshotError(ValueError):
-    """What was found is not a snapshot of a known version."""
+SnapshotError = LogError
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    return Store(spark, folder).is_file(POINTER)
+    return Store(spark, folder).is_file(MANIFEST)
 
 
 def save(folder: str, declarations: DataFrame, records: DataFrame) -> str:
-    """Write a new version, then move the pointer: readers see the old or the new version whole. The one before stays until the next save."""
-    store, version = Store(declarations.sparkSession, folder), uuid.uuid4().hex
-    declarations.write.parquet(f"{folder}/{version}/declarations")
-    records.write.parquet(f"{folder}/{version}/files")
-    old = current(declarations.sparkSession, folder)
-    store.write(POINTER, version)
-    for name in store.folders():
-        if name not in (version, old):
-            store.delete(name)
-    return version
+    """Write a new log, then move the manifest: readers see the old or the new state whole. The one before stays until the next save."""
+    return Log.create(declarations, records, folder).commit()
 
 
 def save_delta(spark: SparkSession, folder: str, version: str, delta: dict[str, tuple[int | None, list]]) -> None:
-    """Files that were read or lost since ``version`` was written, ``{path: (time or None, rows)}``; one small file, replaced as a whole."""
-    Store(spark, folder).write(f"{version}/{DELTA}", json.dumps(delta))
-
-
-def load_delta(spark: SparkSession, folder: str, version: str) -> dict[str, tuple[int | None, list]]:
-    store = Store(spark, folder)
-    return {p: (ns, [tuple(r) for r in rows]) for p, (ns, rows) in json.loads(store.read(f"{version}/{DELTA}")).items()} if store.is_file(f"{version}/{DELTA}") else {}
+    """Files that were read or lost singly since ``version`` was written, ``{path: (time or None, rows)}``: a part of the manifest, replaced as a whole."""
+    log = Log.open(spark, folder)
+    if log.state.version != version:
+        raise SnapshotError(f"{folder} holds another version")
+    log.commit(delta)
 
 
 def composed(declarations: DataFrame, records: DataFrame, delta: dict[str, tuple[int | None, list]]) -> tuple[DataFrame, DataFrame]:
@@ -57,31 +43,18 @@ def composed(declarations: DataFrame, records: DataFrame, delta: dict[str, tuple
     return declarations.where(~F.col("file").isin(paths)).unionByName(rows), records.where(~F.col("path").isin(paths)).unionByName(files)
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    store = Store(spark, folder)
-    return store.read(POINTER).strip() if store.is_file(POINTER) else None
-
-
-def load_base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, str]:
-    version = current(spark, folder)
-    if version is None:
-        raise SnapshotError(f"no snapshot in {folder}")
-    d, r = (spark.read.schema(s).parquet(f"{folder}/{version}/{n}") for s, n in ((DECLARATIONS, "declarations"), (FILES, "files")))
-    return d, r, version
-
-
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Declarations and files, with the delta."""
-    d, r, version = load_base(spark, folder)
-    return composed(d, r, load_delta(spark, folder, version))
+    """Declarations and files, with all deltas."""
+    log = Log.open(spark, folder)
+    return composed(*log.merged(*log.base()), log.singles())
 
 
 def delete(spark: SparkSession, folder: str) -> bool:
     """Whether there was one. The folder goes if nothing else is in it."""
     store = Store(spark, folder)
-    if not store.is_file(POINTER):
+    if not store.is_file(MANIFEST):
         return False
-    store.delete(POINTER)
+    store.delete(MANIFEST)
     for name in store.folders():
         store.delete(name)
     store.delete_if_empty()

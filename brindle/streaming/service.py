@@ -16,6 +16,7 @@ from brindle.model import DECLARATIONS, FILES
 from brindle.operators import extract, maintain, stats
 from brindle.plans import search
 from brindle.sources import shared, snapshot, tree
+from brindle.sources.log import Log
 from brindle.sources.shared import settled
 from brindle.streaming import protocol
 
@@ -24,7 +25,7 @@ MERGE = 128
 
 
 class Index:
-    """The declarations and files of one project: two settled tables, and beside them the few files that were refreshed singly since.
+    """The declarations and files of one project: a log in the shared or the snapshot's folder, and beside it the few files that were refreshed singly since.
 
     ``rows_key`` names the result list and the count in responses, ``query_timeout`` is in seconds.
     """
@@ -46,13 +47,16 @@ class Index:
         self.cache_dir = cache_dir or os.path.join(self.root, ".cache", "declarations")
         self.ignore_name, self.options = ignore_name, {"extensions": extensions} if extensions else {}
         self.rows_key, self.query_timeout, self.strict_compat = rows_key, query_timeout, strict_compat
-        self.ready, self.dirty, self.n_files, self.seconds = False, False, 0, 0.0
+        self.ready, self.dirty, self.seconds = False, False, 0.0
+        self.folder = self.cache_dir if cache else None
+        self.log: Log | None = None
         self.base = (spark.createDataFrame([], DECLARATIONS), spark.createDataFrame([], FILES))
         self.delta: dict[str, tuple[int | None, list]] = {}
-        self.top, self.saved = -1, None
+        self.saved: str | None = None
         self.declarations, self.records = self.base
-        self.parsed: DataFrame | None = None
+        self.slow: list[dict] = []
         self._counted: tuple[DataFrame, int] | None = None
+        self._files, self._unsure = 0, set()
 
     @property
     def n_declarations(self) -> int:
@@ -61,22 +65,45 @@ class Index:
             self._counted = (self.declarations, self.declarations.count())
         return self._counted[1]
 
+    @property
+    def n_files(self) -> int:
+        """Files present when they were last looked at; whether singly refreshed ones are new is asked of the records when it matters."""
+        if self._unsure:
+            logged = self.log.merged(*self.base)[1]
+            self._files += len(self._unsure) - logged.where(F.col("path").isin(sorted(self._unsure))).count()
+            self._unsure = set()
+        return self._files
+
     def _present(self, content: bool) -> DataFrame:
         return tree.read_tree(self.spark, self.root, self.dirs, tree.load_ignore(self.root, self.ignore_name), content, **self.options)
 
-    def _swap(self, declarations: DataFrame, records: DataFrame, n_files: int, top: int | None = None) -> None:
-        """Settle the new tables before the old ones go. With a shared folder they are written there, which cuts the lineage
-        of a long session; searches read them from memory."""
-        new = [settled(t) for t in (declarations, records)]
-        if shared.configured(self.spark):
-            new = [t.cache() for t in new]
-        old, self.base = self.base, tuple(new)
-        self.declarations, self.records = self.base
+    def _open(self, log: Log) -> None:
+        """Search ``log`` from now on; its base is kept in memory."""
+        old, self.log = self.base, log
+        self.base = tuple(t.cache() for t in log.base())
+        self._view()
         for t in old:
             t.unpersist()
-        self.delta, self.saved = {}, None
-        self.top = maintain.largest(self.declarations) if top is None else top
-        self.n_files, self.ready = n_files, True
+
+    def _view(self) -> None:
+        self.declarations, self.records = snapshot.composed(*self.log.merged(*self.base), self.delta)
+
+    def _flush(self) -> None:
+        """Singly refreshed files become a delta of the log."""
+        if self.delta:
+            n, rows = self.n_files, [r for _, found in self.delta.values() for r in found]
+            self.log.append(self.spark.createDataFrame([(p, ns) for p, (ns, _) in self.delta.items()], FILES), self.spark.createDataFrame(rows, DECLARATIONS))
+            self.delta, self._files = {}, n
+
+    def _append(self, stamps: DataFrame, fresh: DataFrame) -> None:
+        """Only what has changed is written; buckets in which much has changed are folded."""
+        self._flush()
+        self.log.append(stamps, fresh.withColumn("ord", F.col("ord") + self.log.state.top + 1))
+        self._settle()
+
+    def _settle(self) -> None:
+        self._open(self.log) if self.log.tidy() else self._view()
+        self.dirty = True
 
     def _read(self, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Declarations and records of files that can be read."""
@@ -87,27 +114,31 @@ class Index:
     def build(self) -> None:
         """Scan, extract and replace everything. A file that cannot be read has no record and is tried again by the next refresh."""
         began = time.monotonic()
-        if self.parsed is not None:
-            self.parsed.unpersist()
-        self.parsed = parsed = settled(extract.parse_sources(self._present(True)))
-        records = parsed.where("error is null").select(F.col("file").alias("path"), "mtime_ns").dropDuplicates(["path"])
-        self._swap(extract.declarations_of(parsed, settle=False), records, parsed.count())
-        self.dirty, self.seconds = True, time.monotonic() - began
+        if self.folder is None:
+            self.folder = f"{shared.shared_base(self.spark)}/brindle-index-{uuid.uuid4().hex}"
+        with shared.scratch():
+            parsed = settled(extract.parse_sources(self._present(True)))
+            records = parsed.where("error is null").select(F.col("file").alias("path"), "mtime_ns").dropDuplicates(["path"])
+            self.delta, self._unsure = {}, set()
+            self._open(Log.create(extract.declarations_of(parsed, settle=False), records, self.folder))
+            self._files = parsed.count()
+            self.slow = [r.asDict() for r in stats.slowest(parsed.select(F.col("file").alias("path"), "seconds")).collect()]
+        if not self.cache:
+            self.log.commit()
+        self.ready, self.dirty, self.saved, self.seconds = True, True, None, time.monotonic() - began
 
     def refresh(self) -> None:
         """Only removed, changed and new files; a full build if nothing is recorded."""
-        if not self.records.head(1):
+        if self.log is None or not self.records.head(1):
             self.build()
             return
-        present = settled(self._present(False).select("path", "mtime_ns"))
-        n = present.count()
-        d = maintain.apply_delta(self.declarations, self.records, present, self._read, self.top)
-        if d.dirty:
-            self._swap(d.declarations, d.records, n)
-            self.dirty = True
-        else:
-            self.n_files, self.ready = n, True
-        present.unpersist()
+        with shared.scratch():
+            present = settled(self._present(False).select("path", "mtime_ns").dropDuplicates(["path"]))
+            n = present.count()
+            found = maintain.touched(self.records, present, self._read)
+            if found:
+                self._append(*found)
+            self._files, self._unsure, self.ready = n, set(), True
 
     def _relative(self, path: str) -> str:
         return os.path.relpath(os.path.join(self.root, path), self.root).replace(os.sep, "/")
@@ -115,31 +146,35 @@ class Index:
     def refresh_file(self, path: str) -> bool:
         """One file, by path from the root or absolute: read again, or forgotten if it is gone. Whether it was read.
 
-        The index is not rewritten: the file goes into the delta, which is merged when it holds ``MERGE`` files.
+        Nothing is written and no job runs: the file goes into the delta beside the log, which becomes a delta of the log when it holds ``MERGE`` files.
         """
         if not self.ready:
             return False
         rel = self._relative(path)
         full, found, stamp = os.path.join(self.root, rel), [], None
+        top = max([self.log.state.top, *(r[-1] for _, rows in self.delta.values() for r in rows)])
         if os.path.isfile(full):
-            known = self.delta[rel][0] is not None if rel in self.delta else bool(self.base[1].where(F.col("path") == rel).head(1))
-            self.n_files += not known
+            if rel not in self.delta:
+                self._unsure.add(rel)
+            elif self.delta[rel][0] is None:
+                self._files += 1
             try:
                 with open(full, "rb") as f:
-                    found = [(name, kind, rel, line, self.top + 1 + i) for i, (name, kind, line, _, _) in enumerate(extract.scan(f.read()))]
+                    found = [(name, kind, rel, line, top + 1 + i) for i, (name, kind, line, _, _) in enumerate(extract.scan(f.read()))]
                 stamp = tree.mtime_ns(full)
             except (OSError, RecursionError) as e:
                 tree.log.warning("%s cannot be read: %s", rel, e)
-        self.top += len(found)
         self.delta[rel] = (stamp, found)
         self.dirty = True
-        self.declarations, self.records = snapshot.composed(*self.base, self.delta)
         if len(self.delta) >= MERGE:
-            self._swap(self.declarations, self.records, self.n_files, self.top)
+            self._flush()
+            self._settle()
+        else:
+            self._view()
         return stamp is not None
 
     def refresh_files(self, paths: DataFrame) -> None:
-        """Any number of files ``path`` at once, in one pass: read again where they are, forgotten where they are gone."""
+        """Any number of files ``path`` at once, in one pass: read again where they are, forgotten where they are gone. Only they are written."""
         if not self.ready:
             return
         root = self.root
@@ -152,42 +187,42 @@ class Index:
                 ns = [tree.mtime_ns(os.path.join(root, p)) if os.path.isfile(os.path.join(root, p)) else None for p in rel]
                 yield pd.DataFrame({"path": pd.Series(rel, dtype=str), "mtime_ns": pd.Series(ns, dtype="Int64")})
 
-        stamps = settled(paths.select("path").mapInPandas(stamp, FILES).dropDuplicates(["path"]))
-        there = stamps.where("mtime_ns is not null")
-        new = there.join(self.records.select("path"), "path", "left_anti").count()
-        d, r, _ = maintain.applied_files(self.declarations, self.records, stamps, self._read, self.top)
-        self._swap(d, r, self.n_files + new)
-        self.dirty = True
+        with shared.scratch():
+            stamps = settled(paths.select("path").mapInPandas(stamp, FILES).dropDuplicates(["path"]))
+            there = stamps.where("mtime_ns is not null")
+            n = self.n_files + there.join(self.records.select("path"), "path", "left_anti").count()
+            fresh, parsed = self._read(there)
+            good = parsed.select("path", F.col("mtime_ns").alias("good_ns"))
+            self._append(stamps.join(good, "path", "left").select("path", F.col("good_ns").alias("mtime_ns")), fresh)
+            self._files = n
 
     def prune(self) -> int:
         """Forget files that no longer exist; how many."""
         root = self.root
 
-        def there(batches):
+        def gone(batches):
             for pdf in batches:
-                yield pdf[[os.path.exists(os.path.join(root, p)) for p in pdf["path"]]]
-
-        present = self.records.mapInPandas(there, FILES)
-        d, r, gone = maintain.pruned(self.declarations, self.records, present)
-        n = gone.count()
-        if n:
-            self._swap(d, r, r.count())
-            self.dirty = True
+                yield pdf[[not os.path.exists(os.path.join(root, p)) for p in pdf["path"]]]
+
+        with shared.scratch():
+            lost = settled(self.records.mapInPandas(gone, FILES))
+            n = lost.count()
+            if n:
+                self._append(lost.select("path", F.lit(None).cast("long").alias("mtime_ns")), self.spark.createDataFrame([], DECLARATIONS))
+                self._files, self._unsure = self.records.count(), set()
         return n
 
     def save(self) -> None:
-        """The whole index, or only the delta where the rest is saved already."""
-        if self.saved is None or self.saved != snapshot.current(self.spark, self.cache_dir):
-            self.saved = snapshot.save(self.cache_dir, *self.base)
-        snapshot.save_delta(self.spark, self.cache_dir, self.saved, self.delta)
+        """Move the manifest: the tables are there already."""
+        self.saved = self.log.commit(self.delta)
         self.dirty = False
 
     def load(self) -> None:
-        d, r, version = snapshot.load_base(self.spark, self.cache_dir)
-        delta = snapshot.load_delta(self.spark, self.cache_dir, version)
-        d, r = snapshot.composed(d, r, delta)
-        self._swap(d, r, d.select("file").distinct().count())
-        self.saved, self.dirty = None if delta else version, False
+        log = Log.open(self.spark, self.cache_dir)
+        self.delta = log.singles()
+        self._open(log)
+        self._files, self._unsure = self.declarations.select("file").distinct().count(), set()
+        self.saved, self.dirty, self.ready = log.state.version, False, True
 
     def start(self) -> None:
         """From the snapshot if there is one and it can be read, pruned; else a build."""
@@ -199,6 +234,7 @@ class Index:
                 return
             except Exception as e:  # noqa: BLE001 - any unreadable snapshot is rebuilt
                 tree.log.warning("snapshot not used: %s", e)
+                self.delta = {}
         self.build()
         if self.cache:
             self.save()
@@ -209,7 +245,8 @@ class Index:
         return within(self.spark, self.query_timeout, lambda: [r.asDict() for r in search(self.declarations, text, limit).collect()])
 
     def slowest(self) -> list[dict]:
-        return [r.asDict() for r in stats.slowest(self.parsed.select("file", "seconds").withColumnRenamed("file", "path")).collect()] if self.parsed is not None else []
+        """Of the last build."""
+        return self.slow
 
 
 def within(spark: SparkSession, seconds: float | None, call: Callable):
@@ -321,5 +358,7 @@ def follow(index: Index, events_dir: str, checkpoint: str) -> None:
     def apply(batch: DataFrame, _: int) -> None:
         if batch.head(1):
             index.refresh_files(newest_events(batch))
+            if index.cache:
+                index.save()
 
     source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -7,14 +7,15 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.__main__ import arguments, main
 from brindle.functions import extension, lenient_json, normal_path, score, score_column
 from brindle.functions.score import contains_subsequence, with_score
-from brindle.model import FILES, QUERY_TIMEOUT
+from brindle.model import DECLARATIONS, FILES, QUERY_TIMEOUT
 from brindle.operators import extract, ignore, maintain
 from brindle.plans import batch_search, compile_query, keys, search, topk
-from brindle.sources import snapshot, tree
+from brindle.sources import log, shared, snapshot, tree
 from brindle.streaming import protocol, service
 
 
@@ -540,14 +541,85 @@ def test_single_files_stay_beside_the_index_until_merged(spark, tmp_path, monkey
     assert sorted(r.name for r in snapshot.load(spark, index.cache_dir)[0].collect()) == names(index) == ["G", "v1", "v2", "v3", "v4", "w0"]
     os.remove(tmp_path / "f1.cpp")
     assert not index.refresh_file("f1.cpp")
-    assert index.base is not base and not index.delta
+    assert not index.delta
     assert names(index) == ["G", "v2", "v3", "v4", "w0"]
+    index.save()
     assert index.declarations.select("ord").distinct().count() == 5
     again = service.Index(spark, str(tmp_path))
     again.start()
     assert names(again) == ["G", "v2", "v3", "v4", "w0"]
 
 
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_log_equals_a_plain_table_under_any_changes(spark, tmp_path):
+    rng, folder = random.Random(4), str(tmp_path / "l")
+    plain = {f"f{i}": (i, [(f"n{i}_{k}", "macro", f"f{i}", k, i * 10 + k) for k in range(i % 4)]) for i in range(60)}
+    tables = lambda x: (spark.createDataFrame([r for _, rows in x.values() for r in rows], DECLARATIONS), spark.createDataFrame([(p, ns) for p, (ns, _) in x.items()], FILES))
+    made = log.Log.create(*tables(plain), folder, buckets=5)
+    made.commit()
+    for step in range(14):
+        change = {f"f{rng.randrange(70)}": (rng.choice([None, step + 1000]), []) for _ in range(rng.randint(1, 9))}
+        change = {p: (ns, [(f"s{step}{p}", "enum", p, 1, 10_000 + 100 * step + i)] if ns else []) for i, (p, (ns, _)) in enumerate(change.items())}
+        made.append(*reversed(tables(change)))
+        plain |= change
+        plain = {p: x for p, x in plain.items() if x[0] is not None}
+        if step % 5 == 2:
+            made.fold({rng.randrange(5), rng.randrange(5)})
+        elif step % 5 == 4:
+            made.unite()
+        elif step == 8:
+            made.tidy()
+        if step % 3 == 0:
+            made.commit({"f1": (7, [("single", "macro", "f1", 1, 5)])})
+            plain["f1"] = (7, [("single", "macro", "f1", 1, 5)])
+            made.append(*reversed(tables({"f1": plain["f1"]})))
+        d, r = made.merged(*made.base())
+        assert sorted(map(tuple, d.collect())) == sorted(x for _, rows in plain.values() for x in rows)
+        assert sorted(map(tuple, r.collect())) == sorted((p, ns) for p, (ns, _) in plain.items())
+    made.commit()
+    made.commit()
+    again = log.Log.open(spark, folder)
+    assert sorted(map(tuple, snapshot.load(spark, folder)[0].collect())) == sorted(x for _, rows in plain.values() for x in rows)
+    named = {*again.state.base.values(), *again.state.deltas.values()}
+    assert {f for f in os.listdir(folder) if os.path.isdir(f"{folder}/{f}")} == named  # nothing else is left
+
+
+def test_a_batch_of_events_writes_little_and_folding_reads_only_its_buckets(spark, tmp_path):
+    rows = spark.range(400_000).selectExpr("concat('name_', id * 7919 % 1000003) AS name", "'macro' AS kind", "concat('dir/f', id % 20000, '.cpp') AS file", "cast(id as int) AS line", "id AS ord")
+    files = spark.range(20_000).selectExpr("concat('dir/f', id, '.cpp') AS path", "id AS mtime_ns")
+    folder = str(tmp_path / "l")
+    made = log.Log.create(rows, files, folder)
+    before = _bytes(folder)
+    stamps = files.where("mtime_ns % 200 = 3").withColumn("mtime_ns", F.lit(1).cast("long"))
+    made.append(stamps, stamps.selectExpr("concat('new', path) AS name", "'enum' AS kind", "path AS file", "1 AS line", "1000000L AS ord"))
+    assert stamps.count() == 100 and _bytes(folder) - before < before / 100
+    assert not made.tidy()  # too little to be folded
+    one = min(b for b, n in made.state.waiting.items() if n)
+    version = dict(made.state.base)
+    made.fold({one})
+    assert {b for b in version if made.state.base[b] != version[b]} == {one} and made.merged(*made.base())[0].count() == 400_000 - 100 * 20 + 100
+    with pytest.raises(log.LogError):
+        log.State.read('{"version": 1}')
+
+
+def test_sessions_leave_no_tables_behind(spark, tmp_path):
+    write(tmp_path, {f"f{i}.cpp": f"int v{i};" for i in range(4)})
+    base = shared.shared_base(spark).removeprefix("file://")
+    before = set(os.listdir(base))
+    index = service.Index(spark, str(tmp_path))
+    index.start()
+    for i in range(3):
+        write(tmp_path, {"f0.cpp": f"int w{i};", f"g{i}.h": "struct G { };"})
+        os.utime(tmp_path / "f0.cpp", ns=(i + 1, i + 1))
+        index.refresh()
+        index.save()
+    assert set(os.listdir(base)) == before and names(index) == sorted(["v1", "v2", "v3", "w2"] + ["G"] * 3)
+    assert index.n_files == 7 and index.n_declarations == 7
+
+
 def test_one_failing_request_does_not_end_the_service(spark, tmp_path, monkeypatch):
     write(tmp_path, {"a.cpp": "void alpha() {}"})
     index = service.Index(spark, str(tmp_path), cache=False)
