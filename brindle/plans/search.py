@@ -90,18 +90,20 @@ def compiled_columns(text: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFAULT_LIMIT, max_patterns: int = 4096) -> DataFrame:
+def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int | str = DEFAULT_LIMIT, max_patterns: int = 4096, extra: tuple[str, ...] = (), also: str | None = None) -> DataFrame:
     """Many queries at once: ``qid, rank, name, kind, file, line, score`` for a table ``qid, pattern``; ``declarations`` in the index's schema.
 
     No pattern meets every row: each asks by its rarest key (two bytes of a part in their order, a lone byte, or the kind), each row hands
     out those of its keys that are asked for, and both meet in a hash join. Only a text of blanks, which finds all rows, joins all. Which key is
-    rare is seen on ``KEY_SAMPLE`` rows, as that changes no result. Patterns are taken in slices of about ``max_patterns``, which are broadcast. ``limit`` is
-    a number for all or the name of a column of ``patterns``. Each task keeps its best rows per query before the shuffle (the window's group limit).
+    rare is seen on ``KEY_SAMPLE`` rows, as that changes no result. Equal patterns are matched once and joined to their queries. Patterns are taken in slices of
+    about ``max_patterns``, which are broadcast. ``limit`` is a number for all or the name of a column of ``patterns``. ``also`` is a condition in SQL on ``qid`` and the ``extra`` columns of the rows.
+    Each task keeps its best rows per query before the shuffle (the window's group limit).
     """
-    asked = patterns.where("pattern is not null and pattern <> ''").withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
     most = F.lit(limit) if isinstance(limit, int) else F.col(limit)
-    asked = asked.select("qid", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"), most.cast("int").alias("qlimit"))
-    rows = declarations.select(*DECLARATIONS.names)
+    queries = patterns.where("pattern is not null and pattern <> ''").select("qid", "pattern", most.cast("int").alias("qlimit"))
+    asked = queries.select("pattern").distinct().withColumn("p", F.struct(*(c.alias(a) for c, a in zip(compiled_columns(F.col("pattern")), ("kind", "file", "name"), strict=True))))
+    asked = asked.select("pattern", F.col("p.kind").alias("qkind"), F.col("p.name").alias("qname"), F.col("p.file").alias("qfile"))
+    rows = declarations.select(*DECLARATIONS.names, *extra)
     spark = declarations.sparkSession
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         # a small table, which each pattern multiplies
@@ -111,7 +113,7 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
     parts = [asked.limit(max_patterns + 1).collect()]
     if len(parts[0]) > max_patterns:
         slices = -(-asked.count() // max_patterns)
-        parts = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s).collect() for s in range(slices))
+        parts = (asked.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == s).collect() for s in range(slices))
     found = []
     for part in parts:
         every = [(r, pattern_keys(r["qkind"], r["qfile"], r["qname"])) for r in part]
@@ -123,9 +125,14 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int = DEFA
                 found.append(_met(rows, spark.createDataFrame(some, StructType([StructField("__key", IntegerType()), *asked.schema])), some, long))
     if not found:
         found.append(rows.where(F.lit(False)).crossJoin(asked.limit(0)).withColumn("score", F.lit(0)))
-    hit = reduce(DataFrame.unionByName, found)
+    hit = reduce(DataFrame.unionByName, found).join(queries, "pattern")
+    if also:
+        hit = hit.where(also)
     w = Window.partitionBy("qid").orderBy(*ranked(hit))
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("qlimit")).select("qid", "rank", "name", "kind", "file", "line", "score")
+    hit = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("qlimit"))
+    if isinstance(limit, int):
+        hit = hit.where(F.col("rank") <= limit)
+    return hit.select("qid", "rank", "name", "kind", "file", "line", "score")
 
 
 def _met(rows: DataFrame, asked: DataFrame, patterns: list[tuple], long: bool) -> DataFrame:

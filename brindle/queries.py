@@ -19,7 +19,7 @@ from brindle.plans import apropos, batch_search, search, topk
 from brindle.plans.search import compiled_columns
 from brindle.sources import log, snapshot, tree
 from brindle.sources.shared import shared_folder
-from brindle.streaming import protocol, service
+from brindle.streaming import protocol, replay, service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -323,16 +323,6 @@ def _requests(spark, d):
 query("parse_requests", f"WITH {_REQUESTS} SELECT * FROM q")(_requests)
 
 
-@query(
-    "responses",
-    f"""WITH {_REQUESTS} SELECT event_id, CASE WHEN bad THEN '{{"id":0,"error":"bad JSON"}}' WHEN method = 'unknown' THEN '{{"id":' || id || ',"error":"unknown method"}}'
-  WHEN method = 'status' THEN '{{"id":' || id || ',"status":"ready","files":7,"declarations":9}}' WHEN method = 'query' THEN '{{"id":' || id || ',"declarations":[]}}'
-  WHEN method = 'rebuildFile' AND file = '' THEN '{{"id":' || id || ',"error":"no file given"}}' ELSE '{{"id":' || id || ',"status":"rebuilt"}}' END AS response FROM q""",
-)
-def _responses(spark, d):
-    return protocol.answer_responses(_requests(spark, d), files=7, declarations=9).select("event_id", "response")
-
-
 @query("match_responses", f"WITH {_REQUESTS} SELECT a.event_id AS id, b.method FROM q a JOIN q b ON a.event_id = b.id WHERE a.method = 'query'")
 def _matched(spark, d):
     r = _requests(spark, d)
@@ -507,26 +497,59 @@ def _json_v1(spark, d):
     return snapshot.import_json(spark, path, "list")[0]
 
 
-_REPLAY = """WITH c AS (SELECT c_custkey::VARCHAR AS k, 'gen/c' || c_custkey || '.cpp' AS f FROM customer),
-t AS (SELECT * FROM c ORDER BY length(k), f LIMIT 3)
-SELECT 0::BIGINT AS nth, '{"id":1,"declarations":[' || string_agg('{"name":"Account' || k || '","kind":"class","file":"' || f || '","line":4,"score":' || (600 - length(k)) || '}', ',' ORDER BY length(k), f) || ']}' AS response FROM t
-UNION ALL SELECT 1, '{"id":2,"status":"rebuilt"}'
-UNION ALL SELECT 2, '{"id":3,"status":"ready","files":' || count(*) || ',"declarations":' || 7 * count(*) || '}' FROM c
-UNION ALL SELECT 3, '{"id":0,"error":"bad JSON"}'"""
+#: Every tenth file was rewritten behind the index's back, so a row is there until or from the request that refreshes its file.
+_REPLAY = f"""WITH r AS (SELECT event_id AS nth, event_id % 10 AS c, user_id % 40 AS u FROM events),
+k AS (SELECT c_custkey AS k, 'gen/c' || c_custkey || '.cpp' AS file, c_custkey % 10 = 0 AS new FROM customer),
+own AS (SELECT u AS k, min(nth) AS own FROM r WHERE c = 7 AND nth <> 700 GROUP BY u),
+ends AS (SELECT k.*, CASE WHEN new THEN least(coalesce(own, 1152921504606846976), coalesce((SELECT nth FROM r WHERE nth = 700), 1152921504606846976)) ELSE 1152921504606846976 END AS turn FROM k LEFT JOIN own USING (k)),
+d AS (SELECT 'Account' || k AS name, file, 4 AS line, -1 AS since, turn AS until FROM ends UNION ALL SELECT 'Accounted' || k, file, 1, turn, 1152921504606846976 FROM ends WHERE new AND turn < 1152921504606846976),
+p AS (SELECT DISTINCT u, 'Account' || u AS pattern FROM r),
+m AS (SELECT u, d.*, score FROM (SELECT p.u, d.*, {score_sql("name", "pattern")} AS score FROM p CROSS JOIN d) d WHERE score IS NOT NULL),
+q AS (SELECT nth, name, file, line, score, row_number() OVER (PARTITION BY nth ORDER BY score DESC, file, line, name) AS rank, nth % 4 + 1 AS most FROM r JOIN m USING (u) WHERE c < 6 AND nth <> 700 AND since <= nth AND nth < until),
+l AS (SELECT nth, string_agg('{{"name":"' || name || '","kind":"class","file":"' || file || '","line":' || line || ',"score":' || score || '}}', ',' ORDER BY rank) AS rows FROM q WHERE rank <= most GROUP BY nth),
+s AS (SELECT nth, (SELECT count(*) FROM k) AS files, (SELECT 7 * count(*) FROM k) - 6 * (SELECT count(*) FROM ends WHERE new AND turn < r.nth) AS n FROM r WHERE c = 6)
+SELECT nth, CASE WHEN nth = 700 OR c = 7 THEN '{{"id":' || nth || ',"status":"rebuilt"}}' WHEN c < 6 THEN '{{"id":' || nth || ',"declarations":[' || coalesce(rows, '') || ']}}'
+  WHEN c = 6 THEN '{{"id":' || nth || ',"status":"ready","files":' || files || ',"declarations":' || n || '}}' WHEN c = 8 THEN '{{"id":0,"error":"bad JSON"}}' ELSE '{{"id":' || nth || ',"error":"no file given"}}' END AS response
+FROM r LEFT JOIN l USING (nth) LEFT JOIN s USING (nth)"""
+
+
+def _rewritten(spark, d, index) -> None:
+    """Every tenth file gets one other declaration, unseen by the index."""
+    root = index.root
+
+    def touch(batches):
+        for pdf in batches:
+            for k in pdf["c_custkey"]:
+                with open(f"{root}/gen/c{k}.cpp", "w", encoding="utf-8") as f:
+                    f.write(f"class Accounted{k} {{ }};")
+            yield pdf
+
+    tb.table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey").mapInPandas(touch, "c_custkey long").write.format("noop").mode("overwrite").save()
 
 
 @query("replay_requests", _REPLAY)
 def _replay(spark, d):
+    """All events as requests through the stream, files of them split."""
     index = service.Index(spark, _tree(spark, d), cache=False)
     index.build()
+    _rewritten(spark, d, index)
     base = shared_folder(spark, "replay")
-    os.makedirs(f"{base}/in")
-    with open(f"{base}/in/a.txt", "w", encoding="utf-8") as f:
-        f.write('{"id":1,"method":"query","params":{"pattern":"Account class","limit":3}}\n{"id":2,"method":"rebuildFile","params":{"file":"gen/c1.cpp"}}\n{"id":3,"method":"status"}\nnonsense\n')
-    service.replay(index, f"{base}/in", f"{base}/out", f"{base}/check")
+    tb.replay_lines(spark, d).repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("line").write.text(f"{base}/in")
+    for i, name in enumerate(sorted(f for f in os.listdir(f"{base}/in") if f.startswith("part-"))):
+        os.utime(f"{base}/in/{name}", (1_000_000_000 + i,) * 2)  # they arrived in their order
+    replay.replay(index, f"{base}/in", f"{base}/out", f"{base}/check")
     return spark.read.parquet(f"{base}/out").select("nth", "response")
 
 
+@query("responses", _REPLAY)
+def _responses(spark, d):
+    """The same requests as a table that knows its order."""
+    index = service.Index(spark, _tree(spark, d), cache=False)
+    index.build()
+    _rewritten(spark, d, index)
+    return replay.answered(index, replay.numbered(tb.replay_lines(spark, d), ["event_id"]))
+
+
 _SESSION = f"""WITH c AS (SELECT c_custkey AS k FROM customer)
 SELECT 0::BIGINT AS nth, '{{"id":0,"error":"bad JSON"}}' AS response
 UNION ALL SELECT 1, '{{"id":0,"error":"unknown method"}}'

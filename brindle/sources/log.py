@@ -144,6 +144,14 @@ class Log:
         left = records.join(newest.select("path"), "path", "left_anti")
         return kept.select(*DECLARATIONS.names).unionByName(fresh.select(*DECLARATIONS.names)), left.select(*FILES.names).unionByName(newest.where("mtime_ns is not null").select(*FILES.names))
 
+    def touched_since(self, seq: int) -> DataFrame:
+        """``(path, mtime_ns)`` of the files in deltas after ``seq``, each once."""
+        names = [d for k, d in self.state.deltas.items() if k > seq]
+        if not names:
+            return self.spark.createDataFrame([], FILES)
+        rows = self.spark.read.schema("path string, mtime_ns long, seq int").parquet(*[f"{self.folder}/{d}/stamps" for d in names])
+        return rows.groupBy("path").agg(F.max(F.struct("seq", "mtime_ns")).alias("n")).select("path", "n.mtime_ns")
+
     def append(self, stamps: DataFrame, fresh: DataFrame) -> None:
         """A delta: files ``stamps(path, mtime_ns)``, each once, null for those without a record, and all their declarations. Nothing else is written."""
         s = self.state

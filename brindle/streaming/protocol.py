@@ -51,22 +51,6 @@ def error_response(rid: Column, message: Column) -> Column:
     return F.to_json(F.struct(rid.alias("id"), message.alias("error")))
 
 
-def answer_responses(requests: DataFrame, rows_key: str = "declarations", ready: bool = True, files: int = 0, declarations: int = 0) -> DataFrame:
-    """Adds ``response`` to parsed requests: the answers of an index that has no row for any query. Wrong lines are errors with id 0."""
-    rid, none = F.col("id"), F.expr("cast(array() as array<struct<name:string,kind:string,file:string,line:int,score:int>>)")
-    text = (
-        F.when(F.col("bad"), error_response(F.lit(0).cast("long"), F.lit("bad JSON")))
-        .when(F.col("method") == "query", query_response(rid, none, rows_key))
-        .when(F.col("method") == "status", status_response(rid, F.lit(ready), F.lit(files), F.lit(declarations), rows_key))
-        .when(F.col("method").isin("rebuild", "forceRebuild"), ack_response(rid, F.lit("rebuilt")))
-        .when((F.col("method") == "rebuildFile") & (F.col("file") == ""), error_response(rid, F.lit("no file given")))
-        .when(F.col("method") == "rebuildFile", ack_response(rid, F.lit("rebuilt")))
-        .when(F.col("method") == "shutdown", ack_response(rid, F.lit("shutdown")))
-        .otherwise(error_response(rid, F.lit("unknown method")))
-    )
-    return requests.withColumn("response", text)
-
-
 def matched(pending: DataFrame, responses: DataFrame, key: str = "id") -> DataFrame:
     """Responses with the requests that wait for them, by id; a response nobody waits for is left out."""
     return pending.join(responses, key)

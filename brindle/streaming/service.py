@@ -1,4 +1,4 @@
-"""The index as a service: state, request loop, replay of request files, and a feed of file events."""
+"""The index as a service: state, request loop, and a feed of file events."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ class Index:
         self.declarations, self.records = self.base
         self.slow: list[dict] = []
         self._counted: tuple[DataFrame, int] | None = None
-        self._files, self._unsure = 0, set()
+        self._files, self._unsure, self._held = 0, set(), False
 
     @property
     def n_declarations(self) -> int:
@@ -102,9 +103,26 @@ class Index:
         self._settle()
 
     def _settle(self) -> None:
-        self._open(self.log) if self.log.tidy() else self._view()
+        self._open(self.log) if not self._held and self.log.tidy() else self._view()
         self.dirty = True
 
+    @contextmanager
+    def held(self):
+        """No folding inside, so that the tables from before stay readable."""
+        self._held = True
+        try:
+            yield
+        finally:
+            self._held = False
+        if self.log.due():
+            self._settle()
+
+    def force(self) -> None:
+        """Forget the snapshot and build anew."""
+        if self.cache:
+            snapshot.delete(self.spark, self.cache_dir)
+        self.build()
+
     def _read(self, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Declarations and records of files that can be read."""
         parsed = settled(extract.parse_sources(tree.read_files(self.spark, self.root, paths)))
@@ -294,8 +312,7 @@ def handle(index: Index, r: protocol.Request) -> str:
         index.refresh()
         return protocol.dump(id=r.id, status="rebuilt")
     if r.method == "forceRebuild":
-        snapshot.delete(index.spark, index.cache_dir)
-        index.build()
+        index.force()
         return protocol.dump(id=r.id, status="rebuilt")
     if r.method == "rebuildFile":
         if not r.file:
@@ -333,19 +350,6 @@ def serve(index: Index, lines: Iterable[str]) -> Iterator[str]:
             return
 
 
-def replay(index: Index, requests_dir: str, responses_dir: str, checkpoint: str) -> None:
-    """Structured Streaming over folders of request lines: each micro-batch is applied in order of arrival, so a query sees
-    every refresh before it. Responses are written per batch, so a repeated batch replaces its own."""
-    source = index.spark.readStream.text(requests_dir).select(F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-
-    def apply(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("nth", F.monotonically_increasing_id()).orderBy("at", "path", "block", "nth").toLocalIterator()
-        out = list(serve(index, (r["line"] for r in rows)))
-        index.spark.createDataFrame([(i, x) for i, x in enumerate(out)], "nth long, response string").write.mode("overwrite").parquet(os.path.join(responses_dir, f"batch={number}"))
-
-    source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def newest_events(events: DataFrame) -> DataFrame:
     """Of a batch of file events ``path, at``, the newest for each path."""
     return events.groupBy("path").agg(F.max("at").alias("at"))

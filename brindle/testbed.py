@@ -96,6 +96,22 @@ def hostile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.element_at(F.array(*lines), at.cast("int") + 1).alias("line"))
 
 
+def replay_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests to an index of ``generated_sources``: queries for forty names with limits, status, single-file refreshes, one refresh, wrong lines."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    i, u, at = F.col("event_id").cast("string"), (F.col("user_id") % 40).cast("string"), F.col("event_id") % 10
+    head = F.concat(F.lit('{"id":'), i, F.lit(',"method":"'))
+    line = (
+        F.when(F.col("event_id") == 700, F.concat(head, F.lit('rebuild"}')))
+        .when(at < 6, F.concat(head, F.lit('query","params":{"pattern":"Account'), u, F.lit(' class","limit":'), (F.col("event_id") % 4 + 1).cast("string"), F.lit("}}")))
+        .when(at == 6, F.concat(head, F.lit('status"}')))
+        .when(at == 7, F.concat(head, F.lit('rebuildFile","params":{"file":"./gen/c'), u, F.lit('.cpp"}}')))
+        .when(at == 8, F.concat(F.lit("wrong "), i))
+        .otherwise(F.concat(head, F.lit('rebuildFile"}')))
+    )
+    return e.select("event_id", line.alias("line"))
+
+
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request lines, numbers written as decimals every third time."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")

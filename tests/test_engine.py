@@ -16,7 +16,7 @@ from brindle.model import DECLARATIONS, FILES, QUERY_TIMEOUT
 from brindle.operators import extract, ignore, maintain
 from brindle.plans import batch_search, compile_query, keys, search, topk
 from brindle.sources import log, shared, snapshot, tree
-from brindle.streaming import protocol, service
+from brindle.streaming import protocol, replay, service
 
 
 def model_score(name, pattern):
@@ -502,7 +502,7 @@ def test_replay_equals_the_loop_and_events_refresh(spark, tmp_path):
     index = service.Index(spark, str(root), cache=False)
     index.build()
     want = list(service.serve(index, lines))
-    service.replay(index, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    replay.replay(index, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("nth").collect()
     assert [r.response for r in got] == want
     write(root, {"b.cpp": "void gamma() {}"})
@@ -511,6 +511,42 @@ def test_replay_equals_the_loop_and_events_refresh(spark, tmp_path):
     assert names(index) == ["alpha", "gamma"]
 
 
+def test_batches_of_requests_equal_the_loop(spark, tmp_path):
+    """Hundreds of requests of all sorts, some files changed, new or gone: as a table and one by one."""
+    rng = random.Random(21)
+    sources = {f"d{i % 3}/f{i}.cpp": f"int var{i};\nvoid run{i}() {{}}" for i in range(12)}
+    later = {"d0/f0.cpp": "struct Fresh {};", "d1/f4.cpp": "", "new.h": "#define NEWER 1\nenum E { A };"}
+    lines = []
+    for i in range(240):
+        what = rng.choice(["query"] * 5 + ["status", "rebuildFile", "rebuildFile", "what"] + ["rebuild"] * (i > 150))
+        params = {"pattern": rng.choice(["v", "var1", "run", "f0.cpp", "fresh", "NE", "macro", " ", "", "variable r"]), "limit": rng.randint(-1, 9)} if what == "query" else {"file": rng.choice([*sources, *later, "./d2/../d0/f0.cpp", "none.cpp", ""])} if what == "rebuildFile" else {}
+        lines.append(rng.choice(["{bad", "", "[]"]) if rng.random() < 0.05 else json.dumps({"id": i, "method": what, "params": params}))
+    for tail in ([], ['{"id":7,"method":"forceRebuild"}', '{"id":8,"method":"status"}', '{"id":8,"method":"query","params":{"pattern":"var"}}'], ['{"id":9,"method":"shutdown"}', '{"id":10,"method":"status"}']):
+        got = []
+        for way in ("loop", "table"):
+            root = tmp_path / f"{way}{len(tail)}"
+            write(root, sources)
+            index = service.Index(spark, str(root), cache=False)
+            index.build()
+            write(root, later)
+            os.remove(root / "d2/f2.cpp")
+            if way == "loop":
+                got.append(list(service.serve(index, lines + tail)))
+            else:
+                df = spark.createDataFrame([(i, x) for i, x in enumerate(lines + tail)], "at long, line string").repartition(5)
+                rows = replay.answered(index, replay.numbered(df, ["at"])).collect()
+                got.append([r.response for r in sorted(rows, key=lambda r: r.nth)])
+                assert [r.nth for r in sorted(rows, key=lambda r: r.nth)] == list(range(len(rows)))
+        assert got[0] == got[1]
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id * 37 % 1000 AS k", "id % 5 AS v")
+    rows = sorted(replay.running(df.repartition(6), ["k"], "v").collect(), key=lambda r: r.k)
+    assert [r.before for r in rows] == [sum(x.v for x in rows[:i]) for i in range(1000)]
+    assert replay.running(df.limit(0), ["k"]).count() == 0
+
+
 def test_command_line(tmp_path):
     a = arguments(["--root", "r", "--search-dir", "x", "--search-dir", "y", "--no-cache"])
     assert (a.root, a.dirs, a.cache, a.diagnostics) == ("r", ["x", "y"], False, False)
