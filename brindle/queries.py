@@ -475,14 +475,22 @@ def _snapshot_life(spark, d):
 
 @query("json_snapshot_v2", f"WITH {DECLARATIONS} SELECT name, kind, file, line, row_number() OVER (ORDER BY ord) - 1 AS ord FROM decl")
 def _json_v2(spark, d):
-    path = f"{shared_folder(spark, 'json')}/snapshot.json"
+    path = f"{shared_folder(spark, 'json')}/snapshot"
     snapshot.export_json(path, tb.declarations(spark, d), tb.records(spark, d))
-    return snapshot.import_json(spark, path)[0]
+    snapshot.join_parts(spark, path, f"{path}.json")
+    return snapshot.import_json(spark, f"{path}.json")[0]
+
+
+@query("json_snapshot_parts", f"WITH {STATES} SELECT name, kind, file, line FROM indexed")
+def _json_parts(spark, d):
+    path = f"{shared_folder(spark, 'json')}/snapshot"
+    snapshot.export_json(path, tb.indexed(spark, d), tb.records(spark, d))
+    return snapshot.import_json(spark, path)[0].drop("ord")
 
 
 @query("json_snapshot_v2_files", f"WITH {STATES} SELECT path, mtime_ns FROM records")
 def _json_v2_files(spark, d):
-    path = f"{shared_folder(spark, 'json')}/snapshot.json"
+    path = f"{shared_folder(spark, 'json')}/snapshot"
     snapshot.export_json(path, tb.declarations(spark, d), tb.records(spark, d), "rows")
     return snapshot.import_json(spark, path, "rows")[1]
 

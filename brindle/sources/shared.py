@@ -94,10 +94,21 @@ class Store:
         stream = self.fs.create(self.path(beside), True)
         stream.write(bytearray(text.encode()))
         stream.close()
+        self._rename(self.path(beside), self.path(name))
+
+    def _rename(self, old, new) -> None:
         options = self.jvm.org.apache.hadoop.fs.Options.Rename
         over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
         over[0] = options.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(self.path(beside), self.path(name), over)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(old, new, over)
+
+    def files(self, name: str) -> list[str]:
+        """Names of the files in a folder that readers of tables would see, in order."""
+        found = [s.getPath().getName() for s in self.fs.listStatus(self.path(name)) if s.isFile()]
+        return sorted(f for f in found if not f.startswith(("_", ".")))
+
+    def move(self, name: str, to: str) -> None:
+        self._rename(self.path(name), self.path(to))
 
     def folders(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.path("")) if s.isDirectory()] if self.fs.exists(self.path("")) else []

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.text import kind_name
-from brindle.model import DECLARATIONS, FILES, SNAPSHOT_VERSION
+from brindle.model import DECLARATIONS, FILES
+from brindle.sources.json_snapshot import export_json, import_json, join_parts  # noqa: F401 - the JSON form belongs to the snapshots
 from brindle.sources.log import MANIFEST, Log, LogError
 from brindle.sources.shared import Store
 
@@ -59,32 +56,3 @@ def delete(spark: SparkSession, folder: str) -> bool:
         store.delete(name)
     store.delete_if_empty()
     return True
-
-
-def import_json(spark: SparkSession, path: str, rows_key: str = "declarations") -> tuple[DataFrame, DataFrame]:
-    """Tables of a JSON snapshot whose declarations are under ``rows_key``. Version 1 has no files. Unknown kinds become functions,
-    missing fields '' or 0. The declarations never come to the driver, only the version and whether there are any."""
-    schema = f"version long, `{rows_key}` array<struct<n string, k string, f string, l long>>, files array<struct<p string, m long>>"
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.version", F.col(f"j.`{rows_key}`").alias("rows"), "j.files")
-    head = parsed.select("version", F.col("rows").isNull().alias("none")).first()
-    if head is None or head["version"] not in (1, SNAPSHOT_VERSION):
-        raise SnapshotError("not a snapshot of version 1 or 2")
-    if head["none"]:
-        raise SnapshotError("the snapshot has no declarations")
-    d = parsed.select(F.posexplode("rows").alias("ord", "s"))
-    declarations = d.select(F.coalesce("s.n", F.lit("")).alias("name"), kind_name(F.col("s.k")).alias("kind"), F.coalesce("s.f", F.lit("")).alias("file"), F.coalesce("s.l", F.lit(0)).cast("int").alias("line"), F.col("ord").cast("long").alias("ord"))
-    files = parsed.select(F.explode("files").alias("f")).select(F.coalesce("f.p", F.lit("")).alias("path"), F.coalesce("f.m", F.lit(0)).alias("mtime_ns"))
-    return declarations, files
-
-
-def export_json(path: str, declarations: DataFrame, records: DataFrame, rows_key: str = "declarations") -> None:
-    """Version 2, streamed row by row to one file of this machine, in order."""
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        f.write(f'{{"version":{SNAPSHOT_VERSION},{json.dumps(rows_key)}:[')
-        for i, r in enumerate(declarations.orderBy("ord").toLocalIterator()):
-            f.write("," * (i > 0) + json.dumps({"n": r["name"], "k": r["kind"], "f": r["file"], "l": r["line"]}, separators=(",", ":"), ensure_ascii=False))
-        f.write('],"files":[')
-        for i, r in enumerate(records.orderBy("path").toLocalIterator()):
-            f.write("," * (i > 0) + json.dumps({"p": r["path"], "m": r["mtime_ns"]}, separators=(",", ":"), ensure_ascii=False))
-        f.write("]}")
-    os.replace(f"{path}.part", path)

@@ -349,11 +349,37 @@ def test_json_snapshots(spark, tmp_path):
         with pytest.raises(snapshot.SnapshotError):
             snapshot.import_json(spark, str(tmp_path / bad))
     rows = spark.createDataFrame([("q\"x\n", "macro", "é.h", 3, 0)], d.schema)
-    snapshot.export_json(str(tmp_path / "out"), rows, spark.createDataFrame([("é.h", 5)], FILES))
+    snapshot.export_json(str(tmp_path / "parts"), rows, spark.createDataFrame([("é.h", 5)], FILES))
+    snapshot.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "out"))
     assert json.loads((tmp_path / "out").read_text()) == {"version": 2, "declarations": [{"n": 'q"x\n', "k": "macro", "f": "é.h", "l": 3}], "files": [{"p": "é.h", "m": 5}]}
-    back, files = snapshot.import_json(spark, str(tmp_path / "out"))
-    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in rows.collect()]
-    assert files.first().mtime_ns == 5
+    for where in ("out", "parts"):
+        back, files = snapshot.import_json(spark, str(tmp_path / where))
+        assert [tuple(r) for r in back.collect()] == [tuple(r) for r in rows.collect()]
+        assert files.first().mtime_ns == 5
+
+
+@pytest.mark.parametrize("split", [150, 700, 1 << 20])
+def test_json_snapshots_are_read_in_splits_of_any_size(spark, tmp_path, split):
+    rng = random.Random(split)
+    text = lambda: "".join(rng.choice(['a', '"', "\\", "{", "}", "[", "]", ",", "é", "\n", "}}", '\\"', " "]) for _ in range(rng.randrange(12)))
+    rows = [{"n": text(), "k": rng.choice(["enum", "what", "macro"]), "f": text(), "l": i} | ({"x": {"y": [text(), {"z": text()}]}} if rng.random() < 0.2 else {}) for i in range(80)]
+    files = [{"p": text(), "m": i} for i in range(rng.choice([0, 30]))]
+    for document in ({"version": 2, "declarations": rows, "files": files}, {"meta": {"a}": {"b": "}"}}, "files": files, "none": [], "declarations": rows, "k}[": 1.5, "version": 2}, {"version": 2, "declarations": [], "files": files}):
+        for k, indent in enumerate((None, 1)):
+            path = tmp_path / f"{len(document)}{k}{len(document['declarations'])}"
+            path.write_text(json.dumps(document, ensure_ascii=rng.random() < 0.5, indent=indent) + "\n" * rng.randrange(2))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            try:
+                d, f = snapshot.import_json(spark, str(path))
+                got, files_got = sorted(d.collect(), key=lambda r: r.ord), f.collect()
+                tasks = d.rdd.getNumPartitions()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert [(r.name, r.kind, r.file, r.line, r.ord) for r in got] == [(r["n"], r["k"] if r["k"] != "what" else "function", r["f"], r["l"], i) for i, r in enumerate(document["declarations"])]
+            assert sorted((r.path, r.mtime_ns) for r in files_got) == sorted((r["p"], r["m"]) for r in files)
+            assert not document["declarations"] or split > 200 or tasks > 4
 
 
 @pytest.mark.parametrize(
