@@ -44,7 +44,6 @@ class WordBpe:
         return cls._shared[path]
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -54,8 +53,7 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte = [""] * 256
@@ -85,7 +83,7 @@ class WordBpe:
             bare = t.removesuffix(self.suffix) if self.suffix else t
             if len(bare) > 3:
                 self.longest[bare[:4]] = max(len(bare), self.longest.get(bare[:4], 4))
-        pattern = self.words.pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)
         #: The same splitting for plain units, if the pattern only tells letters, numbers and white space apart.
         self.plain_words = None if r"\p" in pattern else re.compile(pattern)
         #: Marks that stand alone after a word of letters.
@@ -233,7 +231,8 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            out += [self.spelled(m[0]) for m in self.words.finditer(self.lib.normalizer.normalize_str(part))]
+            # by the library itself, whose Unicode tables no other has; its words are in the byte alphabet
+            out += [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))]
         return out
 
     def spelled(self, word: str) -> str:

@@ -376,6 +376,17 @@ def test_bpe_of_every_plain_code_point_equals_the_library():
             assert g[1] == own.lib.decode(e.ids, skip_special_tokens=False), t
 
 
+def test_bpe_of_all_code_points_equals_the_library():
+    """Every code point beside letters up to the end of the ideographs, and every 97th beyond, where nothing is assigned."""
+    own = bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
+    points = [c for c in [*range(0x250, 0x32400), *range(0x32400, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [" ".join(f"a{chr(c)}b" for c in points[k : k + 200]) for k in range(i, min(i + 20_000, len(points)), 200)]
+        for t, g, e in zip(texts, own.encode(texts), own.lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(g[0], "<u4").tolist() == e.ids, t
+            assert g[1] == own.lib.decode(e.ids, skip_special_tokens=False), t
+
+
 def test_memories_are_bounded_by_bytes_on_texts_without_blanks(monkeypatch):
     from tokenizers import Tokenizer
 
