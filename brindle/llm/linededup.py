@@ -16,6 +16,8 @@ from brindle.llm.common import discard, packed, saved, unpacked
 RUN_WORDS = 50
 #: Identity of a line; equal hashes are compared by bytes afterwards.
 LINE_HASH = "xxhash64(x)"
+#: First line of a place that goes: what overlaps its own first place goes from where that ends.
+CUT = "if(d <=> fd and th = fth, greatest(s, fe + 1), s)"
 
 
 def _facts(df: DataFrame) -> DataFrame:
@@ -100,10 +102,25 @@ def _differing(hit: DataFrame) -> DataFrame:
     lines = df.select(F.explode(F.expr(used)).alias("x")).select(F.expr(LINE_HASH).alias("h"), "x")
     mixed = saved(lines.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h"))
     if mixed.head(1):
-        # two different lines with one 64-bit hash: whatever holds such a line is left alone
+        # two different lines with one 64-bit hash: whatever holds such a line is grouped again
         at = rows.select("h", F.explode("ids").alias("line")).distinct()
         uneven = uneven.union(at.join(mixed.select(F.col("h").alias("line")), "line", "left_semi").select("h"))
-    return uneven.distinct()
+    out = saved(uneven.distinct())
+    discard(mixed)
+    return out
+
+
+def _grouped_by_text(whole: DataFrame, places: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``(d, th, r)`` of the places whose hash is in ``wrong``, grouped by the passage's text itself; of those that repeat."""
+    own = places.join(wrong, "h").groupBy("d", "th").agg(F.collect_set(F.struct("h", "s", "e")).alias("v"))
+    df = _with(whole.select("d", "th", "t").dropDuplicates(["d", "th"]), own).where("size(v) > 0").withColumn("lines", F.expr("split(t, '\\n', -1)"))
+    df = df.select("d", "th", F.explode(F.expr(f"transform(v, v -> named_struct('h', v.h, 's', v.s, 'e', v.e, 'x', array_join({_slice('lines')}, '\\n')))")).alias("v")).select("d", "th", "v.*")
+    df = saved(df)
+    first = df.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e")).alias("f")).where("n > 1")
+    hits = df.join(first.select("x", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.e").alias("fe")).hint("merge"), "x")
+    out = saved(hits.select("d", "th", F.struct("h", "s", "e", F.expr(CUT).alias("c")).alias("r")))
+    discard(df)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, run_words: int | None = None) -> DataFrame:
@@ -112,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Places are ordered by id (null first), a hash of the whole text, and position. Chunks of white space only are
     left. Null text stays null and empty text stays empty; a document made of repeats only becomes empty; rows are never dropped.
     Rows with equal id and equal text are one document: all keep what the first place keeps. Passages whose hash is equal
-    but whose bytes differ are left alone.
+    but whose bytes differ are grouped again by their text, so equal bytes go, and nothing else, whatever collides. An empty table gives an empty result.
 
     Chunk boundaries depend on the lines around a passage. With ``run_words`` every repeated run of lines with more words
     goes as well, wherever the boundaries fall, single lines among them; a run that overlaps its own first place goes from where that ends.
@@ -124,15 +141,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = saved(passages(whole.select("d", "th", "t").where("t is not null"), run_words))
     seen = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e")).alias("f"))
     first = saved(seen.where("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.e").alias("fe")))
-    cut = F.expr("if(d <=> fd and th = fth, greatest(s, fe + 1), s)")
     # sort-merge joins at every size: the plan, and with it the disk, does not change
-    hits = places.join(first.hint("merge"), "h").withColumn("c", cut)
+    hits = places.join(first.hint("merge"), "h").withColumn("c", F.expr(CUT))
     drop = saved(hits.groupBy("d", "th").agg(F.collect_set(F.struct("h", "s", "e", "c")).alias("v")))
     joined = saved(_with(whole, drop))
-    wrong = saved(_differing(joined.where("size(v) > 0").select("t", "v")))
+    wrong = _differing(joined.where("size(v) > 0").select("t", "v"))
     if wrong.head(1):
-        left = joined.select("d", "th", F.explode("v").alias("r")).join(wrong, F.col("r.h") == wrong.h, "left_anti")
-        joined = saved(_with(joined.drop("v"), left.groupBy("d", "th").agg(F.collect_set("r").alias("v"))))
+        left, again = joined.select("d", "th", F.explode("v").alias("r")).join(wrong, F.col("r.h") == wrong.h, "left_anti"), _grouped_by_text(whole, places, wrong)
+        before, joined = joined, saved(_with(joined.drop("v"), left.unionByName(again).groupBy("d", "th").agg(F.collect_set("r").alias("v"))))
+        discard(before, again)
     discard(places, first, drop, wrong)
     gone = "array_distinct(flatten(transform(filter(v, r -> r.c <= r.e), r -> sequence(r.c, r.e))))"
     out = joined.withColumn("lines", F.expr("if(size(v) > 0, split(t, '\\n', -1), null)")).withColumn("gone", F.expr(gone))
