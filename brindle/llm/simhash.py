@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import buffers, per_slice, saved
+from brindle.llm.common import buffers, discard, per_slice, saved
 from brindle.llm.components import connected_components
 
 #: Two fingerprints link when at most so many bits differ.
 RADIUS = 2
-#: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones by shared neighbours.
+#: Buckets of up to so many distinct fingerprints are compared pair by pair; larger ones are split by their other bits.
 BUCKET = 48
+#: With so few bits left open a bucket is not split any more.
+OPEN = 5
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -68,33 +72,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.mapInArrow(per_slice(body, "t"), "doc_id long, fp long, row_hash long")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def refined(kept: int) -> list[int]:
+    """Seven masks that keep what ``kept`` keeps and, of the other bits, what a covering family over those keeps: words that agree on ``kept`` and lie within two bits
+    agree on one of them entirely. Six other bits or more, so that each keeps more."""
+    free = [i for i in range(64) if not kept >> i & 1]
+    return [kept | sum(1 << free[i] for i in range(len(free)) if m >> i & 1) for m in covering_masks(bits=len(free))]
+
+
 def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Distinct ``fp`` longs -> edges ``(a, b)`` that connect exactly what links of at most two bits connect.
+    """Distinct ``fp`` longs -> edges ``(a, b)``: all pairs that differ in at most two bits.
 
-    Main path: each fingerprint enters the seven covering tables and is compared within its buckets. A bucket with
-    more than ``bucket`` fingerprints is not compared pair by pair, and the links within it do not come through the covering tables: its
-    members list the 65 words within one bit of themselves, and all who list the same word are within two bits of each other (and any two
-    within two bits share such a word). A word has 65 neighbours, so those groups are bounded; links between their smallest member and the
-    rest suffice for components.
+    Each fingerprint enters the seven covering tables and is compared within its buckets. A bucket with more than ``bucket`` fingerprints is
+    split by a second covering family over the bits that its mask leaves out, bucket by bucket, and so on: of 64 bits about 28, 12 and 5 are left open, and with
+    ``OPEN`` there are no more than 32 fingerprints. No group larger than ``bucket`` (or 32) is ever gathered.
     """
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks()]
-    entries = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    sized = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    warm = sized.where(F.col("n") <= bucket).select("t", "key")
-    hot = sized.where(F.col("n") > bucket).select("t", "key")
-    groups = entries.join(warm, ["t", "key"]).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
-    pairs = groups.select(
-        F.explode(
-            F.expr(
-                "flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> bit_count(x ^ y) <= 2), y -> named_struct('a', x, 'b', y))))"
-            )
-        ).alias("p")
-    ).select("p.a", "p.b")
-    crowd = entries.join(hot, ["t", "key"]).select("fp").distinct()
-    near = crowd.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("mid"))
-    around = near.groupBy("mid").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("g")).where(F.size("g") > 1)
-    stars = around.select(F.explode("g").alias("a"), "b").where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    spark = fps.sparkSession
+    masks, found = covering_masks(), []
+    entries = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("kept"))
+    done = []
+    while True:
+        entries = entries.withColumn("key", F.col("fp").bitwiseAND(F.col("kept")))
+        sized = entries.groupBy("kept", "key").agg(F.count("*").alias("n")).where("n > 1")
+        few = (F.col("n") <= bucket) | (F.bit_count(F.bitwise_not("kept")) <= OPEN)
+        groups = entries.join(sized.where(few).select("kept", "key"), ["kept", "key"]).groupBy("kept", "key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
+        near = "flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> bit_count(x ^ y) <= 2), y -> named_struct('a', x, 'b', y))))"
+        found.append(groups.select(F.explode(F.expr(near)).alias("p")).select("p.a", "p.b"))
+        hot = saved(sized.where(~few).select("kept", "key"))
+        done.append(hot)
+        if not hot.head(1):
+            break
+        finer = {m: refined(m) for m in masks if 64 - m.bit_count() > OPEN}
+        children = spark.createDataFrame([(_signed(m), _signed(c)) for m, cs in finer.items() for c in cs], "kept long, child long")
+        masks = sorted({c for cs in finer.values() for c in cs})
+        entries = saved(entries.join(hot, ["kept", "key"]).join(F.broadcast(children), "kept").select("fp", F.col("child").alias("kept")).distinct())
+        done.append(entries)
+    out = saved(reduce(DataFrame.union, found).distinct())
+    discard(*done)
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +125,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = saved(fingerprints(docs, id_col, text_col))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = connected_components(fingerprint_links(saved(classes.select("fp"))))
+    distinct = saved(classes.select("fp"))
+    links = fingerprint_links(distinct)
+    comp = connected_components(links)
+    discard(distinct, links)
     named = classes.join(comp, classes.fp == comp.id, "left").select(classes.fp, "rep", F.coalesce("component", classes.fp).alias("c"))
     first = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     labels = named.join(first, "c").select("fp", "component_id")

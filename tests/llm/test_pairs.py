@@ -63,17 +63,53 @@ def test_masks_cover_every_pair_within_the_radius():
             assert any(not m & d for m in masks)
 
 
+def near_pairs(signed):
+    """All pairs within two bits, by what each word becomes with up to two bits turned."""
+    known, out = {f % 2**64 for f in signed}, set()
+    back = lambda f: f - (1 << 64) if f >> 63 else f
+    for f in known:
+        for i in range(64):
+            for g in [f ^ (1 << i), *(f ^ (1 << i) ^ (1 << j) for j in range(i))]:
+                if g in known:
+                    out.add((min(back(f), back(g)), max(back(f), back(g))))
+    return out
+
+
 @pytest.mark.parametrize("bucket", [48, 2])
-def test_links_give_the_components_of_brute_force(spark, bucket):
+def test_links_are_those_of_brute_force(spark, bucket):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = {b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(40)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket)
+    assert {(min(r), max(r)) for r in map(tuple, links.collect())} == near_pairs(signed)
     got = {r.id: r.component for r in components.connected_components(links).collect()}
-    near = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
-    want = closure(signed, near)
-    assert {f: got.get(f, f) for f in signed} == want
+    assert {f: got.get(f, f) for f in signed} == closure(signed, near_pairs(signed))
+
+
+def test_a_bucket_of_thousands_is_split_by_covering_tables(spark):
+    rng = random.Random(9)
+    mask = simhash.covering_masks()[0]
+    free = [i for i in range(64) if not mask >> i & 1]
+    fps = set()
+    while len(fps) < 5000:  # all agree on the bits of the first mask
+        f = sum(1 << free[i] for i in rng.sample(range(len(free)), rng.randint(0, 5)))
+        fps |= {f, f ^ (1 << rng.choice(free))}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    assert {(min(r), max(r)) for r in map(tuple, links.collect())} == near_pairs(signed)
+
+
+def test_refined_masks_cover_the_bits_that_are_left():
+    for first in simhash.covering_masks():
+        for second in simhash.refined(first):
+            assert second & first == first != second
+            free = [i for i in range(64) if not second >> i & 1]
+            assert len(free) <= 16 and all(m & second == second != m for m in simhash.refined(second))
+        free = [i for i in range(64) if not first >> i & 1]
+        for i in free:
+            for j in free:
+                assert any(not m >> i & 1 and not m >> j & 1 for m in simhash.refined(first))
 
 
 def test_simhash_query_and_hostile_rows(spark, sf_dir):
