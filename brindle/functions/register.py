@@ -1,8 +1,9 @@
-"""The column functions under names for SQL: temporary functions of a session, without Python in them."""
+"""The functions under names for SQL: temporary functions of a session without Python in them, and one table function."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from brindle.functions.text import LOWER, UPPER
 from brindle.model import KINDS
@@ -40,8 +41,22 @@ FUNCTIONS = {
 }
 
 
+class ExtractDeclarations:
+    """The declarations of one source, by offset; null or what cannot be read has none."""
+
+    def eval(self, content: bytes):
+        from brindle.operators.extract import scan
+
+        try:
+            yield from scan(bytes(content)) if content is not None else ()
+        except RecursionError:
+            return
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Registers ``ascii_lower, normal_path, file_extension, query_tokens, is_file_token, kind_of`` and ``fuzzy_score``; returns the names."""
+    """Registers ``ascii_lower, normal_path, file_extension, query_tokens, is_file_token, kind_of`` and ``fuzzy_score``, and the table function
+    ``extract_declarations(content)`` (``name, kind, line, byte_offset, byte_end``) for use behind ``LATERAL``; returns the names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [h.split("(")[0] for h in FUNCTIONS]
+    spark.udtf.register("extract_declarations", F.udtf(ExtractDeclarations, returnType="name string, kind string, line int, byte_offset int, byte_end int", useArrow=True))
+    return [*(h.split("(")[0] for h in FUNCTIONS), "extract_declarations"]

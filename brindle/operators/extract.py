@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.stats import deduplicated
 from brindle.sources.shared import settled
 
 MAX_DEPTH = 16
@@ -514,7 +513,9 @@ def parse_sources(sources: DataFrame) -> DataFrame:
 
 def captures_of(parsed: DataFrame) -> DataFrame:
     """``file, name, kind, line, byte_offset, byte_end``: one row per declaration."""
-    return deduplicated(parsed.where("error is null").select("file", F.explode("found").alias("c")).select("file", "c.*"))
+    # a scan has each place once; only a file that was scanned twice repeats itself
+    once = parsed.where("error is null").groupBy("file").agg(F.any_value("found").alias("found"))
+    return once.select("file", F.explode("found").alias("c")).select("file", "c.*")
 
 
 def declarations_of(parsed: DataFrame, settle: bool = True) -> DataFrame:

@@ -52,3 +52,17 @@ def is_ignored(path: Column | str, rules: list[Rule]) -> Column:
 
 def not_ignored(files: DataFrame, rules: list[Rule], path: str = "path") -> DataFrame:
     return files.where(~is_ignored(path, rules))
+
+
+def not_ignored_by(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` that no rule of a table ``(pattern, is_glob)`` ignores, for any number of rules.
+
+    A prefix rule ends with a slash, so it is one of a path's ancestors: each path is exploded into its ancestors and itself, which meet the rules in a hash
+    join (Spark broadcasts the rules while they are small). Paths are compared once, however many rows have them.
+    """
+    p = normal_path(F.col(f"`{path}`"))
+    paths = files.select(F.col(f"`{path}`").alias("path"), p.alias("p")).distinct()
+    slashes = F.filter(F.sequence(F.lit(1), F.length("p")), lambda i: F.substring(F.col("p"), i, F.lit(1)) == "/")
+    keys = F.concat(F.transform(slashes, lambda i: F.struct(F.substring(F.col("p"), F.lit(1), i).alias("pattern"), F.lit(True).alias("is_glob"))), F.array(F.struct(F.col("p").alias("pattern"), F.lit(False).alias("is_glob"))))
+    hit = paths.where("p <> ''").select("path", F.explode(keys).alias("k")).select("path", "k.*").join(rules.select("pattern", "is_glob").distinct(), ["pattern", "is_glob"], "left_semi")
+    return files.join(hit.select(F.col("path").alias("__ignored")).distinct(), F.col(f"`{path}`") == F.col("__ignored"), "left_anti")

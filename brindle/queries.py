@@ -185,6 +185,11 @@ def _ignored(spark, d):
     return ignore.not_ignored(tb.files(spark, d).select("path"), ignore.parse_rules(IGNORE))
 
 
+@query("ignore_many_rules", f"WITH {FILES} SELECT path FROM files WHERE mtime_ns % 7 <> 0 AND path NOT LIKE '%/fr/%'")
+def _many_rules(spark, d):
+    return ignore.not_ignored_by(tb.files(spark, d).select("path"), tb.rule_table(spark, d))
+
+
 _RULES = "SELECT n_nationkey, unnest(['src' || n_nationkey || '/', 'old/f' || n_nationkey || '.c', ' x' || n_nationkey || '/']) AS pattern, unnest([true, false, true]) AS is_glob FROM nation"
 
 
@@ -398,6 +403,19 @@ def _numbered(spark, d):
     return extract.declarations_of(extract.parse_sources(tb.construct_sources(spark, d))).select("file", "name", "kind", "line", "ord")
 
 
+query("extract_init_declared", """SELECT 'init/s' || k || '.cpp' AS file, name, kind, line FROM (SELECT s_suppkey::VARCHAR AS k FROM supplier),
+LATERAL (VALUES ('gone' || k, 'function', 1), ('zero' || k, 'function', 2), ('Pure' || k, 'class', 3), ('pure', 'function', 3), ('plain' || k, 'variable', 4)) t(name, kind, line)""")(
+    lambda spark, d: extract.captures_of(extract.parse_sources(tb.initialised_sources(spark, d))).select("file", "name", "kind", "line")
+)
+
+
+@query("extract_table_function", _ALL)
+def _table_function(spark, d):
+    register(spark)
+    tb.construct_sources(spark, d).createOrReplaceTempView("brindle_sources")
+    return spark.sql("SELECT path AS file, name, kind, line FROM brindle_sources, LATERAL extract_declarations(content)")
+
+
 @query("sql_functions", f"""WITH {DECLARATIONS} SELECT ord, {_low("name")} AS low, {score_sql("name", "'rw'")} AS score, regexp_extract(file, '([^.]*)$', 1) AS ext, CASE WHEN kind = 'enum' THEN 'enum' END AS kind,
   CASE WHEN contains(file, ' ') THEN 3 ELSE 2 END AS words, true AS is_file, file AS path FROM decl""")
 def _sql_functions(spark, d):
@@ -419,6 +437,11 @@ def _scan(spark, d):
     return tree.read_tree(spark, _tree(spark, d), ignore="gen/c0.cpp\n").select("path", F.length("content").alias("bytes"))
 
 
+@query("scan_one_folder", f"SELECT 'gen/c' || c_custkey || '.cpp' AS path, ({sum(map(len, tb.GENERATED))} + {len(tb.GENERATED) - 1} * length(c_custkey::VARCHAR))::INT AS bytes FROM customer WHERE c_custkey <> 0")
+def _scan_one(spark, d):
+    return tree.spread_tree(spark, _tree(spark, d), ignore="gen/c0.cpp\n").select("path", F.length("content").alias("bytes"))
+
+
 @query("build_from_tree", _GEN)
 def _build(spark, d):
     sources = tree.read_tree(spark, _tree(spark, d))
@@ -632,13 +655,14 @@ def _event_feed(spark, d):
     return index.declarations.select("file", "name", "kind", "line")
 
 
-@query("request_timeout", "SELECT * FROM (VALUES (0::BIGINT, true), (1::BIGINT, false)) t(nth, late)")
+@query("request_timeout", "SELECT 0::BIGINT AS nth, true AS late, 0::BIGINT AS n UNION ALL SELECT 1, false, least(200, count(*)) FROM part")
 def _timeout(spark, d):
-    """A request that takes too long is answered with an error, the next one with its rows."""
+    """All parts as declarations whose names take their time: answered with an error; then without: answered with rows."""
     index = service.Index(spark, "/", cache=False, query_timeout=0.2)
-    index.declarations, index.ready = spark.range(0, 64, 1, 4).select(F.expr("cast(java_method('java.lang.Thread', 'sleep', 500L) as string)").alias("name"), F.lit("macro").alias("kind"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("id").alias("ord")), True
+    slow = F.expr("coalesce(left(cast(java_method('java.lang.Thread', 'sleep', 20L) as string), 0), '')")
+    index.declarations, index.ready = tb.declarations(spark, d).withColumn("name", F.concat("name", slow)), True
     line = '{"id":1,"method":"query","params":{"pattern":" "}}'
     got = list(service.serve(index, [line]))
     index.declarations, index.query_timeout = tb.declarations(spark, d), 600
     got += service.serve(index, [line])
-    return spark.createDataFrame([(i, '"error":"no answer' in x) for i, x in enumerate(got)], "nth long, late boolean")
+    return spark.createDataFrame([(i, '"error":"no answer' in x, x.count('"kind"')) for i, x in enumerate(got)], "nth long, late boolean, n long")

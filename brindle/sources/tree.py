@@ -14,11 +14,14 @@ from __future__ import annotations
 import logging
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brindle.model import EXTENSIONS, SOURCES
 from brindle.operators.ignore import normalised, parse_rules
+from brindle.sources.shared import settled
 
 log = logging.getLogger("brindle")
 
@@ -158,6 +161,62 @@ def read_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     return paths.select("path", "mtime_ns").mapInPandas(body, SOURCES)
 
 
+#: Entries that a task looks at before it hands folders on, and files that a task reads.
+LOOKS, READS = 4096, 256
+
+
+def spread_tree(spark: SparkSession, root: str, dirs: list[str] | None = None, ignore: str = "", content: bool = True, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """What ``read_tree`` gives, for trees of any shape: listed by rounds of tasks, read in even shares.
+
+    A task goes through folders until it has seen ``LOOKS`` entries; folders that are left go to the next round, in which they are dealt anew. Times and contents
+    are read by as many tasks as there are ``READS`` files, even if all lie in one folder. Folders and names are written tables; the driver knows their number only.
+    """
+    root = os.path.abspath(root)
+    rules = parse_rules(ignore)
+    exact, prefixes = {r.pattern for r in rules if not r.is_glob}, tuple(r.pattern for r in rules if r.is_glob)
+
+    def look(batches):
+        seen = 0
+        for b in batches:
+            left, files = b.column("path").to_pylist(), []
+            while left and seen < LOOKS:
+                folder = left.pop()
+                try:
+                    with os.scandir(folder) as entries:
+                        for e in entries:
+                            seen += 1
+                            if e.is_dir(follow_symlinks=False):
+                                left.append(e.path)
+                            elif file_extension(e.name) in extensions and e.is_file():
+                                rel = os.path.relpath(e.path, root).replace(os.sep, "/")
+                                if normalised(rel) not in exact and not normalised(rel).startswith(prefixes):
+                                    files.append(rel)
+                except OSError:
+                    log.warning("folder %s cannot be read", folder)
+            yield pa.RecordBatch.from_arrays([pa.array(left + files, pa.string()), pa.array([True] * len(left) + [False] * len(files), pa.bool_())], ["path", "open"])
+
+    found, folders = [], [f for f in scan_roots(root, dirs or []) if os.path.isdir(f)]
+    front = spark.createDataFrame([(f,) for f in folders], "path string")
+    n = len(folders)
+    while n:
+        seen = settled(front.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(look, "path string, open boolean"))
+        found.append(seen.where("not open").select("path"))
+        front = seen.where("open").select("path")
+        n = front.count()
+    names = found[0] if found else front
+    for more in found[1:]:
+        names = names.unionByName(more)
+    names = names.repartition(max(1, -(-names.count() // READS)))
+
+    def stamp(batches):
+        for b in batches:
+            times = [mtime_ns(os.path.join(root, p)) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(times, pa.int64())], ["path", "mtime_ns"])
+
+    stamped = names.mapInArrow(stamp, "path string, mtime_ns long")
+    return read_files(spark, root, stamped) if content else stamped.withColumn("content", F.lit(None).cast("binary"))
+
+
 def load_ignore(root: str, name: str = ".declarations-ignore") -> str:
     """Text of the ignore file of a project, '' if there is none. The name is a parameter: other tools' files work as they are."""
     try:

@@ -168,6 +168,24 @@ def construct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("all/s"), k, F.lit(".cpp")).alias("path"), F.col("s_suppkey").alias("mtime_ns"), F.encode(F.concat(*pieces), "UTF-8").alias("content"))
 
 
+def initialised_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C++ file for each supplier in which functions stand where a value follows."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("auto gone"), k, F.lit("(int) = delete;\nint zero"), k, F.lit("(int a) = 0;\nclass Pure"), k, F.lit(" { virtual int pure() = 0; };\nlong plain"), k, F.lit("(1);\n"))
+    return s.select(F.concat(F.lit("init/s"), k, F.lit(".cpp")).alias("path"), F.col("s_suppkey").alias("mtime_ns"), F.encode(text, "UTF-8").alias("content"))
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules ``pattern, is_glob``: two for each order that match nothing, the path of every seventh document, the folders of one language."""
+    f = files(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
+    none = o.select(F.concat(F.lit("none/"), "k", F.lit("/")).alias("pattern"), F.lit(True).alias("is_glob")).unionByName(o.select(F.concat(F.lit("none/f"), "k").alias("pattern"), F.lit(False).alias("is_glob")))
+    exact = f.where("mtime_ns % 7 = 0").select("path", F.lit(False).alias("is_glob")).withColumnRenamed("path", "pattern")
+    globs = f.where("path like '%/fr/%'").select(F.regexp_extract("path", "^(.*/fr/)", 1).alias("pattern"), F.lit(True).alias("is_glob"))
+    return none.unionByName(exact).unionByName(globs.distinct())
+
+
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as ignore files: a comment, a prefix, an exact path with backslashes, a blank line, an indented prefix."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

@@ -682,6 +682,31 @@ def test_sessions_leave_no_tables_behind(spark, tmp_path):
     assert index.n_files == 7 and index.n_declarations == 7
 
 
+def test_one_folder_is_read_by_many_tasks_and_deep_trees_in_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "LOOKS", 5)
+    monkeypatch.setattr(tree, "READS", 10)
+    write(tmp_path, {f"big/f{i}.cpp": f"int v{i};" for i in range(60)} | {f"d{i}/e{i}/g/h{i}.h": "" for i in range(8)} | {"d1/.hidden.cc": "", "d1/no.txt": "", "build/x.cpp": ""})
+    for dirs, ignored in (([], "build/*\nbig/f1.cpp"), (["big", "d1", "none"], "")):
+        got = tree.spread_tree(spark, str(tmp_path), dirs, ignored)
+        want = tree.read_tree(spark, str(tmp_path), dirs, ignored)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.rdd.getNumPartitions() >= 6
+    assert tree.spread_tree(spark, str(tmp_path / "nothing")).count() == 0
+    assert tree.spread_tree(spark, str(tmp_path), content=False).where("content is null and mtime_ns > 0").count() == 70
+
+
+def test_rules_of_a_table_equal_one_predicate(spark):
+    rng = random.Random(6)
+    parts = ["a", "b", "src", "x.c", "build", ""]
+    paths = ["/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(200)] + ["./a/b", "a\\b\\x.c", "", None]
+    text = "\n".join(["/".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) + rng.choice(["", "/*"]) for _ in range(12)])
+    rules = ignore.parse_rules(text)
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, n int")
+    table = spark.createDataFrame([(r.pattern, r.is_glob) for r in rules] * 2, "pattern string, is_glob boolean")
+    want = [r.n for r in ignore.not_ignored(files.where("path is not null"), rules).collect()] + [len(paths) - 1]
+    assert sorted(r.n for r in ignore.not_ignored_by(files, table).collect()) == sorted(want)
+
+
 def test_one_failing_request_does_not_end_the_service(spark, tmp_path, monkeypatch):
     write(tmp_path, {"a.cpp": "void alpha() {}"})
     index = service.Index(spark, str(tmp_path), cache=False)
