@@ -20,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the number of rounds logarithmic; they go on until nothing changes. Every round is one written table, so a lost executor repeats one round at
     most. Only minima are aggregated, so hubs are combined before the shuffle. Only vertices that appear in
     ``edges`` are returned. Null ends are dropped; an empty table gives an empty result.
+    The result reads one table, which ``discard`` deletes.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     cur = saved(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -36,4 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(cur)
         cur, last, sig = nxt, sig, _signature(nxt)
     stars = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+    out = stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+    out._brindle_path = cur._brindle_path
+    return out

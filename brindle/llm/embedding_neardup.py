@@ -271,5 +271,5 @@ def neighbours(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     linked = ids.where("k1 is not null").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = ids.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = saved(linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
-    discard(classes, found)
+    discard(classes, found, comp)
     return out

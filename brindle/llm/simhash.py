@@ -131,7 +131,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(distinct, links)
     named = classes.join(comp, classes.fp == comp.id, "left").select(classes.fp, "rep", F.coalesce("component", classes.fp).alias("c"))
     first = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    labels = named.join(first, "c").select("fp", "component_id")
+    labels = saved(named.join(first, "c").select("fp", "component_id"))
+    discard(comp)
     return prints.join(labels, "fp").select("doc_id", "fp", "row_hash", "component_id")
 
 

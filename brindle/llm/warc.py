@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import saved, slices
+from brindle.llm.common import discard, saved, slices
 from brindle.sources.shared import shared_base
 
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -56,7 +56,9 @@ def payload_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("key", F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.expr("uuid()"))))
     rows = rows.join(rest, F.col("key") == F.col("rest_digest"), "left")
     first = F.coalesce("hot_first", "rest_first")
-    return rows.select("id", "uri", "payload", "digest", F.when(first.isNotNull() & ~F.col("id").eqNullSafe(first), first).alias("refers_to"))
+    out = rows.select("id", "uri", "payload", "digest", F.when(first.isNotNull() & ~F.col("id").eqNullSafe(first), first).alias("refers_to"))
+    out._brindle_path = groups._brindle_path  # what discard() deletes
+    return out
 
 
 def record(row_id: str | None, uri: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
@@ -368,12 +370,14 @@ def through_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     kind = pages.select(F.col(f"`{id_col}`")).dtypes[0][1]
     whole, parted = new_folder(spark), new_folder(spark)
-    wrote = write_archives(payload_roles(pages, id_col, url_col, payload_col), whole)
+    roles = payload_roles(pages, id_col, url_col, payload_col)
+    wrote = write_archives(roles, whole)
     done = normalise(wrote, whole, parted)
     torn = done.where("error is not null").first()
     if torn:
         raise ValueError(f"{torn.source}: {torn.error}")
     sweep(done, parted)
+    discard(roles, wrote, done)
     delete_folder(whole)
     back = read_records(read_index(spark, parted), parted, payloads=False)
     checked = F.when(F.col("intact"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload and digest differ: "), F.coalesce("id", F.lit("no id")))))

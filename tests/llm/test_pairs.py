@@ -183,6 +183,37 @@ def test_neighbours_match_brute_force(spark, monkeypatch, leaf, block):
     assert embedding_neardup.neighbours(df.limit(0)).count() == 0
 
 
+def test_query_with_real_splits_finds_what_one_leaf_finds(spark, sf_dir, monkeypatch):
+    """The given vectors and a near copy of each, with leaves below the size of their labels: trees are grown, and links stay."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    rng = np.random.default_rng(1)
+    rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
+    near = [(10_000 + i, (np.array(v) + rng.normal(0, 0.25 * np.linalg.norm(v) / np.sqrt(len(v)), len(v))).tolist(), label) for i, v, label in rows]
+    df = spark.createDataFrame(rows + near, "vec_id long, embedding array<double>, label string").repartition(4)
+    grown = []
+    fit = embedding_neardup.fit_tree
+    monkeypatch.setattr(embedding_neardup, "fit_tree", lambda *a, **k: grown.append(fit(*a, **k)) or grown[-1])
+    want = {r.vec_id: tuple(r) for r in embedding_neardup.neighbours(df).collect()}
+    assert not grown
+    largest = df.groupBy("label").count().where("label is not null").agg({"count": "max"}).first()[0]
+    got = {r.vec_id: tuple(r) for r in embedding_neardup.neighbours(df, leaf=largest // 4).collect()}
+    assert len(grown) >= embedding_neardup.TREES
+    linked = sum(r[1] for r in want.values())
+    assert linked and sum(r[1] for r in got.values()) >= 0.97 * linked and all(got[i][1] <= want[i][1] for i in want)
+
+
+def test_operators_leave_one_or_two_tables(spark, sf_dir):
+    import os
+
+    from brindle.sources.shared import shared_base
+
+    base = shared_base(spark).removeprefix("file://")
+    for name, most in (("op1_embedding_neardup", 1), ("op9_line_dedup", 1), ("op10_simhash_neardup", 2), ("op11_phrases", 1), ("op12_warc", 1), ("op4_best_fit_packing", 1)):
+        before = set(os.listdir(base))
+        QUERIES[name](spark, sf_dir).count()
+        assert len(set(os.listdir(base)) - before) <= most, name
+
+
 @pytest.mark.parametrize("dim", [16, 64])
 def test_forest_finds_planted_links_with_production_parameters(spark, dim):
     """Pairs of cosine 0.93 to 0.97 in a table larger than the fitting sample; leaves hold a small part of it."""
