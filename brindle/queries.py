@@ -17,7 +17,7 @@ from brindle.model import EXTENSIONS, KINDS
 from brindle.operators import extract, ignore, maintain, present, stats
 from brindle.plans import apropos, batch_search, search, topk
 from brindle.plans.search import compiled_columns
-from brindle.sources import log, snapshot, tree
+from brindle.sources import log, snapshot, tree, tree_stream
 from brindle.sources.shared import shared_folder
 from brindle.streaming import protocol, replay, service
 
@@ -655,6 +655,36 @@ def _event_feed(spark, d):
     return index.declarations.select("file", "name", "kind", "line")
 
 
+@query("tree_changes", """SELECT 0::BIGINT AS batch, 'gen/c' || c_custkey || '.cpp' AS path, 'new' AS state FROM customer
+UNION ALL SELECT 1, 'gen/c' || c_custkey || '.cpp', CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE 'removed' END FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 1, 'gen/added.h', 'new'""")
+def _tree_changes(spark, d):
+    """Two triggers over a tree of which every fifth file changes or goes in between."""
+    root, base = _tree(spark, d), shared_folder(spark, "changes")
+
+    def trigger() -> None:
+        rows = tree_stream.changes(spark, root, f"{base}/state")
+        out = rows.writeStream.foreachBatch(lambda b, n: b.select(F.lit(n).cast("long").alias("batch"), "path", "state").write.mode("overwrite").parquet(f"{base}/out/n={n}"))
+        out.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+
+    trigger()
+
+    def touch(batches):
+        for pdf in batches:
+            for k in pdf["c_custkey"]:
+                if k % 10:
+                    os.remove(f"{root}/gen/c{k}.cpp")
+                else:
+                    os.utime(f"{root}/gen/c{k}.cpp", ns=(1, 1))
+            yield pdf
+
+    tb.table(spark, d, "customer").where("c_custkey % 5 = 0").select("c_custkey").mapInPandas(touch, "c_custkey long").write.format("noop").mode("overwrite").save()
+    with open(f"{root}/gen/added.h", "w", encoding="utf-8") as f:
+        f.write("enum Added {};")
+    trigger()
+    return spark.read.parquet(f"{base}/out").select("batch", "path", "state")
+
+
 @query("request_timeout", "SELECT 0::BIGINT AS nth, true AS late, 0::BIGINT AS n UNION ALL SELECT 1, false, least(200, count(*)) FROM part")
 def _timeout(spark, d):
     """All parts as declarations whose names take their time: answered with an error; then without: answered with rows."""

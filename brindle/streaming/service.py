@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.model import DECLARATIONS, FILES
 from brindle.operators import extract, maintain, stats
 from brindle.plans import search
-from brindle.sources import shared, snapshot, tree
+from brindle.sources import shared, snapshot, tree, tree_stream
 from brindle.sources.log import Log
 from brindle.sources.shared import settled
 from brindle.streaming import protocol
@@ -366,3 +366,18 @@ def follow(index: Index, events_dir: str, checkpoint: str) -> None:
                 index.save()
 
     source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def watch(index: Index, state: str, checkpoint: str) -> None:
+    """The tree itself as the feed: each trigger refreshes the files that have changed, appeared or gone since the last one. ``state`` is a shared folder."""
+    ignored = tree.load_ignore(index.root, index.ignore_name)
+    options = {"extensions": ";".join(index.options["extensions"].split(";"))} if index.options else {}
+    source = tree_stream.changes(index.spark, index.root, state, index.dirs, ignored, **options)
+
+    def apply(batch: DataFrame, _: int) -> None:
+        if batch.head(1):
+            index.refresh_files(batch.select("path"))
+            if index.cache:
+                index.save()
+
+    source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

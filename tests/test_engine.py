@@ -707,6 +707,26 @@ def test_rules_of_a_table_equal_one_predicate(spark):
     assert sorted(r.n for r in ignore.not_ignored_by(files, table).collect()) == sorted(want)
 
 
+def test_watching_a_tree_refreshes_what_changed(spark, tmp_path):
+    root = tmp_path / "p"
+    write(root, {"a/x.cpp": "int one;", "b/y.cpp": "int two;", "b/no.txt": "", "gone/z.h": "int three;"})
+    index = service.Index(spark, str(root), cache=False)
+    index.build()
+    state, check = str(tmp_path / "state"), str(tmp_path / "check")
+    service.watch(index, state, check)
+    assert names(index) == ["one", "three", "two"]
+    write(root, {"a/x.cpp": "int uno;", "c/d/new.h": "enum New {};"})
+    os.utime(root / "a/x.cpp", ns=(5, 5))
+    os.remove(root / "gone/z.h")
+    seen = []
+    refresh = index.refresh_files
+    index.refresh_files = lambda paths: (seen.append(sorted(r.path for r in paths.collect())), refresh(paths))
+    service.watch(index, state, check)
+    service.watch(index, state, check)
+    assert seen == [["a/x.cpp", "c/d/new.h", "gone/z.h"]] and names(index) == ["New", "two", "uno"]
+    assert len(os.listdir(state)) <= 8
+
+
 def test_one_failing_request_does_not_end_the_service(spark, tmp_path, monkeypatch):
     write(tmp_path, {"a.cpp": "void alpha() {}"})
     index = service.Index(spark, str(tmp_path), cache=False)
