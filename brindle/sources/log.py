@@ -132,14 +132,18 @@ class Log:
         done = F.array(*[F.lit(s.done.get(b, 0)) for b in range(s.buckets)])
         return rows.where(F.col("seq") > F.get(done, F.col("bucket"))) if any(s.done.values()) else rows
 
-    def merged(self, declarations: DataFrame, records: DataFrame, buckets: set[int] | None = None) -> tuple[DataFrame, DataFrame]:
-        """Base tables with the deltas in place of what they had of the deltas' files; of several deltas with a file the last counts."""
+    def merged(self, declarations: DataFrame, records: DataFrame, buckets: set[int] | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Base tables with the deltas in place of what they had of the deltas' files; of several deltas with a file the last counts. ``held`` gets the delta's own tables,
+        which are small beside the base and are kept in memory for it."""
         if not self.state.deltas:
             return declarations.select(*DECLARATIONS.names), records.select(*FILES.names)
         stamps = self._deltas("stamps", "path string, mtime_ns long", buckets)
         newest = stamps.groupBy("path").agg(F.max(F.struct("seq", "mtime_ns")).alias("n")).select("path", "n.seq", "n.mtime_ns")
         fresh = self._deltas("declarations", "name string, kind string, file string, line int, ord long", buckets)
         fresh = fresh.join(newest.select(F.col("path").alias("file"), "seq"), ["file", "seq"])
+        if held is not None:
+            newest, fresh = newest.cache(), fresh.cache()
+            held += [newest, fresh]
         kept = declarations.join(newest.select(F.col("path").alias("file")), "file", "left_anti")
         left = records.join(newest.select("path"), "path", "left_anti")
         return kept.select(*DECLARATIONS.names).unionByName(fresh.select(*DECLARATIONS.names)), left.select(*FILES.names).unionByName(newest.where("mtime_ns is not null").select(*FILES.names))

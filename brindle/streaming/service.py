@@ -58,6 +58,7 @@ class Index:
         self.slow: list[dict] = []
         self._counted: tuple[DataFrame, int] | None = None
         self._files, self._unsure, self._held = 0, set(), False
+        self._logged, self._memory = self.base, []
 
     @property
     def n_declarations(self) -> int:
@@ -70,7 +71,7 @@ class Index:
     def n_files(self) -> int:
         """Files present when they were last looked at; whether singly refreshed ones are new is asked of the records when it matters."""
         if self._unsure:
-            logged = self.log.merged(*self.base)[1]
+            logged = self._logged[1]
             self._files += len(self._unsure) - logged.where(F.col("path").isin(sorted(self._unsure))).count()
             self._unsure = set()
         return self._files
@@ -86,8 +87,14 @@ class Index:
         for t in old:
             t.unpersist()
 
-    def _view(self) -> None:
-        self.declarations, self.records = snapshot.composed(*self.log.merged(*self.base), self.delta)
+    def _view(self, logged: bool = True) -> None:
+        """``logged``: the log has changed, and not only the files beside it."""
+        if logged:
+            old, self._memory = self._memory, []
+            self._logged = self.log.merged(*self.base, held=self._memory)
+            for t in old:
+                t.unpersist()
+        self.declarations, self.records = snapshot.composed(*self._logged, self.delta)
 
     def _flush(self) -> None:
         """Singly refreshed files become a delta of the log."""
@@ -188,7 +195,7 @@ class Index:
             self._flush()
             self._settle()
         else:
-            self._view()
+            self._view(logged=False)
         return stamp is not None
 
     def refresh_files(self, paths: DataFrame) -> None:
