@@ -90,13 +90,14 @@ def compiled_columns(text: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int | str = DEFAULT_LIMIT, max_patterns: int = 4096, extra: tuple[str, ...] = (), also: str | None = None) -> DataFrame:
+def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int | str = DEFAULT_LIMIT, max_patterns: int = 4096, extra: tuple[str, ...] = (), also: str | None = None, always: str | None = None) -> DataFrame:
     """Many queries at once: ``qid, rank, name, kind, file, line, score`` for a table ``qid, pattern``; ``declarations`` in the index's schema.
 
     No pattern meets every row: each asks by its rarest key (two bytes of a part in their order, a lone byte, or the kind), each row hands
     out those of its keys that are asked for, and both meet in a hash join. Only a text of blanks, which finds all rows, joins all. Which key is
     rare is seen on ``KEY_SAMPLE`` rows, as that changes no result. Equal patterns are matched once and joined to their queries. Patterns are taken in slices of
-    about ``max_patterns``, which are broadcast. ``limit`` is a number for all or the name of a column of ``patterns``. ``also`` is a condition in SQL on ``qid`` and the ``extra`` columns of the rows.
+    about ``max_patterns``, which are broadcast. ``limit`` is a number for all or the name of a column of ``patterns``. ``also`` is a condition in SQL on ``qid`` and the ``extra`` columns of the rows;
+    rows for which it holds whatever the query, as ``always`` tells, are cut to the largest limit for each pattern before they meet its queries.
     Each task keeps its best rows per query before the shuffle (the window's group limit).
     """
     most = F.lit(limit) if isinstance(limit, int) else F.col(limit)
@@ -125,7 +126,12 @@ def batch_search(declarations: DataFrame, patterns: DataFrame, limit: int | str
                 found.append(_met(rows, spark.createDataFrame(some, StructType([StructField("__key", IntegerType()), *asked.schema])), some, long))
     if not found:
         found.append(rows.where(F.lit(False)).crossJoin(asked.limit(0)).withColumn("score", F.lit(0)))
-    hit = reduce(DataFrame.unionByName, found).join(queries, "pattern")
+    hit = reduce(DataFrame.unionByName, found)
+    if always:
+        most = queries.agg(F.max("qlimit")).first()[0] or 0
+        own = Window.partitionBy("pattern", "__always").orderBy(*ranked(hit))
+        hit = hit.withColumn("__always", F.expr(always)).withColumn("__nth", F.row_number().over(own)).where(~F.col("__always") | (F.col("__nth") <= most)).drop("__always", "__nth")
+    hit = hit.join(queries, "pattern")
     if also:
         hit = hit.where(also)
     w = Window.partitionBy("qid").orderBy(*ranked(hit))

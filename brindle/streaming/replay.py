@@ -89,7 +89,7 @@ def _segment(index, requests: DataFrame) -> DataFrame:
         before = old.join(at, "file", "left").select(*DECLARATIONS.names, F.lit(-1).cast("long").alias("since"), F.coalesce("at", F.lit(NEVER)).alias("until"))
         after = index.declarations.join(at, "file").select(*DECLARATIONS.names, F.col("at").alias("since"), F.lit(NEVER).alias("until"))
         asked = good.where("method = 'query'").select(F.col("nth").alias("qid"), "pattern", "limit")
-        hits = batch_search(before.unionByName(after), asked, "limit", extra=("since", "until"), also="since <= qid and qid < until")
+        hits = batch_search(before.unionByName(after), asked, "limit", extra=("since", "until"), also="since <= qid and qid < until", always=f"since < 0 and until = {NEVER}")
         row = F.struct("rank", F.struct("name", "kind", "file", "line", "score").alias("r"))
         lists = hits.groupBy(F.col("qid").alias("nth")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows"))
         # what each change adds to the counters, in the order of the requests

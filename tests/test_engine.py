@@ -543,8 +543,8 @@ def test_batches_of_requests_equal_the_loop(spark, tmp_path):
     sources = {f"d{i % 3}/f{i}.cpp": f"int var{i};\nvoid run{i}() {{}}" for i in range(12)}
     later = {"d0/f0.cpp": "struct Fresh {};", "d1/f4.cpp": "", "new.h": "#define NEWER 1\nenum E { A };"}
     lines = []
-    for i in range(90):
-        what = rng.choice(["query"] * 5 + ["status", "rebuildFile", "rebuildFile", "what"] + ["rebuild"] * (i > 60))
+    for i in range(45):
+        what = rng.choice(["query"] * 5 + ["status", "rebuildFile", "rebuildFile", "what"] + ["rebuild"] * (i > 30))
         params = {"pattern": rng.choice(["v", "var1", "run", "f0.cpp", "fresh", "NE", "macro", " ", "", "variable r"]), "limit": rng.randint(-1, 9)} if what == "query" else {"file": rng.choice([*sources, *later, "./d2/../d0/f0.cpp", "none.cpp", ""])} if what == "rebuildFile" else {}
         lines.append(rng.choice(["{bad", "", "[]"]) if rng.random() < 0.05 else json.dumps({"id": i, "method": what, "params": params}))
     for tail in ([], ['{"id":7,"method":"forceRebuild"}', '{"id":8,"method":"status"}', '{"id":8,"method":"query","params":{"pattern":"var"}}'], ['{"id":9,"method":"shutdown"}', '{"id":10,"method":"status"}']):
