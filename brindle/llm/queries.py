@@ -116,6 +116,23 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 r AS (SELECT page_id, octet_length(encode(t)) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS f FROM p),
 k AS (SELECT *, n >= {warc.MIN_BYTES} AND page_id <> f AS again FROM r)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN f END AS refers_to FROM k""",
+    # pairs of equal words q apart, islands of them, and of equal stretches the smallest period; CRC-32 bit by bit
+    "op13_periodic_runs": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_concat([4294967295], flatten(list_transform(string_split(coalesce(doc_id, 0)::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))) AS ops FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(ops, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) END AS h FROM d),
+g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+v AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+x AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM v),
+e AS (SELECT l.r, l.i, m.i - l.i AS q FROM x l JOIN x m ON l.r = m.r AND l.x = m.x AND m.i > l.i AND m.i - l.i <= l.n // 4),
+k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM e),
+s AS (SELECT r, min(q) AS q, s, e FROM (SELECT r, q, min(i) AS s, max(i) + q + 1 AS e FROM k GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)) GROUP BY r, s, e),
+o AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM s),
+c AS (SELECT x.r, string_agg(x, ' ' ORDER BY x.i) AS t FROM x ANTI JOIN o ON x.r = o.r AND x.i = o.i GROUP BY x.r),
+z AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min(struct_pack(l := s - e, s := s, q := q)) AS b FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.l AS length, b.q AS period, 1000 * -b.l // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM v LEFT JOIN z USING (r) LEFT JOIN c USING (r)""",
     "op3_exact_topk": """
 WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),

@@ -262,7 +262,7 @@ def test_radix_order_is_byte_order():
     assert len(phrases.radix_order(raw[:0])) == 0
 
 
-@pytest.mark.parametrize("name", ["op11_phrases", "op12_warc"])
+@pytest.mark.parametrize("name", ["op11_phrases", "op12_warc", "op13_periodic_runs"])
 def test_new_queries_match_sql(spark, sf_dir, name):
     import duckdb
 
