@@ -24,6 +24,8 @@ _STRING, _OPEN = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S), re.compile(r'(?:[^"\\]
 _MARKS = re.compile(r"[{}\[\]]")
 #: Elements are the objects at this depth: in an array (or an object) of the document.
 DEPTH = 2
+#: Rows of a part, about: parts are read by tasks of their own.
+PART_ROWS = 50_000
 
 
 def _outside(piece: str, inside: bool) -> tuple[str, bool]:
@@ -197,7 +199,8 @@ def export_json(folder: str, declarations: DataFrame, records: DataFrame, rows_k
     own = F.to_json(F.struct(F.col("path").alias("p"), F.col("mtime_ns").alias("m")))
     # numbered behind the sort: the first row of the first range is 0
     comma = F.when(F.monotonically_increasing_id() == 0, "").otherwise(",")
-    parts = [(declarations.repartitionByRange("ord").sortWithinPartitions("ord"), F.concat(comma, row)), (records.repartitionByRange("path").sortWithinPartitions("path"), F.concat(comma, own))]
+    ranges = lambda t, c: t.repartitionByRange(1 + t.count() // PART_ROWS, c).sortWithinPartitions(c)
+    parts = [(ranges(declarations, "ord"), F.concat(comma, row)), (ranges(records, "path"), F.concat(comma, own))]
     store = Store(spark, folder)
     for k, (rows, text) in enumerate(parts):
         rows.select(text.alias("value")).write.mode("overwrite").text(f"{folder}/_{k}")
