@@ -139,7 +139,8 @@ def elements(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
                         begins = m.start()
                     deep += 1 if m[0] in "{[" else -1
                 if not here and begins is None:
-                    got.append((nth, BETWEEN, text))
+                    if text.strip(" \t\r\n,"):  # else the line end of a part
+                        got.append((nth, BETWEEN, text))
                     continue
                 if not here:
                     if text[:begins].strip(" \t\r\n,"):

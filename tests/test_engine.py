@@ -358,6 +358,18 @@ def test_json_snapshots(spark, tmp_path):
         assert files.first().mtime_ns == 5
 
 
+def test_json_snapshots_of_many_parts(spark, tmp_path, monkeypatch):
+    from brindle.sources import json_snapshot
+
+    monkeypatch.setattr(json_snapshot, "PART_ROWS", 20)
+    rows = [(f"n{i}", "macro", "f.h", i, i) for i in range(100)]
+    files = [(f"p{i:03d}", i) for i in range(50)]
+    snapshot.export_json(str(tmp_path / "many"), spark.createDataFrame(rows, DECLARATIONS), spark.createDataFrame(files, FILES))
+    assert len([f for f in os.listdir(tmp_path / "many") if f.endswith(".json")]) >= 9
+    d, f = snapshot.import_json(spark, str(tmp_path / "many"))
+    assert sorted(map(tuple, d.collect())) == sorted(rows) and sorted(map(tuple, f.collect())) == files
+
+
 @pytest.mark.parametrize("split", [150, 700, 1 << 20])
 def test_json_snapshots_are_read_in_splits_of_any_size(spark, tmp_path, split):
     rng = random.Random(split)
