@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.model import DECLARATIONS
-from brindle.plans import batch_search
+from brindle.plans.search import versions_search
 from brindle.sources import shared
 from brindle.sources.shared import settled
 from brindle.streaming import protocol
@@ -46,8 +46,8 @@ def answered(index, requests: DataFrame) -> DataFrame:
     """``(nth, response)`` for requests ``nth, id, method, pattern, limit, file, bad``: what the loop would answer to them one by one in order, up to a shutdown.
 
     Refreshes within a batch see the files as they are now, so each file changes once at most, with its own ``rebuildFile`` or with the first ``rebuild``: the
-    files are refreshed together, and a row of the index is there from or until the number of the request that changed its file. All queries are one batch of searches over
-    rows with such an interval; counters are running sums. Only a forced rebuild, which numbers everything anew, divides a batch.
+    files are refreshed together, and a row of the index is there from or until the turn at which a request changed its file. All queries are one batch of searches over
+    rows with such an interval, one search for each pattern and turn; counters are running sums. Only a forced rebuild, which numbers everything anew, divides a batch.
     """
     stop = requests.where("method = 'shutdown' and not bad").agg(F.min("nth")).first()[0]
     if stop is not None:
@@ -85,15 +85,16 @@ def _segment(index, requests: DataFrame) -> DataFrame:
         if whole is not None:
             index.refresh()
         files = settled(index.log.touched_since(since).join(named, "path", "left").select("path", F.least(F.coalesce("own", F.lit(NEVER)), F.lit(rebuilt)).alias("at"), "mtime_ns").where(F.col("at") < NEVER))
-        at = files.select(F.col("path").alias("file"), "at")
-        before = old.join(at, "file", "left").select(*DECLARATIONS.names, F.lit(-1).cast("long").alias("since"), F.coalesce("at", F.lit(NEVER)).alias("until"))
-        after = index.declarations.join(at, "file").select(*DECLARATIONS.names, F.col("at").alias("since"), F.lit(NEVER).alias("until"))
-        asked = good.where("method = 'query'").select(F.col("nth").alias("qid"), "pattern", "limit")
-        hits = batch_search(before.unionByName(after), asked, "limit", extra=("since", "until"), also="since <= qid and qid < until", always=f"since < 0 and until = {NEVER}")
-        row = F.struct("rank", F.struct("name", "kind", "file", "line", "score").alias("r"))
-        lists = hits.groupBy(F.col("qid").alias("nth")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rows"))
+        asked = good.where("method = 'query'").select("nth", "pattern", F.col("limit").cast("int").alias("qlimit"))
+        turns, timed = _turns(files.select(F.col("at").alias("nth")).distinct(), asked)
+        times = turns.count() + 1
+        at = files.join(turns, "at").select(F.col("path").alias("file"), "at", "turn")
+        before = old.join(at, "file", "left").select(*DECLARATIONS.names, F.lit(0).cast("long").alias("since"), F.coalesce("turn", F.lit(times)).alias("until"))
+        after = index.declarations.join(at, "file").select(*DECLARATIONS.names, F.col("turn").alias("since"), F.lit(times).cast("long").alias("until"), "at")
+        found = versions_search(before.unionByName(after.drop("at")), timed.withColumnRenamed("turn", "at"), times).withColumnRenamed("at", "turn")
+        lists = timed.join(found, ["pattern", "turn"]).select("nth", F.slice("rows", F.lit(1), F.col("qlimit")).alias("rows"))
         # what each change adds to the counters, in the order of the requests
-        grown = after.groupBy("file", "since").agg(F.count("*").alias("n")).select(F.col("since").alias("nth"), "n")
+        grown = after.groupBy("file", "at").agg(F.count("*").alias("n")).select(F.col("at").alias("nth"), "n")
         lost = old.join(at, "file").groupBy("file", "at").agg((-F.count("*")).alias("n")).select(F.col("at").alias("nth"), "n")
         new = files.where(F.col("mtime_ns").isNotNull() & (F.col("at") < rebuilt)).join(known.select("path"), "path", "left_anti").select(F.col("at").alias("nth"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("f"))
         events = grown.unionByName(lost).withColumn("f", F.lit(0).cast("long")).unionByName(new).groupBy("nth").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).withColumn("change", F.lit(0))
@@ -104,6 +105,14 @@ def _segment(index, requests: DataFrame) -> DataFrame:
         return settled(told.select("nth", _response(index).alias("response")))
 
 
+def _turns(changes: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests ``nth`` that change files, numbered from 1, ``(at, turn)``; and queries with the ``turn`` of the last one before them, 0 for none."""
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("pattern", "string"), ("qlimit", "int"))]
+    marks = changes.select("nth", *blank, F.lit(1).cast("long").alias("v"), F.lit(0).alias("change"))
+    marks = running(marks.unionByName(asked.select("nth", "pattern", "qlimit", F.lit(0).cast("long").alias("v"), F.lit(1).alias("change"))), ["nth", "change"], "v")
+    return marks.where("change = 0").select(F.col("nth").alias("at"), (F.col("before") + 1).alias("turn")), marks.where("change = 1").select("nth", "pattern", "qlimit", F.col("before").alias("turn"))
+
+
 def _response(index) -> Column:
     rid = F.col("id")
     rows = F.coalesce("rows", F.expr("cast(array() as array<struct<name:string,kind:string,file:string,line:int,score:int>>)"))
