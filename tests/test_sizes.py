@@ -44,3 +44,10 @@ def test_searches_over_versions_equal_brute_force(spark):
         now = spark.createDataFrame([r[:5] for r in rows if r[5] <= at < r[6]], "name string, kind string, file string, line int, ord long")
         for p in ("ab", "ab class", "b", "none"):
             assert got.get((p, at), []) == [tuple(r) for r in plans.search(now, p, most[p, at]).collect()]
+
+
+def test_limits_of_escaped_requests_are_read(spark, sf_dir):
+    users = {r.event_id: r.user_id for r in tb.table(spark, sf_dir, "events").select("event_id", "user_id").collect()}
+    rows = [r for r in QUERIES["parse_escapes"](spark, sf_dir).collect() if r.event_id % 6 == 3]
+    assert {r.event_id: r.limit for r in rows} == {i: u or 200 for i, u in users.items() if i % 6 == 3}
+    assert len({r.limit for r in rows}) > 1
