@@ -31,6 +31,8 @@ def parse_requests(lines: DataFrame, line: str = "line", strict_compat: bool = F
         cols = [pa.array([r.id for r, _ in rows], pa.int64()), *(pa.array([getattr(r, c) for r, _ in rows], k) for c, k in (("method", pa.string()), ("pattern", pa.string()), ("limit", pa.int64()), ("file", pa.string()))), pa.array([b for _, b in rows], pa.bool_())]
         return pa.StructArray.from_arrays(cols, ["id", "method", "pattern", "limit", "file", "bad"])
 
+    # named so, a filter on its fields stays behind it: it is not called twice, nor ahead of an exchange that deals the lines
+    requests = requests.asNondeterministic()
     asked = lines.where(~F.col(line).isin("", "\r")).withColumn("__r", requests(F.col(line)))
     return asked.select(*lines.columns, "__r.*")
 
