@@ -51,3 +51,54 @@ def test_limits_of_escaped_requests_are_read(spark, sf_dir):
     rows = [r for r in QUERIES["parse_escapes"](spark, sf_dir).collect() if r.event_id % 6 == 3]
     assert {r.event_id: r.limit for r in rows} == {i: u or 200 for i, u in users.items() if i % 6 == 3}
     assert len({r.limit for r in rows}) > 1
+
+
+def test_rows_of_one_row_group_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tb, "SOURCES_EACH", 20)
+    monkeypatch.setattr(tb, "LINES_EACH", 100)
+    for made in (tb.generated_sources(spark, sf_dir), tb.hostile_lines(spark, sf_dir), tb.request_lines(spark, sf_dir), tb.escaped_lines(spark, sf_dir), tb.replay_lines(spark, sf_dir)):
+        assert made.rdd.getNumPartitions() > 4
+
+
+def test_one_folder_is_listed_by_shares(spark, tmp_path):
+    for i in range(50):
+        (tmp_path / f"f{i}.cpp").write_text(f"int v{i};")
+    reader = tree.TreeReader({"root": str(tmp_path), "batch": "10"})
+    parts = reader.partitions()
+    assert len(parts) == 5 and all(set(vars(p)) == {"_value", "root", "folder", "deep", "share", "of"} or "files" not in vars(p) for p in parts)
+    each = [[x for b in reader.read(p) for x in b.column("path").to_pylist()] for p in parts]
+    assert sorted(sum(each, [])) == sorted(f"f{i}.cpp" for i in range(50)) and all(each)
+    assert tree.read_tree(spark, str(tmp_path), batch="10").where("content is not null").count() == 50
+
+
+def test_changes_of_one_folder_are_compared_by_shares(tmp_path, monkeypatch):
+    monkeypatch.setattr(tree_stream, "LISTED", 5)
+    root = tmp_path / "t"
+    root.mkdir()
+    reader = tree_stream.ChangeReader({"root": str(root), "state": str(tmp_path / "state")})
+    state, now, offset = {}, {}, reader.initialOffset()
+    for n, most in ((4, 1), (40, 4), (30, 4), (3, 4)):  # undealt, dealt, dealt, undealt
+        for f in list(root.iterdir()):
+            f.unlink()
+        now = {}
+        for i in range(n):
+            (root / f"f{i}.cpp").write_text(str(n))
+            now[f"f{i}.cpp"] = (root / f"f{i}.cpp").stat().st_mtime_ns
+        new = reader.latestOffset()
+        parts = reader.partitions(json.loads(json.dumps(offset)), new)
+        assert len(parts) >= most
+        got = [r for p in parts for r in reader.read(p)]
+        want = [(p, ns, "changed" if p in state else "new") for p, ns in now.items() if state.get(p) != ns] + [(p, None, "removed") for p in state if p not in now]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        state, offset = now, new
+
+
+def test_arrays_in_arrays_at_any_depth():
+    assert parse("[ [\n[1,[]] ,[[ ]]], 2]x") == [[[1, []], [[]]], 2]
+    v = parse("[" * 3000 + "]" * 3000)
+    for _ in range(2999):
+        (v,) = v
+    assert v == []
+    for bad in ("[[[", "[[,", "[[[]]", "[" * 3000 + "]" * 2999, "[[1 2]]", "[[}"):
+        with pytest.raises(BadJson):
+            parse(bad)
