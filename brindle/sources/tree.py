@@ -2,8 +2,9 @@
 
 Options: ``root``; ``dirs`` (``;``-separated, relative to the root, none for the root itself); ``extensions``
 (``;``-separated, the usual C and C++ ones by default); ``ignore`` (text of an ignore file); ``ignore_from`` (``root`` or ``scan``: which
-folder the rules' paths are relative to); ``content`` (``false`` lists only); ``batch`` (files in a partition); ``fan`` (folders that are
-handed to tasks, which list what is below them; only what lies above is listed by the driver).
+folder the rules' paths are relative to); ``content`` (``false`` lists only); ``batch`` (entries of a folder that make one more partition, up to
+``SHARES`` of them); ``fan`` (folders that are handed to tasks, which list what is below them). The driver opens what lies above and counts entries; names of
+files are listed by tasks only, each of which takes its share of a folder by the names' CRC.
 
 Names that begin with a dot or an underscore count, times are exact to the nanosecond, links to folders are not followed, and folders that
 cannot be read are passed over; a missing root gives no rows. Overlapping folders give their files once for each.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import logging
 import os
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,52 +42,108 @@ def mtime_ns(path: str) -> int:
         return -1
 
 
-def list_tree(root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: str = "", base: str | None = None, deep: bool = True) -> list[str]:
-    """Absolute paths of the files under ``root`` (``deep``) or in it that qualify. Rules apply to paths relative to ``base``."""
+def list_tree(root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: str = "", base: str | None = None, deep: bool = True, share: tuple[int, int] = (0, 1)) -> list[str]:
+    """Absolute paths of the files under ``root`` (``deep``) or in it that qualify, of which ``share`` takes one part of so many. Rules apply to paths relative to ``base``."""
     if not os.path.isdir(root):
         log.warning("no folder %s", root)
         return []
     rules = parse_rules(ignore)
     exact, prefixes = {r.pattern for r in rules if not r.is_glob}, tuple(r.pattern for r in rules if r.is_glob)
-    out = []
-    for folder, subs, names in os.walk(root, followlinks=False):
-        subs.sort()
-        if not deep:
-            subs.clear()
+    (own, of), out = share, []
+    left = [root]
+    while left:
+        folder, names, subs = left.pop(), [], []
+        try:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if of > 1 and zlib.crc32(os.fsencode(e.name)) % of != own:
+                        continue
+                    if e.is_dir(follow_symlinks=False):
+                        subs.append(e.path)
+                    elif file_extension(e.name) in extensions and e.is_file():
+                        names.append(e.name)
+        except OSError:
+            log.warning("folder %s cannot be read", folder)
+        if deep:
+            left += sorted(subs, reverse=True)
+        beside = os.path.relpath(folder, base or root)
         for name in sorted(names):
-            path = os.path.join(folder, name)
-            if file_extension(name) in extensions and os.path.isfile(path):
-                rel = normalised(os.path.relpath(path, base or root))
-                if rel not in exact and not rel.startswith(prefixes):
-                    out.append(path)
+            rel = normalised(name if beside == "." else f"{beside}/{name}")
+            if rel not in exact and not rel.startswith(prefixes):
+                out.append(os.path.join(folder, name))
     return out
 
 
+def relative(paths: Iterable[str], root: str) -> Iterator[str]:
+    """The paths from ``root``, with slashes; the folder of the file before is remembered."""
+    last, beside = None, ""
+    for path in paths:
+        folder, name = os.path.split(path)
+        if folder != last:
+            last, rel = folder, os.path.relpath(folder, root).replace(os.sep, "/")
+            beside = "" if rel == "." else f"{rel}/"
+        yield beside + name
+
+
 def scan_roots(root: str, dirs: list[str]) -> list[str]:
     return [os.path.join(root, d) for d in dirs] if dirs else [root]
 
 
+#: The most tasks that list one folder, each of them whole, and the files and bytes that are handed on at once.
+SHARES, FILES_AT_ONCE, BYTES_AT_ONCE = 64, 1024, 16 << 20
+
+
 class Files(InputPartition):
-    """Files that are known, or a folder whose files the task lists itself."""
+    """A folder whose files the task lists itself: all below it, or in it a share of them."""
 
-    def __init__(self, files: list[str] | None = None, folder: str | None = None):
-        self.files, self.folder = files or [], folder
+    def __init__(self, root: str = "", folder: str | None = None, deep: bool = True, share: int = 0, of: int = 1):
+        self.root, self.folder, self.deep, self.share, self.of = root, folder, deep, share, of
 
 
-def top_folders(root: str, fan: int) -> tuple[list[str], list[str]]:
-    """``(folders opened here, folders left to tasks)``: level by level, until there are ``fan`` to hand out."""
+def top_folders(root: str, fan: int) -> tuple[list[tuple[str, int]], list[str]]:
+    """``(folders opened here with their number of entries, folders left to tasks)``: level by level, until there are ``fan`` to hand out."""
     opened, left = [], [root] if os.path.isdir(root) else []
     while left and len(left) < fan:
-        folder = left.pop(0)
-        opened.append(folder)
+        folder, n, subs = left.pop(0), 0, []
         try:
             with os.scandir(folder) as entries:
-                left += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+                for e in entries:
+                    n += 1
+                    if e.is_dir(follow_symlinks=False):
+                        subs.append(e.path)
         except OSError:
             log.warning("folder %s cannot be read", folder)
+        opened.append((folder, n))
+        left += sorted(subs)
     return opened, left
 
 
+def with_contents(files: Iterable[tuple[str, int, str]], content: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches of ``SOURCES`` for ``(path, mtime_ns, full path)``; a file that cannot be read has null content."""
+    rows: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "mtime_ns", "content"])
+
+    for path, ns, full in files:
+        data = None
+        if content:
+            try:
+                with open(full, "rb", buffering=0) as f:
+                    data = f.read()
+            except OSError:
+                data = None
+        for column, value in zip(rows, (path, ns, data), strict=True):
+            column.append(value)
+        size += len(data or b"")
+        if len(rows[0]) >= FILES_AT_ONCE or size >= BYTES_AT_ONCE:
+            yield batch()
+            rows, size = ([], [], []), 0
+    if rows[0]:
+        yield batch()
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = os.path.abspath(options["root"])
@@ -92,7 +151,7 @@ class TreeReader(DataSourceReader):
         self.extensions = tuple(e for e in options.get("extensions", ";".join(EXTENSIONS)).split(";") if e)
         self.ignore, self.per_root = options.get("ignore", ""), options.get("ignore_from", "root") == "root"
         self.content = options.get("content", "true").lower() == "true"
-        self.batch, self.fan = int(options.get("batch", "64")), int(options.get("fan", "256"))
+        self.batch, self.fan = int(options.get("batch", "4096")), int(options.get("fan", "256"))
 
     def partitions(self):
         out = []
@@ -100,29 +159,17 @@ class TreeReader(DataSourceReader):
             if not os.path.isdir(root):
                 log.warning("no folder %s", root)
             opened, left = top_folders(root, self.fan)
-            found = [p for folder in opened for p in self.listed(folder, root, deep=False)]
-            out += [Files(found[i : i + self.batch]) for i in range(0, len(found), self.batch)]
-            out += [Files(folder=f"{root}\n{folder}") for folder in left]
+            for folder, n in opened:
+                of = max(1, min(SHARES, -(-n // self.batch)))
+                out += [Files(root, folder, False, share, of) for share in range(of)]
+            out += [Files(root, folder) for folder in left]
         return out or [Files()]
 
-    def listed(self, folder: str, root: str, deep: bool) -> list[str]:
-        return list_tree(folder, self.extensions, self.ignore, self.root if self.per_root else root, deep)
-
     def read(self, partition):
-        files = partition.files
-        if partition.folder is not None:
-            root, _, folder = partition.folder.partition("\n")
-            files = self.listed(folder, root, deep=True)
-        for path in files:
-            rel = os.path.relpath(path, self.root).replace(os.sep, "/")
-            content = None
-            if self.content:
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    content = None
-            yield rel, mtime_ns(path), content
+        if partition.folder is None:
+            return iter(())
+        found = list_tree(partition.folder, self.extensions, self.ignore, self.root if self.per_root else partition.root, partition.deep, (partition.share, partition.of))
+        return with_contents(((rel, mtime_ns(path), path) for rel, path in zip(relative(found, self.root), found, strict=True)), self.content)
 
 
 class SourceTree(DataSource):
@@ -146,23 +193,15 @@ def read_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     """Content of the listed files, read on the executors; a file that cannot be read has null content."""
 
     def body(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            content = []
-            for p in pdf["path"]:
-                try:
-                    with open(os.path.join(root, p), "rb") as f:
-                        content.append(f.read())
-                except OSError:
-                    content.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "mtime_ns": pdf["mtime_ns"], "content": content})
+        for b in batches:
+            paths, times = b.column("path").to_pylist(), b.column("mtime_ns").to_pylist()
+            yield from with_contents((p, ns, os.path.join(root, p)) for p, ns in zip(paths, times, strict=True))
 
-    return paths.select("path", "mtime_ns").mapInPandas(body, SOURCES)
+    return paths.select("path", "mtime_ns").mapInArrow(body, SOURCES)
 
 
 #: Entries that a task looks at before it hands folders on, and files that a task reads.
-LOOKS, READS = 4096, 256
+LOOKS, READS = 4096, 4096
 
 
 def spread_tree(spark: SparkSession, root: str, dirs: list[str] | None = None, ignore: str = "", content: bool = True, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -181,6 +220,7 @@ def spread_tree(spark: SparkSession, root: str, dirs: list[str] | None = None, i
             left, files = b.column("path").to_pylist(), []
             while left and seen < LOOKS:
                 folder = left.pop()
+                beside = os.path.relpath(folder, root).replace(os.sep, "/")
                 try:
                     with os.scandir(folder) as entries:
                         for e in entries:
@@ -188,8 +228,9 @@ def spread_tree(spark: SparkSession, root: str, dirs: list[str] | None = None, i
                             if e.is_dir(follow_symlinks=False):
                                 left.append(e.path)
                             elif file_extension(e.name) in extensions and e.is_file():
-                                rel = os.path.relpath(e.path, root).replace(os.sep, "/")
-                                if normalised(rel) not in exact and not normalised(rel).startswith(prefixes):
+                                rel = e.name if beside == "." else f"{beside}/{e.name}"
+                                ruled = normalised(rel)
+                                if ruled not in exact and not ruled.startswith(prefixes):
                                     files.append(rel)
                 except OSError:
                     log.warning("folder %s cannot be read", folder)

@@ -1,8 +1,9 @@
 """``spark.readStream.format("source_tree_changes")``: the files of a tree that are new, changed or removed since the last trigger.
 
 Options: those of ``source_tree`` that choose files (``root``, ``dirs``, ``extensions``, ``ignore``), and ``state``, a folder that driver and tasks share. An offset is the
-digest of a listing; listings are kept under their digests, one for each folder and one that names them, so a trigger that is repeated after a failure
-finds both of its ends. Folders whose digest is the same are not compared. Rows: ``path, mtime_ns`` (null: removed), ``state`` (new, changed, removed).
+digest of a listing; listings are kept under their digests, some for each folder and one that names them, so a trigger that is repeated after a failure
+finds both of its ends. Files of a folder are dealt over ``SHARES`` listings by the CRC of their names if there are more than ``LISTED``, which are as many tasks; listings
+whose digest is the same are not compared. Rows: ``path, mtime_ns`` (null: removed), ``state`` (new, changed, removed).
 The first trigger gives every file as new.
 """
 
@@ -12,21 +13,43 @@ import hashlib
 import json
 import os
 import uuid
+import zlib
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from brindle.model import EXTENSIONS
-from brindle.sources.tree import list_tree, mtime_ns, scan_roots
+from brindle.sources.tree import list_tree, mtime_ns, relative, scan_roots
 
 EMPTY = ""
 CHANGES = "path string, mtime_ns long, state string"
 
 
+#: Files of one listing, about, and the listings of a folder that has more.
+LISTED, SHARES, ALL = 4096, 64, "all"
+
+
+def share_of(path: str) -> str:
+    return str(zlib.crc32(path.encode("utf-8", "surrogateescape")) % SHARES)
+
+
+def dealt(files: dict[str, int]) -> Iterator[tuple[str, dict[str, int]]]:
+    """The files of a folder by shares, or all at once if they are few."""
+    if len(files) <= LISTED:
+        yield ALL, files
+        return
+    shares: dict[str, dict[str, int]] = {}
+    while files:
+        path, ns = files.popitem()
+        shares.setdefault(share_of(path), {})[path] = ns
+    yield from shares.items()
+
+
 class Folder(InputPartition):
-    """One folder's listings before and after, by digest; '' for none."""
+    """Listings of a folder, or of a share of it, before and after, by digest; '' for none."""
 
-    def __init__(self, before: str, after: str):
-        self.before, self.after = before, after
+    def __init__(self, before: str, after: str, share: str = ALL):
+        self.before, self.after, self.share = before, after, share
 
 
 class ChangeReader(DataSourceStreamReader):
@@ -63,17 +86,31 @@ class ChangeReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         folders: dict[str, dict[str, int]] = {}
         for root in scan_roots(self.root, self.dirs):
-            for path in list_tree(root, self.extensions, self.ignore, self.root):
-                rel = os.path.relpath(path, self.root).replace(os.sep, "/")
+            found = list_tree(root, self.extensions, self.ignore, self.root)
+            for path, rel in zip(found, relative(found, self.root), strict=True):
                 folders.setdefault(rel.rpartition("/")[0], {})[rel] = mtime_ns(path)
-        return {"listing": self._kept({name: self._kept(files) for name, files in folders.items()}) if folders else EMPTY}
+        kept = {}
+        while folders:
+            name, files = folders.popitem()
+            for share, some in dealt(files):
+                kept[f"{name}/{share}"] = self._kept(some)
+        return {"listing": self._kept(kept) if kept else EMPTY}
 
     def partitions(self, start: dict, end: dict):
         old, new = self._listing(start["listing"]), self._listing(end["listing"])
-        return [Folder(old.get(f, EMPTY), new.get(f, EMPTY)) for f in sorted({*old, *new}) if old.get(f) != new.get(f)]
+        out = []
+        for f in sorted({n.rpartition("/")[0] for n in (*old, *new)}):
+            before, after = ([(s, t[f"{f}/{s}"]) for s in (ALL, *map(str, range(SHARES))) if f"{f}/{s}" in t] for t in (old, new))
+            if any(s != ALL for s, _ in (*before, *after)):
+                # one side or both are dealt: share by share, of an undealt one its part
+                shares = [(s, dict(before).get(s, dict(before).get(ALL, EMPTY)), dict(after).get(s, dict(after).get(ALL, EMPTY))) for s in map(str, range(SHARES))]
+                out += [Folder(x, y, s) for s, x, y in shares if x != y]
+            elif before != after:
+                out.append(Folder(dict(before).get(ALL, EMPTY), dict(after).get(ALL, EMPTY)))
+        return out
 
     def read(self, partition):
-        old, new = self._listing(partition.before), self._listing(partition.after)
+        old, new = ({p: ns for p, ns in self._listing(x).items() if partition.share in (ALL, share_of(p))} for x in (partition.before, partition.after))
         for path in sorted({*old, *new}):
             if path not in new:
                 yield path, None, "removed"
