@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,10 +74,12 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder
+        # found once: each name of a package is a question to the JVM
+        self.made = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path("").getFileSystem(self.conf)
 
     def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return self.made(f"{self.folder}/{name}" if name else self.folder)
 
     def is_file(self, name: str) -> bool:
         return self.fs.exists(self.path(name)) and self.fs.getFileStatus(self.path(name)).isFile()
@@ -96,19 +99,25 @@ class Store:
         stream.close()
         self._rename(self.path(beside), self.path(name))
 
-    def _rename(self, old, new) -> None:
-        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+    @cached_property
+    def _over(self):
         over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        over[0] = options.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(old, new, over)
+        over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        return self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf), over
+
+    def _rename(self, old, new) -> None:
+        context, over = self._over
+        context.rename(old, new, over)
 
     def files(self, name: str) -> list[str]:
         """Names of the files in a folder that readers of tables would see, in order."""
         found = [s.getPath().getName() for s in self.fs.listStatus(self.path(name)) if s.isFile()]
         return sorted(f for f in found if not f.startswith(("_", ".")))
 
-    def move(self, name: str, to: str) -> None:
-        self._rename(self.path(name), self.path(to))
+    def move(self, name: str, to: str, new: bool = False) -> None:
+        """``new``: nothing is named ``to`` yet. Then a plain rename will do, which takes a tenth of the time on a local store."""
+        if not (new and self.fs.rename(self.path(name), self.path(to))):
+            self._rename(self.path(name), self.path(to))
 
     def folders(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.path("")) if s.isDirectory()] if self.fs.exists(self.path("")) else []

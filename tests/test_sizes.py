@@ -4,6 +4,7 @@ import json
 import random
 import sys
 
+import numpy as np
 import pytest
 
 from brindle import testbed as tb
@@ -102,3 +103,63 @@ def test_arrays_in_arrays_at_any_depth():
     for bad in ("[[[", "[[,", "[[[]]", "[" * 3000 + "]" * 2999, "[[1 2]]", "[[}"):
         with pytest.raises(BadJson):
             parse(bad)
+
+
+def test_strings_are_told_from_brackets_wherever_a_text_begins():
+    from brindle.sources import json_snapshot
+
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "".join(rng.choice('"\\{}[]a,') for _ in range(rng.randrange(14)))
+        for begins in (False, True):
+            inside, skip, want = begins, False, []
+            for i, c in enumerate(text):
+                if inside:
+                    skip, inside = c == "\\" and not skip, c != '"' or skip
+                elif c == '"':
+                    inside = True
+                elif c in "{}[]":
+                    want.append((i, 1 if c in "{[" else -1))
+            at, step, ends = json_snapshot._outside(json_snapshot._scan(np.frombuffer(text.encode(), np.uint8)), begins)
+            assert (list(zip(at.tolist(), step.tolist(), strict=True)), ends) == (want, inside), (text, begins)
+
+
+@pytest.mark.parametrize("rows_each", [1, 7, 10_000])
+def test_json_documents_are_read_three_times(spark, tmp_path, rows_each):
+    """Once for the sums, once for what stands between elements, once for the elements, whose batches may end anywhere."""
+    from brindle.sources import snapshot
+
+    rows = [{"n": name, "k": "macro", "f": "a}.h", "l": i} | ({"x": {"y": [{"z": "{"}, 1]}} if i % 3 == 0 else {}) for i, name in enumerate(['a"', "\\", "}", "[{", "é", ""] * 8)]
+    document = {"meta": {"a": {"b": "}"}}, "files": [{"p": "p", "m": 5}], "declarations": rows, "version": 2}
+    (tmp_path / "s.json").write_text(json.dumps(document, indent=1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_each)
+    spark.sparkContext.setJobGroup(f"json{rows_each}", "")
+    try:
+        d, files = snapshot.import_json(spark, str(tmp_path / "s.json"))
+        got = sorted(map(tuple, d.collect()), key=lambda r: r[-1])
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"json{rows_each}"))
+        assert [tuple(r) for r in files.collect()] == [("p", 5)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(key, None)
+    assert got == [(r["n"], "macro", "a}.h", i, i) for i, r in enumerate(rows)]
+    assert jobs == 3
+
+
+def test_exports_over_an_earlier_one_replace_its_parts(spark, tmp_path, monkeypatch):
+    from brindle.model import DECLARATIONS, FILES
+    from brindle.sources import json_snapshot, shared
+
+    monkeypatch.setattr(json_snapshot, "PART_ROWS", 10)
+    slow = []
+    rename = shared.Store._rename
+    monkeypatch.setattr(shared.Store, "_rename", lambda self, old, new: (slow.append(new.getName()), rename(self, old, new)))
+    for times, line in enumerate((1, 2)):
+        rows = [(f"n{i}", "macro", "f.h", line, i) for i in range(60)]
+        json_snapshot.export_json(str(tmp_path / "s"), spark.createDataFrame(rows, DECLARATIONS), spark.createDataFrame([("p", line)], FILES))
+        parts = [n for n in slow if "between" not in n]
+        # a rename that replaces what is there is slow on a local store, and nothing is there at first
+        assert len(parts) > 5 if times else not parts
+        d, f = json_snapshot.import_json(spark, str(tmp_path / "s"))
+        assert sorted(map(tuple, d.collect()), key=lambda r: r[-1]) == rows and [tuple(r) for r in f.collect()] == [("p", line)]
