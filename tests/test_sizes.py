@@ -12,6 +12,7 @@ from brindle.functions.lenient_json import BadJson, parse
 import brindle.plans.search  # noqa: F401 - the package gives the function of that name
 from brindle.queries import QUERIES
 from brindle.sources import tree, tree_stream
+from brindle.streaming import protocol
 
 plans = sys.modules["brindle.plans.search"]
 
@@ -54,6 +55,18 @@ def test_limits_of_escaped_requests_are_read(spark, sf_dir):
     assert len({r.limit for r in rows}) > 1
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_limits_in_quotes_are_among_the_escaped_requests(spark, sf_dir, compat):
+    users = {r.event_id: r.user_id for r in tb.table(spark, sf_dir, "events").select("event_id", "user_id").collect()}
+    rows = {r.event_id: r for r in protocol.parse_requests(tb.escaped_lines(spark, sf_dir), strict_compat=compat).collect()}
+    assert set(rows) == set(users)
+    alone = {i: u for i, u in users.items() if i % 6 == 1}
+    assert {i: json.loads(rows[i].line, strict=False)["params"].get("limit") for i in alone} == {i: str(u) for i, u in alone.items()}
+    assert {rows[i].limit for i in alone} == {200}
+    before = {i: u for i, u in users.items() if i % 6 == 3}
+    assert all(f'"limit":"{u}","limit":{u},' in rows[i].line and rows[i].limit == (u or 200) for i, u in before.items())
+
+
 def test_rows_of_one_row_group_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tb, "SOURCES_EACH", 20)
     monkeypatch.setattr(tb, "LINES_EACH", 100)
